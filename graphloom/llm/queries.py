@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from ..session import table
+from .chat_format import SQL as CHAT_SQL
+from .chat_format import op2_format
 from .mixing import SQL as MIX_SQL
 from .mixing import op7_mix
 
 QUERIES = {
+    "op2_format": lambda spark, d: op2_format(table(spark, d, "conversations")),
     "op7_mix": lambda spark, d: op7_mix(table(spark, d, "documents")),
 }
-ORACLES = {"op7_mix": MIX_SQL}
+ORACLES = {"op2_format": CHAT_SQL, "op7_mix": MIX_SQL}
