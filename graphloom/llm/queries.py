@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..session import table
+from .bpe import op6_bpe
 from .chat_format import SQL as CHAT_SQL
 from .chat_format import op2_format
 from .mixing import SQL as MIX_SQL
@@ -14,6 +15,7 @@ from .token_files import op3_tokens
 QUERIES = {
     "op2_format": lambda spark, d: op2_format(table(spark, d, "conversations")),
     "op3_tokens": lambda spark, d: op3_tokens(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
+    "op6_bpe": lambda spark, d: op6_bpe(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op7_mix": lambda spark, d: op7_mix(table(spark, d, "documents")),
 }
 ORACLES = {"op2_format": CHAT_SQL, "op7_mix": MIX_SQL}
