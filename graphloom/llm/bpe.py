@@ -29,8 +29,8 @@ SPACE = "\t-\r \x85\xa0  -     　"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-#: A worker forgets its units when it holds more, to bound its memory.
-MAX_UNITS = 400_000
+#: Of each generation of a worker's units, to bound its memory.
+MAX_UNITS = 200_000
 _UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _WORKER: dict[str, "Codec"] = {}
 
@@ -64,13 +64,10 @@ class Codec:
         self.keys = keys[self.order]
         self.pieces = regex.compile(PIECES)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.clear()
-
-    def clear(self) -> None:
-        self.ids_text: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
-        for token, i in self.special.items():  # a unit of their own; no other unit is looked up with this key
-            self.ids_text["\0special " + token], self.decoded["\0special " + token] = str(i), token.encode()
+        self.text_of = {i: str(i) for i in self.bytes_of}
+        # Two generations: when the newer is full it becomes the older, and what is used again moves back.
+        self.newer: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word."""
@@ -135,32 +132,39 @@ class Codec:
         return out
 
     def learn(self, units: set[str]) -> None:
-        names = list(units)
-        split = [self.pieces.findall(u) for u in names]
+        names, known, old = [], self.newer, self.older
+        for u in units:
+            if u in old:
+                known[u] = old[u]
+            elif u[0] == "\0" and u[1:] in self.special:
+                known[u] = str(self.special[u[1:]]), u[1:].encode()
+            else:
+                names.append(u)
+        split = [[u] if u.isalpha() else self.pieces.findall(u) for u in names]
         words = list({w for s in split for w in s})
-        ids = dict(zip(words, self.merge([w.encode() for w in words])))
+        ids, text_of, bytes_of = dict(zip(words, self.merge([w.encode() for w in words]))), self.text_of, self.bytes_of
         for name, s in zip(names, split):
-            got = [i for w in s for i in ids[w]]
-            self.ids_text[name] = ",".join(map(str, got))
-            self.decoded[name] = b"".join([self.bytes_of[i] for i in got])
+            got = ids[s[0]] if len(s) == 1 else [i for w in s for i in ids[w]]
+            known[name] = ",".join([text_of[i] for i in got]), b"".join([bytes_of[i] for i in got])
 
     def units(self, text: str) -> list[str]:
         """The units of a text, in order; a special token in it is one."""
         if self.cut and any(s in text for s in self.special):
             parts = self.cut.split(text)
-            return [u for k, part in enumerate(parts) for u in (["\0special " + part] if k % 2 else _UNITS.findall(part))]
+            return [u for k, part in enumerate(parts) for u in (["\0" + part] if k % 2 else _UNITS.findall(part))]
         return _UNITS.findall(text)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """For each text its decimal ids, joined by commas, and the bytes that they stand for."""
-        if len(self.ids_text) > MAX_UNITS:
-            self.clear()
+        if len(self.newer) > MAX_UNITS:
+            self.older, self.newer = self.newer, {}
         split = [self.units(t) for t in texts]
-        unknown = set().union(*split).difference(self.ids_text)
+        unknown = set().union(*split).difference(self.newer)
         if unknown:
             self.learn(unknown)
         for s in split:
-            yield ",".join(map(self.ids_text.__getitem__, s)), b"".join(map(self.decoded.__getitem__, s))
+            got = list(map(self.newer.__getitem__, s))
+            yield ",".join([x[0] for x in got]), b"".join([x[1] for x in got])
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD. Ids that are not in the vocabulary are left out."""
