@@ -13,6 +13,7 @@ white space and no rule of it looks across, so the ids of a text are those of it
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,56 +25,84 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, small_batches
 
-#: A worker forgets its runs when it holds more, to bound its memory.
-MAX_RUNS = 500_000
+#: Of each generation of a worker's runs, to bound its memory.
+MAX_RUNS = 400_000
 _WORKER: dict[tuple[str, int], "_Runs"] = {}
+#: A run of which the part up to its last letter, and the rest, are encoded apart: no token goes across.
+_TAIL = re.compile(rb"(.*[a-z])([^A-Za-z0-9\x80-\xff]+)", re.S)
 
 
 class _Runs:
-    """Ids of runs of non-space bytes, by number; number 0 is the end of a document."""
+    """Ids of runs of non-space bytes, as little-endian 32-bit integers.
+
+    Two generations of runs are kept: when the newer is full it becomes the older, and what is used again moves back.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end_id], "<i4").tobytes()
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.ids = np.array([self.end_id], np.int32)
+        # Lower case comes first where the tokenizer folds it and no special token may stand in the text.
+        self.folds = self.tokenizer.encode("Q", add_special_tokens=False).ids == self.tokenizer.encode("q", add_special_tokens=False).ids
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.newer: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _words(self, words: list[bytes]) -> None:
+        """Words of letters go to the tokenizer many at once; each is one piece, which the count of pieces proves."""
+        apart = []
+        for i in range(0, len(words), 500):
+            some = words[i : i + 500]
+            got = self.tokenizer.encode(" ".join([w.decode() for w in some]), add_special_tokens=False)
+            piece, raw = np.array(got.word_ids, np.int64), np.array(got.ids, "<i4").tobytes()
+            cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
+            if len(cuts) - 1 != len(some):
+                apart += some
+            else:
+                self.newer.update({w: raw[4 * a : 4 * b] for w, a, b in zip(some, cuts, cuts[1:])})
+        self._runs(apart)
+
+    def _runs(self, runs: list[bytes]) -> None:
+        self.newer.update({r: np.array(x.ids, "<i4").tobytes() for r, x in zip(runs, self._ids([r.decode() for r in runs]))})
 
     def learn(self, runs: set[bytes]) -> None:
-        new = list(runs)
-        got = [x.ids for x in self.tokenizer.encode_batch_fast([r.decode() for r in new], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        first = len(self.ids) + np.cumsum(lengths) - lengths
-        self.number.update(zip(new, range(len(self.starts), len(self.starts) + len(new))))
-        self.starts, self.lengths = np.concatenate([self.starts, first]), np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.int32, int(lengths.sum()))])
+        cut, whole, known, old = [], set(), self.newer, self.older
+        for r in runs:
+            if r in old:
+                known[r] = old[r]
+            elif self.folds and (m := _TAIL.fullmatch(r)) and not any(x in r for x in self.special):
+                cut.append((r, m[1], m[2]))
+                whole.update(m.groups())
+            else:
+                whole.add(r)
+        words, other = [], []
+        for r in whole:
+            if r in old:
+                known[r] = old[r]
+            elif r not in known:
+                (words if r.decode().isalpha() else other).append(r)
+        self._words(words)
+        self._runs(other)
+        for r, head, tail in cut:
+            known[r] = known[head] + known[tail]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and the number of ids of each text."""
-        if len(self.number) > MAX_RUNS:
-            self.clear()
-        split = [t.split() for t in texts]
-        unknown = set().union(*split).difference(self.number) if split else set()
+        if len(self.newer) > MAX_RUNS:
+            self.older, self.newer = self.newer, {}
+        split = [(t.lower() if self.folds and not any(x[:2] in t for x in self.special) else t).split() for t in texts]
+        unknown = set().union(*split).difference(self.newer)
         if unknown:
             self.learn(unknown)
-        sizes = np.fromiter((len(s) + 1 for s in split), np.int64, len(split))
-        runs = np.zeros(int(sizes.sum()), np.int64)
-        at, get = 0, self.number.__getitem__
-        for s in split:
-            runs[at : at + len(s)] = np.fromiter(map(get, s), np.int64, len(s))
-            at += len(s) + 1
-        lengths = self.lengths[runs]
-        ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(self.starts[runs] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        last = ends[np.cumsum(sizes) - 1] if len(sizes) else np.zeros(0, np.int64)
-        return ids, np.diff(last, prepend=0)
+        get, end = self.newer.__getitem__, self.end
+        got = [b"".join(map(get, s)) + end for s in split]
+        return np.frombuffer(b"".join(got), "<i4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
 
 
 def _coder(path: str, end_id: int) -> _Runs:
