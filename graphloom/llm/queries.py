@@ -10,11 +10,13 @@ from .chat_format import SQL as CHAT_SQL
 from .chat_format import op2_format
 from .mixing import SQL as MIX_SQL
 from .mixing import op7_mix
+from .near_dedup import op4_near
 from .token_files import op3_tokens
 
 QUERIES = {
     "op2_format": lambda spark, d: op2_format(table(spark, d, "conversations")),
     "op3_tokens": lambda spark, d: op3_tokens(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
+    "op4_near": lambda spark, d: op4_near(table(spark, d, "documents")),
     "op6_bpe": lambda spark, d: op6_bpe(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op7_mix": lambda spark, d: op7_mix(table(spark, d, "documents")),
 }
