@@ -30,7 +30,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: Of each generation of a worker's units, to bound its memory.
-MAX_UNITS = 200_000
+MAX_UNITS = 450_000
 _UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _WORKER: dict[str, "Codec"] = {}
 
@@ -140,12 +140,22 @@ class Codec:
                 known[u] = str(self.special[u[1:]]), u[1:].encode()
             else:
                 names.append(u)
+        # A piece is a unit too: what a unit with punctuation is made of is merged once.
         split = [[u] if u.isalpha() else self.pieces.findall(u) for u in names]
-        words = list({w for s in split for w in s})
-        ids, text_of, bytes_of = dict(zip(words, self.merge([w.encode() for w in words]))), self.text_of, self.bytes_of
+        new = []
+        for w in {w for s in split for w in s}:
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    new.append(w)
+        text_of, bytes_of = self.text_of, self.bytes_of
+        for w, got in zip(new, self.merge([w.encode() for w in new])):
+            known[w] = ",".join([text_of[i] for i in got]), b"".join([bytes_of[i] for i in got])
         for name, s in zip(names, split):
-            got = ids[s[0]] if len(s) == 1 else [i for w in s for i in ids[w]]
-            known[name] = ",".join([text_of[i] for i in got]), b"".join([bytes_of[i] for i in got])
+            if len(s) > 1:
+                got = [known[w] for w in s]
+                known[name] = ",".join([x[0] for x in got]), b"".join([x[1] for x in got])
 
     def units(self, text: str) -> list[str]:
         """The units of a text, in order; a special token in it is one."""
