@@ -11,9 +11,11 @@ from .chat_format import op2_format
 from .mixing import SQL as MIX_SQL
 from .mixing import op7_mix
 from .near_dedup import op4_near
+from .suffix_dedup import op1_suffix
 from .token_files import op3_tokens
 
 QUERIES = {
+    "op1_suffix": lambda spark, d: op1_suffix(table(spark, d, "documents")),
     "op2_format": lambda spark, d: op2_format(table(spark, d, "conversations")),
     "op3_tokens": lambda spark, d: op3_tokens(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "op4_near": lambda spark, d: op4_near(table(spark, d, "documents")),
