@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, small_batches
 
 #: Of each generation of a worker's runs, to bound its memory.
-MAX_RUNS = 400_000
+MAX_RUNS = 600_000
 _WORKER: dict[tuple[str, int], "_Runs"] = {}
 #: A run of which the part up to its last letter, and the rest, are encoded apart: no token goes across.
 _TAIL = re.compile(rb"(.*[a-z])([^A-Za-z0-9\x80-\xff]+)", re.S)
@@ -71,12 +71,13 @@ class _Runs:
     def _runs(self, runs: list[bytes]) -> None:
         self.newer.update({r: np.array(x.ids, "<i4").tobytes() for r, x in zip(runs, self._ids([r.decode() for r in runs]))})
 
-    def learn(self, runs: set[bytes]) -> None:
+    def learn(self, runs: set[bytes], plain: bool) -> None:
+        """plain: no run can hold a special token, and all are folded."""
         cut, whole, known, old = [], set(), self.newer, self.older
         for r in runs:
             if r in old:
                 known[r] = old[r]
-            elif self.folds and (m := _TAIL.fullmatch(r)) and not any(x in r for x in self.special):
+            elif (m := _TAIL.fullmatch(r)) and (plain or not any(x in r for x in self.special)):
                 cut.append((r, m[1], m[2]))
                 whole.update(m.groups())
             else:
@@ -96,10 +97,11 @@ class _Runs:
         """All ids of the texts, each with the end id, and the number of ids of each text."""
         if len(self.newer) > MAX_RUNS:
             self.older, self.newer = self.newer, {}
-        split = [(t.lower() if self.folds and not any(x[:2] in t for x in self.special) else t).split() for t in texts]
+        plain = [not any(x[:2] in t for x in self.special) for t in texts]
+        split = [(t.lower() if p and self.folds else t).split() for t, p in zip(texts, plain)]
         unknown = set().union(*split).difference(self.newer)
         if unknown:
-            self.learn(unknown)
+            self.learn(unknown, all(plain))
         get, end = self.newer.__getitem__, self.end
         got = [b"".join(map(get, s)) + end for s in split]
         return np.frombuffer(b"".join(got), "<i4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
