@@ -11,6 +11,7 @@ from .chat_format import op2_format
 from .mixing import SQL as MIX_SQL
 from .mixing import op7_mix
 from .near_dedup import op4_near
+from .quality import op5_quality
 from .suffix_dedup import op1_suffix
 from .token_files import op3_tokens
 from .toxicity import op9_toxic
@@ -20,6 +21,7 @@ QUERIES = {
     "op2_format": lambda spark, d: op2_format(table(spark, d, "conversations")),
     "op3_tokens": lambda spark, d: op3_tokens(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "op4_near": lambda spark, d: op4_near(table(spark, d, "documents")),
+    "op5_quality": lambda spark, d: op5_quality(table(spark, d, "documents")),
     "op6_bpe": lambda spark, d: op6_bpe(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op9_toxic": lambda spark, d: op9_toxic(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_mix": lambda spark, d: op7_mix(table(spark, d, "documents")),
