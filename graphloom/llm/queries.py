@@ -14,6 +14,8 @@ from .near_dedup import op4_near
 from .quality import op5_quality
 from .suffix_dedup import op1_suffix
 from .token_files import op3_tokens
+from .topk import SQL as TOPK_SQL
+from .topk import op8_topk
 from .toxicity import op9_toxic
 
 QUERIES = {
@@ -23,7 +25,8 @@ QUERIES = {
     "op4_near": lambda spark, d: op4_near(table(spark, d, "documents")),
     "op5_quality": lambda spark, d: op5_quality(table(spark, d, "documents")),
     "op6_bpe": lambda spark, d: op6_bpe(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
+    "op8_topk": lambda spark, d: op8_topk(table(spark, d, "embeddings")),
     "op9_toxic": lambda spark, d: op9_toxic(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_mix": lambda spark, d: op7_mix(table(spark, d, "documents")),
 }
-ORACLES = {"op2_format": CHAT_SQL, "op7_mix": MIX_SQL}
+ORACLES = {"op8_topk": TOPK_SQL, "op2_format": CHAT_SQL, "op7_mix": MIX_SQL}
