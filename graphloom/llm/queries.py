@@ -17,6 +17,8 @@ from .token_files import op3_tokens
 from .topk import SQL as TOPK_SQL
 from .topk import op8_topk
 from .toxicity import op9_toxic
+from .warc import SQL as WARC_SQL
+from .warc import op10_warc
 
 QUERIES = {
     "op1_suffix": lambda spark, d: op1_suffix(table(spark, d, "documents")),
@@ -28,5 +30,6 @@ QUERIES = {
     "op8_topk": lambda spark, d: op8_topk(table(spark, d, "embeddings")),
     "op9_toxic": lambda spark, d: op9_toxic(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_mix": lambda spark, d: op7_mix(table(spark, d, "documents")),
+    "op10_warc": lambda spark, d: op10_warc(table(spark, d, "pages")),
 }
-ORACLES = {"op8_topk": TOPK_SQL, "op2_format": CHAT_SQL, "op7_mix": MIX_SQL}
+ORACLES = {"op10_warc": WARC_SQL, "op8_topk": TOPK_SQL, "op2_format": CHAT_SQL, "op7_mix": MIX_SQL}
