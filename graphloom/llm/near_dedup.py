@@ -8,9 +8,11 @@ often as sets overlap.
 1. Documents with one set are one node (a fingerprint of the whole set), so copies never meet in a bucket.
 2. Bands of registers are buckets. In each the least node is the hub; every other member is compared with it only:
    first by the Jaccard estimate, corrected for registers that agree by chance, then on the full sets.
-3. Components of the links. A bucket whose members are still in several components is compared further: those outside
-   its largest component, block by block, with the members of other components. Whatever shares a bucket is
-   therefore in one component or has been compared. Estimates within five standard errors go to the full sets.
+3. Components of the links. Where the members of a bucket are still in several, they are compared further. For each member
+   the shingles that no other has are counted: they are in no intersection, so they bound each index from above. The member
+   with the smallest share of them is a second hub. What is then still outside its bucket's largest component is compared,
+   block by block, with the members of other components, as far as that bound and the estimate (within five standard
+   errors) allow a link. Whatever shares a bucket is therefore in one component or has been compared.
 4. Components again, with the further links.
 
 At the threshold 0.85 a pair shares no bucket with probability (1 - 0.85**6)**32 = 3e-7. Nodes are 64-bit
@@ -122,6 +124,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("set")]
+        for i in range(0, len(sets), 100):
+            some = sets[i : i + 100]
+            nodes = np.repeat(batch.column("node").to_numpy()[i : i + 100], [len(x) for x in some])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some)), pa.array(nodes)], ["shingle", "node"])
+
+
 def _likely(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,11 +159,13 @@ def _blocks(percent: int):
     """Of one block of a bucket's members and one of those outside its largest component: the pairs that may link."""
 
     def run(rows: pa.Table) -> pa.Table:
-        nodes, comp, size, outside = (rows.column(c).to_numpy() for c in ("node", "component", "size", "outside"))
+        nodes, comp, size, lone, outside = (rows.column(c).to_numpy() for c in ("node", "component", "size", "lone", "outside"))
+        shared = size - lone  # of its shingles, as many may be in an intersection
         codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         inside, out_a, out_b = np.flatnonzero(~outside), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(outside):
-            at = inside[(comp[inside] != comp[i]) & (100 * np.minimum(size[inside], size[i]) >= percent * np.maximum(size[inside], size[i]))]
+            most = np.minimum(shared[inside], shared[i])
+            at = inside[(comp[inside] != comp[i]) & (100 * most >= percent * (size[inside] + size[i] - most))]
             at = at[may_link(codes[at], codes[i][None, :], percent)]
             out_a.append(np.minimum(nodes[at], nodes[i]))
             out_b.append(np.maximum(nodes[at], nodes[i]))
@@ -180,18 +193,70 @@ class _Corpus:
         nodes = self.signed.where("size > 0").groupBy("node").agg(first, F.max("size").alias("size"), F.first("codes").alias("codes"))
         self.nodes = self.scratch.table(nodes.select("node", "x.doc_id", "x.same", "size", "codes"), "nodes")
 
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) of nodes whose full sets are near."""
-        used = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-        used = self.nodes.join(used, F.col("n") == F.col("node")).select("node", F.col("doc_id").alias("d"), F.col("same").alias("s"))
+    def sets(self, nodes: DataFrame, name: str) -> DataFrame:
+        """(node, set) of some nodes (column n): full sets, made again from the texts."""
+        used = self.nodes.join(nodes, F.col("n") == F.col("node")).select("node", F.col("doc_id").alias("d"), F.col("same").alias("s"))
         texts = self.docs.join(used, (F.col("same") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "t")
-        sets = self.scratch.table(texts.mapInArrow(_sets, "node long, set binary"), f"{name}-sets")
-        sets = sets.dropDuplicates(["node"]) if sets.count() > used.count() else sets  # only if a document is there twice
+        sets = self.scratch.table(texts.mapInArrow(_sets, "node long, set binary"), name)
+        return sets.dropDuplicates(["node"]) if sets.count() > nodes.count() else sets  # only if a document is there twice
+
+    def likely(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that sizes and estimates leave."""
+        sized = lambda k: self.nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("codes").alias(f"c{k}"))
+        both = pairs.join(sized("b"), "b").join(sized("a"), "a").where(_near(F.col("na"), F.col("nb"), self.percent))
+        return self.scratch.table(both.select("a", "b", "ca", "cb").mapInArrow(_likely(self.percent), "a long, b long"), name)
+
+    def links(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) of nodes whose full sets are near."""
         left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
         both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
-        out = self.scratch.table(both.mapInArrow(_confirm(self.percent), "a long, b long"), name)
-        self.scratch.drop(f"{name}-sets")
-        return out
+        return self.scratch.table(both.mapInArrow(_confirm(self.percent), "a long, b long"), name)
+
+    def open(self, members: DataFrame, comp: DataFrame, name: str) -> DataFrame:
+        """Members (band, node) of the buckets that hold several components, with these and what blocks need."""
+        grouped = members.join(comp.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+        counts = grouped.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+        several = counts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("x")).where("parts > 1")
+        blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+        several = several.select(F.col("band").alias("o"), F.col("x.component").alias("main"), blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("x.n")).alias("rests"))
+        return self.scratch.table(grouped.join(several, F.col("band") == F.col("o")).drop("o"), name)
+
+    def further(self, open_: DataFrame, links: DataFrame, tested: DataFrame) -> DataFrame:
+        """Links between components that share a bucket, beside those to the hubs."""
+        scratch, percent = self.scratch, self.percent
+        nodes = open_.select(F.col("node").alias("n")).distinct()
+        sets = self.sets(nodes, "open-sets")
+        # Shingles that no other node here has: they are in no intersection, and bound every index of their node.
+        alone = sets.mapInArrow(_exploded, "shingle long, node long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+        alone = alone.groupBy(F.col("node").alias("l")).agg(F.count(F.lit(1)).alias("lone"))
+        facts = self.nodes.select("node", "size", "codes").join(nodes, F.col("node") == F.col("n")).join(alone, F.col("node") == F.col("l"), "left")
+        facts = scratch.table(facts.select(F.col("node").alias("f"), "size", "codes", F.coalesce("lone", F.lit(0).cast("long")).alias("lone")), "facts")
+        some = open_.join(facts.drop("codes"), F.col("node") == F.col("f")).drop("f")
+        # The member with the smallest share of such shingles is the next hub: what is near to any is mostly near to it.
+        best = some.groupBy("band").agg(F.min(F.struct((F.col("lone") / F.col("size")).alias("q"), "node", "component", "size", "lone")).alias("x"))
+        best = best.select(F.col("band").alias("o"), F.col("x.node").alias("hub"), F.col("x.component").alias("hc"), F.col("x.size").alias("hs"), F.col("x.lone").alias("hl"))
+        pairs = some.join(best, F.col("band") == F.col("o")).where("component <> hc").where(_possible(percent))
+        pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        second = self.likely(pairs, "second")
+        links = links.unionByName(self.links(second, sets, "second-links"))
+        comp = scratch.table(components(links, scratch), "comp2")
+        still = self.open(open_.select("band", "node"), comp, "still")
+        some = still.join(facts, F.col("node") == F.col("f")).drop("f")
+        # Every member is dealt to a block, and there to each block of those outside the largest component.
+        own_block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        fields = ["band", "block", "part", "node", "component", "size", "lone", "codes", "outside"]
+        dealt = some.withColumn("block", own_block("blocks")).withColumn("part", every("rests")).withColumn("outside", F.lit(False)).select(fields)
+        rest = some.where("component <> main").withColumn("part", own_block("rests")).withColumn("block", every("blocks")).withColumn("outside", F.lit(True)).select(fields)
+        third = dealt.unionByName(rest).groupBy("band", "block", "part").applyInArrow(_blocks(percent), "a long, b long").distinct()
+        third = scratch.table(third.join(tested.unionByName(second), ["a", "b"], "left_anti"), "third")
+        return links.unionByName(self.links(third, sets, "third-links"))
+
+
+def _possible(percent: int) -> Column:
+    """Whether sizes and lone shingles of (size, lone) and (hs, hl) allow a link."""
+    most = F.least(F.col("size") - F.col("lone"), F.col("hs") - F.col("hl"))
+    return most * 100 >= (F.col("size") + F.col("hs") - most) * percent
 
 
 def near_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", percent: int = 85) -> DataFrame:
@@ -208,34 +273,17 @@ def near_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("h"), "hub")
     members = scratch.table(bands.join(hubs, F.col("band") == F.col("h")).select("band", "node", "hub"), "members")
     scratch.drop("bands")
-    sized = own.nodes.select("node", "size", "codes")
     pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = pairs.join(sized.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("codes").alias("cb")), "b")
-    pairs = pairs.join(sized.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("codes").alias("ca")), "a").where(_near(F.col("na"), F.col("nb"), percent))
-    pairs = scratch.table(pairs.select("a", "b", "ca", "cb").mapInArrow(_likely(percent), "a long, b long"), "pairs")
-    links = own.links(pairs, "links")
+    first = own.likely(pairs, "first")
+    links = own.links(first, own.sets(first.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "first-sets"), "first-links")
+    scratch.drop("first-sets")
     comp = scratch.table(components(links, scratch), "comp")
-
-    grouped = members.join(comp.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    counts = grouped.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    open_ = counts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("x")).where("parts > 1")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    open_ = open_.select(F.col("band").alias("o"), F.col("x.component").alias("main"), blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("x.n")).alias("rests"))
-    some = grouped.join(open_, F.col("band") == F.col("o")).join(sized.withColumnRenamed("node", "s"), F.col("node") == F.col("s"))
-    some = scratch.table(some.select("band", "node", "component", "main", "blocks", "rests", "size", "codes"), "open")
+    open_ = own.open(members.select("band", "node"), comp, "open")
     scratch.drop("members")
-    # Every member is dealt to a block, and there to each block of those outside the largest component.
-    own_block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    fields = ["band", "block", "part", "node", "component", "size", "codes", "outside"]
-    dealt = some.withColumn("block", own_block("blocks")).withColumn("part", every("rests")).withColumn("outside", F.lit(False)).select(fields)
-    rest = some.where("component <> main").withColumn("part", own_block("rests")).withColumn("block", every("blocks")).withColumn("outside", F.lit(True)).select(fields)
-    more = dealt.unionByName(rest).groupBy("band", "block", "part").applyInArrow(_blocks(percent), "a long, b long").distinct()
-    tested = pairs.select("a", "b", F.lit(True).alias("done")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.table(more.join(tested, ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        links = links.unionByName(own.links(more, "more-links"))
-        comp = scratch.table(components(links, scratch), "comp2")
+    if open_.limit(1).count():
+        tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = own.further(open_, links, tested)
+        comp = scratch.table(components(links, scratch), "comp3")
 
     label = own.nodes.select("node", "doc_id").join(comp.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left")
     label = label.select("node", "doc_id", F.coalesce("component", "node").alias("component"))
@@ -245,7 +293,7 @@ def near_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     out = slim.where("size > 0").join(label, F.col("node") == F.col("n")).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     alone = slim.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out = scratch.table(out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "out")
-    scratch.drop("signed", "nodes", "label", "open", "more", "links", "more-links", "comp", "comp2", "pairs")
+    scratch.drop("signed", "nodes", "label", "open", "still", "facts", "open-sets", "first", "second", "third", "first-links", "second-links", "third-links", "comp", "comp2", "comp3")
     return out
 
 
