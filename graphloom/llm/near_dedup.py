@@ -259,12 +259,13 @@ def _possible(percent: int) -> Column:
     return most * 100 >= (F.col("size") + F.col("hs") - most) * percent
 
 
-def near_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", percent: int = 85) -> DataFrame:
+def near_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", percent: int = 85, row_key: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (least id of the component), kept, for each row of ``docs``.
 
     Sets whose Jaccard index is ``percent`` / 100 or more are linked. Texts without words have an empty set and are alone.
     Rows of equal sets are one node: repeated rows have the same component. Null ids count only where a component
-    has no other; ``kept`` is then true. An empty table gives no rows. Other columns are not read.
+    has no other; ``kept`` is then true. An empty table gives no rows. Other columns are not read. With ``row_key`` there is
+    also ``same``, the hash xxhash64(id, text) of the row.
     """
     own = _Corpus(docs, text, doc_id, percent)
     scratch = own.scratch
@@ -289,13 +290,27 @@ def near_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     label = label.select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "k")
     label = scratch.table(label.join(least, F.col("component") == F.col("k")).select(F.col("node").alias("n"), "component_id"), "label")
-    slim = own.signed.select("doc_id", "node", "size")
-    out = slim.where("size > 0").join(label, F.col("node") == F.col("n")).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    alone = slim.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    key = ["same"] if row_key else []
+    slim = own.signed.select("doc_id", "node", "size", *key)
+    out = slim.where("size > 0").join(label, F.col("node") == F.col("n")).select("doc_id", F.col("size").alias("n_shingles"), "component_id", *key)
+    alone = slim.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), *key)
     out = scratch.table(out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "out")
     scratch.drop("signed", "nodes", "label", "open", "still", "facts", "open-sets", "first", "second", "third", "first-links", "second-links", "third-links", "comp", "comp2", "comp3")
     return out
 
 
+def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", percent: int = 85) -> DataFrame:
+    """The row of ``docs`` with the least id of each component, with all columns; of rows equal in id and text one stays.
+    Texts without words are alone and stay; where a component has only null ids, one row for each of its texts stays."""
+    found = near_components(docs, text=text, doc_id=doc_id, percent=percent, row_key=True).where("kept")
+    keys = found.groupBy(F.col("same").alias("near_same"), F.col("doc_id").alias("near_id")).agg(F.count(F.lit(1)).alias("n"))
+    again = keys.where("n > 1").limit(1).count()
+    row = F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row")
+    i, t = docs[doc_id].cast("long"), F.coalesce(docs[text], F.lit(""))
+    wide = docs.select(row, i.alias("id"), F.xxhash64(i, t).alias("same"))
+    kept = wide.join(keys, (F.col("same") == F.col("near_same")) & F.col("id").eqNullSafe(F.col("near_id")), "left_semi")
+    return (kept.dropDuplicates(["id", "same"]) if again else kept).select("row.*")
+
+
 def op4_near(docs: DataFrame) -> DataFrame:
     return near_components(docs)

@@ -248,8 +248,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(step, first + count - 1 + LENGTH, -1)
             gone = np.cumsum(step[:-1]) > 0
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            out.append((len(text) - len(kept), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept))
-        yield pa.RecordBatch.from_arrays([batch.column("rk"), batch.column("rk2"), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary())))], ["rk", "rk2", "n_removed", "n_spans", "kept_sha256", "kept"])
+            data = np.frombuffer(text, np.uint8)
+            char = np.cumsum((data & 0xC0) != 0x80)
+            whole = ~(np.bincount(char, gone) > 0)[char]  # characters of which every byte stays
+            out.append((len(text) - len(kept), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), data[whole].tobytes().decode()))
+        yield pa.RecordBatch.from_arrays([batch.column("rk"), batch.column("rk2"), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string())))], ["rk", "rk2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def _keys(doc_id: str) -> list:
@@ -257,7 +260,7 @@ def _keys(doc_id: str) -> list:
 
 
 def removals(docs: DataFrame, scratch: Scratch, with_text: bool) -> DataFrame:
-    """Of the documents (doc_id, t) that lose bytes: rk, rk2, n_removed, n_spans, kept_sha256, kept (else null)."""
+    """Of the documents (doc_id, t) that lose bytes: rk, rk2, n_removed, n_spans, kept_sha256, and with_text the whole characters that are left (kept)."""
     keyed = docs.select("t", *_keys("doc_id"))
     level1 = scratch.table(repeated(keyed.mapInArrow(_emit(anchors, LENGTH, False), ROWS), scratch, "anchors"), "level1")
     scratch.drop("anchors")
@@ -274,7 +277,7 @@ def removals(docs: DataFrame, scratch: Scratch, with_text: bool) -> DataFrame:
     level3 = scratch.table(repeated(some.mapInArrow(_emit(strings, LENGTH + 256, True), ROWS), scratch, "strings"), "level3")
     scratch.drop("strings")
     ranges = level1.unionByName(level2).unionByName(level3).where("level > 1").groupBy("rk", "rk2").agg(marks("pos"))
-    done = texts.drop("marks").join(ranges, on).mapInArrow(_cut, "rk long, rk2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = texts.drop("marks").join(ranges, on).mapInArrow(_cut, "rk long, rk2 long, n_removed long, n_spans long, kept_sha256 string, kept string")
     done = done if with_text else done.drop("kept")
     return scratch.table(done.dropDuplicates(["rk", "rk2"]), "done")
 
@@ -311,8 +314,7 @@ def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     row = F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("r")
     t = F.coalesce(docs[text], F.lit(""))
     wide = docs.select(row, F.xxhash64(docs[doc_id].cast("long"), t).alias("rk"), F.xxhash64(t, docs[doc_id].cast("long")).alias("rk2")).join(done, ["rk", "rk2"], "left")
-    clean = F.decode("kept", "UTF-8")
-    return wide.select(*[F.when(F.col("hit").isNotNull(), clean).otherwise(F.col("r")[c]).alias(c) if c == text else F.col("r")[c].alias(c) for c in docs.columns])
+    return wide.select(*[F.when(F.col("hit").isNotNull(), F.col("kept")).otherwise(F.col("r")[c]).alias(c) if c == text else F.col("r")[c].alias(c) for c in docs.columns])
 
 
 def op1_suffix(docs: DataFrame) -> DataFrame:
