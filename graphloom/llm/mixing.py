@@ -5,8 +5,8 @@ quality, so a walk in ascending key order is a weighted sample without replaceme
 completely as often as its target allows (complete epochs); the rest of the target goes to the documents
 with the smallest keys, up to the running sum of sizes that comes nearest to it (fractional selection).
 
-No source is gathered in a task. Sizes are summed by (source, key bucket), the number of buckets follows the
-number of rows, and only the one bucket in which the budget ends is put in order. What that yields for each
+No source is gathered in a task. Sizes are summed by (source, key bucket), a source of n rows has sqrt(n) buckets, and
+only the one bucket in which the budget ends is put in order. What that yields for each
 source is a cut (bucket, key, id, hash), and each document compares itself with the cut of its source.
 """
 
@@ -63,13 +63,13 @@ def targets(sizes: DataFrame, share: float, cycle: tuple[int, ...], cap: float)
     return dealt.withColumn("target", F.when(F.col("free"), F.least(F.col("full"), first * F.col("w"))).otherwise(F.col("full"))).select("m_source", "source_size", "n_rows", "target")
 
 
-def _cuts(slim: DataFrame, scratch: Scratch, share: float, cycle: tuple[int, ...], cap: float, bucket_rows: int) -> DataFrame:
+def _cuts(slim: DataFrame, scratch: Scratch, share: float, cycle: tuple[int, ...], cap: float) -> DataFrame:
     """One row for each source: target, complete epochs, number of buckets, and the cut of the fraction."""
     sizes = slim.groupBy("m_source").agg(F.sum("m_size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     goal = targets(sizes, share, cycle, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))
-    goal = goal.withColumn("n_buckets", F.ceil(F.col("n_rows") / F.lit(bucket_rows)).cast("double")).withColumnRenamed("m_source", "g_source")
+    goal = goal.withColumn("n_buckets", F.ceil(F.sqrt("n_rows")).cast("double")).withColumnRenamed("m_source", "g_source")
     goal = scratch.table(goal, "goal")
     same = F.col("m_source").eqNullSafe(F.col("g_source"))
     dealt = slim.join(goal.select("g_source", "n_buckets"), same).withColumn("bucket", _bucket(F.col("n_buckets")))
@@ -95,7 +95,7 @@ def _copies() -> Column:
     return F.col("epochs") + chosen.cast("long")
 
 
-def mix_plan(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", share: float = 1.5, cycle: tuple[int, ...] = (3, 1, 2), cap: float = 2.0, weight=None, seed: str = "mix", bucket_rows: int = 20_000) -> DataFrame:
+def mix_plan(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", share: float = 1.5, cycle: tuple[int, ...] = (3, 1, 2), cap: float = 2.0, weight=None, seed: str = "mix") -> DataFrame:
     """How often the mix takes each row of ``docs``: its columns, then size, source_size, target, copies.
 
     Null text has size 0, a null source is a source of its own, after all others. A null id is hashed as such.
@@ -106,7 +106,7 @@ def mix_plan(docs: DataFrame, *, text: str = "text", source: str = "source", doc
     scratch = Scratch(docs.sparkSession, "mix")
     keyed = lambda d: _keyed(d, text, source, doc_id, weight, seed)
     slim = scratch.table(docs.select(*keyed(docs)), "slim")
-    cuts = _cuts(slim, scratch, share, cycle, cap, bucket_rows)
+    cuts = _cuts(slim, scratch, share, cycle, cap)
     scratch.drop("slim", "goal", "ends")
     wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("m_row"), *keyed(docs))
     wide = wide.join(cuts, F.col("m_source").eqNullSafe(F.col("g_source"))).withColumn("m_copies", _copies())
