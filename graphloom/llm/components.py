@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each edge goes from a node with no other edge to the least node of its component."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    seen = edges.select(ends.alias("x")).groupBy("x.node").agg(F.sum("x.up").alias("up"), F.max("x.down").alias("down"))
+    return not seen.where("up > 1 or (up > 0 and down > 0)").limit(1).count()
+
+
 def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has a link; the component is its least node.
 
@@ -15,20 +22,15 @@ def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     neighbours of a hub are never gathered. Rounds are about the logarithm of the longest path.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges, before, k = scratch.table(edges, "edges0"), None, 0
-    while True:
+    edges, k = scratch.table(edges, "edges0"), 0
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         small = large.join(down, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
         k += 1
-        new = scratch.table(small.select("x.u", "x.v").where("u <> v").distinct(), f"edges{k}")
+        edges = scratch.table(small.select("x.u", "x.v").where("u <> v").distinct(), f"edges{k}")
         scratch.drop(f"edges{k - 1}")
-        edges = new
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -6,13 +6,14 @@ from others in a fixed order for the bands only, so that short sets keep the pro
 often as sets overlap.
 
 1. Documents with one set are one node (a fingerprint of the whole set), so copies never meet in a bucket.
-2. Bands of registers are buckets. In each the least node is the hub; every other member is compared with it only:
-   first by the Jaccard estimate, corrected for registers that agree by chance, then on the full sets.
-3. Components of the links. Where the members of a bucket are still in several, they are compared further. For each member
-   the shingles that no other has are counted: they are in no intersection, so they bound each index from above. The member
-   with the smallest share of them is a second hub. What is then still outside its bucket's largest component is compared,
-   block by block, with the members of other components, as far as that bound and the estimate (within five standard
-   errors) allow a link. Whatever shares a bucket is therefore in one component or has been compared.
+2. Bands of registers are buckets. For the members of buckets the shingles that no other has are counted: they are in no
+   intersection, so they bound each Jaccard index from above. The member with the smallest share of them is the hub of a
+   bucket, as what is near to any other is mostly near to it. Members are compared with the hub: by that bound, by the
+   Jaccard estimate, corrected for registers that agree by chance, then on the full sets.
+3. Components of the links. Where the members of a bucket are still in several, those outside its largest component are
+   compared, block by block, with the members of other components, as far as that bound and the estimate (within five
+   standard errors) allow a link, each pair in the first bucket that it shares. Whatever shares a bucket is therefore in
+   one component or has been compared.
 4. Components again, with the further links.
 
 At the threshold 0.85 a pair shares no bucket with probability (1 - 0.85**6)**32 = 3e-7. Nodes are 64-bit
@@ -160,13 +161,17 @@ def _blocks(percent: int):
 
     def run(rows: pa.Table) -> pa.Table:
         nodes, comp, size, lone, outside = (rows.column(c).to_numpy() for c in ("node", "component", "size", "lone", "outside"))
+        band = rows.column("band")[0].as_py()
         shared = size - lone  # of its shingles, as many may be in an intersection
         codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        keys = band_keys(codes).view(np.int64)
         inside, out_a, out_b = np.flatnonzero(~outside), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(outside):
             most = np.minimum(shared[inside], shared[i])
             at = inside[(comp[inside] != comp[i]) & (100 * most >= percent * (size[inside] + size[i] - most))]
             at = at[may_link(codes[at], codes[i][None, :], percent)]
+            # A pair is taken in the first of the buckets that it shares.
+            at = at[keys[i][(keys[at] == keys[i][None, :]).argmax(axis=1)] == band]
             out_a.append(np.minimum(nodes[at], nodes[i]))
             out_b.append(np.maximum(nodes[at], nodes[i]))
         return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
@@ -221,36 +226,23 @@ class _Corpus:
         several = several.select(F.col("band").alias("o"), F.col("x.component").alias("main"), blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("x.n")).alias("rests"))
         return self.scratch.table(grouped.join(several, F.col("band") == F.col("o")).drop("o"), name)
 
-    def further(self, open_: DataFrame, links: DataFrame, tested: DataFrame) -> DataFrame:
-        """Links between components that share a bucket, beside those to the hubs."""
-        scratch, percent = self.scratch, self.percent
-        nodes = open_.select(F.col("node").alias("n")).distinct()
-        sets = self.sets(nodes, "open-sets")
-        # Shingles that no other node here has: they are in no intersection, and bound every index of their node.
+    def facts(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """(f, size, lone, codes) of some nodes (column n): lone is the number of their shingles that no other of them has."""
         alone = sets.mapInArrow(_exploded, "shingle long, node long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
         alone = alone.groupBy(F.col("node").alias("l")).agg(F.count(F.lit(1)).alias("lone"))
-        facts = self.nodes.select("node", "size", "codes").join(nodes, F.col("node") == F.col("n")).join(alone, F.col("node") == F.col("l"), "left")
-        facts = scratch.table(facts.select(F.col("node").alias("f"), "size", "codes", F.coalesce("lone", F.lit(0).cast("long")).alias("lone")), "facts")
-        some = open_.join(facts.drop("codes"), F.col("node") == F.col("f")).drop("f")
-        # The member with the smallest share of such shingles is the next hub: what is near to any is mostly near to it.
-        best = some.groupBy("band").agg(F.min(F.struct((F.col("lone") / F.col("size")).alias("q"), "node", "component", "size", "lone")).alias("x"))
-        best = best.select(F.col("band").alias("o"), F.col("x.node").alias("hub"), F.col("x.component").alias("hc"), F.col("x.size").alias("hs"), F.col("x.lone").alias("hl"))
-        pairs = some.join(best, F.col("band") == F.col("o")).where("component <> hc").where(_possible(percent))
-        pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        second = self.likely(pairs, "second")
-        links = links.unionByName(self.links(second, sets, "second-links"))
-        comp = scratch.table(components(links, scratch), "comp2")
-        still = self.open(open_.select("band", "node"), comp, "still")
-        some = still.join(facts, F.col("node") == F.col("f")).drop("f")
+        own = self.nodes.select("node", "size", "codes").join(nodes, F.col("node") == F.col("n")).join(alone, F.col("node") == F.col("l"), "left")
+        return self.scratch.table(own.select(F.col("node").alias("f"), "size", "codes", F.coalesce("lone", F.lit(0).cast("long")).alias("lone")), "facts")
+
+    def blocks(self, open_: DataFrame, facts: DataFrame) -> DataFrame:
+        """Pairs that may link between the components that share a bucket."""
+        some = open_.join(facts, F.col("node") == F.col("f")).drop("f")
         # Every member is dealt to a block, and there to each block of those outside the largest component.
         own_block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         fields = ["band", "block", "part", "node", "component", "size", "lone", "codes", "outside"]
         dealt = some.withColumn("block", own_block("blocks")).withColumn("part", every("rests")).withColumn("outside", F.lit(False)).select(fields)
         rest = some.where("component <> main").withColumn("part", own_block("rests")).withColumn("block", every("blocks")).withColumn("outside", F.lit(True)).select(fields)
-        third = dealt.unionByName(rest).groupBy("band", "block", "part").applyInArrow(_blocks(percent), "a long, b long").distinct()
-        third = scratch.table(third.join(tested.unionByName(second), ["a", "b"], "left_anti"), "third")
-        return links.unionByName(self.links(third, sets, "third-links"))
+        return dealt.unionByName(rest).groupBy("band", "block", "part").applyInArrow(_blocks(self.percent), "a long, b long")
 
 
 def _possible(percent: int) -> Column:
@@ -271,20 +263,25 @@ def near_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     scratch = own.scratch
     bands = own.nodes.select("node", "codes").mapInArrow(_bands, "band long, node long")
     bands = scratch.table(bands, "bands")
-    hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("h"), "hub")
-    members = scratch.table(bands.join(hubs, F.col("band") == F.col("h")).select("band", "node", "hub"), "members")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("h"))
+    members = scratch.table(bands.join(shared, F.col("band") == F.col("h")).select("band", "node"), "members")
     scratch.drop("bands")
-    pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    first = own.likely(pairs, "first")
-    links = own.links(first, own.sets(first.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "first-sets"), "first-links")
-    scratch.drop("first-sets")
+    nodes = scratch.table(members.select(F.col("node").alias("n")).distinct(), "used")
+    sets = own.sets(nodes, "sets")
+    facts = own.facts(nodes, sets)
+    known = members.join(facts.drop("codes"), F.col("node") == F.col("f")).drop("f")
+    hubs = known.groupBy("band").agg(F.min(F.struct((F.col("lone") / F.col("size")).alias("q"), "node", "size", "lone")).alias("x"))
+    hubs = hubs.select(F.col("band").alias("o"), F.col("x.node").alias("hub"), F.col("x.size").alias("hs"), F.col("x.lone").alias("hl"))
+    pairs = known.join(hubs, F.col("band") == F.col("o")).where("node <> hub").where(_possible(percent))
+    first = own.likely(pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "first")
+    links = own.links(first, sets, "first-links")
     comp = scratch.table(components(links, scratch), "comp")
-    open_ = own.open(members.select("band", "node"), comp, "open")
+    open_ = own.open(members, comp, "open")
     scratch.drop("members")
-    if open_.limit(1).count():
-        tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = own.further(open_, links, tested)
-        comp = scratch.table(components(links, scratch), "comp3")
+    second = scratch.table(own.blocks(open_, facts).distinct().join(first, ["a", "b"], "left_anti"), "second")
+    if second.limit(1).count():
+        links = links.unionByName(own.links(second, sets, "second-links"))
+        comp = scratch.table(components(links, scratch), "comp2")
 
     label = own.nodes.select("node", "doc_id").join(comp.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left")
     label = label.select("node", "doc_id", F.coalesce("component", "node").alias("component"))
@@ -295,7 +292,7 @@ def near_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     out = slim.where("size > 0").join(label, F.col("node") == F.col("n")).select("doc_id", F.col("size").alias("n_shingles"), "component_id", *key)
     alone = slim.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), *key)
     out = scratch.table(out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "out")
-    scratch.drop("signed", "nodes", "label", "open", "still", "facts", "open-sets", "first", "second", "third", "first-links", "second-links", "third-links", "comp", "comp2", "comp3")
+    scratch.drop("signed", "nodes", "label", "open", "used", "facts", "sets", "first", "second", "first-links", "second-links", "comp", "comp2")
     return out
 
 
