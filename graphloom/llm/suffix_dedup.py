@@ -196,9 +196,10 @@ def multikey(core: np.ndarray, hull: np.ndarray) -> np.ndarray:
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sort a bucket and compare neighbours. level 1: the first token occurs again; 2: both; 3: both, and this one stands
     for its kind in the next step, as others share the first token only. edge: for the boundaries."""
-    read = pa.Table.from_batches(list(batches)) if batches else None
-    if read is None or not read.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    read = pa.Table.from_batches(held)
     core, hull, rk, rk2, pos = (read.column(k).to_numpy() for k in range(5))
     order = multikey(core, hull)
     core, hull, rk, rk2, pos = (x[order] for x in (core, hull, rk, rk2, pos))
