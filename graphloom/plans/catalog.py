@@ -12,6 +12,7 @@ from ..schema import Graph
 from ..session import table
 from ..sources.project import GRAPH_CTE, NOW, flat_edges, flat_nodes, graph
 from ..streaming import monitor
+from . import resolution
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -459,3 +460,41 @@ def file_rules(spark, d, g):
 @query("source_files", " SELECT DISTINCT source_file AS file FROM n WHERE source_kind = 'CodeAnalysis'")
 def source_files(spark, d, g):
     return reports.source_files(g.nodes)
+
+
+# Resolution of references, over names and files that the tables give.
+_ENTITIES = "en AS (SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_partkey AS BIGINT) AS seq, p_name AS name, 'lib/' || p_brand || '.py' AS file FROM part UNION ALL SELECT 10000000 + CAST(s_suppkey AS BIGINT), 10000000 + CAST(s_suppkey AS BIGINT), s_name, 'src/' || n_name || '.py' FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+_IMPORTS = "im AS (SELECT DISTINCT 'src/' || n_name || '.py' AS file, 'lib/Brand#' || CAST(n_nationkey % 5 + 1 AS VARCHAR) || '.py' AS target FROM nation UNION SELECT 'lib/Brand#' || CAST(r_regionkey % 5 + 1 AS VARCHAR) || '.py', 'src/NATION_' || CAST(r_regionkey AS VARCHAR) || '.py' FROM region)"
+_CLOSURE = "cl AS (SELECT file, target, min(hops) AS hops FROM (SELECT file, target, 1 AS hops FROM im UNION ALL SELECT a.file, b.target, 2 FROM im a JOIN im b ON b.file = a.target WHERE a.file <> b.target) GROUP BY file, target)"
+_USES = "rf AS (SELECT DISTINCT 'src/' || n_name || '.py' AS source_file, p_name AS target_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey UNION SELECT 'src/NATION_0.py', s_name FROM supplier)"
+
+
+def _code(spark, d):
+    nation, supplier, part, region = (table(spark, d, t) for t in ("nation", "supplier", "part", "region"))
+    based = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    own = F.concat(F.lit("src/"), "n_name", F.lit(".py"))
+    brand = lambda k: F.concat(F.lit("lib/Brand#"), (F.col(k) % 5 + 1).cast("string"), F.lit(".py"))
+    entities = part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), F.concat(F.lit("lib/"), "p_brand", F.lit(".py")).alias("file"))
+    entities = entities.union(based.select(10_000_000 + F.col("s_suppkey"), 10_000_000 + F.col("s_suppkey"), "s_name", own)).withColumn("entity_type", F.lit("Struct"))
+    imported = nation.select(own.alias("file"), brand("n_nationkey").alias("target")).union(region.select(brand("r_regionkey"), F.concat(F.lit("src/NATION_"), F.col("r_regionkey").cast("string"), F.lit(".py")))).distinct()
+    uses = table(spark, d, "lineitem").join(based, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).select(own.alias("source_file"), F.col("p_name").alias("target_name"))
+    uses = uses.union(supplier.select(F.lit("src/NATION_0.py"), "s_name")).distinct().withColumn("source_line", F.lit(0).cast("long")).withColumn("ref_type", F.lit("Calls"))
+    return entities, imported, uses
+
+
+@query("unique_global", f"WITH {_ENTITIES} SELECT name AS key, max(id) AS id FROM en GROUP BY name HAVING count(DISTINCT id) = 1", over_graph=False)
+def unique_global(spark, d, g):
+    return resolution.unique_global(resolution.lookup_keys(_code(spark, d)[0])).select("key", "id")
+
+
+@query("import_closure", f"WITH {_IMPORTS}, {_CLOSURE} SELECT file, target, CAST(hops AS INTEGER) AS hops FROM cl", over_graph=False)
+def import_closure(spark, d, g):
+    return resolution.import_closure(_code(spark, d)[1])
+
+
+@query("tiered_resolution", f"""WITH {_ENTITIES}, {_IMPORTS}, {_CLOSURE}, {_USES}, ca AS (SELECT rf.*, en.id, en.seq, CASE WHEN en.file = rf.source_file THEN 1 WHEN cl.hops IS NOT NULL THEN cl.hops + 1
+    WHEN strlen(rf.target_name) >= 4 AND (SELECT count(*) FROM en q WHERE q.name = rf.target_name) = 1 THEN 4 END AS tier FROM rf JOIN en ON en.name = rf.target_name LEFT JOIN cl ON cl.file = rf.source_file AND cl.target = en.file),
+k AS (SELECT *, row_number() OVER (PARTITION BY source_file, target_name ORDER BY tier, seq) AS k FROM ca WHERE tier IS NOT NULL) SELECT source_file, target_name, id AS dst, CAST(tier AS INTEGER) AS tier FROM k WHERE k = 1""", over_graph=False)
+def tiered_resolution(spark, d, g):
+    entities, imported, uses = _code(spark, d)
+    return resolution.resolve_references(uses, entities, imported).select("source_file", "target_name", "dst", "tier")
