@@ -22,17 +22,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .held import held
 from .scratch import small_batches
 
 # The white space and the pre-tokenizer pattern of byte-level BPE, and its letters for bytes.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: Of each generation of a worker's units, to bound its memory.
-MAX_UNITS = 450_000
+MAX_UNITS = 400_000
 _UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-_WORKER: dict[str, "Codec"] = {}
 
 
 def _letters() -> dict[str, int]:
@@ -183,9 +183,7 @@ class Codec:
 
 def codec(path: str) -> Codec:
     """The worker's own: what it has learnt serves its next tasks."""
-    if path not in _WORKER:
-        _WORKER[path] = Codec(path)
-    return _WORKER[path]
+    return held(("bpe", path), lambda: Codec(path))
 
 
 def _slices(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:

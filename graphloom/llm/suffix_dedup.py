@@ -30,13 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .held import release
 from .scratch import Scratch, small_batches
 from .textkit import Rolling, U, mix
 
 LENGTH = 400
 CORE = LENGTH // 2
 CELL = 14
-PIECE = 1 << 20
+PIECE = 1 << 19
 ROWS = "core long, hull long, rk long, rk2 long, pos long"
 _MASK = U((1 << 24) - 1)
 
@@ -53,6 +54,7 @@ class Slice:
 
 def slices(texts: list[bytes], reach: int) -> Iterator[Slice]:
     """Slices of about a piece's size; ``reach``: bytes that may be looked at from a start on."""
+    release()
     parts, size = [], 0
     for i, t in enumerate(texts):
         for off in range(0, max(len(t) - LENGTH + 1, 0), PIECE):

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .held import release
+
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(0x67726170))
 BYTE_VALUE = _RNG.integers(0, 1 << 64, 256, dtype=U) | U(1)
@@ -61,8 +63,9 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
 
 
-def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes; a longer text is a range of its own."""
+    release()
     first = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:

@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .held import held
 from .scratch import Scratch, small_batches
 
 #: Of each generation of a worker's runs, to bound its memory.
 MAX_RUNS = 600_000
-_WORKER: dict[tuple[str, int], "_Runs"] = {}
 #: A run of which the part up to its last letter, and the rest, are encoded apart: no token goes across.
 _TAIL = re.compile(rb"(.*[a-z])([^A-Za-z0-9\x80-\xff]+)", re.S)
 
@@ -109,9 +109,7 @@ class _Runs:
 
 def _coder(path: str, end_id: int) -> _Runs:
     """The worker's own: what it has learnt serves its next tasks."""
-    if (path, end_id) not in _WORKER:
-        _WORKER[path, end_id] = _Runs(path, end_id)
-    return _WORKER[path, end_id]
+    return held(("runs", path, end_id), lambda: _Runs(path, end_id))
 
 
 def _slices(texts: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
