@@ -36,7 +36,12 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="graphloom")
     top.add_argument("--graph", default="graph-store")
     sub = top.add_subparsers(dest="command", required=True)
-    add = lambda name, *args: [sub_ := sub.add_parser(name), *[sub_.add_argument(*a[0], **a[1]) for a in args]][0]
+
+    def add(name: str, *arguments: tuple) -> None:
+        own = sub.add_parser(name)
+        for names, options in arguments:
+            own.add_argument(*names, **options)
+
     for name in ("stats", "topics"):
         add(name)
     for name in ("explore", "lookup"):
