@@ -88,8 +88,8 @@ def read_back(chats: DataFrame) -> DataFrame:
 def op2_format(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     own = conversations.select("conv_id", "turn", "role", "text")
-    probe = "\\" + CONTROL
-    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    first = F.col("id") == 0
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(first, "user").otherwise("assistant").alias("role"), F.lit("\\" + CONTROL).alias("text"))
     back = read_back(format_chats(own.unionByName(extra)))
     shown = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
