@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LIVE: list["Scratch"] = []
+#: Bytes of a row group: a task holds one while it writes or reads.
+ROW_GROUP = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +42,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return a scan of the files."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -67,6 +69,14 @@ def _close_all() -> None:
             return
 
 
+def sweep(spark: SparkSession) -> None:
+    """Collect garbage in the driver and the executors, so that what an operator has left in their heaps and native buffers is
+    not held beside what the next one needs. A tiny task for each core; it changes no result."""
+    spark.sparkContext._jvm.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Arrow batches of few rows: texts may be long, and a worker holds a batch at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
