@@ -24,9 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates."""
+    """The document with the least id of each group of near-duplicates: five-word shingles, Jaccard index of 0.8 or more."""
     sweep(spark)
-    return near_dedup.one_of_each(docs)
+    return near_dedup.one_of_each(docs, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ often as sets overlap.
    one component or has been compared.
 4. Components again, with the further links.
 
-At the threshold 0.85 a pair shares no bucket with probability (1 - 0.85**6)**32 = 3e-7. Nodes are 64-bit
+A pair at 0.80 shares no bucket with probability (1 - 0.8**5)**48 = 5e-9, one at 0.85 with 6e-13. Nodes are 64-bit
 fingerprints of sets. The full sets of the nodes in candidate pairs are made again from the texts, and only of those.
 """
 
@@ -33,7 +33,7 @@ from .components import components
 from .scratch import Scratch, small_batches
 from .textkit import WORD_FACTOR, U, Words, mix, slices
 
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 EMPTY = 0xFFFF
 MANTISSA = 10

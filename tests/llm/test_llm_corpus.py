@@ -273,3 +273,25 @@ def test_pipeline(spark, tmp_path):
     assert passage not in cut[102]["text"] and cut[102]["n_chars"] == len(cut[102]["text"]) and cut[2]["text"] == rows[2][1]
     assert collections.Counter(r["doc_id"] for r in seen["bpe"].collect()) == collections.Counter(r["doc_id"] for r in seen["mixing"].collect())
     assert sorted(r["n_tokens"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(r["n_tokens"] for r in seen["bpe"].collect())
+
+
+def test_pipeline_drops_near_copies_from_080(spark, tmp_path):
+    """The stage of near-duplicates drops copies whose Jaccard index is 0.80 to 0.85."""
+    r = random.Random(8)
+    rows, far = [], set()
+    for k in range(40):
+        words = [f"{w}{i}" for i, w in enumerate(prose(r, 200).split())]
+        copy = list(words)
+        for at in (30, 80, 130, 170)[: 4 if k % 2 else 3]:  # five shingles each: 176 / 216 and 181 / 211
+            copy[at] = "other"
+        copy = copy + [f"tail{i}" for i in range(0 if k % 2 else 6)]
+        a, b = shingles(" ".join(words)), shingles(" ".join(copy))
+        assert 0.80 <= len(a & b) / len(a | b) < 0.85
+        rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(copy), "s")]
+    for k in (100, 102):  # six words changed: 166 / 226
+        words = [f"{w}{i}" for i, w in enumerate(prose(r, 200).split())]
+        copy = ["other" if i in (20, 50, 80, 110, 140, 170) else w for i, w in enumerate(words)]
+        rows += [(k, " ".join(words), "s"), (k + 1, " ".join(copy), "s")]
+        far |= {k, k + 1}
+    out = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), str(tmp_path))
+    assert {x["doc_id"] for x in out.collect()} == set(range(0, 80, 2)) | far
