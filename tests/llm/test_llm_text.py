@@ -144,6 +144,29 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose(model.score(gram), model._find(gram, quality.ORDER), atol=1e-5)
 
 
+def test_quality_model_is_of_characters_and_languages(spark, monkeypatch):
+    """The joins give the plain model of each language, and shards change no sum; shuffled letters of one byte class count."""
+    r = random.Random(12)
+    words = ["".join(chr(0x430 + r.randrange(32)) for _ in range(r.randint(3, 9))) for _ in range(40)]
+    real = [" ".join(r.choice(words) for _ in range(120)) for _ in range(40)]
+    mixed = ["".join(r.sample(t, len(t))) for t in real[:3]]
+    rows = [(k, t, "ru") for k, t in enumerate(real + mixed)] + [(100 + k, prose(r, 120), None) for k in range(25)] + [(200, None, "xx"), (0, real[0], "ru")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {(x["doc_id"], x["n_words"]): x for x in quality.quality_report(df).collect()}
+    for lang in ("ru", None):
+        texts = [t.encode() for _, t, own in rows if own == lang]
+        gram, at = quality.codes(texts)
+        keys, counts = np.unique(gram, return_counts=True)
+        sums = np.concatenate([[0], np.cumsum(quality.Model(keys, counts).score(gram))])
+        want = np.exp(-np.diff(sums[at]) / np.diff(at))
+        for (i, t, own), x in zip([y for y in rows if y[2] == lang], want):
+            assert got[i, len(t.split())]["perplexity"] == pytest.approx(x, rel=1e-4)
+    assert sum(got[k, 120]["kept"] for k in range(40)) >= 36 and not any(x["kept"] for (i, _), x in got.items() if 40 <= i < 43)
+    monkeypatch.setattr(quality, "SHARD", 500)
+    again = quality.quality_report(df).collect()
+    assert len(again) == len(rows) and all(x["perplexity"] == pytest.approx(got[x["doc_id"], x["n_words"]]["perplexity"], rel=1e-6) for x in again)
+
+
 def plain_segments(scores):
     """All maximal-scoring segments by their recursive definition."""
     best = max(((sum(scores[a:b]), -(b - a), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=None)
