@@ -9,7 +9,8 @@ the shards are a document's log-probability.
 A document is rejected if its mean negative log-probability, by the model or by the frequency of single characters, is outside
 its language's band: median -/+ ``WIDTH`` times the median absolute deviation, over all documents of the language that pass the counts,
 wider for short texts by sqrt(SHORT / characters). The model finds characters in an unusual order; capitals, symbol tails and
-tables that repeat are predictable in their own context, but made of rare characters. Languages with under ``FEW`` documents share one band over all documents.
+tables that repeat are predictable in their own context, but made of rare characters. The median is
+a language's own at any size; the deviation is drawn towards that of all documents by a weight of ``PRIOR`` documents.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from .textkit import SPACE, U, Words, mix, slices
 
 SYMBOLS = b"#*$%&|<>"
 ORDER = 4
-WIDTH, SHORT, FEW, LEAST_DEVIATION = 5.0, 1000.0, 20, 0.005
+WIDTH, SHORT, PRIOR, LEAST_DEVIATION = 5.0, 1000.0, 20, 0.005
 BIN = 0.001
 #: Symbols: four of them are a 64-bit number.
 A = 1 << 16
 #: Grams of a shard: a worker holds 12 bytes of each.
-SHARD = 4_000_000
+SHARD = 2_000_000
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[list(SYMBOLS)] = True
 _PAD = "\n" * (ORDER - 1)
@@ -246,18 +247,30 @@ def _features(shard):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict = {}
+    for batch in batches:
+        for lang, at in _by_lang(batch):
+            held.setdefault(lang, []).append([batch.column(c).to_numpy()[at] for c in ("gram", "logp")])
+    for lang, parts in held.items():
+        gram, logp = (np.concatenate(x).tobytes() for x in zip(*parts))
+        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([gram], pa.binary()), pa.array([logp], pa.binary())], ["lang", "gram", "logp"])
+
+
 def _shard(model: DataFrame, singles: DataFrame, langs: list, part: int, parts: int) -> dict:
     """For each language sorted grams and their log-probabilities (SHARD at most, or about as many where a language has parts),
-    and log-frequencies of single characters."""
-    rows = model.where(_of(langs) & (F.pmod(F.xxhash64("gram"), F.lit(parts)) == part)).orderBy("gram").toPandas()
-    some = singles.where(_of(langs)).toPandas()  # at most A rows a language
-    out = {}
-    for x in langs:
-        at, own = (r["lang"] == x if x is not None else r["lang"].isna() for r in (rows, some))
-        single = np.zeros(A)
-        n = some["n"][own].to_numpy(float)
-        single[some["gram"][own].to_numpy(np.int64)] = np.log(n / n.sum())
-        out[x] = rows["gram"][at].to_numpy(np.int64), rows["logp"][at].to_numpy(np.float32), single
+    and log-frequencies of single characters. They come to the driver as arrays, not rows."""
+    own = model.where(_of(langs) & (F.pmod(F.xxhash64("gram"), F.lit(parts)) == part))
+    out = {x: ([np.zeros(0, np.int64)], [np.zeros(0, np.float32)], np.zeros(A)) for x in langs}
+    for lang, gram, logp in own.mapInArrow(_packed, "lang string, gram binary, logp binary").toLocalIterator():
+        out[lang][0].append(np.frombuffer(gram, np.int64))
+        out[lang][1].append(np.frombuffer(logp, np.float32))
+    for lang, gram, n in singles.where(_of(langs)).collect():  # at most A rows a language
+        out[lang][2][gram] = n
+    for x, (gram, logp, n) in out.items():
+        gram, logp = np.concatenate(gram), np.concatenate(logp)
+        by, n = np.argsort(gram), n / max(n.sum(), 1)
+        out[x] = gram[by], logp[by], np.log(n, out=np.zeros(A), where=n > 0)
     return out
 
 
@@ -266,6 +279,7 @@ def scored(own: DataFrame, scratch: Scratch) -> DataFrame:
     spark = own.sparkSession
     counts = scratch.table(own.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     model = scratch.table(kneser_ney(counts, scratch), "model")
+    scratch.drop(*[f"{x}{k}" for x in ("level", "p") for k in range(1, ORDER + 1)])
     singles = scratch.table(counts.groupBy("lang", F.col("gram").bitwiseAND(A - 1).alias("gram")).agg(F.sum("n").alias("n")), "singles")
     sizes = dict(model.groupBy("lang").count().collect())  # a row for each language
     rows, keyed = None, own.withColumn("same", F.xxhash64("t"))
@@ -301,20 +315,20 @@ def failed() -> Column:
 
 
 def bands(features: DataFrame, value: str) -> DataFrame:
-    """(b_lang, centre, spread) of a measure of each language, null included; from counts in bins of BIN."""
+    """(b_lang, centre, spread) of a measure of each language, null included; from counts in bins of BIN.
+
+    The centre is the language's own at any size. The spread is the mean of its own, weighted by its documents, and of the
+    deviation of all documents from their own languages' centres, weighted by PRIOR.
+    """
     base = features.where(~failed()).groupBy(F.col("lang").alias("b_lang"), F.round(F.col(value) / BIN).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    hist = base.select(F.coalesce("b_lang", F.lit("")).alias("b_lang"), F.col("b_lang").isNull().alias("none"), F.lit(False).alias("whole"), "bin", "n")
-    hist = hist.unionByName(base.select(F.lit("").alias("b_lang"), F.lit(False).alias("none"), F.lit(True).alias("whole"), "bin", "n").groupBy("b_lang", "none", "whole", "bin").agg(F.sum("n").alias("n")))
-    keys = ["b_lang", "none", "whole"]
+    keys = ["b_lang", "none"]
+    hist = base.select(F.coalesce("b_lang", F.lit("")).alias("b_lang"), F.col("b_lang").isNull().alias("none"), "bin", "n")
     centre = _middle(hist, "bin", "centre", keys)
     apart = hist.join(centre, keys).select(*keys, F.abs(F.col("bin") - F.col("centre")).alias("apart"), "n").groupBy(*keys, "apart").agg(F.sum("n").alias("n"))
-    both = centre.join(_middle(apart, "apart", "spread", keys).drop("docs"), keys)
-    scaled = lambda c: (F.col(c) * BIN).alias(c)
-    whole = both.where("whole").select(F.col("centre").alias("w_centre"), F.col("spread").alias("w_spread"))
-    own = both.where("not whole").join(F.broadcast(whole))  # one row
-    few = F.col("docs") < FEW
-    own = own.withColumn("centre", F.when(few, F.col("w_centre")).otherwise(F.col("centre"))).withColumn("spread", F.when(few, F.col("w_spread")).otherwise(F.col("spread")))
-    return own.select(F.when(~F.col("none"), F.col("b_lang")).alias("b_lang"), scaled("centre"), scaled("spread"))
+    pooled = _middle(apart.groupBy(F.lit(0).alias("all_langs"), "apart").agg(F.sum("n").alias("n")), "apart", "prior", ["all_langs"]).select("prior")
+    own = centre.join(_middle(apart, "apart", "spread", keys).drop("docs"), keys).join(F.broadcast(pooled))  # one row
+    spread = (F.col("docs") * F.col("spread") + PRIOR * F.col("prior")) / (F.col("docs") + PRIOR)
+    return own.select(F.when(~F.col("none"), F.col("b_lang")).alias("b_lang"), (F.col("centre") * BIN).alias("centre"), (spread * BIN).alias("spread"))
 
 
 def quality_report(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:

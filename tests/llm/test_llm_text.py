@@ -167,6 +167,23 @@ def test_quality_model_is_of_characters_and_languages(spark, monkeypatch):
     assert len(again) == len(rows) and all(x["perplexity"] == pytest.approx(got[x["doc_id"], x["n_words"]]["perplexity"], rel=1e-6) for x in again)
 
 
+def test_quality_bands_are_of_each_language(spark):
+    """Few documents of a language far from the others are judged by their own centre; a further one changes little."""
+    r = random.Random(13)
+    kana = ["".join(chr(0x3042 + r.randrange(60)) for _ in range(r.randint(1, 4))) for _ in range(300)]
+    rows = [(k, prose(r, 120), "en") for k in range(200)]
+    for n in (1, 19, 20):
+        some = [(1000 + k, " ".join(r.choice(kana) for _ in range(120)), "ja" if n != 19 else None) for k in range(n)]
+        got = quality.quality_report(spark.createDataFrame(rows + some, "doc_id long, text string, lang string")).collect()
+        assert sum(x["kept"] for x in got if x["doc_id"] >= 1000) >= 0.9 * n
+        assert sum(x["kept"] for x in got if x["doc_id"] < 1000) >= 190
+    features = [(f"l{n}", 200, 0, 3.0 * (n > 50) + k % 7 * 0.01) for n in (5, 19, 20, 100) for k in range(n)]
+    frame = spark.createDataFrame(features, "lang string, n_words long, n_repeat_words long, surprise double")
+    got = {x["b_lang"]: x for x in quality.bands(frame, "surprise").collect()}
+    assert all(abs(got[x]["centre"] - 0.03) < 0.011 for x in ("l5", "l19", "l20")) and got["l100"]["centre"] == pytest.approx(3.03)
+    assert abs(got["l19"]["spread"] - got["l20"]["spread"]) < 0.002
+
+
 def plain_segments(scores):
     """All maximal-scoring segments by their recursive definition."""
     best = max(((sum(scores[a:b]), -(b - a), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=None)
