@@ -101,6 +101,7 @@ def kneser_ney(counts: DataFrame, scratch: Scratch) -> DataFrame:
         y = F.expr("n1 / (n1 + 2 * n2)")
         cut = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(c - 0.01), c - (c + 1) * y * F.col(f"n{c + 1}") / F.col(f"n{c}")))
         ones = ones.select("dl", *[cut(c).alias(f"d{c}") for c in (1, 2, 3)])
+        ones = scratch.table(ones, f"cuts{k}")  # a row for each language
         off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         own = level.join(ones, F.col("l") == F.col("dl")).select("l", "gram", "n", off.alias("off"), F.shiftright("gram", 16).alias("context"))
         context = own.groupBy(F.col("l").alias("cl"), F.col("context").alias("c")).agg(F.sum("n").alias("total"), F.sum("off").alias("spare"))
