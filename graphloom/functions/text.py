@@ -9,15 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _GAP = b" \n\r"
+#: White space of Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def sentences(data: bytes) -> list[tuple[int, int]]:
-    """Byte ranges. A sentence ends behind . ! ? before a space or line end, if over twenty bytes long, or at the first of two
-    line ends; spaces and line ends between sentences belong to none; blank ones are dropped."""
+    """Byte ranges. A sentence ends behind . ! ? before a space or line end, if over twenty bytes are before that mark, or at the
+    first of two line ends; spaces and line ends between sentences belong to none; blank ones are dropped."""
     out, start, i, n = [], 0, 0, len(data)
     while i < n:
         c = data[i]
-        stop = (c in b".!?" and i + 1 < n and data[i + 1] in _GAP and i + 1 - start > 20) or (c == 10 and i + 1 < n and data[i + 1] == 10)
+        stop = (c in b".!?" and i + 1 < n and data[i + 1] in _GAP and i - start > 20) or (c == 10 and i + 1 < n and data[i + 1] == 10)
         i += 1
         if stop:
             out.append((start, i))
@@ -25,38 +27,39 @@ def sentences(data: bytes) -> list[tuple[int, int]]:
                 i += 1
             start = i
     out.append((start, n))
-    return [(a, b) for a, b in out if data[a:b].strip()]
+    return [(a, b) for a, b in out if data[a:b].decode().strip(WHITE)]
 
 
 def chunks(text: str, target: int = 4000, overlap: int = 500) -> list[tuple[str, int, int, int]]:
-    """(text, index, start, end): sentences packed up to ``target`` bytes, one at least; the next chunk goes back over sentences
-    while they make ``overlap`` bytes at most, and never to the first sentence of the one before. Texts are trimmed, offsets are not."""
+    """(text, index, start, end): runs of sentences of up to ``target`` bytes, one sentence at least; each run but the first is
+    then extended backwards over sentences while they make ``overlap`` bytes at most, to the first of the run before at the farthest.
+    Texts of chunks are trimmed, offsets are not. A text of up to ``target`` bytes, or all blank, is one chunk as it is."""
     data = text.encode()
-    if not data.strip():
+    if not data:
         return []
-    if len(data) <= target:
-        return [(text.strip(), 0, 0, len(data))]
-    spans = sentences(data)
-    out, first = [], 0
-    while first < len(spans):
-        size, last = 0, first
+    spans = sentences(data) if len(data) > target else []
+    if not spans:
+        return [(text, 0, 0, len(data))]
+    runs, last = [], 0
+    while last < len(spans):
+        first, size = last, 0
         while last < len(spans):
             step = spans[last][1] - spans[last][0]
             if last > first and size + step > target:
                 break
             size += step
             last += 1
-        a, b = spans[first][0], spans[last - 1][1]
-        part = data[a:b].decode("utf-8", "ignore").strip()
-        if part:
-            out.append((part, len(out), a, b))
-        if last >= len(spans):
-            break
-        back, held = last, 0
-        while back - 1 > first and held + spans[back - 1][1] - spans[back - 1][0] <= overlap:
-            back -= 1
-            held += spans[back][1] - spans[back][0]
-        first = back
+        runs.append((first, last - 1))
+    out = []
+    for k, (first, last) in enumerate(runs):
+        held = 0
+        while k and first > runs[k - 1][0]:
+            held += spans[first - 1][1] - spans[first - 1][0]
+            if held > overlap:
+                break
+            first -= 1
+        a, b = spans[first][0], spans[last][1]
+        out.append((data[a:b].decode().strip(WHITE), len(out), a, b))
     return out
 
 
@@ -64,7 +67,7 @@ CHUNKS = "id long, text string, index long, start_offset long, end_offset long"
 
 
 def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", target: int = 4000, overlap: int = 500) -> DataFrame:
-    """(id, text, index, start_offset, end_offset) of each whole text; null and blank texts have no chunk."""
+    """(id, text, index, start_offset, end_offset) of each whole text; null and empty texts have no chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,6 +19,59 @@ def test_chunks():
     assert len(tx.chunks("a. b. c. " * 1000, 50, 49)) > 1  # ends
 
 
+def plain_chunks(text, target, overlap):
+    """The rule as written: split, pack disjoint runs, extend each backwards."""
+    d = text.encode()
+    if not d or len(d) <= target:
+        return [(text, 0, 0, len(d))] if d else []
+    spans, start, i = [], 0, 0
+    while i < len(d):
+        end = d[i : i + 1] in (b".", b"!", b"?") and d[i + 1 : i + 2] in (b" ", b"\n", b"\r") and i - start > 20
+        if end or d[i : i + 2] == b"\n\n":
+            if d[start : i + 1].decode().strip():
+                spans.append((start, i + 1))
+            start = i + 1
+            while start < len(d) and d[start : start + 1] in (b" ", b"\n", b"\r"):
+                start += 1
+            i = start
+        else:
+            i += 1
+    if d[start:].decode().strip():
+        spans.append((start, len(d)))
+    if not spans:
+        return [(text, 0, 0, len(d))]
+    runs, i = [], 0
+    while i < len(spans):
+        first, count = i, 0
+        while i < len(spans) and not (count > 0 and count + spans[i][1] - spans[i][0] > target):
+            count += spans[i][1] - spans[i][0]
+            i += 1
+        runs.append((first, i - 1))
+    out = []
+    for k, (first, last) in enumerate(runs):
+        at, chars = first, 0
+        while k and overlap > 0 and at > 0:
+            chars += spans[at - 1][1] - spans[at - 1][0]
+            if chars > overlap:
+                break
+            at -= 1
+            if at <= runs[k - 1][0]:
+                break
+        out.append((d[spans[at][0] : spans[last][1]].decode().strip(), len(out), spans[at][0], spans[last][1]))
+    return out
+
+
+def test_chunks_are_the_plain_rule():
+    r = random.Random(3)
+    parts = ["word ", "longer words here ", ". ", "! ", "?\n", "\n\n", "é\u3000", "  ", "x" * 60]
+    for k in range(300):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 200)))
+        for target, overlap in ((100, 30), (60, 200), (400, 0), (4000, 500)):
+            assert tx.chunks(text, target, overlap) == plain_chunks(text, target, overlap)
+    assert tx.chunks(" \n") == [(" \n", 0, 0, 2)]
+    assert tx.chunks("This is a sentenc 20. Then another.", 10, 0)[0][3] == 35 and tx.chunks("This is a sentence 20. Then another.", 10, 0)[0][3] == 22
+
+
 def test_chunk_table_and_truncation(spark):
     docs = spark.createDataFrame([(1, "é" * 10), (2, None), (3, "")], "doc_id long, text string")
     assert [(r["id"], r["end_offset"]) for r in tx.chunk_table(docs).collect()] == [(1, 20)]
