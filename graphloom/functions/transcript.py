@@ -85,7 +85,7 @@ def user_text(messages: DataFrame, most: int = 50_000) -> DataFrame:
 
 def substantive_text(messages: DataFrame, most: int = 50_000) -> DataFrame:
     """(session_id, text): messages of fifteen bytes or more, other roles than user cut to 300 bytes; all of them if they fit, else
-    the first fifth, the third and the last two with 20, 40 and 40 percent of the bytes, divided by [...]."""
+    the first fifth, the third and the last with 20, 40 and 40 percent of the bytes, divided by [...]."""
     text = F.when(F.col("role") == "user", F.col("content")).otherwise(truncated(F.col("content"), 300))
     rows = messages.where(F.octet_length("content") >= 15).withColumn("body", text).withColumn("who", label(F.col("role")))
     whole, order = Window.partitionBy("session_id"), Window.partitionBy("session_id").orderBy("ord")
@@ -93,11 +93,13 @@ def substantive_text(messages: DataFrame, most: int = 50_000) -> DataFrame:
     rows = rows.withColumn("piece", F.concat(F.lit("["), F.col("who"), F.lit("]: "), F.col("body"), F.lit("\n\n"))).withColumn("fits", F.col("size") <= most)
     n, k = F.col("n"), F.col("k")
     fifth = lambda x: F.floor(n * x / 5)
-    section = F.when(F.col("fits"), 0).when(k < fifth(1), 0).when((k >= fifth(2)) & (k < fifth(3)), 1).when(k >= fifth(3), 2)
+    section = F.when(F.col("fits"), 0).when(k < fifth(1), 0).when((k >= fifth(2)) & (k < fifth(3)), 1).when(k >= fifth(4), 2)
     rows = rows.withColumn("section", section).where("section is not null")
     inner = Window.partitionBy("session_id", "section").orderBy("ord")
     budget = F.when(F.col("fits"), F.lit(most)).when(F.col("section") == 0, int(most * 0.2)).otherwise(int(most * 0.4))
-    mark = F.when(~F.col("fits") & (F.col("section") > 0) & (F.row_number().over(inner) == 1), "[...]\n\n").otherwise("")
+    # A section that begins behind the first message has a mark, of three messages also the empty third fifth.
+    marks = F.when((F.col("section") == 2) & (n == 3), 2).when(fifth(2 * F.col("section")) > 0, 1).otherwise(0)
+    mark = F.when(~F.col("fits") & (F.col("section") > 0) & (F.row_number().over(inner) == 1), F.repeat(F.lit("\n[...]\n\n"), marks)).otherwise("")
     rows = rows.withColumn("piece", F.concat(mark, F.col("piece"))).withColumn("before", F.sum(F.octet_length("piece")).over(inner) - F.octet_length("piece")).where(F.col("before") < budget)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"]), "")
     return rows.groupBy("session_id").agg(joined.alias("text")).select("session_id", byte_prefix(F.col("text"), most).alias("text"))

@@ -402,7 +402,7 @@ def user_text(spark, d, g):
 
 @query("substantive_text", None, over_graph=False)
 def substantive_text(spark, d, g):
-    return tr.substantive_text(messages(spark, d), 2_000)
+    return tr.substantive_text(messages(spark, d))
 
 
 @query("usage_last", "WITH k AS (SELECT user_id, event_id, CAST(event_id % 200000 AS BIGINT) AS used FROM events WHERE event_type <> 'click') SELECT user_id, max_by(used, event_id) AS used_tokens, max_by(used, event_id) * 100 // 200000 AS used_pct, CAST(200000 AS BIGINT) AS window_size, max_by(used, event_id) * 100 // 200000 >= 85 AS should_extract FROM k GROUP BY user_id", over_graph=False)

@@ -105,6 +105,32 @@ def test_substantive_text(spark):
     assert len(tr.flow_text(df, 100).first()["text"]) == 100
 
 
+def plain_substantive(said, most):
+    """The sample as written, for ASCII."""
+    kept = [("User" if r == "user" else "Assistant", c if r == "user" or len(c) <= 300 else c[:300] + "...") for r, c in said if len(c) >= 15]
+    line = lambda x: f"[{x[0]}]: {x[1]}\n\n"
+    if sum(len(r) + len(c) + 10 for r, c in kept) <= most:
+        return "".join(map(line, kept))
+    n, text = len(kept), ""
+    for a, b, budget in ((0, n // 5, most // 5), (n * 2 // 5, n * 3 // 5, most * 2 // 5), (n * 4 // 5, n, most * 2 // 5)):
+        begun = len(text)
+        text += "\n[...]\n\n" if a else ""
+        for x in kept[a:b]:
+            if len(text) - begun >= budget:
+                break
+            text += line(x)
+    return text[:most]
+
+
+def test_substantive_text_is_the_plain_sample(spark):
+    r = random.Random(5)
+    said = {f"s{n}-{j}": [(r.choice(["user", "assistant"]), f"message {k} of {n} " + "x" * r.randint(0, 500)) for k in range(n)] for n in (1, 2, 3, 4, 5, 7, 20, 61, 200) for j in range(3)}
+    rows = [(s, k, role, c, None) for s, v in said.items() for k, (role, c) in enumerate(v)]
+    df = spark.createDataFrame(rows, "session_id string, ord long, role string, content string, ts string")
+    for most in (500, 5000, 50_000):
+        assert {x["session_id"]: x["text"] for x in tr.substantive_text(df, most).collect() if x["text"]} == {s: t for s, v in said.items() if (t := plain_substantive(v, most))}
+
+
 def test_usage(spark):
     use = lambda a, b, c: json.dumps({"type": "assistant", "message": {"role": "assistant", "usage": {"input_tokens": a, "cache_creation_input_tokens": b, "cache_read_input_tokens": c, "output_tokens": 99}}})
     log = spark.createDataFrame([("k", 1, use(178000, 0, 0)), ("k", 2, use(5000, 2000, 1000)), ("k", 3, "bad"), ("j", 1, use(178000, 0, 0)), ("n", 1, "{}")], "key string, line_no long, value string")
