@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Graph
+from .discover import contained
 
 
 def normal(name: Column) -> Column:
@@ -35,11 +36,19 @@ def lookup(nodes: DataFrame, name: str) -> DataFrame:
 
 
 def lookup_many(nodes: DataFrame, names: DataFrame, column: str = "name") -> DataFrame:
-    """(query, id, step) by the first two rules of ``lookup`` for many names at once: equi-joins only."""
-    asked = names.select(F.col(column).alias("query"), normal(F.col(column)).alias("k")).distinct()
-    asked = asked.select("query", F.explode(F.array(F.struct(F.lit(1).alias("step"), F.col("k").alias("key")), F.struct(F.lit(2).alias("step"), F.when(F.col("k").endswith("s"), F.expr("left(k, length(k) - 1)")).otherwise(F.concat("k", F.lit("s"))).alias("key")))).alias("x")).select("query", "x.*")
+    """(query, id, step) by the rules of ``lookup`` for many names at once: equi-joins, then for what they leave the joins on grams
+    of ``contained``, both ways."""
+    all_asked = names.select(F.col(column).alias("query"), normal(F.col(column)).alias("k")).distinct()
+    asked = all_asked.select("query", F.explode(F.array(F.struct(F.lit(1).alias("step"), F.col("k").alias("key")), F.struct(F.lit(2).alias("step"), F.when(F.col("k").endswith("s"), F.expr("left(k, length(k) - 1)")).otherwise(F.concat("k", F.lit("s"))).alias("key")))).alias("x")).select("query", "x.*")
     found = asked.join(all_names(nodes), "key").groupBy("query").agg(F.min(F.struct("step", "seq", "id")).alias("x"))
-    return found.select("query", "x.id", "x.step")
+    found = found.select("query", "x.id", "x.step")
+    rest = all_asked.where(F.octet_length("k") >= 6).join(found.select("query"), "query", "left_anti")
+    keys = rest.select(F.col("k").alias("id"), F.col("k").alias("text"), F.col("k").alias("name")).distinct()
+    own = nodes.select("id", normal(F.col("name")).alias("text"), normal(F.col("name")).alias("name"))
+    inside = contained(own, keys).select(F.col("name_id").alias("k"), F.col("text_id").alias("id"))
+    around = contained(keys, own.where(F.octet_length("name") >= 6)).select(F.col("text_id").alias("k"), F.col("name_id").alias("id"))
+    part = inside.unionByName(around).join(nodes.select("id", "seq"), "id").groupBy("k").agg(F.min(F.struct("seq", "id")).alias("x"))
+    return found.unionByName(rest.join(part, "k").select("query", "x.id", F.lit(3).alias("step")))
 
 
 def nodes_by_type(nodes: DataFrame, node_type: str) -> DataFrame:

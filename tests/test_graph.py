@@ -180,3 +180,22 @@ def test_store_and_api(spark, tmp_path):
     report = again.reconcile(json.dumps({"new_facts": [{"name": "Use Gamma", "type": "Decision", "tier": "Critical", "definition": "because", "reason": "speed", "supersedes": "Beta"}], "relations": [{"from": "Use Gamma", "to": "Alpha", "type": "about"}]}), 10)
     assert (report["added"], report["superseded"], report["edges_added"], report["edges_new"]) == (1, 1, 1, 1)
     assert "Known entities" in again.prepare_extraction("text", "doc")
+
+
+def test_lookups_by_substring(people, spark):
+    """Many names find by substring what one does, and reconciling by them neither adds nor misses a node."""
+    rows = [(1, "Cell Division Process"), (2, "Mitosis Phase"), (3, "Mitosis"), (4, "abc"), (5, "Zelldü")]
+    nodes = spark.createDataFrame([(i, n, i, [], "Minor", None) for i, n in rows], "id long, name string, seq long, aliases array<string>, tier string, superseded_by long")
+    asked = ["cell division", "MITOSIS PHASE two", "the mitosis", "abcde", "abcdefg", "mitosi", "Zelldü 2", "nothing at all"]
+    names = spark.createDataFrame([(a,) for a in asked], "name string")
+    got = {r["query"]: (r["id"], r["step"]) for r in navigation.lookup_many(nodes, names).collect()}
+    assert got == {a: (r["id"], r["step"]) for a in asked for r in navigation.lookup(nodes, a).collect()}
+    assert got["cell division"] == (1, 3) and got["MITOSIS PHASE two"] == (2, 3) and "abcdefg" not in got
+    old = lifecycle.supersede(nodes, spark.createDataFrame([("cell division", 9)], "old string, by long"))
+    assert old.where("id = 1").first()["superseded_by"] == 9
+    up = lifecycle.promote(nodes, spark.createDataFrame([("cell division", "Critical")], "name string, new_tier string"))
+    assert up.where("id = 1").first()["tier"] == "Critical"
+    tie = lifecycle.relate(nodes, spark.createDataFrame([("cell division", "the mitosis", "is")], "src_name string, dst_name string, type string")).collect()
+    assert [(r["src"], r["dst"]) for r in tie] == [(1, 3)]
+    fact = spark.createDataFrame([(0, "cell division", "Fact", "Minor", "", "")], "ord long, name string, type string, tier string, definition string, reason string")
+    assert lifecycle.new_facts(nodes, fact).count() == 0
