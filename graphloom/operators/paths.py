@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -22,15 +23,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def levels(edges: DataFrame, start: DataFrame, most: int = 50, target: int | None = None) -> DataFrame:
+def levels(edges: DataFrame, start: DataFrame, most: int | None = None, target: int | None = None) -> DataFrame:
     """(node, depth, parent): breadth-first over edges in both directions from ``start`` (column node).
 
     A node's parent is the one reached first, then the one with the smallest edge seq: rank in the level before, then seq. Stops
-    where nothing new is found, at the target, or after ``most`` rounds.
+    where nothing new is found, at the target, or after ``most`` rounds if that is given.
     """
     around = incident(edges).select("node", "other", "seq")
     seen = checkpointed(start.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("rank")))
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1) if most is None else range(1, most + 1):
         front = seen.where(F.col("depth") == depth - 1)
         step = front.select("node", F.col("rank.b").alias("r")).join(around, "node").groupBy(F.col("other").alias("found")).agg(F.min(F.struct("r", "seq", F.col("node").alias("parent"))).alias("x"))
         new = step.join(seen.select(F.col("node").alias("found")), "found", "left_anti")
@@ -43,7 +44,7 @@ def levels(edges: DataFrame, start: DataFrame, most: int = 50, target: int | Non
     return seen.select("node", "depth", "parent")
 
 
-def shortest_path(edges: DataFrame, a: int, b: int, most: int = 50) -> list[int]:
+def shortest_path(edges: DataFrame, a: int, b: int, most: int | None = None) -> list[int]:
     """Nodes of a shortest undirected path, or none. Only the path comes to the driver."""
     spark = edges.sparkSession
     if a == b:

@@ -199,3 +199,8 @@ def test_lookups_by_substring(people, spark):
     assert [(r["src"], r["dst"]) for r in tie] == [(1, 3)]
     fact = spark.createDataFrame([(0, "cell division", "Fact", "Minor", "", "")], "ord long, name string, type string, tier string, definition string, reason string")
     assert lifecycle.new_facts(nodes, fact).count() == 0
+
+
+def test_search_has_no_depth_limit(spark):
+    edges = spark.createDataFrame([(k, k + 1, k) for k in range(1, 54)], "src long, dst long, seq long")
+    assert paths.shortest_path(edges, 1, 54) == list(range(1, 55))
