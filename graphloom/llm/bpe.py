@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .held import held
-from .scratch import small_batches
+from .scratch import bounded_batches
 
 # The white space and the pre-tokenizer pattern of byte-level BPE, and its letters for bytes.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -199,7 +199,7 @@ def _slices(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
 
 
 def _mapped(docs: DataFrame, path: str, make, fields: list[tuple[str, str, pa.DataType]], text: str, doc_id: str) -> DataFrame:
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -221,7 +221,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", doc_id: str = "doc
 
 def decode(ids: DataFrame, path: str, *, column: str = "ids", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and text of each array of ids; null: empty text."""
-    small_batches(ids.sparkSession)
+    bounded_batches(ids.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, bounded_batches
 from .textkit import WORD_FACTOR, U, Words, mix, slices
 
 BANDS, ROWS = 48, 5
@@ -188,7 +188,7 @@ class _Corpus:
 
     def __init__(self, docs: DataFrame, text: str, doc_id: str, percent: int):
         spark = docs.sparkSession
-        small_batches(spark)
+        bounded_batches(spark)
         self.percent, self.scratch = percent, Scratch(spark, "near")
         self.docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("t"))
         self.docs = self.docs.withColumn("same", F.xxhash64("doc_id", "t"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, bounded_batches
 from .textkit import SPACE, U, Words, mix, slices
 
 SYMBOLS = b"#*$%&|<>"
@@ -340,7 +340,7 @@ def quality_report(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     own. Repeated rows stay. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     scratch = Scratch(spark, "quality")
     own = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[lang].alias("lang"), F.coalesce(docs[text], F.lit("")).alias("t"))
     features = scratch.table(scored(own, scratch), "features")

@@ -8,14 +8,20 @@ size of a table, so that it broadcasts a side only below ``spark.sql.autoBroadca
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LIVE: list["Scratch"] = []
 #: Bytes of a row group: a task holds one while it writes or reads.
 ROW_GROUP = 16 << 20
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+@contextlib.contextmanager
+def _files_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Executions that start here delete their shuffle files at their end, not at the driver's next garbage collection. A plan
+    that is run for the files it writes is not run again, so nothing is computed twice."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 class Scratch:
     """Tables of one operator call. ``drop`` removes what is no longer needed; the rest goes at exit."""
 
@@ -41,15 +59,15 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return a scan of the files."""
-        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(self.path(name))
+        """Write ``df`` once and return a scan of the files. The shuffles behind it go when they are written."""
+        with _files_cleaned(self.spark):
+            df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        """Delete tables; the driver's collection lets Spark's cleaner delete the shuffle files behind them."""
+        """Delete tables that nothing reads any more."""
         for name in names:
             _delete(self.spark, self.path(name))
-        self.spark.sparkContext._jvm.System.gc()
 
     def close(self) -> None:
         _delete(self.spark, self.base)
@@ -69,14 +87,8 @@ def _close_all() -> None:
             return
 
 
-def sweep(spark: SparkSession) -> None:
-    """Collect garbage in the driver and the executors, so that what an operator has left in their heaps and native buffers is
-    not held beside what the next one needs. A tiny task for each core; it changes no result."""
-    spark.sparkContext._jvm.System.gc()
-    n = spark.sparkContext.defaultParallelism
-    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
-
-
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of few rows: texts may be long, and a worker holds a batch at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES (or one row): texts may be long, and a worker holds a batch at once. All operators
+    share this one value, and a session that has set its own keeps it."""
+    if not spark.conf.get(_BATCH, None):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))

@@ -7,6 +7,7 @@ mixed before use.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
 _POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -50,9 +52,10 @@ class Rolling:
     """Hashes of stretches of one buffer."""
 
     def __init__(self, data: np.ndarray):
+        """data: bytes, or 64-bit values of other symbols."""
         up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum((data if data.dtype == U else BYTE_VALUE[data]) * up[: len(data)], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
@@ -104,3 +107,32 @@ class Words:
         for j in range(k):
             out += self.hashes[j : j + n] * WORD_FACTOR[j]
         return mix(out, k)
+
+
+def _stretches(text: bytes, most: int) -> Iterator[bytes]:
+    """A long text in parts of about ``most`` bytes that end before white space, so that no word is in two."""
+    begin = 0
+    while len(text) - begin > most:
+        gap = _GAP.search(text, begin + most)
+        if not gap:
+            break
+        yield text[begin : gap.start()]
+        begin = gap.start()
+    yield text[begin:]
+
+
+def word_arrays(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes, first bytes and ends of the words of each text; equal words have equal hashes wherever they are."""
+    for a, b in slices(texts, most):
+        if b - a == 1 and len(texts[a]) > most:
+            offset, found = 0, []
+            for part in _stretches(texts[a], most):
+                words = Words([part])
+                found.append((words.hashes, words.starts + offset, words.ends + offset))
+                offset += len(part)
+            yield tuple(map(np.concatenate, zip(*found)))
+            continue
+        words = Words(texts[a:b])
+        for k in range(b - a):
+            at = slice(int(words.first[k]), int(words.first[k + 1]))
+            yield words.hashes[at], words.starts[at] - words.offsets[k], words.ends[at] - words.offsets[k]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .held import held
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, bounded_batches
 
 #: Of each generation of a worker's runs, to bound its memory.
 MAX_RUNS = 600_000
@@ -131,7 +131,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, text: str = "tex
     A null id comes first; rows of one id are in the order of a hash of their text, then the text. An empty table gives
     a folder without rows.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, bounded_batches
 from .textkit import LOWER, Rolling, U, mix, slices
 
 PREFIXES = (5, 6, 7, 8)
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 40_000, most
     labels of both kinds the model has no features and scores every text the share of toxic labels, 0.5 without any.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     scratch = Scratch(spark, "toxic")
     train = labels.select(F.col("doc_id").cast("long").alias("l"), F.col("toxic").cast("int").alias("toxic")).where("l is not null and toxic is not null")
     train = train.where(F.crc32(F.col("l").cast("string")) % 3 != 1).groupBy("l").agg(F.max("toxic").alias("toxic"))
@@ -224,7 +224,7 @@ def _scores(model: Model, texts: list[bytes]) -> np.ndarray:
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, and the significant passages (byte begin and end, -ln E) of each whole text; null text is empty."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("strength", pa.float64())]))
@@ -240,7 +240,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose text scores below the threshold, with all their columns; no shuffle."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

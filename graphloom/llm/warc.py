@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, bounded_batches
 
 LEAST = 1000
 BLOCK = 1000
@@ -147,7 +147,7 @@ def write_archive(pages: DataFrame, folder: str, *, page_id: str = "page_id", ur
     An empty table gives an index without blocks; other columns are not read.
     """
     spark = pages.sparkSession
-    small_batches(spark, 256)
+    bounded_batches(spark)
     scratch = Scratch(spark, "warc-manifest")
     p = F.coalesce(pages[html], F.lit(""))
     own = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].alias("url"), p.cast("binary").alias("payload"), F.sha1(p).alias("digest"), F.xxhash64(p).alias("hash"), F.octet_length(p).cast("long").alias("size"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import components, mixing, near_dedup, suffix_dedup, topk, warc
+from graphloom.llm import components, mixing, near_dedup, suffix_dedup, textkit, topk, warc
 from graphloom.llm.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -27,16 +27,24 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], SCHEMA).repartition(3)
 
 
-def plain_repeats(texts, length=400):
-    count = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+def covered(symbols, all_symbols, length):
+    """Which symbols are in a string of this length that is there more than once, of each text."""
+    count = collections.Counter(t[i : i + length] for t in all_symbols for i in range(len(t) - length + 1))
     out = []
-    for t in texts:
+    for t in symbols:
         gone = np.zeros(len(t), bool)
         for i in range(len(t) - length + 1):
             if count[t[i : i + length]] > 1:
                 gone[i : i + length] = True
+        out.append(gone)
+    return out
+
+
+def plain_repeats(texts, length=400):
+    out, words = [], [tuple(WORD.findall(t.decode())) for t in texts]
+    for t, gone, far in zip(texts, covered(texts, texts, length), covered(words, words, 51)):
         kept = bytes(b for b, g in zip(t, gone) if not g)
-        out.append((len(t), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
+        out.append((len(t), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), int(far.sum())))
     return out
 
 
@@ -54,7 +62,7 @@ def test_suffix(spark, repeat_texts, monkeypatch):
     texts = repeat_texts
     df = frame(spark, [(k if k != 3 else None, t, "s") for k, t in enumerate(texts)])
     want = collections.Counter(plain_repeats([(t or "").encode() for t in texts]))
-    key = lambda r: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+    key = lambda r: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passage_words"])
     assert collections.Counter(map(key, suffix_dedup.substring_report(df).collect())) == want
     # Repeated rows repeat each other.
     twice = df.where("doc_id = 15").unionByName(df.where("doc_id = 15"))
@@ -66,23 +74,73 @@ def test_suffix(spark, repeat_texts, monkeypatch):
     assert rows[10] is None and rows[15] == texts[15] and rows[4] == "" and "�" not in "".join(t or "" for t in rows.values())
 
 
-def test_suffix_pieces(repeat_texts, monkeypatch):
+@pytest.mark.parametrize("length", [51, 400])
+def test_suffix_words(spark, repeat_texts, length):
+    """Passages of words are cut wherever they are, with the white space behind each word; shorter ones stay."""
+    r = random.Random(21)
+    words = prose(r, 1200).split()
+    passages = {n: words[100 + n : 100 + 2 * n] for n in (49, 50, 51, 52, 60, 399, 401)}
+    texts = list(repeat_texts) + [" ".join(words[600:])]
+    for n, own in passages.items():
+        for gap in ("  ", "\n"):
+            texts.append(prose(r, 30) + "\n" + gap.join(own) + " " + prose(r, 20) + " \n")
+    df = frame(spark, [(k, t, "s") for k, t in enumerate(texts)])
+    unit = suffix_dedup.Unit(True, length, 500)
+    got = {x["doc_id"]: x["text"] for x in suffix_dedup.without_repeats(df, unit).collect()}
+    split = [tuple(WORD.findall(t or "")) for t in texts]
+    for k, (t, gone) in enumerate(zip(texts, covered(split, split, length))):
+        if t is None:
+            assert got[k] is None
+            continue
+        at, want, last = [m.span() for m in WORD.finditer(t)], "", 0
+        for i, (a, b) in enumerate(at):
+            if gone[i]:
+                want += t[last:a]
+                last = at[i + 1][0] if i + 1 < len(at) else b
+        assert got[k] == want + t[last:]
+    first = len(repeat_texts) + 1
+    if length == 51:
+        assert got[first] == texts[first] and " ".join(passages[51][:3]) not in got[first + 4] and len(got[first + 4]) < len(texts[first + 4])
+    assert suffix_dedup.without_repeats(df.limit(0), unit).count() == 0
+
+
+def test_word_arrays():
+    """A long text is read in stretches and has the words of the whole."""
+    texts = [prose(random.Random(22), 3000).encode(), b"", b" a  b\t", ("x" * 5000).encode(), b"a b"]
+    whole, cut = list(textkit.word_arrays(texts)), list(textkit.word_arrays(texts, 1000))
+    for t, x, y in zip(texts, whole, cut):
+        assert all(np.array_equal(a, b) for a, b in zip(x, y))
+        assert [t[a:b] for a, b in zip(*x[1:])] == t.split()
+    assert whole[2][0].tolist() == whole[4][0].tolist() and not len(whole[1][0])
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_suffix_pieces(words):
     """Pieces of a long text have the same anchors' strings as the whole."""
-    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
-    text = prose(random.Random(2), 900).encode()
+    unit, text = suffix_dedup.Unit(words, 60 if words else 400, 700), prose(random.Random(2), 3000 if words else 900).encode()
     starts = []
-    for s in suffix_dedup.slices([b"x" * 10, text], suffix_dedup.LENGTH):
-        _, _, part, pos = suffix_dedup.anchors(s)
+    for s in suffix_dedup.slices([b"x" * 10, text], unit, unit.length):
+        _, _, part, pos = suffix_dedup.anchors(s, unit)
         first, count, _ = suffix_dedup.unpack(pos)
         starts += [x for a, n in zip(first, count) for x in range(a, a + n)]
-    assert sorted(starts) == list(range(len(text) - suffix_dedup.LENGTH + 1))
+    assert sorted(starts) == list(range((3000 if words else len(text)) - unit.length + 1))
+    with pytest.raises(ValueError):
+        suffix_dedup.Unit(words, 3)
 
 
 def test_multikey():
     r = np.random.default_rng(1)
-    core, hull = r.integers(0, 20, 500), r.integers(0, 5, 500)
-    order = suffix_dedup.multikey(core, hull)
-    assert np.array_equal(np.stack([core, hull])[:, order], np.stack([core, hull])[:, np.lexsort((hull, core))])
+    tokens = [r.integers(0, n, 500) for n in (20, 5, 3)]
+    order = suffix_dedup.multikey(*tokens)
+    assert np.array_equal(np.stack(tokens)[:, order], np.stack(tokens)[:, np.lexsort(tokens[::-1])])
+
+
+def test_suffix_boundaries(spark, monkeypatch):
+    """Equal suffixes on both sides of a boundary of buckets, of groups of buckets, and of empty buckets."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", 2)
+    rows = [(b, p, c, h, 0, 0, b * 10 + p, 0) for b, p, c, h in [(0, 0, 1, 1), (0, 5, 2, 2), (1, 0, 2, 2), (1, 3, 3, 1), (4, 0, 3, 2), (4, 1, 4, 1), (7, 0, 5, 1)]]
+    got = suffix_dedup._across(spark.createDataFrame(rows, "bucket int, place long, core long, hull long, rk long, rk2 long, pos long, level int")).collect()
+    assert {x["pos"]: x["level"] for x in got} == {0: 0, 5: 3, 10: 3, 13: 1, 40: 1, 41: 0, 70: 0}
 
 
 def shingles(text):
