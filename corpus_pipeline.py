@@ -13,37 +13,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, mixing, near_dedup, suffix_dedup, toxicity
-from graphloom.llm.scratch import Scratch, sweep
+from graphloom.llm.scratch import Scratch
 from graphloom.session import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7. The model is learnt from this table's labels."""
-    sweep(spark)
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near-duplicates: five-word shingles, Jaccard index of 0.8 or more."""
-    sweep(spark)
     return near_dedup.one_of_each(docs, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 400 bytes that occur more than once; n_chars is counted again."""
-    sweep(spark)
-    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, without the passages of over 50 words (51 at least, whatever white space is between them) that occur more
+    than once, wherever they occur; n_chars is counted again."""
+    return suffix_dedup.without_repeats(docs, suffix_dedup.WORDS).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources by weights 3, 1, 2: a document is there as often as the mix takes it."""
-    sweep(spark)
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of ids, digest of the ids and of the text decoded from them, of each document of the mix."""
-    sweep(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
