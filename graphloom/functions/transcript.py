@@ -28,10 +28,12 @@ def message_text(content: Column) -> Column:
 
 def parse_lines(lines: DataFrame, value: str = "value", session: str = "file") -> DataFrame:
     """Messages of transcript lines (session column, line_no, value): bad lines, other roles and empty contents are dropped; a
-    session's id is the first that a line names."""
+    session's id is the first that a line names. A content is an array of blocks if the line's JSON has an array there; a text that
+    begins with a bracket is a text."""
     shape = "type string, sessionId string, timestamp string, message struct<role:string,content:string>"
     read = lines.withColumn("j", F.from_json(value, shape)).where("j.type in ('user', 'assistant') and j.message.role in ('user', 'assistant')")
-    content = F.when(F.ltrim(F.col("j.message.content")).startswith("["), message_text(F.col("j.message.content"))).otherwise(F.col("j.message.content"))
+    blocks = F.try_variant_get(F.try_parse_json(value), "$.message.content", "array<variant>").isNotNull()
+    content = F.when(blocks, message_text(F.col("j.message.content"))).otherwise(F.col("j.message.content"))
     read = read.select(session, "line_no", F.col("j.message.role").alias("role"), content.alias("content"), F.col("j.timestamp").alias("ts"), F.col("j.sessionId").alias("sid")).where("content <> ''")
     ids = read.where("sid is not null").groupBy(F.col(session).alias("s")).agg(F.min_by("sid", "line_no").alias("session_id"))
     return read.join(ids, F.col(session) == F.col("s"), "left").select(F.coalesce("session_id", F.col(session)).alias("session_id"), F.col("line_no").alias("ord"), "role", "content", "ts")

@@ -1,4 +1,4 @@
-"""Graphs on disk: versioned Parquet folders behind a pointer, JSON export, name index and rules as text, configuration."""
+"""Graphs on disk: versioned Parquet folders behind numbered heads, JSON export, name index and rules as text, configuration."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from ..operators import reports
 from ..schema import EDGES, NODES, Graph
 
 FORMAT_VERSION = 1
+HEAD = "HEAD-"
 PARTS = ("nodes", "edges", "documents", "node_types", "edge_types")
 
 
@@ -29,41 +30,41 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, target = _fs(spark, path)
-    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(draft, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    fs.delete(target, False)
-    fs.rename(draft, target)
-
-
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, target = _fs(spark, path)
-    return "\n".join(r[0] for r in spark.read.text(path).collect()) if fs.exists(target) else None
+def _heads(spark: SparkSession, path: str) -> list[str]:
+    """Names of the heads, newest first."""
+    fs, target = _fs(spark, f"{path}/{HEAD}*")
+    return sorted((x.getPath().getName() for x in fs.globStatus(target) or []), reverse=True)
 
 
 def save(graph: Graph, path: str) -> str:
-    """Write a new version and point to it; readers see the old one until then. Returns the version."""
+    """Write a new version, then a head of the next number by one rename. No head is replaced or removed, so readers and a writer
+    that stops anywhere leave the newest whole version. Returns the version."""
     spark, version = graph.nodes.sparkSession, uuid.uuid4().hex
     for name in PARTS:
         part = getattr(graph, name)
         if part is not None:
             part.write.parquet(f"{path}/{version}/{name}")
-    _write_text(spark, f"{path}/CURRENT", json.dumps({"format": FORMAT_VERSION, "version": version}))
+    heads = _heads(spark, path)
+    number = int(heads[0][len(HEAD) :].split("-")[0]) + 1 if heads else 1
+    fs, draft = _fs(spark, f"{path}/.draft-{version}")
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps({"format": FORMAT_VERSION, "version": version}).encode()))
+    out.close()
+    if not fs.rename(draft, _fs(spark, f"{path}/{HEAD}{number:012d}-{version}")[1]):
+        raise StoreError(f"the head of version {version} cannot be written to {path}")
     return version
 
 
 def load(spark: SparkSession, path: str) -> Graph:
-    text = _read_text(spark, f"{path}/CURRENT")
-    if text is None:
+    """The version of the newest head."""
+    heads = _heads(spark, path)
+    if not heads:
         raise StoreError(f"no graph in {path}")
     try:
-        head = json.loads(text)
+        head = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/{heads[0]}").collect()))
         form, version = head["format"], head["version"]
     except (ValueError, KeyError, TypeError) as bad:
-        raise StoreError(f"{path}/CURRENT cannot be read") from bad
+        raise StoreError(f"{path}/{heads[0]} cannot be read") from bad
     if form != FORMAT_VERSION:
         raise StoreError(f"format {form} is not {FORMAT_VERSION}")
     read = {}
@@ -80,7 +81,7 @@ def empty(spark: SparkSession) -> Graph:
 
 
 def load_or_create(spark: SparkSession, path: str) -> Graph:
-    return load(spark, path) if _read_text(spark, f"{path}/CURRENT") is not None else empty(spark)
+    return load(spark, path) if _heads(spark, path) else empty(spark)
 
 
 def export_json(graph: Graph, path: str) -> None:
@@ -106,6 +107,7 @@ def write_rules(graph: Graph, path: str) -> None:
     rules.repartition("rule").sortWithinPartitions("rule", "k").write.mode("overwrite").partitionBy("rule").json(f"{path}/files")
 
 
+# The defaults of the configuration, and the extensions of code.
 @dataclass
 class Config:
     code: list[str] = field(default_factory=lambda: [f"**/*.{e}" for e in ("rs", "py", "ts", "tsx", "js", "jsx", "go", "java", "cs")])
