@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import tempfile
 
@@ -27,21 +28,29 @@ def levels(edges: DataFrame, start: DataFrame, most: int | None = None, target:
     """(node, depth, parent): breadth-first over edges in both directions from ``start`` (column node).
 
     A node's parent is the one reached first, then the one with the smallest edge seq: rank in the level before, then seq. Stops
-    where nothing new is found, at the target, or after ``most`` rounds if that is given.
+    where nothing new is found, at the target, or after ``most`` rounds if that is given. Edges are written once, by node, so a
+    round moves its front only; a level is appended, and compared with the two before it, as no edge leads further back.
     """
-    around = incident(edges).select("node", "other", "seq")
-    seen = checkpointed(start.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("rank")))
+    spark = edges.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    around = checkpointed(incident(edges).select("node", "other", "seq").repartition(n, "node"))
+    first = start.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("rank")).distinct()
+    found, done = [checkpointed(first)], None
     for depth in itertools.count(1) if most is None else range(1, most + 1):
-        front = seen.where(F.col("depth") == depth - 1)
-        step = front.select("node", F.col("rank.b").alias("r")).join(around, "node").groupBy(F.col("other").alias("found")).agg(F.min(F.struct("r", "seq", F.col("node").alias("parent"))).alias("x"))
-        new = step.join(seen.select(F.col("node").alias("found")), "found", "left_anti")
-        new = new.select(F.col("found").alias("node"), F.lit(depth).alias("depth"), F.col("x.parent").alias("parent"), F.struct(F.col("x.r").alias("a"), F.col("x.seq").alias("b")).alias("rank"))
-        grown = checkpointed(seen.unionByName(new))
-        more = grown.where(F.col("depth") == depth).agg(F.count(F.lit(1)), F.max((F.col("node") == target).cast("int")) if target is not None else F.lit(0)).first()
-        seen = grown
-        if not more[0] or more[1]:
+        step = found[-1].select("node", F.col("rank").alias("r")).join(around, "node").groupBy(F.col("other").alias("found")).agg(F.min(F.struct("r", "seq", F.col("node").alias("parent"))).alias("x"))
+        for before in found[-2:]:
+            step = step.join(before.select(F.col("node").alias("found")), "found", "left_anti")
+        new = checkpointed(step.select(F.col("found").alias("node"), F.lit(depth).alias("depth"), F.col("x.parent").alias("parent"), F.col("x.seq").alias("rank")))
+        more = new.agg(F.count(F.lit(1)), F.max((F.col("node") == target).cast("int")) if target is not None else F.lit(0)).first()
+        if not more[0]:
+            break
+        found.append(new)
+        if len(found) > 32:  # a long search: what is settled becomes one table
+            settled = functools.reduce(DataFrame.unionByName, found[:-2])
+            done, found = checkpointed(settled if done is None else done.unionByName(settled)), found[-2:]
+        if more[1]:
             break
-    return seen.select("node", "depth", "parent")
+    return functools.reduce(DataFrame.unionByName, found if done is None else [done, *found]).select("node", "depth", "parent")
 
 
 def shortest_path(edges: DataFrame, a: int, b: int, most: int | None = None) -> list[int]:
@@ -63,10 +72,13 @@ def shortest_path(edges: DataFrame, a: int, b: int, most: int | None = None) ->
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
     """(node, rank) of the ends of edges: (1-d)/N + d * sum of rank / out-degree over the edges as they repeat. What sinks hold is
     lost. Parallel edges are counted first, so a round moves a row for each distinct pair."""
+    spark = edges.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = checkpointed(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
     out = pairs.groupBy("src").agg(F.sum("n").alias("deg"))
-    shares = checkpointed(pairs.join(out, "src").select("src", "dst", (F.col("n").cast("double") / F.col("deg")).alias("share")))
-    nodes = checkpointed(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    # By src in a form that Spark knows, so that a round shuffles ranks and flows, not edges.
+    shares = checkpointed(pairs.join(out, "src").select("src", "dst", (F.col("n").cast("double") / F.col("deg")).alias("share")).repartition(parts, "src"))
+    nodes = checkpointed(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().repartition(parts, "node"))
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))

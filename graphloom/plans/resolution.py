@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.mutation import remove_nodes
+from ..operators.paths import checkpointed
+from ..operators.ranking import is_code
 from ..schema import Graph
 from ..sources import code
 from ..sources.vocabulary import EXTENSIONS
@@ -126,9 +129,9 @@ def resolve_references(references: DataFrame, entities: DataFrame, imported: Dat
     return got.select("source_file", "source_line", "target_name", "ref_type", F.col("hit.id").alias("dst"), F.col("hit.tier").alias("tier"))
 
 
-def code_graph(entities: DataFrame, references: DataFrame, files: DataFrame, packages: DataFrame | None = None, now: int = 0) -> Graph:
-    """Nodes of all entities and files, and merged edges of resolved references and of wildcard imports. Numbers go by file, line
-    and name: ranks of a sort, not of one task's counter."""
+def _numbered(entities: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, seq, name, entity_type, definition, file) of all entities and files. Numbers go by file, line and name: ranks of a
+    sort, not of one task's counter."""
     keyed = entities.withColumn("order", F.struct("file", "line_start", "name", "entity_type"))
     parts = keyed.select("file", "name", "entity_type", "definition", "line_start", "order")
     file_rows = files.select(F.col("path").alias("file"), F.col("path").alias("name"), F.lit("File").alias("entity_type"), F.concat(F.lit("Source file "), F.col("path")).alias("definition"), F.lit(0).cast("long").alias("line_start"), F.struct(F.col("path").alias("file"), F.lit(0).cast("long").alias("line_start"), F.lit("").alias("name"), F.lit("File").alias("entity_type")).alias("order"))
@@ -137,10 +140,16 @@ def code_graph(entities: DataFrame, references: DataFrame, files: DataFrame, pac
     sizes = every.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     numbered = every.join(starts, "file").withColumn("id", F.col("before") + F.row_number().over(Window.partitionBy("file").orderBy("order", "definition")))
+    return numbered.select("id", F.col("id").alias("seq"), "name", "entity_type", "definition", "file")
+
+
+def _nodes(numbered: DataFrame, now: int) -> DataFrame:
     source = F.struct(F.lit("CodeAnalysis").alias("kind"), F.col("file")).alias("source")
-    nodes = numbered.select("id", F.col("id").alias("seq"), "name", F.col("entity_type").alias("node_type"), "definition", F.array().cast("array<string>").alias("aliases"), F.lit(1.0).alias("confidence"), source, F.lit(now).cast("long").alias("created_at"), F.lit("Minor").alias("tier"), F.lit(None).cast("long").alias("superseded_by"))
-    known = numbered.select("id", F.col("id").alias("seq"), "name", "entity_type", "file")
-    imported = imported_files(entities.where("entity_type = 'Import'").select("file", F.col("name").alias("text")), files, packages)
+    return numbered.select("id", "seq", "name", F.col("entity_type").alias("node_type"), "definition", F.array().cast("array<string>").alias("aliases"), F.lit(1.0).alias("confidence"), source, F.lit(now).cast("long").alias("created_at"), F.lit("Minor").alias("tier"), F.lit(None).cast("long").alias("superseded_by"))
+
+
+def _edges(known: DataFrame, references: DataFrame, imported: DataFrame) -> DataFrame:
+    """Merged edges from files: of resolved references, and of wildcard imports. An edge's id is a hash of 62 bits."""
     resolved = resolve_references(references, known, imported)
     relation = F.expr("case ref_type when 'ReadsField' then 'reads' when 'WritesField' then 'writes' when 'UsesType' then 'uses_type' else 'calls' end").alias("relation_type")
     file_ids = known.where("entity_type = 'File'").select(F.col("file").alias("source_file"), F.col("id").alias("src"))
@@ -148,18 +157,49 @@ def code_graph(entities: DataFrame, references: DataFrame, files: DataFrame, pac
     wild = imported.where("whole").select(F.col("file").alias("source_file"), F.col("target").alias("file")).join(known.where("not startswith(name, '_') and entity_type not in ('File', 'Import')").select("file", F.col("id").alias("dst")), "file")
     edges = edges.unionByName(wild.join(file_ids, "source_file").select("src", "dst", F.lit("uses_type").alias("relation_type"), "source_file", F.lit(2).alias("tier")))
     merged = edges.where("src <> dst").groupBy("src", "dst", "relation_type", "source_file").agg(F.min("tier").alias("tier"))
-    eid = F.xxhash64("src", "dst", "relation_type")
-    return Graph(nodes, merged.select(eid.alias("id"), eid.alias("seq"), "src", "dst", "relation_type", F.lit(1.0).alias("confidence"), F.struct(F.lit("CodeAnalysis").alias("kind"), F.col("source_file").alias("file")).alias("source"), "tier"))
+    eid = F.shiftrightunsigned(F.xxhash64("src", "dst", "relation_type"), 2)
+    return merged.select(eid.alias("id"), eid.alias("seq"), "src", "dst", "relation_type", F.lit(1.0).alias("confidence"), F.struct(F.lit("CodeAnalysis").alias("kind"), F.col("source_file").alias("file")).alias("source"), "tier")
+
 
+def _imports(known: DataFrame) -> DataFrame:
+    return known.where("entity_type = 'Import'").select("file", F.col("name").alias("text"))
 
-def bootstrap_code(files: DataFrame, now: int = 0) -> Graph:
+
+def code_graph(entities: DataFrame, references: DataFrame, files: DataFrame, packages: DataFrame | None = None, now: int = 0) -> Graph:
+    """Nodes of all entities and files, and edges of references and wildcard imports."""
+    numbered = _numbered(entities, files)
+    return Graph(_nodes(numbered, now), _edges(numbered, references, imported_files(_imports(numbered), files, packages)))
+
+
+def bootstrap_code(files: DataFrame, packages: DataFrame | None = None, now: int = 0) -> Graph:
     """The graph of source files (path, text)."""
-    found, refs = code.entities(files), code.references(files)
-    return code_graph(found, refs, files.select("path"), now=now)
+    return code_graph(code.entities(files), code.references(files), files.select("path"), packages, now)
+
 
+def reindex(graph: Graph, changed: DataFrame, packages: DataFrame | None = None, now: int = 0) -> Graph:
+    """``graph`` after files ``changed`` (path, text; null text: deleted) replace what it has of their paths.
 
-def reindex(files: DataFrame, changed: DataFrame, now: int = 0) -> Graph:
-    """The graph after files ``changed`` (path, text; null text: deleted) replace those of their paths. All references are resolved
-    again, so edges from other files into what is defined anew are restored."""
-    kept = files.join(changed.select("path"), "path", "left_anti").select("path", "text")
-    return bootstrap_code(kept.unionByName(changed.where("text is not null").select("path", "text")), now)
+    Only these files are parsed; imports and definitions of the others are read from the graph. Ids of what stays do not move, new
+    ones go on from the largest. Edges from elsewhere into a replaced entity, those of decisions and facts included, lead to the
+    first new one of the same name and type in the same file; where there is none they go. Nodes that are not code stay.
+    """
+    paths = changed.select(F.col("path").alias("p")).distinct()
+    of_paths = lambda df, how: df.join(paths, is_code() & (F.col("source.file") == F.col("p")), how)
+    gone = of_paths(graph.nodes, "left_semi")
+    kept = remove_nodes(graph, gone)
+    there = changed.where("text is not null").select("path", "text")
+    top = graph.nodes.agg(F.coalesce(F.max("id"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
+    numbered = _numbered(checkpointed(code.entities(there)), there.select("path"))
+    numbered = checkpointed(numbered.withColumn("id", F.col("id") + top[0]).withColumn("seq", F.col("seq") + top[1]))
+    known = kept.nodes.where(is_code()).select("id", "seq", "name", F.col("node_type").alias("entity_type"), F.col("source.file").alias("file")).unionByName(numbered.drop("definition"))
+    imported = imported_files(_imports(known), known.where("entity_type = 'File'").select(F.col("file").alias("path")), packages)
+    here = there.select(F.col("path").alias("file"))
+    # Wildcard imports of the other files are among their edges.
+    imported = imported.join(here.withColumn("own", F.lit(True)), "file", "left").withColumn("whole", F.col("whole") & F.col("own").isNotNull()).drop("own")
+    fresh = _edges(known, checkpointed(code.references(there)), imported)
+    named = numbered.groupBy("file", "name", "entity_type").agg(F.min(F.struct("seq", "id")).alias("x"))
+    old = gone.select(F.col("id").alias("dst"), F.col("source.file").alias("file"), "name", F.col("node_type").alias("entity_type"))
+    again = of_paths(graph.edges, "left_anti").join(old, "dst").join(named, ["file", "name", "entity_type"])
+    again = again.join(gone.select(F.col("id").alias("src")), "src", "left_anti").withColumn("dst", F.col("x.id")).select(graph.edges.columns)
+    edges = of_paths(kept.edges, "left_anti").unionByName(again).unionByName(fresh, allowMissingColumns=True)
+    return Graph(kept.nodes.unionByName(_nodes(numbered, now), allowMissingColumns=True), edges, graph.documents, graph.node_types, graph.edge_types)

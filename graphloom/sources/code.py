@@ -303,16 +303,26 @@ def normal_path(path):
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
 
 
-def code_files(spark: SparkSession, base: str) -> DataFrame:
-    """(path, text) of the code files below ``base``, hidden ones included, without dependency folders and unreadable files."""
+def _below(spark: SparkSession, base: str, names: str) -> DataFrame:
+    """(path, text) of the files below ``base`` whose names match, hidden ones included, without dependency folders and unreadable files."""
     root = base.rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(base)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(base)
     relative = F.element_at(F.split(F.col("path"), F.lit(re.escape(root.split(":", 1)[-1].lstrip("/")))), -1)
     parts = F.split(relative, "/")
     own = raw.select(relative.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"), parts.alias("parts"))
     return own.where(F.col("text").isNotNull() & ~F.arrays_overlap("parts", F.array(*[F.lit(x) for x in DEPENDENCY_DIRS]))).select(normal_path(F.col("path")).alias("path"), "text")
 
 
+def code_files(spark: SparkSession, base: str) -> DataFrame:
+    """(path, text) of the code files below ``base``."""
+    return _below(spark, base, "*.{" + ",".join(EXTENSIONS) + "}")
+
+
+def package_manifests(spark: SparkSession, base: str) -> DataFrame:
+    """(path, text) of the package manifests below ``base``."""
+    return _below(spark, base, "package.json")
+
+
 def _extracted(files: DataFrame, which: str, schema: str) -> DataFrame:
     names = [x.strip().split()[0] for x in schema.split(",")]
     kinds = [pa.int64() if x.strip().split()[1] == "long" else pa.string() for x in schema.split(",")]
