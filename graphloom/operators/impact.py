@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FACT_TYPES, Graph
 from .navigation import inbound_counts, lookup, neighbors, normal
+from .paths import checkpointed
 from .ranking import is_code, same_path
 
 
@@ -32,9 +33,9 @@ def matching(nodes: DataFrame, name: str) -> DataFrame:
 
 def impact(graph: Graph, name: str, depth: int = 1) -> DataFrame:
     """(depth, name, relation_type, direction, place) of the neighbours, and at depth 2 of theirs; place: file or semantic."""
-    start = matching(graph.nodes, name)
+    start = checkpointed(matching(graph.nodes, name))  # read by several joins
     place = F.coalesce(F.col("other_source.file"), F.lit("semantic")).alias("place")
-    direct = neighbors(graph, start)
+    direct = checkpointed(neighbors(graph, start)) if depth > 1 else neighbors(graph, start)
     out = direct.select(F.lit(1).alias("depth"), F.col("other_name").alias("name"), "relation_type", "direction", place)
     if depth > 1:
         edge_of = direct.select(F.col("other").alias("node")).distinct()
@@ -43,11 +44,57 @@ def impact(graph: Graph, name: str, depth: int = 1) -> DataFrame:
     return out.distinct()
 
 
-def breaking_changes(affected: DataFrame) -> DataFrame:
-    """Distinct warnings for the places of ``affected``: stored formats, and the Python surface."""
-    path = F.lower("place")
-    warnings = F.array_compact(F.array(F.when(path.contains("storage") | path.contains("serial"), "stored data may fail to deserialise"), F.when(path.contains("python"), "Python callers may break")))
-    return affected.select(F.explode(warnings).alias("warning")).distinct()
+def impact_report(graph: Graph, name: str, depth: int = 1, most: int = 1000) -> str:
+    """What a change to an entity touches as text: references, at depth 2 indirect ones, and warnings. Of each neighbour and relation
+    the first edge counts. A section has ``most`` lines, and then the number of those left out."""
+    start = checkpointed(matching(graph.nodes, name))
+    if not start.limit(1).count():
+        return f"No entity found: {name}"
+    title = graph.nodes.join(start, F.col("id") == F.col("node")).orderBy("seq").select("name").first()["name"]
+    place = F.coalesce(F.when(F.col("other_source.kind") == "CodeAnalysis", F.col("other_source.file")), F.lit("semantic")).alias("place")
+    arrow = F.when(F.col("direction") == "outgoing", "→").otherwise("←").alias("arrow")
+    first = F.min(F.struct("edge_seq", "other", arrow, F.col("other_type").alias("kind"), place)).alias("x")
+    direct = checkpointed(neighbors(graph, start).groupBy(F.col("other_name").alias("name"), "relation_type").agg(first).select("name", "relation_type", "x.*"))
+    n = direct.count()
+    if not n:
+        return f"## Impact: {title}\n\nNo references found.\n"
+    lines, rows = [f"## Impact: {title}", "", f"References ({n}):"], direct.orderBy("name", "relation_type").limit(most).collect()
+    lines += [f"- {r['arrow']} {r['name']} ({r['relation_type']}) [{r['kind']}] in {r['place']}" for r in rows]
+    lines += [f"- and {n - most} more"] if n > most else []
+    if depth > 1:
+        via = direct.select(F.col("other").alias("node"), F.col("name").alias("via")).distinct()
+        second = neighbors(graph, via.select("node").distinct()).join(start.withColumnRenamed("node", "other"), "other", "left_anti").join(via, "node")
+        second = second.select("via", F.col("other_name").alias("name"), "relation_type", place).distinct()
+        m = second.count()
+        shown = second.orderBy("via", "name", "relation_type", "place").limit(most).collect()
+        lines += ["", f"Indirect ({m}):", *[f"- {r['via']} → {r['name']} ({r['relation_type']}) in {r['place']}" for r in shown]] if m else []
+        lines += [f"- and {m - most} more"] if m > most else []
+    warned = breaking_changes(direct, "place").orderBy("place", "warning").limit(most).collect()
+    lines += ["", "Breaking changes:", *[f"- {r['place']}: {r['warning']}" for r in warned]] if warned else []
+    return "\n".join(lines) + "\n"
+
+
+def impact_of_text(graph: Graph, event: str, depth: int = 1) -> str:
+    """The reports of all code entities, decisions and error resolutions whose whole name (three bytes or more) is in the old text of a
+    change event; empty if the event is no change or what it names has no references."""
+    try:
+        old = json.loads(event).get("old_string") or ""
+    except (ValueError, AttributeError):
+        return ""
+    known = is_code() | F.col("node_type").isin("Decision", "ErrorResolution")
+    named = graph.nodes.where(F.coalesce(known, F.lit(False)) & (F.octet_length("name") >= 3) & F.lit(old).contains(F.col("name")))
+    names = named.groupBy("name").agg(F.min("seq").alias("seq")).orderBy("seq").collect()  # parts of one text
+    reports = [impact_report(graph, r["name"], depth) for r in names]
+    return "\n".join(x for x in reports if "\nReferences (" in x)
+
+
+def _warnings(path: Column) -> Column:
+    return F.array_compact(F.array(F.when(path.contains("storage") | path.contains("serial"), "stored data may fail to deserialise"), F.when(path.contains("python"), "Python callers may break")))
+
+
+def breaking_changes(affected: DataFrame, *columns: str) -> DataFrame:
+    """Distinct warnings for the places of ``affected``, of each value of ``columns`` if given: stored formats, and the Python surface."""
+    return affected.select(*columns, F.explode(_warnings(F.lower("place"))).alias("warning")).distinct()
 
 
 def reference_files(graph: Graph, name: str) -> DataFrame:
@@ -60,10 +107,12 @@ def reference_files(graph: Graph, name: str) -> DataFrame:
 def pattern_groups(references: DataFrame) -> DataFrame:
     """References grouped by verb and target: count, number of base file names, and the first five."""
     verb = F.expr("case ref_type when 'ReadsField' then 'reads' when 'WritesField' then 'writes' when 'UsesType' then 'uses' when 'MethodCall' then 'calls .' else 'calls' end")
-    files = F.array_sort(F.collect_set(base_name(F.col("source_file"))))  # of one target's files
     name = F.col("target") if "target" in references.columns else F.col("target_name")
-    grouped = references.groupBy(F.concat(verb, F.lit(" "), name).alias("pattern")).agg(F.count(F.lit(1)).alias("n"), files.alias("f"))
-    return grouped.select("pattern", "n", F.size("f").cast("long").alias("total_files"), F.array_join(F.slice("f", 1, 5), ", ").alias("example_files"))
+    keyed = references.select(F.concat(verb, F.lit(" "), name).alias("pattern"), base_name(F.col("source_file")).alias("base"))
+    by_file = keyed.groupBy("pattern", "base").agg(F.count(F.lit(1)).alias("n"))
+    ranked = by_file.withColumn("k", F.row_number().over(Window.partitionBy("pattern").orderBy("base")))
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.struct("k", "base")))), lambda x: x["base"]), ", ")
+    return ranked.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("base").alias("total_files"), shown.alias("example_files"))
 
 
 def format_patterns(patterns: DataFrame) -> str:
@@ -85,8 +134,11 @@ def name_index(graph: Graph, least: int = 3) -> DataFrame:
     kinds = ["Function", "Method", "Struct", "Field", "Enum", "Trait", "Const", "Part", "Supplier"]
     own = graph.nodes.where(F.col("node_type").isin(*kinds)).select("id", "seq", "node_type", short_name(F.col("name")).alias("short")).where(F.octet_length("short") >= least)
     heads = own.join(inbound_counts(graph.edges), "id").groupBy("short").agg(F.min_by("node_type", "seq").alias("node_type"), F.max("inbound").alias("refs"))
-    files = graph.edges.where(is_code()).select(F.col("dst").alias("id"), F.col("source.file").alias("file")).distinct().join(own.select("id", "short"), "id").groupBy("short").agg(F.array_sort(F.collect_set("file")).alias("f"))
-    return heads.join(files, "short", "left").select(F.col("short").alias("name"), "node_type", "refs", F.coalesce(F.array_join(F.slice("f", 1, 10), ","), F.lit("")).alias("files"))
+    files = graph.edges.where(is_code()).select(F.col("dst").alias("id"), F.col("source.file").alias("file")).distinct().join(own.select("id", "short"), "id").select("short", "file").distinct()
+    # The first ten by rank: an entity that all files use does not gather them.
+    ranked = files.withColumn("k", F.row_number().over(Window.partitionBy("short").orderBy("file"))).where("k <= 10")
+    listed = ranked.groupBy("short").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "file"))), lambda x: x["file"]), ",").alias("files"))
+    return heads.join(listed, "short", "left").select(F.col("short").alias("name"), "node_type", "refs", F.coalesce("files", F.lit("")).alias("files"))
 
 
 def quick_impact(index: DataFrame, old_text: str) -> DataFrame:

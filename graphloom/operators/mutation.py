@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Graph
 
 
 def merge_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """One edge for each (src, dst, lower(relation)): the first one's id, spelling and source, the largest confidence.
+    """One edge for each (src, dst, lower(relation)): the first one's columns, the largest confidence, how many were ``merged``, and
+    where ``edges`` have evidence that of all, in order, once for each text.
 
-    Self loops, and with ``nodes`` edges of which an end is missing, are no edges. Direction counts. One aggregate: a hot pair
-    is combined before the shuffle.
+    Self loops, and with ``nodes`` edges of which an end is missing, are no edges. Direction counts. Aggregates: a hot pair is
+    combined before the shuffle, and so are its repeated texts.
     """
     real = edges.where("src <> dst")
     if nodes is not None:
         for end in ("src", "dst"):
             real = real.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
-    first = F.min_by(F.struct("id", "relation_type", "source"), F.col("seq")).alias("x")
-    merged = real.groupBy("src", "dst", F.lower("relation_type").alias("relation_key")).agg(first, F.max("confidence").alias("confidence"), F.min("seq").alias("seq"), F.count(F.lit(1)).alias("merged"))
-    return merged.select("x.id", "seq", "src", "dst", "x.relation_type", "confidence", "x.source", "merged")
-
-
-def merge_evidence(old: Column, new: Column) -> Column:
-    """Evidence with what is new by its text appended, in order."""
-    seen = lambda e: F.exists(old, lambda o: o["text_snippet"].eqNullSafe(e["text_snippet"]))
-    return F.concat(old, F.filter(new, lambda e: ~seen(e)))
+    key = ["src", "dst", F.lower("relation_type").alias("relation_key")]
+    own = [c for c in edges.columns if c not in ("src", "dst", "confidence", "seq", "evidence")]
+    first = F.min_by(F.struct(*own), F.col("seq")).alias("x")
+    merged = real.groupBy(*key).agg(first, F.max("confidence").alias("confidence"), F.min("seq").alias("seq"), F.count(F.lit(1)).alias("merged"))
+    columns = ["seq", "src", "dst", "confidence", "merged", *[f"x.{c}" for c in own]]
+    if "evidence" not in edges.columns:
+        return merged.select(*columns)
+    said = real.select(*key, F.col("seq").alias("q"), F.posexplode("evidence").alias("k", "said"))
+    once = said.groupBy("src", "dst", "relation_key", "said.text_snippet").agg(F.min_by("said", F.struct("q", "k")).alias("said"), F.min(F.struct("q", "k")).alias("at"))
+    all_ = F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("said")["text_snippet"].alias("t"), "said"))), lambda x: x["said"])
+    held = once.groupBy(F.col("src").alias("s"), F.col("dst").alias("d"), F.col("relation_key").alias("r")).agg(all_.alias("evidence"))
+    both = merged.join(held, (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")) & (F.col("relation_key") == F.col("r")), "left")
+    return both.select(*columns, F.coalesce("evidence", F.array().cast(edges.schema["evidence"].dataType)).alias("evidence"))
 
 
 def remove_nodes(graph: Graph, gone: DataFrame) -> Graph:

@@ -63,8 +63,10 @@ def incident(edges: DataFrame) -> DataFrame:
 
 
 def neighbors(graph: Graph, of: DataFrame) -> DataFrame:
-    """One row for each edge at the nodes ``of`` (column node): the other node, relation, direction, confidence."""
-    around = incident(graph.edges).join(of, "node").select("node", "other", "relation_type", "direction", F.col("confidence").alias("edge_confidence"), F.col("seq").alias("edge_seq"))
+    """One row for each edge at the nodes ``of`` (column node): the other node, relation, direction, confidence, and evidence where
+    the graph has it."""
+    said = [F.col("evidence").alias("edge_evidence")] if "evidence" in graph.edges.columns else []
+    around = incident(graph.edges).join(of, "node").select("node", "other", "relation_type", "direction", F.col("confidence").alias("edge_confidence"), F.col("seq").alias("edge_seq"), *said)
     other = graph.nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("node_type").alias("other_type"), F.col("source").alias("other_source"))
     return around.join(other, "other")
 
@@ -80,11 +82,15 @@ def follow(graph: Graph, of: DataFrame, relation: str) -> DataFrame:
 
 
 def explore(graph: Graph, name: str) -> DataFrame:
-    """The node that a name means, its definition, number of relations, and its neighbours' names in edge order."""
-    node = lookup(graph.nodes, name).select(F.col("id").alias("node"), "name", "node_type", "definition")
-    around = neighbors(graph, node.select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("relations"), F.sort_array(F.collect_list(F.struct("edge_seq", "direction", "other_name"))).alias("x"))
-    names = F.array_join(F.transform("x", lambda x: x["other_name"]), ", ").alias("related")
-    return node.join(around, "node", "left").select("name", "node_type", "definition", F.coalesce("relations", F.lit(0).cast("long")).alias("relations"), F.coalesce(names, F.lit("")).alias("related"))
+    """The node that a name means with one row for each of its relations, and one without any: name, node_type, definition, number of
+    ``relations``, and of each its direction, relation_type, other node's name and type, confidence and edge_seq; where the graph has
+    evidence also the node's and the edge's. A hub's relations are rows, not a list in one."""
+    said = ["evidence"] if "evidence" in graph.nodes.columns else []
+    node = lookup(graph.nodes, name).select(F.col("id").alias("node"), "name", "node_type", "definition", *said)
+    around = neighbors(graph, node.select("node")).drop("other", "other_source")
+    count = around.groupBy("node").agg(F.count(F.lit(1)).alias("relations"))
+    out = node.join(F.broadcast(count), "node", "left").join(around, "node", "left").drop("node")  # one row
+    return out.withColumn("relations", F.coalesce("relations", F.lit(0).cast("long")))
 
 
 def inbound_counts(edges: DataFrame) -> DataFrame:

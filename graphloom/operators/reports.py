@@ -37,3 +37,24 @@ def file_rules(graph: Graph, top: int = 10, least: int = 3) -> DataFrame:
     uses = graph.edges.groupBy(F.col("dst").alias("id")).agg(kind("reads").alias("reads"), kind("writes").alias("writes"), F.count(F.lit(1)).alias("refs"))
     ranked = code.join(large, "file").join(uses, "id").withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("refs"), "seq"))).where(F.col("k") <= top)
     return ranked.select("file", "entities", "k", "name", "refs", "reads", "writes")
+
+
+def file_rule(graph: Graph, path: str, top: int = 10) -> str:
+    """The rule of one file as text: its types with their references and how many files read and write each field, the functions and
+    methods that are referenced most, and what to run before a change. A file's entities are few."""
+    own = graph.nodes.where(is_code() & (F.col("source.file") == path) & ~F.col("node_type").isin("File", "Import")).select("id", "seq", "name", "node_type")
+    kind = lambda k: F.count_if(F.col("relation_type") == k)
+    uses = graph.edges.join(own.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("id")).agg(kind("reads").alias("reads"), kind("writes").alias("writes"), F.count(F.lit(1)).alias("refs"))
+    rows = own.join(uses, "id", "left").na.fill(0, ["reads", "writes", "refs"]).orderBy(F.desc("refs"), "seq").collect()
+    types = [r for r in rows if r["node_type"] in ("Struct", "Enum", "Trait")]
+    functions = [r for r in rows if r["node_type"] in ("Function", "Method")]
+    lines = ["---", "paths:", f'  - "{path}"', "---", ""]
+    for t in types:
+        lines.append(f"{t['name']}: {t['refs']} references")
+        for f in rows:
+            if f["node_type"] == "Field" and f["name"].startswith(t["name"] + ".") and f["reads"] + f["writes"]:
+                lines.append(f"  .{f['name'][len(t['name']) + 1 :]}: read in {f['reads']} files, written in {f['writes']}")
+    lines += ["", *[f"{f['name']} ({f['node_type']}): {f['refs']} references" for f in functions[:top] if f["refs"]]] if functions else []
+    lines += ["", "Before a change of a type: impact NAME shows all references"] if types else []
+    lines += ["Before a function is renamed: impact NAME"] if functions else []
+    return "\n".join(lines) + "\n"

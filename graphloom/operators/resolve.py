@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import Graph
+from ..schema import EVIDENCE, Graph
+from .mutation import merge_edges
 from .navigation import all_names, normal
 
 THRESHOLD = 0.85
@@ -81,11 +82,25 @@ def parse_extraction(text: str, document: str | None = None) -> dict:
     return {"entities": entities, "relations": relations}
 
 
+def _said(one: dict) -> list[tuple]:
+    """The evidence of an entity or relation of a batch."""
+    return [(one.get("document"), None, one["evidence"], 0, 0)] if one.get("evidence") else []
+
+
+def _source(like: DataFrame) -> Column:
+    """Source of what a batch adds, from its column document: the document, or memory; in the shape of the graph's."""
+    memory = F.coalesce(F.col("document") == "memory", F.lit(True))
+    parts = {"kind": F.when(memory, "Memory").otherwise("Document"), "name": F.when(~memory, F.col("document"))}
+    return F.struct(*[parts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema["source"].dataType])
+
+
 def ingest(graph: Graph, batch: dict, now: int = 0, threshold: float = THRESHOLD) -> tuple[Graph, IngestReport]:
     """Fold a batch (one extraction, so small) into the graph, in its order: each entity sees those before it.
 
     Matches in the graph are found by one resolution join over the batch's names; the fold over the matches is sequential by
-    nature and touches the batch only. Changes are applied with one join and one union for nodes and for edges.
+    nature and touches the batch only. Changes are applied with one join and one union for nodes; of the edges only those with the
+    ends and relation of a new one are merged. Where the graph has evidence, a node's goes on with each entity's, an edge's with
+    texts that it has not. Unknown types are errors where the graph has an ontology; mentions are always known.
     """
     spark, report = graph.nodes.sparkSession, IngestReport()
     entities = [e for e in batch.get("entities", []) if e["name"].strip()]
@@ -101,7 +116,9 @@ def ingest(graph: Graph, batch: dict, now: int = 0, threshold: float = THRESHOLD
     top = graph.nodes.agg(F.max("id"), F.max("seq")).first()
     next_id, next_seq = (top[0] or 0) + 1, (top[1] or 0) + 1
     types = {r["name"].lower() for r in graph.node_types.collect()} if graph.node_types is not None else set()
+    relation_types = {r["name"].lower() for r in graph.edge_types.collect()} if graph.edge_types is not None else set()
     added: dict[int, dict] = {}
+    said: dict[int, list] = {}
 
     def find(name: str) -> int | None:
         key = name.strip().lower()
@@ -128,7 +145,7 @@ def ingest(graph: Graph, batch: dict, now: int = 0, threshold: float = THRESHOLD
                 report.errors.append(f"unknown node type: {e['type']}")
                 continue
             at, next_id = next_id, next_id + 1
-            added[at] = {"id": at, "seq": next_seq, "name": e["name"].strip(), "node_type": e["type"], "definition": e["definition"], "aliases": list(e["aliases"]), "confidence": e["confidence"], "created_at": now, "tier": "Minor"}
+            added[at] = {"id": at, "seq": next_seq, "name": e["name"].strip(), "node_type": e["type"], "definition": e["definition"], "aliases": list(e["aliases"]), "confidence": e["confidence"], "created_at": now, "tier": "Minor", "document": e.get("document")}
             next_seq += 1
             report.entities_added += 1
         else:
@@ -139,15 +156,22 @@ def ingest(graph: Graph, batch: dict, now: int = 0, threshold: float = THRESHOLD
             node["confidence"] = max(node["confidence"], e["confidence"])
             node["aliases"] = list(node["aliases"] or []) + [a for a in e["aliases"] if a not in (node["aliases"] or [])]
             report.entities_merged += 1
+        said.setdefault(at, []).extend(_said(e))
         named.setdefault(e["name"], at)
-    change = spark.createDataFrame([(i, n["definition"], list(n["aliases"] or []), float(n["confidence"])) for i, n in held.items()], "id long, c_definition string, c_aliases array<string>, c_confidence double")
+    has_evidence = "evidence" in graph.nodes.columns
+    change = spark.createDataFrame([(i, n["definition"], list(n["aliases"] or []), float(n["confidence"]), said.get(i, [])) for i, n in held.items()], f"id long, c_definition string, c_aliases array<string>, c_confidence double, c_evidence {EVIDENCE.simpleString()}")
     nodes = graph.nodes.join(change, "id", "left")
     for c in ("definition", "aliases", "confidence"):
         nodes = nodes.withColumn(c, F.when(F.col("c_confidence").isNotNull(), F.col(f"c_{c}").cast(graph.nodes.schema[c].dataType)).otherwise(F.col(c)))
+    if has_evidence:
+        none = F.array().cast(EVIDENCE)
+        nodes = nodes.withColumn("evidence", F.when(F.size(F.coalesce("c_evidence", none)) > 0, F.concat(F.coalesce("evidence", none), "c_evidence")).otherwise(F.col("evidence")))
     nodes = nodes.select(graph.nodes.columns)
     if added:
-        new = spark.createDataFrame([tuple(n[k] for k in ("id", "seq", "name", "node_type", "definition", "aliases", "confidence", "created_at", "tier")) for n in added.values()], "id long, seq long, name string, node_type string, definition string, aliases array<string>, confidence double, created_at long, tier string")
-        new = new.withColumn("confidence", F.col("confidence").cast(nodes.schema["confidence"].dataType))
+        fields = ("id", "seq", "name", "node_type", "definition", "aliases", "confidence", "created_at", "tier", "document")
+        new = spark.createDataFrame([(*(n[k] for k in fields), said.get(i, [])) for i, n in added.items()], f"id long, seq long, name string, node_type string, definition string, aliases array<string>, confidence double, created_at long, tier string, document string, evidence {EVIDENCE.simpleString()}")
+        new = new.withColumn("confidence", F.col("confidence").cast(nodes.schema["confidence"].dataType)).withColumn("source", _source(nodes)).drop("document")
+        new = new if has_evidence else new.drop("evidence")
         nodes = nodes.unionByName(new, allowMissingColumns=True)
     pairs = []
     for r in relations:
@@ -157,22 +181,25 @@ def ingest(graph: Graph, batch: dict, now: int = 0, threshold: float = THRESHOLD
         ends = [named.get(r[k]) or find(r[k]) for k in ("source", "target")]
         if None in ends:
             report.errors.append(f"unknown end: {r['source']} -> {r['target']}")
+        elif relation_types and r["type"].lower() not in relation_types | {"mentions"}:
+            report.errors.append(f"unknown edge type: {r['type']}")
         elif ends[0] != ends[1]:
-            pairs.append((*ends, r["type"], r["confidence"]))
+            pairs.append((*ends, r["type"], r["confidence"], r.get("document"), _said(r)))
     edges = graph.edges
     if pairs:
         top = edges.agg(F.max("id"), F.max("seq")).first()
-        fresh = spark.createDataFrame([((top[0] or 0) + k, (top[1] or 0) + k, *p) for k, p in enumerate(pairs, 1)], "id long, seq long, src long, dst long, relation_type string, confidence double")
-        keyed = edges.select("src", "dst", F.lower("relation_type").alias("k")).distinct()
-        there = {(r["src"], r["dst"], r["k"]) for r in fresh.withColumn("k", F.lower("relation_type")).join(keyed, ["src", "dst", "k"], "left_semi").select("src", "dst", "k").collect()}
-        for a, b, kind, _ in pairs:
+        fresh = spark.createDataFrame([((top[0] or 0) + k, (top[1] or 0) + k, *p) for k, p in enumerate(pairs, 1)], f"id long, seq long, src long, dst long, relation_type string, confidence double, document string, evidence {EVIDENCE.simpleString()}")
+        fresh = fresh.withColumn("confidence", F.col("confidence").cast(edges.schema["confidence"].dataType)).withColumn("source", _source(edges)).drop("document")
+        fresh = fresh if "evidence" in edges.columns else fresh.drop("evidence")
+        keys = fresh.select(F.col("src").alias("s"), F.col("dst").alias("d"), F.lower("relation_type").alias("k")).distinct()
+        same = (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")) & (F.lower("relation_type") == F.col("k"))
+        touched = edges.join(keys, same, "left_semi")
+        there = {(r["src"], r["dst"], r["k"]) for r in touched.select("src", "dst", F.lower("relation_type").alias("k")).distinct().collect()}  # of the batch's pairs
+        for a, b, kind, *_ in pairs:
             new_edge = (a, b, kind.lower()) not in there
             there.add((a, b, kind.lower()))
             report.edges_added += new_edge
             report.edges_deduped += not new_edge
-        all_ = edges.unionByName(fresh.withColumn("confidence", F.col("confidence").cast(edges.schema["confidence"].dataType)), allowMissingColumns=True)
-        key = ["src", "dst", F.lower("relation_type").alias("k")]
-        most = all_.groupBy(*key).agg(F.max("confidence").alias("most"), F.min("seq").alias("first"))
-        edges = all_.join(most.withColumnRenamed("src", "s").withColumnRenamed("dst", "d"), (F.col("seq") == F.col("first")) & (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")) & (F.lower("relation_type") == F.col("k")))
-        edges = edges.withColumn("confidence", F.col("most")).select(graph.edges.columns)
+        merged = merge_edges(touched.unionByName(fresh, allowMissingColumns=True)).select(edges.columns)
+        edges = edges.join(keys, same, "left_anti").unionByName(merged)
     return Graph(nodes, edges, graph.documents, graph.node_types, graph.edge_types), report
