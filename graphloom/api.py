@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import chunks
 from .operators import discover, evaluate, impact, lifecycle, mutation, navigation, paths, ranking, reports, resolve
 from .plans import prompts, resolution
 from .schema import Graph
-from .sources import code, store
+from .sources import code, conversations, store
+
+
+@dataclass
+class BootstrapReport:
+    """What a bootstrap found: numbers of files and entities, and the texts of conversations (session_id, text) and of document chunks."""
+
+    files: int
+    entities: int
+    conversations: DataFrame
+    documents: DataFrame
 
 
 class KnowledgeGraph:
@@ -23,17 +34,30 @@ class KnowledgeGraph:
         self.graph = (store.save(self.graph, self.folder), store.load(self.spark, self.folder))[1]
 
     # sources
-    def bootstrap(self, base: str) -> tuple[int, int]:
-        """Index the code below a folder; nodes of other sources stay. Returns files and entities."""
+    def bootstrap(self, base: str, now: int = 0) -> tuple[int, int]:
+        """Index the code below a folder, with its package manifests. Nodes of other sources stay, with their ids and their edges to
+        what is still there. Returns files and entities."""
         files = code.code_files(self.spark, base)
-        new = resolution.bootstrap_code(files)
-        keep = mutation.remove_nodes(self.graph, self.graph.nodes.where(ranking.is_code()).select("id"))
-        shift = new.nodes.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        moved = lambda df, *names: df.select(*[(F.col(c) + shift).alias(c) if c in names else F.col(c) for c in df.columns])
-        nodes = new.nodes.unionByName(moved(keep.nodes, "id", "seq"), allowMissingColumns=True)
-        edges = new.edges.unionByName(moved(keep.edges, "src", "dst"), allowMissingColumns=True)
-        self.graph = Graph(nodes, edges, keep.documents, keep.node_types, keep.edge_types)
-        return files.count(), new.nodes.where("node_type <> 'File'").count()
+        packages = resolution.package_entries(code.package_manifests(self.spark, base), files.select("path"))
+        left = reports.source_files(self.graph.nodes).select(F.col("file").alias("path")).join(files.select("path"), "path", "left_anti")
+        self.graph = resolution.reindex(self.graph, files.unionByName(left.withColumn("text", F.lit(None).cast("string"))), packages, now)
+        own = self.graph.nodes.where(ranking.is_code())
+        return files.count(), own.where("node_type <> 'File'").count()
+
+    def bootstrap_all(self, base: str, config: store.Config, transcripts: str | None = None, now: int = 0) -> BootstrapReport:
+        """All three channels: code is indexed; conversations (of the project's folder below ``transcripts``, if the configuration
+        wants them) and the configured documents give texts for extraction."""
+        files, entities = self.bootstrap(base, now)
+        local = base.removeprefix("file://")
+        folder = conversations.find_project(transcripts, local) if transcripts and config.conversations else None
+        texts = conversations.conversations(conversations.read_messages(self.spark, f"file://{folder}")) if folder else self.spark.createDataFrame([], "session_id string, text string")
+        return BootstrapReport(files, entities, texts, conversations.documents(self.spark, [x if x.startswith("/") else f"{local}/{x}" for x in config.documents]))
+
+    def reindex(self, base: str, path: str, now: int = 0) -> None:
+        """Read one file below ``base`` again, or drop it if it is gone; nothing else is parsed, nothing else goes."""
+        files = code.code_files(self.spark, base).where(F.col("path") == path)
+        gone = self.spark.createDataFrame([(path, None)], "path string, text string").join(files.select("path"), "path", "left_anti")
+        self.graph = resolution.reindex(self.graph, files.unionByName(gone), now=now)
 
     def update_ontology(self, text: str) -> None:
         raw = json.loads(text)
@@ -108,6 +132,15 @@ class KnowledgeGraph:
     def impact(self, name: str, depth: int = 1) -> DataFrame:
         return impact.impact(self.graph, name, depth)
 
+    def impact_report(self, name: str, depth: int = 1) -> str:
+        return impact.impact_report(self.graph, name, depth)
+
+    def impact_of_text(self, event: str, depth: int = 1) -> str:
+        return impact.impact_of_text(self.graph, event, depth)
+
+    def file_rule(self, path: str) -> str:
+        return reports.file_rule(self.graph, path)
+
     def impact_from_change(self, event: str) -> str:
         return impact.impact_from_change(self.graph, event)
 
@@ -125,12 +158,13 @@ class KnowledgeGraph:
 
     # changes
     def _add_edges(self, new: DataFrame) -> int:
-        """Mentions found by discovery, with ids behind those in use."""
-        from pyspark.sql import Window
-
-        rows = new.withColumn("k", F.row_number().over(Window.orderBy("src", "dst")))
+        """New edges with ids behind those in use, numbered in parts: each part of a range by its own rank and the sizes of those before."""
         top = self.graph.edges.agg(F.coalesce(F.max("id"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
-        rows = rows.withColumn("id", F.col("k") + top[0]).withColumn("seq", F.col("k") + top[1]).drop("k")
+        rows = paths.checkpointed(new.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+        sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.min("at").alias("first"))
+        sizes = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size"))  # a row for each partition
+        k = F.col("before") + F.col("at") - F.col("first") + 1
+        rows = rows.join(F.broadcast(sizes.drop("size")), "part").withColumn("id", k + top[0]).withColumn("seq", k + top[1]).drop("part", "at", "first", "before")
         n = rows.count()
         self.graph.edges = self.graph.edges.unionByName(rows, allowMissingColumns=True)
         return n

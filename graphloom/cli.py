@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from .api import KnowledgeGraph
 from .functions.text import facts
 from .operators import impact
-from .plans import resolution
 from .session import session
-from .sources import code, store
+from .sources import store
 from .streaming import monitor
 
 
@@ -35,6 +34,7 @@ def _usage(spark, path: str, threshold: int, window: int):
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="graphloom")
     top.add_argument("--graph", default="graph-store")
+    top.add_argument("--config", help="configuration in TOML; without it the defaults hold")
     sub = top.add_subparsers(dest="command", required=True)
 
     def add(name: str, *arguments: tuple) -> None:
@@ -51,10 +51,11 @@ def parser() -> argparse.ArgumentParser:
     for name in ("export", "sync-rules", "build-index"):
         add(name, (("out",), {}))
     for name in ("init", "bootstrap"):
-        add(name, (("base",), {"nargs": "?", "default": "."}))
-    add("impact", (("name",), {}), (("--depth",), {"type": int, "default": 1}))
+        add(name, (("base",), {"nargs": "?", "default": "."}), (("--transcripts",), {"help": "folder with a folder of transcripts for each project"}))
+    add("impact", (("name",), {}), (("--depth",), {"type": int, "default": 1}), (("--report",), {"action": "store_true"}))
     add("quick-impact", (("event",), {"nargs": "?"}))
-    add("impact-from-diff", (("event",), {"nargs": "?"}))
+    add("impact-from-diff", (("event",), {"nargs": "?"}), (("--names",), {"action": "store_true", "help": "reports of all names in the old text"}))
+    add("file-rule", (("path",), {}))
     add("reindex", (("base",), {}), (("file",), {}))
     add("reconcile", (("input",), {"nargs": "?"}))
     add("snapshot", (("text",), {"nargs": "?"}))
@@ -62,7 +63,7 @@ def parser() -> argparse.ArgumentParser:
         add(name, (("log",), {}), (("--threshold",), {"type": int, "default": 85}), (("--window",), {"type": int, "default": 200_000}), (("--every",), {"type": int, "default": 20}), (("--counter",), {"default": ".tick"}))
     add("file-context", (("path",), {}), (("--budget",), {"type": int, "default": 300}))
     add("relevant", (("query",), {}), (("--budget",), {"type": int, "default": 500}))
-    add("context", (("--budget",), {"type": int, "default": 2000}))
+    add("context", (("--budget",), {"type": int}))
     add("accuracy-bench", (("folder",), {}), (("--case",), {}), (("--repo",), {"action": "append", "default": [], "help": "NAME=DIR"}))
     return top
 
@@ -86,15 +87,19 @@ def main(argv: list[str] | None = None) -> int:
         _rows(facts(spark.createDataFrame([(1, read(a.text))], "doc_id long, text string")).select("fact_type", "fact"))
         return 0
     kg = KnowledgeGraph(spark, a.graph)
+    config = store.load_config(a.config) if a.config else store.Config()
     if a.command in ("init", "bootstrap"):
-        print("files %d, entities %d" % kg.bootstrap(a.base))
+        found = kg.bootstrap_all(a.base, config, a.transcripts, now)
         kg.save()
+        for name, texts in (("conversations", found.conversations), ("documents", found.documents)):
+            texts.write.mode("overwrite").json(f"{a.graph}/texts/{name}")
+        counts = [spark.read.schema(df.schema).json(f"{a.graph}/texts/{name}").count() for name, df in (("conversations", found.conversations), ("documents", found.documents))]
+        print("files %d, entities %d, conversations %d, document chunks %d" % (found.files, found.entities, *counts))
         if a.command == "init":
             store.write_rules(kg.graph, f"{a.graph}/rules")
             store.write_index(impact.name_index(kg.graph), f"{a.graph}/name-index")
     elif a.command == "reindex":
-        files = code.code_files(spark, a.base)
-        kg.graph = resolution.reindex(files, files.where(F.col("path") == a.file))
+        kg.reindex(a.base, a.file, now)
         kg.save()
     elif a.command == "reconcile":
         print(json.dumps(kg.reconcile(read(a.input), now)))
@@ -111,13 +116,17 @@ def main(argv: list[str] | None = None) -> int:
         event = json.loads(read(a.event))
         _rows(impact.quick_impact(impact.name_index(kg.graph), event.get("tool_input", event).get("old_string", "")))
     elif a.command == "impact-from-diff":
-        print(kg.impact_from_change(read(a.event)))
+        print(kg.impact_of_text(read(a.event), config.depth) if a.names else kg.impact_from_change(read(a.event)))
+    elif a.command == "impact" and a.report:
+        print(kg.impact_report(a.name, a.depth))
+    elif a.command == "file-rule":
+        print(kg.file_rule(a.path))
     elif a.command == "accuracy-bench":
         print(kg.accuracy(a.folder, dict(x.split("=", 1) for x in a.repo), a.case))
     else:
         _rows({
             "stats": lambda: kg.stats(), "topics": lambda: kg.topics(), "explore": lambda: kg.explore(a.name), "lookup": lambda: kg.lookup(a.name), "recent": lambda: kg.recent(a.k), "impact": lambda: kg.impact(a.name, a.depth),
-            "file-context": lambda: kg.file_context(a.path, a.budget), "relevant": lambda: kg.relevant(a.query, a.budget), "context": lambda: kg.context(now, a.budget),
+            "file-context": lambda: kg.file_context(a.path, a.budget), "relevant": lambda: kg.relevant(a.query, a.budget), "context": lambda: kg.context(now, a.budget or config.budget),
         }[a.command]())
     return 0
 

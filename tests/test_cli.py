@@ -5,6 +5,7 @@ import json
 import pytest
 
 from graphloom import cli
+from graphloom.api import KnowledgeGraph
 from graphloom.sources import conversations, store
 
 
@@ -35,11 +36,40 @@ def test_project(spark, project, capsys):
     (project / "src/app/errors.py").write_text("class AppError(Exception):\n    pass\nclass Other(AppError):\n    pass\n")
     call(capsys, *base, "reindex", f"file://{project}/src", "app/errors.py")
     assert "Other" in call(capsys, *base, "lookup", "Other")[1]
-    facts = json.dumps({"new_facts": [{"name": "Keep errors small", "type": "Decision", "tier": "Critical", "definition": "one class"}]})
-    assert json.loads(call(capsys, *base, "reconcile", facts)[1])["added"] == 1
+    facts = json.dumps({"new_facts": [{"name": "Keep errors small", "type": "Decision", "tier": "Critical", "definition": "one class"}], "relations": [{"from": "Keep errors small", "to": "AppError", "type": "about"}]})
+    done = json.loads(call(capsys, *base, "reconcile", facts)[1])
+    assert (done["added"], done["edges_new"]) == (1, 1)
     assert "Keep errors small" in call(capsys, *base, "context", "--budget", "500")[1]
-    again = call(capsys, *base, "bootstrap", f"file://{project}/src")[1]
-    assert again.startswith("files 2") and "Keep errors small" in call(capsys, *base, "recent", "20")[1]
+    # Reconcile, collect and then read a file again, all on one graph.
+    (project / "src/app/errors.py").write_text("class AppError(Exception):\n    pass\nclass Third(AppError):\n    pass\n")
+    call(capsys, *base, "reindex", f"file://{project}/src", "app/errors.py")
+    assert "Third" in call(capsys, *base, "lookup", "Third")[1] and "Other" not in call(capsys, *base, "recent", "50")[1]
+    def check_facts():
+        rows = {r["name"]: r for r in map(json.loads, call(capsys, *base, "recent", "50")[1].splitlines())}
+        assert "Keep errors small" in rows
+        assert "--[about]-->" in call(capsys, *base, "connect", "Keep errors small", "AppError")[1]
+        return rows
+    ids = {n: r["id"] for n, r in check_facts().items() if r["node_type"] == "Decision"}
+    report = call(capsys, *base, "impact", "AppError", "--report", "--depth", "2")[1]
+    assert report.startswith("## Impact: AppError") and "- ← app/main.py (" in report and "Keep errors small (about) [Decision] in semantic" in report
+    assert "AppError" in call(capsys, *base, "impact-from-diff", "--names", json.dumps({"old_string": "raise AppError()"}))[1]
+    assert "AppError: " in call(capsys, *base, "file-rule", "app/errors.py")[1]
+    # All channels: code with package manifests, transcripts of the project, configured documents.
+    line = lambda role, content: json.dumps({"type": role, "sessionId": "s", "timestamp": content, "message": {"role": role, "content": content}})
+    talk = project / "talk" / conversations.project_key(f"{project}/src")
+    talk.mkdir(parents=True)
+    (talk / "a.jsonl").write_text("\n".join([line("user", "explain this module to me"), line("assistant", "it is a long story indeed"), line("user", "and now the second part")]))
+    (project / "src/notes.md").write_text("One sentence here. " * 400)
+    (project / "conf.toml").write_text('[sources]\ndocuments = ["notes.md", "missing.md"]\n')
+    (project / "src/pkg/lib").mkdir(parents=True)
+    (project / "src/pkg/package.json").write_text('{"name": "@me/pkg", "main": "lib/x"}')
+    (project / "src/pkg/lib/x.js").write_text("export function packed() {}\n")
+    (project / "src/use.ts").write_text("import { packed } from '@me/pkg';\npacked();\n")
+    again = call(capsys, "--config", str(project / "conf.toml"), *base, "bootstrap", f"file://{project}/src", "--transcripts", str(project / "talk"))[1]
+    assert again.startswith("files 4") and "conversations 1, document chunks 2" in again
+    assert "explain this module" in spark.read.json(f"{graph}/texts/conversations").first()["text"]
+    assert "use.ts" in call(capsys, *base, "impact", "packed")[1]
+    assert ids == {n: r["id"] for n, r in check_facts().items() if r["node_type"] == "Decision"}
     suite = project / "suite"
     (suite / "cases").mkdir(parents=True)
     (suite / "repos.toml").write_text('[app]\nurl = "u"\ncommit = "c"\n')
@@ -48,6 +78,28 @@ def test_project(spark, project, capsys):
     assert "TOTAL: precision 1.000 recall 1.000 f1 1.000" in report
 
 
+def test_store_keeps_the_last_whole_version(spark, tmp_path, monkeypatch):
+    """A writer that stops before its head is there leaves the version before; heads are never replaced."""
+    kg, path = KnowledgeGraph(spark, f"file://{tmp_path}/g"), f"file://{tmp_path}/g"
+    for k in range(11):
+        kg.graph.nodes = spark.createDataFrame([(k, f"n{k}")], "id long, name string")
+        if k < 2 or k == 10:
+            kg.save()
+    heads = store._heads(spark, path)
+    assert len(heads) == 3 and store.load(spark, path).nodes.first()["name"] == "n10"
+    kg.graph.nodes = spark.createDataFrame([(99, "lost")], "id long, name string")
+    monkeypatch.setattr(store.json, "dumps", lambda x: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        kg.save()
+    monkeypatch.undo()
+    assert store._heads(spark, path) == heads and store.load(spark, path).nodes.first()["name"] == "n10"
+    (tmp_path / "g" / "HEAD-999999999999-x").write_text("no json")
+    with pytest.raises(store.StoreError):
+        store.load(spark, path)
+    with pytest.raises(store.StoreError):
+        store.load(spark, f"file://{tmp_path}/none")
+
+
 def test_usage_commands(spark, tmp_path, capsys):
     log, counter = tmp_path / "log.jsonl", str(tmp_path / "tick")
     use = lambda n: json.dumps({"type": "assistant", "message": {"role": "assistant", "usage": {"input_tokens": n}}})
@@ -77,6 +129,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "doc.md").write_text("One sentence here. " * 400)
     chunks = conversations.documents(spark, [str(tmp_path / "doc.md"), str(tmp_path / "missing.md")])
     assert chunks.count() > 1
+    # Texts that begin with a bracket are texts, arrays are blocks.
+    block = json.dumps({"type": "user", "sessionId": "t", "timestamp": "1", "message": {"role": "user", "content": [{"type": "text", "text": "in a block"}]}})
+    (folder / "a.jsonl").write_text("\n".join([line("user", "[note] please read this"), line("assistant", '[{"type": "text", "text": "quoted"}]'), "bad", block]))
+    got = [r["content"] for r in conversations.read_messages(spark, f"file://{folder}/a.jsonl").orderBy("ord").collect()]
+    assert got == ["[note] please read this", '[{"type": "text", "text": "quoted"}]', "in a block"]
     bad = tmp_path / "c.toml"
     bad.write_text("not = [toml")
     with pytest.warns(UserWarning):

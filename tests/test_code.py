@@ -2,6 +2,7 @@
 
 from graphloom.operators import impact
 from graphloom.plans import resolution
+from graphloom.schema import Graph
 from graphloom.sources import code, store
 
 RUST = "use std::io;\nconst MAX: u32 = 3;\npub struct Node { pub id: u64 }\nenum Kind { A }\ntrait Run { fn go(&self); }\nimpl Node {\n  pub fn new() -> Node { let x = helper(1); x.name = 2; Graph::load(x); x.save(); x }\n}\nfn helper(n: u64) -> Kind { n.id }\n"
@@ -66,9 +67,22 @@ def test_bootstrap_and_reindex(spark):
     assert not any(e[2] == "_hid" for e in found)
     assert [r["file"] for r in impact.reference_files(g, "AppError").collect()] == ["app/main.py"]
     changed = spark.createDataFrame([("app/errors.py", "class AppError(Exception):\n    pass\nclass Fresh:\n    pass\n"), ("src/Repo.java", None)], "path string, text string")
-    after = resolution.reindex(files, changed)
-    names = {r["name"] for r in after.nodes.collect()}
-    assert "Fresh" in names and "Repo" not in names and ("app/main.py", "calls", "AppError", 2) in edges(after)
+    # A decision about an entity keeps its edge where the entity stays, by name, and loses it where it goes.
+    ids = {(r["name"], r["source"]["file"]): r["id"] for r in g.nodes.collect()}
+    top = max(ids.values())
+    about = [(top + 1, top + 1, "Small errors", "Decision", top + 2), (top + 2, top + 2, "Newer", "Decision", None)]
+    facts = spark.createDataFrame(about, "id long, seq long, name string, node_type string, superseded_by long")
+    ends = [(k, k, top + 1, next(i for (n, _), i in ids.items() if n == name), "about") for k, name in enumerate(("AppError", "Repo"), 1)]
+    linked = spark.createDataFrame(ends, "id long, seq long, src long, dst long, relation_type string")
+    before = Graph(g.nodes.unionByName(facts, allowMissingColumns=True), g.edges.unionByName(linked, allowMissingColumns=True))
+    after = resolution.reindex(before, changed)
+    rows = {r["name"]: r for r in after.nodes.collect()}
+    assert "Fresh" in rows and "Repo" not in rows and ("app/main.py", "calls", "AppError", 2) in edges(after)
+    assert (rows["Small errors"]["id"], rows["Small errors"]["superseded_by"], rows["Newer"]["id"]) == (top + 1, top + 2, top + 2)
+    assert {(a, r, b) for a, r, b, _ in edges(after) if r == "about"} == {("Small errors", "about", "AppError")}
+    kept = {(r["name"], r["source"]["file"]): r["id"] for r in after.nodes.where("source.kind = 'CodeAnalysis'").collect()}
+    assert all(kept[x] == ids[x] for x in kept if x in ids and x[1] != "app/errors.py") and kept["AppError", "app/errors.py"] > top + 2
+    assert edges(after) - {x for x in edges(after) if x[1] == "about"} <= edges(resolution.bootstrap_code(files.join(changed, "path", "left_anti").unionByName(changed.where("text is not null"))))
 
 
 def test_scan_and_index(spark, tmp_path):

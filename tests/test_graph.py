@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.api import KnowledgeGraph
-from graphloom.operators import discover, evaluate, impact, lifecycle, mutation, navigation, paths, ranking, resolve
-from graphloom.schema import Graph
+from graphloom.operators import discover, evaluate, impact, lifecycle, mutation, navigation, paths, ranking, reports, resolve
+from graphloom.schema import EDGES, EVIDENCE, NODES, Graph
 
 NODE = "id long, seq long, name string, node_type string, definition string, aliases array<string>, confidence double, source struct<kind:string,file:string>, created_at long, tier string, superseded_by long"
 EDGE = "id long, seq long, src long, dst long, relation_type string, confidence double, source struct<kind:string,file:string>"
@@ -52,7 +52,9 @@ def test_neighbours_paths_and_stats(spark, people):
     assert (q["orphan_count"], q["orphan_ratio"], q["average_degree"]) == (1, 0.25, 1.0)
     empty = Graph(people.nodes.limit(0), people.edges.limit(0))
     assert navigation.quality_metrics(empty).first()["average_degree"] == 0
-    assert navigation.explore(people, "Engines").first()["relations"] == 2
+    seen = navigation.explore(people, "Engines").collect()
+    assert {(r["relations"], r["direction"], r["other_name"]) for r in seen} == {(2, "incoming", "Ada"), (2, "outgoing", "Budget Of Engines")}
+    assert [(r["name"], r["relations"], r["other_name"]) for r in navigation.explore(people, "alone").collect()] == [("Alone", 0, None)]
 
 
 def test_edge_merge_keeps_the_first_spelling_and_is_idempotent(spark):
@@ -63,6 +65,28 @@ def test_edge_merge_keeps_the_first_spelling_and_is_idempotent(spark):
     assert mutation.merge_edges(merged).count() == 2
 
 
+def test_evidence(spark):
+    """Merged edges have each text once, in order; ingestion appends a node's and merges an edge's; look-ups show both."""
+    said = lambda *texts: [("d", None, t, 0, 0) for t in texts]
+    rows = [(1, 1, 1, 2, "uses", 0.3, ("Document", None), said("a", "b")), (2, 2, 1, 2, "USES", 0.9, ("Document", None), said("b", "c")), (3, 3, 2, 1, "uses", 0.1, ("Document", None), None)]
+    edges = spark.createDataFrame(rows, EDGE + f", evidence {EVIDENCE.simpleString()}")
+    merged = {r["src"]: [x["text_snippet"] for x in r["evidence"]] for r in mutation.merge_edges(edges).collect()}
+    assert merged == {1: ["a", "b", "c"], 2: []}
+    kg = Graph(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES))
+    batch = lambda text, doc: resolve.parse_extraction(json.dumps({"entities": [{"name": "Alpha", "evidence_text": text}, {"name": "Beta"}], "relations": [{"source": "Alpha", "target": "Beta", "type": "has", "evidence_text": t} for t in ("x", text)]}), doc)
+    for text, doc in (("one", "notes"), ("two", None), ("one", None)):
+        kg, report = resolve.ingest(kg, batch(text, doc))
+    assert (report.edges_added, report.edges_deduped) == (0, 2)
+    node = kg.nodes.where("name = 'Alpha'").first()
+    assert [x["text_snippet"] for x in node["evidence"]] == ["one", "two", "one"] and (node["source"]["kind"], node["source"]["name"]) == ("Document", "notes")
+    assert [[x["text_snippet"] for x in r["evidence"]] for r in kg.edges.collect()] == [["x", "one", "two"]]
+    seen = navigation.explore(kg, "alpha").first()
+    assert len(seen["evidence"]) == 3 and [x["document"] for x in seen["edge_evidence"]] == ["notes", "notes", "memory"]
+    kg.edge_types = spark.createDataFrame([("owns",)], "name string")
+    _, report = resolve.ingest(kg, {"entities": [], "relations": [{"source": "Alpha", "target": "Beta", "type": t, "confidence": 0.5} for t in ("OWNS", "mentions", "likes")]})
+    assert report.edges_added == 2 and report.errors == ["unknown edge type: likes"]
+
+
 def test_ontology(spark, people):
     known = spark.createDataFrame([("person",)], "name string")
     assert mutation.allowed(people.nodes, "node_type", known).where("error is null").count() == 1
@@ -106,6 +130,19 @@ def test_impact(spark):
     assert "reads Core: 1" in report["hookSpecificOutput"]["additionalContext"]
 
 
+def test_impact_reports(spark):
+    g = make(spark, [{"name": "Core", "type": "Struct", "kind": "CodeAnalysis", "file": "core.rs"}, {"name": "a", "kind": "CodeAnalysis", "file": "src/storage.rs"}, {"name": "Core.size", "type": "Field", "kind": "CodeAnalysis", "file": "core.rs"}, {"name": "far"}, {"name": "Lone", "kind": "CodeAnalysis", "file": "core.rs"}],
+             [(2, 1, "reads", 1.0, "src/storage.rs"), (2, 1, "reads", 1.0, "src/other.rs"), (2, 3, "writes", 1.0, "x.rs"), (4, 2, "uses")])
+    report = impact.impact_report(g, "Core", 2)
+    assert "References (1):\n- ← a (reads) [Concept] in src/storage.rs\n" in report and "Indirect (2):\n- a → Core.size (writes) in core.rs\n- a → far (uses) in semantic\n" in report
+    assert report.endswith("Breaking changes:\n- src/storage.rs: stored data may fail to deserialise\n")
+    assert impact.impact_report(g, "none") == "No entity found: none" and "No references found." in impact.impact_report(g, "Lone")
+    text = impact.impact_of_text(g, json.dumps({"old_string": "struct Core { size } Lone"}))
+    assert text.count("## Impact") == 1 and impact.impact_of_text(g, "x") == impact.impact_of_text(g, "[]") == impact.impact_of_text(g, "{}") == ""
+    rule = reports.file_rule(g, "core.rs")
+    assert "Core: 2 references\n  .size: read in 0 files, written in 1\n" in rule and "Before a change of a type" in rule and "Before a function" not in rule
+
+
 def test_patterns(spark):
     rows = [(f"d{k % 3}/f{k}.rs", 1, "go", "Calls") for k in range(12)] + [("a/f0.rs", 2, "go", "ReadsField")]
     groups = impact.pattern_groups(spark.createDataFrame(rows, "source_file string, source_line long, target string, ref_type string"))
@@ -202,5 +239,9 @@ def test_lookups_by_substring(people, spark):
 
 
 def test_search_has_no_depth_limit(spark):
-    edges = spark.createDataFrame([(k, k + 1, k) for k in range(1, 54)], "src long, dst long, seq long")
-    assert paths.shortest_path(edges, 1, 54) == list(range(1, 55))
+    """A chain of 80 nodes with a side branch and a cycle: levels, parents and path."""
+    pairs = [(k, k + 1) for k in range(1, 80)] + [(3, 200), (200, 201), (10, 8)]
+    edges = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(pairs)], "src long, dst long, seq long")
+    assert paths.shortest_path(edges, 80, 1) == [*range(80, 10, -1), 10, 8, 7, 6, 5, 4, 3, 2, 1]
+    near = {r["node"]: r["depth"] for r in paths.levels(edges, spark.createDataFrame([(1,)], "node long"), 4).collect()}
+    assert near == {1: 0, 2: 1, 3: 2, 4: 3, 200: 3, 5: 4, 201: 4}
