@@ -5,8 +5,9 @@ quality, so a walk in ascending key order is a weighted sample without replaceme
 completely as often as its target allows (complete epochs); the rest of the target goes to the documents
 with the smallest keys, up to the running sum of sizes that comes nearest to it (fractional selection).
 
-No source is gathered in a task. Sizes are summed by (source, key bucket), a source of n rows has sqrt(n) buckets, and
-only the one bucket in which the budget ends is put in order. What that yields for each
+No source is gathered in a task. Sizes are summed by (source, key bucket), a source of n rows has 4 sqrt(n) buckets, and
+only the one bucket in which the budget ends is put in order. Buckets are even steps of exp(-LEAST_WEIGHT * key): of documents
+of weight w, a bucket holds a share of at most w / (LEAST_WEIGHT * buckets), so about sqrt(n) rows, whatever the weights. What that yields for each
 source is a cut (bucket, key, id, hash), and each document compares itself with the cut of its source.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Weights are from here to 1.
+LEAST_WEIGHT = 0.25
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -29,7 +32,7 @@ def quality_weight(text: Column) -> Column:
     """1 for a text without mark-up symbols down to 0.25 where they are a tenth of it or more."""
     marks = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
     share = marks.cast("double") * 10.0 / F.greatest(F.length(text), F.lit(1)).cast("double")
-    return F.lit(1.0) - F.lit(0.75) * F.coalesce(F.least(share, F.lit(1.0)), F.lit(0.0))
+    return F.lit(1.0) - F.lit(1.0 - LEAST_WEIGHT) * F.coalesce(F.least(share, F.lit(1.0)), F.lit(0.0))
 
 
 def _keyed(docs: DataFrame, text: str, source: str, doc_id: str, weight, seed: str) -> list[Column]:
@@ -40,7 +43,7 @@ def _keyed(docs: DataFrame, text: str, source: str, doc_id: str, weight, seed: s
 
 
 def _bucket(rows: Column) -> Column:
-    return F.floor((F.lit(1.0) - F.exp(-F.col("m_key"))) * rows).cast("long")
+    return F.floor((F.lit(1.0) - F.exp(F.col("m_key") * -LEAST_WEIGHT)) * rows).cast("long")
 
 
 def targets(sizes: DataFrame, share: float, cycle: tuple[int, ...], cap: float) -> DataFrame:
@@ -69,7 +72,7 @@ def _cuts(slim: DataFrame, scratch: Scratch, share: float, cycle: tuple[int, ...
     goal = targets(sizes, share, cycle, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))
-    goal = goal.withColumn("n_buckets", F.ceil(F.sqrt("n_rows")).cast("double")).withColumnRenamed("m_source", "g_source")
+    goal = goal.withColumn("n_buckets", F.ceil(F.sqrt("n_rows") / LEAST_WEIGHT).cast("double")).withColumnRenamed("m_source", "g_source")
     goal = scratch.table(goal, "goal")
     same = F.col("m_source").eqNullSafe(F.col("g_source"))
     dealt = slim.join(goal.select("g_source", "n_buckets"), same).withColumn("bucket", _bucket(F.col("n_buckets")))
