@@ -1,11 +1,16 @@
 """Exact inner-product top-k by ball trees.
 
 Vectors are dealt to shards of a bounded size; each shard is a ball tree (centre, radius, least id of every node). Queries
-come in blocks. A row is a block and a shard, and is searched by branch and bound: the inner product of a query with
-anything in a ball is at most <query, centre> + |query| * radius; children are visited in the order of that bound, and a
-node is left out if the bound is below the current kth score (or equals it and every id in the ball is larger). The kth
-score starts at that over a fixed sample of the vectors, and is shared by all shards that a task searches. The best k of
-each shard meet in a last ranking, k rows for each query and shard at most.
+come in blocks. The inner product of a query with anything in a ball is at most <query, centre> + |query| * radius.
+
+1. Blocks meet the roots of all shards, ``ROOTS`` in a row: pairs of a block and a shard remain whose bound reaches the kth score of a
+   query, which starts at that over a fixed sample of the vectors. A pair is two numbers and a bound for each query.
+2. A block takes its shards in the order of their bounds, in rounds of ever more (``FIRST``, then ``GROWTH`` times as many). A round
+   leaves out the pairs whose bounds do not reach the kth scores that all rounds before have found, and only then ships blocks
+   and trees. A tree is searched by branch and bound: children in the order of the bound, no node with a bound below the current
+   kth score (or equal, with every id in the ball larger). That score is shared by all shards that a task searches, and after the
+   round by all tasks.
+3. The best k of each query after a round are a ranking of k rows for each query and shard at most.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from .scratch import Scratch
 
 LEAF = 64
 SHARD_ROWS, BLOCK_ROWS, SAMPLE_ROWS = 4096, 256, 1024
+ROOTS, FIRST, GROWTH = 256, 4, 8
+LEAST = np.iinfo(np.int64).min
 EXACT = float(1 << 53)
 
 
@@ -72,23 +79,32 @@ class BallTree:
         return node
 
 
+def bounds(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """For each query and ball, what no inner product exceeds. Rounding is covered by a part in 1e9 of the terms' size."""
+    d = min(queries.shape[1], centres.shape[1])
+    norm = np.sqrt((queries**2).sum(axis=1))
+    reach = norm[:, None] * (radii + 1e-9 * np.sqrt((centres**2).sum(axis=1)))[None, :]
+    return np.floor(queries[:, :d] @ centres[:, :d].T + reach + 1e-6)
+
+
+def _upwards(x: np.ndarray) -> np.ndarray:
+    """As four-byte floats, none of them smaller."""
+    out = x.astype(np.float32)
+    return np.where(out < x, np.nextafter(out, np.float32(np.inf)), out)
+
+
 class Search:
     """The best k of a block of queries so far."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, kth: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
-        self.norm = np.sqrt((vectors**2).sum(axis=1))
         self.kth, self.kth_id = kth.copy(), np.full(len(ids), np.iinfo(np.int64).max)
         self.best: list[list[tuple[int, int]]] = []
 
     def over(self, tree: BallTree) -> Iterator[tuple[int, int, int]]:
         """(query, id, score) of the best k in the tree that may be among the best of all; kth scores go on to the next."""
         self.best = [[] for _ in self.ids]
-        d = min(self.vectors.shape[1], tree.centre.shape[1])
-        # Rounding is covered by a part in 1e9 of the terms' size.
-        inner = self.vectors[:, :d] @ tree.centre[:, :d].T
-        reach = self.norm[:, None] * (tree.radius + 1e-9 * np.sqrt((tree.centre**2).sum(axis=1)))[None, :]
-        self.bound = np.floor(inner + reach + 1e-6)
+        self.bound = bounds(self.vectors, tree.centre, tree.radius)
         self._visit(tree, 0, np.arange(len(self.ids)))
         for i, best in enumerate(self.best):
             for score, vec in best:
@@ -146,36 +162,79 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", emb
     sample = spark.sparkContext.broadcast((sample["id"].to_numpy(np.int64), whole(list(sample["v"]), scale)))
 
     def build(table: pa.Table) -> pa.Table:
-        tree = BallTree(table.column("id").to_numpy(), whole(table.column("v").to_pylist(), scale))
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+        tree, shard = BallTree(table.column("id").to_numpy(), whole(table.column("v").to_pylist(), scale)), table.column("shard")[0].as_py()
+        return pa.table({"shard": pa.array([shard], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary()), "centre": pa.array([tree.centre[0].tobytes()], pa.binary()), "radius": [float(tree.radius[0])]})
 
     def gather(table: pa.Table) -> pa.Table:
         ids, own = table.column("id").to_numpy(), whole(table.column("v").to_pylist(), scale)
         some_ids, some = sample.value
-        score = np.where(some_ids[None, :] == ids[:, None], np.iinfo(np.int64).min, products(own, some))
-        kth = np.sort(score, axis=1)[:, -k] if score.shape[1] > k else np.full(len(ids), np.iinfo(np.int64).min)
+        score = np.where(some_ids[None, :] == ids[:, None], LEAST, products(own, some))
+        kth = np.sort(score, axis=1)[:, -k] if score.shape[1] > k else np.full(len(ids), LEAST)
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "queries": pa.array([pickle.dumps((ids, own, kth))], pa.binary())})
 
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, queries_, roots in zip(*(batch.column(c).to_pylist() for c in ("block", "queries", "roots"))):
+                _, own, kth = pickle.loads(queries_)
+                width = max(len(r["centre"]) for r in roots) // 8
+                centres = np.zeros((len(roots), width))
+                for row, r in zip(centres, roots):
+                    row[: len(r["centre"]) // 8] = np.frombuffer(r["centre"])
+                bound = bounds(own, centres, np.array([r["radius"] for r in roots]))
+                gain = (bound - kth[:, None]).max(axis=0)
+                at = np.flatnonzero(gain >= 0)
+                lines = _upwards(bound[:, at]).T
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(at), pa.int32()), pa.array([roots[i]["shard"] for i in at], pa.int32()), pa.array(gain[at], pa.float64()), pa.array([x.tobytes() for x in lines], pa.binary())], ["block", "shard", "gain", "bounds"])
+
+    def alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for queries_, line, known in zip(*(batch.column(c).to_pylist() for c in ("queries", "bounds", "known"))):
+                keep.append(bool((np.frombuffer(line, np.float32) >= current(pickle.loads(queries_), known)).any()))
+            yield batch.select(["block", "shard"]).filter(pa.array(keep, pa.bool_()))
+
+    def current(queries_: tuple, known: list | None) -> np.ndarray:
+        """kth scores of a block: of the sample, or what the rounds before have found."""
+        ids, _, kth = queries_
+        better = {x["id"]: x["kth"] for x in known or []}
+        return np.maximum(kth, np.array([better.get(i, LEAST) for i in ids.tolist()], np.int64))
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, Search] = {}
         for batch in batches:
             found = []
-            for block, queries_, tree in zip(*(batch.column(c).to_pylist() for c in ("block", "queries", "tree"))):
+            for block, queries_, known, tree in zip(*(batch.column(c).to_pylist() for c in ("block", "queries", "known", "tree"))):
                 if block not in blocks:
-                    blocks[block] = Search(*pickle.loads(queries_), k)
+                    own = pickle.loads(queries_)
+                    blocks[block] = Search(own[0], own[1], current(own, known), k)
                 found += blocks[block].over(pickle.loads(tree))
             yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
-    trees = scratch.table(dealt.groupBy("shard").applyInArrow(build, "shard int, tree binary"), "trees")
+    trees = scratch.table(dealt.groupBy("shard").applyInArrow(build, "shard int, tree binary, centre binary, radius double"), "trees")
     asked = clean(queries).groupBy("id").agg(F.min("v").alias("v"))
     n_blocks = max(1, -(-asked.count() // BLOCK_ROWS))
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInArrow(gather, "block int, queries binary")
-    blocks = scratch.table(blocks, "blocks").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    best = blocks.join(trees, "shard").select("block", "queries", "tree").mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
+    blocks = scratch.table(asked.withColumn("block", block_of("id")).groupBy("block").applyInArrow(gather, "block int, queries binary"), "blocks")
+    roots = trees.groupBy(F.floor(F.col("shard") / ROOTS).cast("int").alias("part")).agg(F.collect_list(F.struct("shard", "centre", "radius")).alias("roots"))  # ROOTS at most
+    parts = F.explode(F.sequence(F.lit(0), F.lit((shards - 1) // ROOTS))).alias("part")
+    pairs = blocks.select("block", "queries", parts).join(roots, "part").mapInArrow(reach, "block int, shard int, gain double, bounds binary")
+    ranked = pairs.withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("gain"), "shard")))
+    pairs = scratch.table(ranked.drop("gain"), "pairs")
+    most = pairs.agg(F.max("k")).first()[0] or 0
+    best, known, low, n = None, None, 0, 0
+    while low < most or best is None:
+        high = low + FIRST * GROWTH**n
+        state = blocks.join(known, "block", "left") if known is not None else blocks.withColumn("known", F.lit(None).cast("array<struct<id:bigint,kth:bigint>>"))
+        live = pairs.where((F.col("k") > low) & (F.col("k") <= high)).join(state, "block").mapInArrow(alive, "block int, shard int")
+        found = live.join(state, "block").join(trees.select("shard", "tree"), "shard").select("block", "queries", "known", "tree").mapInArrow(search, "query_id long, vec_id long, score long")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        every = found if best is None else best.drop("rank").unionByName(found)
+        best = scratch.table(every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), f"best{n}")
+        kth = best.where(F.col("rank") == k).select(block_of("query_id").alias("block"), F.struct(F.col("query_id").alias("id"), F.col("score").alias("kth")).alias("x"))
+        known, low, n = kth.groupBy("block").agg(F.collect_list("x").alias("known")), high, n + 1  # a block's queries are BLOCK_ROWS or so
+    scratch.drop("trees", "blocks", "pairs", *[f"best{i}" for i in range(n - 1)])
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op8_topk(vectors: DataFrame) -> DataFrame:
