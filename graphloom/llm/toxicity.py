@@ -5,8 +5,10 @@
    proportion to its frequency in both, and half a document more; features with a z-score of at least ``Z_LEAST`` are kept with their log-odds.
 2. Every other token costs ``DRIFT``. A linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text.
 3. Extreme-value calibration. Under the tokens of documents that are not toxic, the expected number of segments of score
-   s in n tokens is K n exp(-lambda s); lambda solves E[exp(lambda s)] = 1 and K is fitted to their best segments. A
-   segment is significant if fewer than ``E_MOST`` such are expected in a text of its length. A logistic curve, fitted to
+   s or more in n tokens is K n exp(-lambda s). lambda solves E[exp(lambda s)] = 1 over the scores of their tokens, in steps of
+   ``STEP``. K is the likeliest for the best score m of each document: documents with a segment, divided by the sum of
+   n exp(-lambda m) over all (m is 0 without a segment). A segment is significant if fewer than ``E_MOST`` such are expected in
+   a text of its length. A logistic curve, fitted to
    the training labels, over the best and the total -ln E and score and the length gives the document's score.
 
 Bounds: at most ``most_labelled`` labelled rows (taken in the order of a hash) train the model, and it has at most
@@ -32,6 +34,7 @@ DRIFT = 1.0
 MOST_SCORE = 8.0
 Z_LEAST = 3.2
 E_MOST = 1.0
+STEP = 0.01
 PRIOR = 500.0
 LEAST_PRIOR = 0.5
 LETTER = np.zeros(256, bool)
@@ -71,13 +74,17 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.scores[at], 0.0)
 
+    def token_scores(self, t: Tokens) -> np.ndarray:
+        score = self.of(t.word)
+        for prefix in t.prefixes:
+            score = np.maximum(score, self.of(prefix))
+        return score
+
     def segments(self, texts: list[bytes]) -> Iterator[tuple[int, int, list[tuple[float, int, int]]]]:
         """For each text: tokens, tokens with a score, and its maximal segments (score, begin, end in bytes)."""
         for a, b in slices(texts):
             t = Tokens(texts[a:b])
-            score = self.of(t.word)
-            for prefix in t.prefixes:
-                score = np.maximum(score, self.of(prefix))
+            score = self.token_scores(t)
             hits = np.flatnonzero(score > 0)
             cut = np.searchsorted(hits, t.first).tolist()
             for i in range(b - a):
@@ -149,6 +156,21 @@ def _measure(model: Model):
     return run
 
 
+def _token_scores(model: Model):
+    """Of each batch, how many tokens have each positive score, in steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = batch.column("t").cast(pa.binary()).to_pylist(), np.zeros(round(MOST_SCORE / STEP) + 1, np.int64)
+            for a, b in slices(texts):
+                score = model.token_scores(Tokens(texts[a:b]))
+                counts += np.bincount(np.rint(score[score > 0] / STEP).astype(np.int64), minlength=len(counts))
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["step", "n"])
+
+    return run
+
+
 def _rate(scores: np.ndarray, share: np.ndarray) -> float:
     """The positive root of E[exp(rate * s)] = 1; the shares leave the rest to -DRIFT."""
     if not len(scores):
@@ -202,13 +224,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 40_000, most
         by = np.argsort(keys)
         model = Model(keys[by], np.minimum(np.array([r["delta"] for r in top]), MOST_SCORE)[by])
     rows = texts.mapInArrow(_measure(model), "toxic int, n long, hits long, scores array<double>").toPandas()  # bounded: the labelled rows
+    hits = scratch.table(texts.where("toxic = 0").mapInArrow(_token_scores(model), "step long, n long").groupBy("step").agg(F.sum("n").alias("n")), "hits")
     scratch.drop("train", "counts")
     toxic, tokens = rows["toxic"].to_numpy(float), rows["n"].to_numpy(float)
     clean = rows[rows["toxic"] == 0]
-    seen = np.array([s for row in clean["scores"] for s in row])
-    model.rate = _rate(seen, np.full(len(seen), 1 / max(float(clean["n"].sum()), 1.0)))
-    # K: as many segments of a score as were seen, on average over the segments of other documents.
-    model.k = max(float(np.exp(model.rate * np.minimum(seen, MOST_SCORE)).sum()) / max(float(clean["n"].sum()), 1.0) / max(len(seen), 1), 1e-4) if len(seen) else 1e-3
+    n_clean = max(float(clean["n"].sum()), 1.0)
+    steps = hits.toPandas()  # a row for each step at most
+    model.rate = _rate(steps["step"].to_numpy(float) * STEP, steps["n"].to_numpy(float) / n_clean)
+    best = np.array([max(row, default=0.0) for row in clean["scores"]], float)
+    chance = float((clean["n"].to_numpy(float) * np.exp(-model.rate * best)).sum())
+    model.k = max(int((best > 0).sum()) / chance, 1e-4) if chance else 1e-3
     if len(rows) and 0 < toxic.sum() < len(rows):
         found = [model.evidence(int(m), [(s, 0, 0) for s in row]) for m, row in zip(tokens, rows["scores"])]
         model.curve = tuple(_logistic(np.array(found), toxic))
