@@ -32,6 +32,7 @@ BLOCK = 1000
 FILE_BYTES = 256 << 20
 LEVEL = 3
 CRLF = b"\r\n"
+SOFTWARE = "graphloom"
 WHEN = "2020-01-01T00:00:00Z"
 
 
@@ -53,21 +54,40 @@ def surt(url: str | None) -> str:
     return (key + (f"?{parts.query}" if parts.query else "")) if host else (url or "").strip()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, revisit: bool) -> bytes:
-    """One compressed record. Null ids and URLs have no header line."""
+def _uri(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def _name(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(map(str, parts)))}>"
+
+
+def _member(lines: list[str], block: bytes) -> bytes:
+    """One gzip member: a record of these header lines and this block."""
+    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return pack.compress("\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}"]).encode() + CRLF + CRLF + block + CRLF + CRLF) + pack.flush()
+
+
+def info(file: str) -> bytes:
+    """The first record of a file."""
+    return _member(["WARC-Type: warcinfo", f"WARC-Record-ID: {_name('info', file)}", f"WARC-Date: {WHEN}", f"WARC-Filename: {file}", "Content-Type: application/warc-fields"], f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\n".encode())
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, refers_url: str | None, revisit: bool, place: str) -> bytes:
+    """One compressed record. Null ids and URLs have no header line. A response's name is made of id, URL and digest, so that revisits can
+    give it (rows that repeat in all three share it); a revisit's of its ``place`` in the files."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
-    block = http if revisit else http + payload
-    name = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{digest}')}"
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {WHEN}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
+    name = _name(place) if revisit else _name(page_id, url, digest)
+    lines = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name}", f"WARC-Date: {WHEN}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append("WARC-Target-URI: " + _uri(url))
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}"]
-    lines.append(f"Content-Length: {len(block)}")
-    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-    return pack.compress("\r\n".join(lines).encode() + CRLF + CRLF + block + CRLF + CRLF) + pack.flush()
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers_to, refers_url, digest)}", f"WARC-Refers-To-Date: {WHEN}", f"X-Refers-To-Page-Id: {refers_to}"]
+        if refers_url is not None:
+            lines.append("WARC-Refers-To-Target-URI: " + _uri(refers_url))
+    return _member(lines, http if revisit else http + payload)
 
 
 def parse(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
@@ -95,9 +115,11 @@ def _writer(folder: str):
                 if out is None or at >= FILE_BYTES:
                     if out is not None:
                         out.close()
-                    name, at, number = f"pages-{task}-{number}.warc.gz", 0, number + 1
-                    out = files.open_output_stream(f"{top}/{name}", compression=None)
-                member = record(r["page_id"], r["url"], r["payload"], r["digest"], r["size"], r["refers_to"], r["revisit"])
+                    name, number = f"pages-{task}-{number}.warc.gz", number + 1
+                    out, first = files.open_output_stream(f"{top}/{name}", compression=None), info(name)
+                    out.write(first)
+                    at = len(first)
+                member = record(r["page_id"], r["url"], r["payload"], r["digest"], r["size"], r["refers_to"], r["refers_url"], r["revisit"], f"{name}|{at}")
                 out.write(member)
                 rows.append({"surt": surt(r["url"]), "page_id": r["page_id"], "url": r["url"], "file": name, "offset": at, "length": len(member)})
                 at += len(member)
@@ -142,6 +164,9 @@ def _indexer(folder: str):
 def write_archive(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write archives and index to ``folder`` (a URI that all executors reach); returns the directory, also in ``folder``.
 
+    A file begins with a warcinfo record. Groups of equal payloads are found over digests alone and written, so that pages meet them
+    in a broadcast while they are few, and in a shuffle of payloads only beyond Spark's threshold.
+
     Null html is an empty payload. Payloads are equal if their SHA-1, a second hash and their length are. Of equal long
     payloads a null id counts only if all are null, and then each is a response; so are rows repeated with the largest id.
     An empty table gives an index without blocks; other columns are not read.
@@ -151,10 +176,11 @@ def write_archive(pages: DataFrame, folder: str, *, page_id: str = "page_id", ur
     scratch = Scratch(spark, "warc-manifest")
     p = F.coalesce(pages[html], F.lit(""))
     own = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].alias("url"), p.cast("binary").alias("payload"), F.sha1(p).alias("digest"), F.xxhash64(p).alias("hash"), F.octet_length(p).cast("long").alias("size"))
-    long_ = own.where(F.col("size") >= LEAST).groupBy(F.col("digest").alias("d"), F.col("hash").alias("h"), F.col("size").alias("s")).agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    long_ = own.where(F.col("size") >= LEAST).groupBy(F.col("digest").alias("d"), F.col("hash").alias("h"), F.col("size").alias("s")).agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    long_ = scratch.table(long_.select("d", "h", "s", F.col("x.page_id").alias("last"), F.col("x.url").alias("last_url")), "groups")
     same = (F.col("digest") == F.col("d")) & (F.col("hash") == F.col("h")) & (F.col("size") == F.col("s"))
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    rows = own.join(long_, same, "left").select("page_id", "url", "payload", "digest", "size", revisit.alias("revisit"), F.when(revisit, F.col("last")).alias("refers_to"))
+    rows = own.join(long_, same, "left").select("page_id", "url", "payload", "digest", "size", revisit.alias("revisit"), F.when(revisit, F.col("last")).alias("refers_to"), F.col("last_url").alias("refers_url"))
     rows = rows.withColumn("payload", F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload")))
     _make(spark, folder)
     manifest = scratch.table(rows.mapInArrow(_writer(folder), MANIFEST), "manifest")
