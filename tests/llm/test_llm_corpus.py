@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -252,6 +253,10 @@ def test_mixing(spark):
         assert v[0]["target"] == pytest.approx(targets[s]) and v[0]["source_size"] == sizes[s]
         taken = sum(x["size"] * x["copies"] for x in v)
         assert abs(taken - targets[s]) <= max((x["size"] for x in v), default=0) and max(x["copies"] for x in v) <= 2
+    # Buckets are even for the least weight and at most four times as full for the largest.
+    keys = spark.range(40000).select((F.col("id") % 2).alias("light"), (-F.log((F.hash("id").cast("double") + 2.0**31 + 0.5) / 2.0**32) / F.when(F.col("id") % 2 == 0, 1.0).otherwise(mixing.LEAST_WEIGHT)).alias("m_key"))
+    full = keys.groupBy("light", mixing._bucket(F.lit(100.0)).alias("b")).count().groupBy("light").agg(F.max("count").alias("n"), F.max("b").alias("b")).collect()
+    assert all(x["b"] <= 99 and x["n"] < (300 if x["light"] else 1000) for x in full)
     again = {(x["doc_id"], x["text"]): x["copies"] for x in mixing.mix_plan(df.repartition(7)).collect()}
     assert again == {(x["doc_id"], x["text"]): x["copies"] for x in plan}
     out = mixing.mixed(df)
@@ -267,6 +272,9 @@ def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 100)
     monkeypatch.setattr(topk, "LEAF", 8)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(topk, "ROOTS", 3)
+    monkeypatch.setattr(topk, "FIRST", 1)
+    monkeypatch.setattr(topk, "GROWTH", 2)
     df = spark.createDataFrame([(*x, "clash") for x in rows], "vec_id long, embedding array<double>, id string")
     got = collections.defaultdict(list)
     for x in topk.op8_topk(df).orderBy("query_id", "rank").collect():
@@ -302,6 +310,10 @@ def test_warc(spark, monkeypatch):
     for i, url, h in rows[:6]:
         (head, http, payload), *more = warc.look_up(spark, folder, url)
         assert not more and head["X-Page-Id"] == str(i) and (payload.decode() == h if head["WARC-Type"] == "response" else payload == b"")
+        if head["WARC-Type"] == "revisit":
+            [(first, _, _)] = warc.look_up(spark, folder, rows[last][1])
+            assert head["WARC-Refers-To"] == first["WARC-Record-ID"] and head["WARC-Refers-To-Target-URI"] == first["WARC-Target-URI"] == rows[last][1]
+    assert zlib.decompress(warc.info("a.warc.gz"), 31).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
     assert warc.look_up(spark, folder, "http://nowhere.example.com/") == []
     assert warc.surt("HTTP://Blog.X.example.com:8080/a?b#c") == "com,example,x,blog:8080)/a?b"
     assert warc.op10_warc(df.limit(0)).count() == 0

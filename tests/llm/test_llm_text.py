@@ -207,6 +207,76 @@ def test_segments():
         assert all(math.isclose(g[0], w[2], abs_tol=1e-9) for g, w in zip(got, want))
 
 
+def plain_toxicity(rows, labels):
+    """op9's scores by dictionaries: log-odds, segments, calibration and curve as the docstring of the module has them."""
+    run = re.compile("[a-z\x80-\xff]+")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = {i: run.findall((t or "").translate(low).encode().decode("latin-1")) for i, t in rows}
+    feats = lambda w: {("w", w)} | {("p", w[:k]) for k in toxicity.PREFIXES}
+    train = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 3 != 1 and i in tokens}
+    yes, no = collections.Counter(), collections.Counter()
+    for i, y in train.items():
+        (yes if y else no).update({f for w in tokens[i] for f in feats(w)})
+    a, b, scores = sum(yes.values()), sum(no.values()), {}
+    for f in yes:
+        prior = toxicity.LEAST_PRIOR + (yes[f] + no[f]) / (a + b) * toxicity.PRIOR
+        logit = lambda c, n: math.log((c + prior) / (n + toxicity.PRIOR - c - prior))  # noqa: E731, B023
+        delta, spread = logit(yes[f], a) - logit(no[f], b), math.sqrt(1 / (yes[f] + prior) + 1 / (no[f] + prior))
+        if yes[f] >= 2 and delta / spread >= toxicity.Z_LEAST:
+            scores[f] = min(delta - spread, toxicity.MOST_SCORE)
+    score = lambda w: max(0.0, *(scores.get(f, 0.0) for f in feats(w)))
+
+    def segments(words):
+        marks = [score(w) for w in words]
+        at = [k for k, m in enumerate(marks) if m > 0]
+        return [s for s, _, _ in toxicity.maximal_segments(at, [marks[k] for k in at], at, at)] if at else []
+
+    clean = [tokens[i] for i, y in train.items() if not y]
+    n = sum(map(len, clean))
+    hits = [round(score(w) / toxicity.STEP) * toxicity.STEP for words in clean for w in words if score(w) > 0]
+    mean = lambda rate: (sum(math.exp(min(rate * s, 300)) for s in hits) + (n - len(hits)) * math.exp(-rate * toxicity.DRIFT)) / n
+    low_, high = 1e-6, 20.0
+    for _ in range(80):
+        low_, high = ((low_ + high) / 2, high) if mean((low_ + high) / 2) < 1 else (low_, (low_ + high) / 2)
+    rate = max(low_, 0.05) if hits else 1.0
+    best = [max(segments(w), default=0.0) for w in clean]
+    chance = sum(len(w) * math.exp(-rate * m) for w, m in zip(clean, best))
+    k = max(sum(m > 0 for m in best) / chance, 1e-4)
+    model = toxicity.Model(np.zeros(0), np.zeros(0), rate, k)
+
+    def evidence(i):
+        got, size = segments(tokens[i]), len(tokens[i])
+        strong = [rate * s - math.log(k * max(size, 1)) for s in got]
+        strong = [e for e in strong if e >= -math.log(toxicity.E_MOST)]
+        return [1.0, *(math.log1p(x) for x in (max(strong, default=0.0), sum(strong), max(got, default=0.0), sum(got), size))]
+
+    ids = sorted(train)
+    model.curve = tuple(toxicity._logistic(np.array([evidence(i) for i in ids]), np.array([float(train[i]) for i in ids])))
+    return {i: model.probability([evidence(i)])[0] for i, _ in rows}, rate, k
+
+
+def test_toxicity_is_its_plain_version(spark):
+    r = random.Random(31)
+    rows, labels = [], {}
+    for i in range(240):
+        words, toxic = prose(r, r.randint(5, 60)).split(), r.random() < 0.25
+        for _ in range(r.randint(1, 3) * toxic):
+            words.insert(r.randrange(len(words)), r.choice(["scoundrel", "Scoundrels", "wretchedé", "fool"]))
+        if r.random() < 0.1:
+            words.append("fool")
+        rows.append((i, " ".join(words)))
+        labels[i] = int(toxic)
+    rows += [(900, None), (901, ""), (902, "SCOUNDREL! " * 3)]
+    docs_, labels_ = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    want, rate, k = plain_toxicity(rows, labels)
+    model = toxicity.fit(docs_, labels_)
+    assert model.rate == pytest.approx(rate, rel=1e-6) and model.k == pytest.approx(k, rel=1e-6)
+    got = toxicity.op9_toxic(docs_.unionByName(docs_.where("doc_id = 902")), labels_).collect()
+    assert len(got) == len(rows) + 1
+    # The repeated row is no labelled one, so the model is the same.
+    assert all(x["score"] == pytest.approx(want[x["doc_id"]], abs=1e-5) and x["predicted"] == int(want[x["doc_id"]] >= 0.7) for x in got)
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     bad = ["fool", "scoundrel", "wretch"]
