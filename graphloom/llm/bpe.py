@@ -214,13 +214,14 @@ def _mapped(docs: DataFrame, path: str, make, fields: list[tuple[str, str, pa.Da
 
 def encode(docs: DataFrame, path: str, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and ids (array<int>) of each whole text; null text is empty and has no ids. Rows stay one for one:
-    repeated rows and null ids included. An empty table gives no rows; further columns are not read."""
+    repeated rows and null ids included. An empty table gives no rows; further columns, one named ids too, are not read."""
     make = lambda ids, raw: ([int(i) for i in ids.split(",")] if ids else [],)
     return _mapped(docs, path, make, [("ids", "array<int>", pa.list_(pa.int32()))], text, doc_id)
 
 
 def decode(ids: DataFrame, path: str, *, column: str = "ids", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and text of each array of ids; null: empty text."""
+    """doc_id and text of each array of ids, row for row; null: empty text. An empty table gives no rows; further columns, one named
+    text too, are not read."""
     bounded_batches(ids.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +233,8 @@ def decode(ids: DataFrame, path: str, *, column: str = "ids", doc_id: str = "doc
 
 
 def round_trip(docs: DataFrame, path: str, **names: str) -> DataFrame:
-    """Of each whole text: number of ids, digest of the ids, digest of the text decoded from them."""
+    """Of each whole text, however long: number of ids, digest of the ids, digest of the text decoded from them. Null text is empty;
+    repeated rows and null ids stay, an empty table gives no rows, further columns of any name are not read."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
     make = lambda ids, raw: (ids.count(",") + 1 if ids else 0, sha(ids.encode()), sha(raw.decode("utf-8", "replace").encode()))
     return _mapped(docs, path, make, [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], names.get("text", "text"), names.get("doc_id", "doc_id"))

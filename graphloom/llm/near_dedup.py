@@ -254,7 +254,8 @@ def _possible(percent: int) -> Column:
 def near_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", percent: int = 85, row_key: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (least id of the component), kept, for each row of ``docs``.
 
-    Sets whose Jaccard index is ``percent`` / 100 or more are linked. Texts without words have an empty set and are alone.
+    Sets whose Jaccard index is ``percent`` / 100 or more are linked. Whole texts count, very long ones too: a worker holds one text's set
+    at a time, of a confirmed pair two. Texts without words have an empty set and are alone.
     Rows of equal sets are one node: repeated rows have the same component. Null ids count only where a component
     has no other; ``kept`` is then true. An empty table gives no rows. Other columns are not read. With ``row_key`` there is
     also ``same``, the hash xxhash64(id, text) of the row.

@@ -345,6 +345,15 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r["n_tokens"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(r["n_tokens"] for r in seen["bpe"].collect())
 
 
+def test_pipeline_stages_on_an_empty_table(spark, tmp_path):
+    """What a stage has nothing of, it gives nothing of, with the same columns."""
+    none = frame(spark, [(1, "a b c", "s")]).where("doc_id < 0")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0 and (name == "bpe" or out.columns == none.columns)
+
+
 def test_pipeline_drops_near_copies_from_080(spark, tmp_path):
     """The stage of near-duplicates drops copies whose Jaccard index is 0.80 to 0.85."""
     r = random.Random(8)

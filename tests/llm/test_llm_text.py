@@ -35,6 +35,7 @@ def random_texts(n, seed=1):
 def test_bpe_is_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts, lib = ODD + random_texts(400), Tokenizer.from_file(path)
+    texts += texts[:6]
     df = docs(spark, texts).withColumn("doc_id", F.monotonically_increasing_id()).coalesce(1)
     want = collections.Counter()
     for t in texts:
@@ -133,6 +134,56 @@ def test_quality(spark):
     assert quality.quality_report(df.where("text is null")).first()["kept"] is False
 
 
+def plain_kept(rows):
+    """(surprise, rarity, kept, slack) of each row (id, text, lang): model, bands and rules without Spark. slack: how far it is from an edge of a band."""
+    seen, bins, out = {}, {}, []
+    for lang in {x[2] for x in rows}:
+        at = [k for k, x in enumerate(rows) if x[2] == lang]
+        gram, ends = quality.codes([(rows[k][1] or "").encode() for k in at])
+        keys, counts = np.unique(gram, return_counts=True)
+        freq = np.bincount(gram & 0xFFFF, minlength=1 << 16) / max(len(gram), 1)
+        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (quality.Model(keys, counts).score(gram) if len(gram) else gram, np.log(freq[gram & 0xFFFF]))]
+        for j, k in enumerate(at):
+            units = max(int(ends[j + 1] - ends[j]), 1)
+            seen[k] = *(-(s[ends[j + 1]] - s[ends[j]]) / units for s in sums), units
+    failed = [plain_features(t or "")[-1] for _, t, _ in rows]
+    middle = lambda x: sorted(x)[(len(x) - 1) // 2]
+    bands = {}
+    for m in (0, 1):
+        for k, (_, _, lang) in enumerate(rows):
+            if not failed[k]:
+                bins.setdefault((m, lang), []).append(math.floor(seen[k][m] / quality.BIN + 0.5))
+        centre = {lang: middle(x) for (i, lang), x in bins.items() if i == m}
+        apart = {lang: [abs(y - centre[lang]) for y in bins[m, lang]] for lang in centre}
+        prior = middle([y for x in apart.values() for y in x])
+        for lang, x in apart.items():
+            bands[m, lang] = centre[lang] * quality.BIN, (len(x) * middle(x) + quality.PRIOR * prior) / (len(x) + quality.PRIOR) * quality.BIN
+    for k, (_, _, lang) in enumerate(rows):
+        room = [math.inf]
+        for m in (0, 1):
+            if (m, lang) in bands:
+                centre, spread = bands[m, lang]
+                room.append(quality.WIDTH * max(spread, quality.LEAST_DEVIATION) * max(1, math.sqrt(quality.SHORT / seen[k][2])) - abs(seen[k][m] - centre))
+        out.append((seen[k][0], not failed[k] and min(room) >= 0, abs(min(room))))
+    return out
+
+
+def test_quality_is_its_plain_version(spark):
+    """The verdicts of three languages with junk, null ids and texts, a null language and repeated rows."""
+    r = random.Random(41)
+    kana = ["".join(chr(0x3042 + r.randrange(60)) for _ in range(r.randint(1, 4))) for _ in range(200)]
+    texts = [(prose(r, r.randint(55, 150)), "en") for _ in range(60)] + [(" ".join(r.choice(kana) for _ in range(r.randint(55, 120))), "ja") for _ in range(30)]
+    texts += [(prose(r, 80).upper(), lang) for lang in ("en", None, "en")] + [("".join(r.sample(t, len(t))), lang) for t, lang in texts[58:64]] + [(" ".join(w + "***" for w in prose(r, 70).split()), "en")]
+    texts += [(prose(r, 90), None) for _ in range(8)] + [(None, "en"), ("", "xx"), (prose(r, 10), "ja")] + texts[:4]
+    rows = [(k if k % 9 else None, t, lang) for k, (t, lang) in enumerate(texts)]
+    df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, lang string, kept string").repartition(3)
+    want = plain_kept(rows)
+    assert 0 < sum(x[1] for x in want) <= len(rows) - 8
+    got = collections.Counter((x["doc_id"], x["n_words"], x["kept"]) for x in quality.op5_quality(df).collect())
+    sure = collections.Counter((i, len(WORD.findall(t or "")), kept) for (i, t, _), (_, kept, slack) in zip(rows, want) if slack > 1e-4)
+    assert sum(got.values()) == len(rows) and not sure - got and sum(sure.values()) > len(rows) - 3
+
+
 def test_kneser_ney_sums_to_one():
     gram, at = quality.codes([b"the cat. The hat\nthe end", b"", b"another one"])
     assert at.tolist() == [0, 24, 24, 35] and len(gram) == 35
