@@ -184,13 +184,24 @@ def _rate(scores: np.ndarray, share: np.ndarray) -> float:
     return max(low, 0.05)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the first column of x is 1."""
-    w, ridge = np.zeros(x.shape[1]), np.diag([1e-3, *[0.1] * (x.shape[1] - 1)])
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Ridge logistic regression; the first column of x is 1. Newton steps, each halved until the penalised loss, which is convex, falls:
+    this ends at its minimum where the classes can be parted too."""
+    ridge = np.diag([1e-3, *[0.1] * (x.shape[1] - 1)])
+    loss = lambda w: float((np.logaddexp(0, x @ w) - y * (x @ w)).sum() + w @ ridge @ w / 2)
+    w = np.zeros(x.shape[1])
+    at = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-        w = w + np.clip(step, -4, 4)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (y - p) - ridge @ w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, slope)
+        size = 1.0
+        while loss(w + size * step) > at - 1e-4 * size * (slope @ step) and size > 1e-9:
+            size /= 2
+        w = w + size * step
+        before, at = at, loss(w)
+        if before - at <= 1e-12 * max(abs(at), 1e-9):
+            break
     return w
 
 

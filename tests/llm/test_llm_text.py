@@ -306,6 +306,18 @@ def plain_toxicity(rows, labels):
     return {i: model.probability([evidence(i)])[0] for i, _ in rows}, rate, k
 
 
+def test_logistic_ends_at_its_minimum():
+    """Where classes can be parted, overlap, or lie far out, the slope of the penalised loss is nothing at the end."""
+    r = np.random.default_rng(5)
+    for n, gap, scale in ((2000, 9.0, 1.0), (2000, 0.5, 1.0), (3000, 40.0, 10.0), (50, 3.0, 100.0)):
+        y = (r.random(n) < 0.1).astype(float)
+        x = np.stack([np.ones(n), *(scale * (y * gap * (k + 1) + r.normal(size=n)) for k in range(4))], axis=1)
+        w = toxicity._logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (y - p) - np.array([1e-3, *[0.1] * 4]) * w
+        assert np.abs(slope).max() < 1e-3 * scale * n and ((p > 0.5) == y).mean() > (0.99 if gap > 1 else 0.9)
+
+
 def test_toxicity_is_its_plain_version(spark):
     r = random.Random(31)
     rows, labels = [], {}
