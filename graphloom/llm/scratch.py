@@ -19,7 +19,7 @@ _LIVE: list["Scratch"] = []
 #: Bytes of a row group: a task holds one while it writes or reads.
 ROW_GROUP = 16 << 20
 #: Bytes of an Arrow batch that goes to a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
