@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Graph
@@ -10,23 +10,31 @@ from ..schema import Graph
 GRAMS = (16, 8, 4)
 
 
+def _grams(text: str) -> Column:
+    """The distinct strings of ``k`` characters in a column."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - F.col("k") + 1), lambda j: F.substr(F.col(text), j, F.col("k"))))
+
+
 def contained(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(text_id, name_id) where the lower-case name (four bytes or more) is in the lower-case text.
 
-    A name of k characters or more that is in a text begins with one of the text's k-grams. Names are taken with the largest k
-    of ``GRAMS`` that they have, so pairs come from equi-joins on grams and are then verified. Names of four bytes or more but
-    fewer than four characters have their own length as k.
+    A text that holds a name holds all its k-grams, so pairs come from an equi-join on a gram and are then verified. k is the
+    largest of ``GRAMS`` that a name has; names of four bytes or more but fewer than four characters have their own length as k.
+    Of its grams a name takes the one that the fewest names have, so names with a common beginning or end do not meet in one
+    key. Equal names are one until their texts are found.
     """
     t = texts.select(F.col("id").alias("text_id"), F.lower("text").alias("t"))
     n = names.select(F.col("id").alias("name_id"), F.lower("name").alias("n")).where(F.octet_length("n") >= 4)
-    out = None
-    for i, k in enumerate((*GRAMS, 3, 2, 1)):
-        fits = F.length("n") >= k if i == 0 else (F.length("n") >= k) & (F.length("n") < (*GRAMS, 3, 2, 1)[i - 1])
-        own = n.where(fits).withColumn("gram", F.substring("n", 1, k))
-        grams = t.where(F.length("t") >= k).withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - k + 1), lambda j: F.substr(F.col("t"), j, F.lit(k))))))
-        found = grams.join(own, "gram").where(F.col("t").contains(F.col("n"))).select("text_id", "name_id")
-        out = found if out is None else out.unionByName(found)
-    return out
+    k = F.length("n")
+    for size in reversed(GRAMS):
+        k = F.when(F.length("n") >= size, size).otherwise(k)
+    own = n.select("n").distinct().withColumn("k", k).select("n", F.explode(_grams("n")).alias("gram"))
+    among = own.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    own = own.join(among, "gram").groupBy("n").agg(F.min_by("gram", F.struct("names", "gram")).alias("gram"))
+    sizes = F.explode(F.array(*map(F.lit, (*GRAMS, 3, 2, 1))))
+    grams = t.withColumn("k", sizes).where(F.length("t") >= F.col("k")).withColumn("gram", F.explode(_grams("t")))
+    found = grams.join(own, "gram").where(F.col("t").contains(F.col("n"))).select("text_id", "n")
+    return found.join(n, "n").select("text_id", "name_id")
 
 
 def _pairs(graph: Graph, texts: DataFrame, names: DataFrame) -> DataFrame:
