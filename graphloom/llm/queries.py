@@ -11,6 +11,8 @@ from .chat_format import op2_format
 from .mixing import SQL as MIX_SQL
 from .mixing import op7_mix
 from .near_dedup import op4_near
+from .phrases import SQL as PHRASE_SQL
+from .phrases import op13_phrases
 from .quality import op5_quality
 from .suffix_dedup import op1_suffix
 from .token_files import op3_tokens
@@ -19,6 +21,7 @@ from .topk import op8_topk
 from .toxicity import op9_toxic
 from .warc import SQL as WARC_SQL
 from .warc import op10_warc
+from .whitening import op11_whiten
 
 QUERIES = {
     "op1_suffix": lambda spark, d: op1_suffix(table(spark, d, "documents")),
@@ -31,5 +34,7 @@ QUERIES = {
     "op9_toxic": lambda spark, d: op9_toxic(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_mix": lambda spark, d: op7_mix(table(spark, d, "documents")),
     "op10_warc": lambda spark, d: op10_warc(table(spark, d, "pages")),
+    "op11_whiten": lambda spark, d: op11_whiten(table(spark, d, "embeddings")),
+    "op13_phrases": lambda spark, d: op13_phrases(table(spark, d, "documents")),
 }
-ORACLES = {"op10_warc": WARC_SQL, "op8_topk": TOPK_SQL, "op2_format": CHAT_SQL, "op7_mix": MIX_SQL}
+ORACLES = {"op10_warc": WARC_SQL, "op8_topk": TOPK_SQL, "op2_format": CHAT_SQL, "op7_mix": MIX_SQL, "op13_phrases": PHRASE_SQL}
