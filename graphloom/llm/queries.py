@@ -8,6 +8,7 @@ from ..session import table
 from .bpe import op6_bpe
 from .chat_format import SQL as CHAT_SQL
 from .chat_format import op2_format
+from .language_id import op12_language
 from .mixing import SQL as MIX_SQL
 from .mixing import op7_mix
 from .near_dedup import op4_near
@@ -35,6 +36,7 @@ QUERIES = {
     "op7_mix": lambda spark, d: op7_mix(table(spark, d, "documents")),
     "op10_warc": lambda spark, d: op10_warc(table(spark, d, "pages")),
     "op11_whiten": lambda spark, d: op11_whiten(table(spark, d, "embeddings")),
+    "op12_language": lambda spark, d: op12_language(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
     "op13_phrases": lambda spark, d: op13_phrases(table(spark, d, "documents")),
 }
 ORACLES = {"op10_warc": WARC_SQL, "op8_topk": TOPK_SQL, "op2_format": CHAT_SQL, "op7_mix": MIX_SQL, "op13_phrases": PHRASE_SQL}
