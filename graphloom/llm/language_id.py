@@ -214,6 +214,8 @@ def _laid_out(units: pa.Array) -> tuple[Rolling, np.ndarray, np.ndarray]:
 
 def _smoothed(uses: np.ndarray) -> np.ndarray:
     """Probabilities of the pieces from their uses (a column for each language), and the row that is no piece."""
+    if not uses.size:
+        return np.zeros((len(uses) + 1, uses.shape[1]))
     total = np.maximum(uses.sum(axis=0), 1e-9)
     everywhere = (uses / total).mean(axis=1, keepdims=True)
     p = (uses + PRIOR * everywhere) / (total + PRIOR)
@@ -287,8 +289,10 @@ def likelihoods(memory: Remembered, texts: list[str]) -> tuple[np.ndarray, np.nd
     logs, n = np.zeros((len(texts), len(memory.model.langs))), np.zeros(len(texts), np.int64)
     for at, some in stretches(texts):
         u = Units(some)
-        values, which = memory.of(u)
         np.add.at(n, at, np.bincount(u.owner, minlength=len(some)))
+        if not logs.size:
+            continue
+        values, which = memory.of(u)
         for k in range(logs.shape[1]):
             np.add.at(logs[:, k], at, np.bincount(u.owner, values[which, k], len(some)))
     return logs, n
