@@ -34,7 +34,9 @@ RANGE = 1 << 18
 #: Touched counters that a task holds before it sends them.
 HELD = 1 << 21
 #: Bytes of a text that are taken at a time.
-STRETCH = 4 << 20
+STRETCH = 1 << 20
+#: Rows of exact counts that a task holds before it sends them.
+ROWS = 1 << 18
 SPLIT = np.zeros(256, bool)
 SPLIT[[*b".,;:!?\n\x0b\x0c\r"]] = True
 GAP = SPLIT.copy()
@@ -104,7 +106,7 @@ class Bits:
 
 def counters(hashes: np.ndarray) -> list[np.ndarray]:
     """The counter of each hash in each row of the sketch; rows are laid end to end."""
-    return [(mix(hashes, 100 + row) & U(WIDTH - 1)).astype(np.int64) + row * WIDTH for row in range(DEPTH)]
+    return [(mix(hashes, 100 + row) & U(WIDTH - 1)).astype(np.uint32) + np.uint32(row * WIDTH) for row in range(DEPTH)]
 
 
 def counted(t: Tokens, seed: int, gates: dict[int, Bits], upto: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -169,12 +171,15 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, Tokens]]:
             yield lang, Tokens(buffer, cut)
 
 
-def _encoded(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Touched counters and what they hold, by range."""
+def _encoded(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Touched counters and what they hold, by range. ``held``: counter and count as one number each."""
     if not held:
         return
-    at, which = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-    count = np.minimum(np.bincount(which, np.concatenate([x for _, x in held]), len(at)), 1 << 30).astype(np.uint32)
+    both = np.concatenate(held)
+    both.sort()
+    at = (both >> U(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    at, count = at[first], np.minimum(np.add.reduceat(both & U(0xFFFFFFFF), first), U(1 << 30)).astype(np.uint32)
     parts, begins = np.unique(at // RANGE, return_index=True)
     ends, data = np.append(begins[1:], len(at)), []
     for part, a, b in zip(parts.tolist(), begins.tolist(), ends.tolist()):
@@ -192,7 +197,7 @@ def _sketch(rows: DataFrame, gates, orders: range, threshold: int, depth: int =
             for lang, t in _by_language(batch):
                 for words, _, n, hashes in counted(t, _seed(lang), own, orders[-1]):
                     if words in orders:
-                        held += [(at, n) for at in counters(hashes)]
+                        held += [(at.astype(U) << U(32)) | n.astype(U) for at in counters(hashes)]
                         size += depth * len(n)
                 if size > HELD:
                     yield from _encoded(held)
@@ -228,6 +233,16 @@ def _broadcast(sketch: DataFrame):
     return sketch.sparkSession.sparkContext.broadcast(bits)
 
 
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
+
+def _rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    columns = {c: table.column(c) for c in ("lang", "words", "phrase", "n")}
+    columns["phrase"] = columns["phrase"].cast(pa.string())
+    yield from pa.table(columns).to_batches(max_chunksize=1 << 16)
+
+
 def frequent(docs: DataFrame, scratch: Scratch, *, threshold: int = 100) -> DataFrame:
     """lang, words, phrase, f: exact counts of all phrases of 1 to MOST_WORDS words with f >= threshold; and for each language a
     row of 0 words with the number of all its words."""
@@ -239,14 +254,21 @@ def frequent(docs: DataFrame, scratch: Scratch, *, threshold: int = 100) -> Data
     gates |= {words: longer for words in range(3, MOST_WORDS + 1)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _gates(gates)
+        own, held, size = _gates(gates), [], 0
         for batch in batches:
             for lang, t in _by_language(batch):
                 total = [pa.array([0], pa.int32()), pa.array([""], pa.large_string()), pa.array([t.limit], pa.int64())]
                 found = [total, *([pa.array(np.full(len(n), words, np.int32)), t.texts(at, words), pa.array(n)] for words, at, n, _ in counted(t, _seed(lang), own, MOST_WORDS))]
                 columns = [pa.concat_arrays(x) for x in zip(*found)]
-                out = pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0]), pa.string()), columns[0], columns[1].cast(pa.string()), columns[2]], ["lang", "words", "phrase", "n"])
-                yield out
+                held.append(pa.table([pa.array([lang] * len(columns[0]), pa.string()), *columns], ["lang", "words", "phrase", "n"]))
+                size += len(columns[0])
+                if size > ROWS:
+                    held = [_summed(held)]
+                    if (size := len(held[0])) > ROWS // 2:
+                        yield from _rows(held[0])
+                        held, size = [], 0
+        if held:
+            yield from _rows(_summed(held))
 
     exact = rows.mapInArrow(count, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"))
     return scratch.table(exact.where((F.col("words") == 0) | (F.col("f") >= threshold)), "frequent")
