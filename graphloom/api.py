@@ -31,7 +31,14 @@ class KnowledgeGraph:
         self.spark, self.folder, self.graph = spark, path, store.load_or_create(spark, path)
 
     def save(self) -> None:
-        self.graph = (store.save(self.graph, self.folder), store.load(self.spark, self.folder))[1]
+        """Write the graph as a whole version."""
+        store.save(self.graph, self.folder)
+        self.graph = store.load(self.spark, self.folder)
+
+    def save_changes(self) -> None:
+        """Write what differs from what is stored."""
+        store.append(self.graph, self.folder)
+        self.graph = store.load(self.spark, self.folder)
 
     # sources
     def bootstrap(self, base: str, now: int = 0) -> tuple[int, int]:
@@ -100,7 +107,7 @@ class KnowledgeGraph:
 
     def path(self, a: str, b: str) -> list[int]:
         ends = [self._one(x).first() for x in (a, b)]
-        return paths.shortest_path(self.graph.edges, ends[0]["node"], ends[1]["node"]) if all(ends) else []
+        return paths.shortest_path(self.graph, ends[0]["node"], ends[1]["node"]) if all(ends) else []
 
     def connect(self, a: str, b: str) -> str:
         """The path as text."""

@@ -18,8 +18,9 @@ from .sources import store
 from .streaming import monitor
 
 
-def _rows(df, most: int = 1000) -> None:
-    for row in df.limit(most).collect():
+def _rows(df) -> None:
+    """All rows, a partition at a time."""
+    for row in df.toLocalIterator(prefetchPartitions=True):
         print(json.dumps(row.asDict(recursive=True), ensure_ascii=False, default=str))
 
 
@@ -100,10 +101,10 @@ def main(argv: list[str] | None = None) -> int:
             store.write_index(impact.name_index(kg.graph), f"{a.graph}/name-index")
     elif a.command == "reindex":
         kg.reindex(a.base, a.file, now)
-        kg.save()
+        kg.save_changes()
     elif a.command == "reconcile":
         print(json.dumps(kg.reconcile(read(a.input), now)))
-        kg.save()
+        kg.save_changes()
     elif a.command == "connect":
         print(kg.connect(a.a, a.b))
     elif a.command == "export":

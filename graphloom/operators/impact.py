@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FACT_TYPES, Graph
-from .navigation import inbound_counts, lookup, neighbors, normal
+from .navigation import inbound_counts, lookup, neighbors, normal, without
 from .paths import checkpointed
 from .ranking import is_code, same_path
 
@@ -39,7 +39,7 @@ def impact(graph: Graph, name: str, depth: int = 1) -> DataFrame:
     out = direct.select(F.lit(1).alias("depth"), F.col("other_name").alias("name"), "relation_type", "direction", place)
     if depth > 1:
         edge_of = direct.select(F.col("other").alias("node")).distinct()
-        second = neighbors(graph, edge_of).join(start.withColumnRenamed("node", "other"), "other", "left_anti")
+        second = without(neighbors(graph, edge_of), "other", start)
         out = out.unionByName(second.select(F.lit(2).alias("depth"), F.col("other_name").alias("name"), "relation_type", "direction", place))
     return out.distinct()
 
@@ -63,7 +63,7 @@ def impact_report(graph: Graph, name: str, depth: int = 1, most: int = 1000) ->
     lines += [f"- and {n - most} more"] if n > most else []
     if depth > 1:
         via = direct.select(F.col("other").alias("node"), F.col("name").alias("via")).distinct()
-        second = neighbors(graph, via.select("node").distinct()).join(start.withColumnRenamed("node", "other"), "other", "left_anti").join(via, "node")
+        second = without(neighbors(graph, via.select("node").distinct()), "other", start).join(via, "node")
         second = second.select("via", F.col("other_name").alias("name"), "relation_type", place).distinct()
         m = second.count()
         shown = second.orderBy("via", "name", "relation_type", "place").limit(most).collect()

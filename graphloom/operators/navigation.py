@@ -56,21 +56,52 @@ def nodes_by_type(nodes: DataFrame, node_type: str) -> DataFrame:
     return nodes.where(F.col("node_type") == node_type)
 
 
+FEW = 1000
+
+
+def few(front: DataFrame, most: int = FEW) -> list[int] | None:
+    """The distinct nodes of a front (column node) if there are at most ``most``, as a filter that scans and stored buckets can use; else None."""
+    rows = front.select("node").distinct().limit(most + 1).collect()
+    return None if len(rows) > most else [r["node"] for r in rows]
+
+
+def without(rows: DataFrame, column: str, front: DataFrame, ids: list[int] | None = None) -> DataFrame:
+    """``rows`` of which ``column`` is not in the front (column node), whose nodes are ``ids`` where they are known to be few."""
+    ids = few(front) if ids is None else ids
+    return rows.join(front.select(F.col("node").alias(column)), column, "left_anti") if ids is None else rows.where(~F.col(column).isin(ids)) if ids else rows
+
+
 def incident(edges: DataFrame) -> DataFrame:
     """Each edge from both of its ends: (node, other, direction) beside its columns."""
     ends = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("outgoing").alias("direction")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("incoming").alias("direction")))
     return edges.withColumn("x", F.explode(ends)).select("*", "x.*").drop("x")
 
 
-def neighbors(graph: Graph, of: DataFrame) -> DataFrame:
-    """One row for each edge at the nodes ``of`` (column node): the other node, relation, direction, confidence, and evidence where
-    the graph has it."""
+def incident_to(edges: DataFrame, of: DataFrame, ids: list[int] | None = None) -> DataFrame:
+    """``incident`` of the nodes ``of`` alone: edges are cut to those at them before any is doubled. A few nodes are a filter."""
+    ids = few(of) if ids is None else ids
+    ends = []
+    for end, other, direction in (("src", "dst", "outgoing"), ("dst", "src", "incoming")):
+        own = edges.where(F.col(end).isin(ids)) if ids is not None else edges.join(of.select(F.col("node").alias(end)).distinct(), end, "left_semi")
+        ends.append(own.select(*edges.columns, F.col(end).alias("node"), F.col(other).alias("other"), F.lit(direction).alias("direction")))
+    return ends[0].unionByName(ends[1])
+
+
+def neighbor_rows(graph: Graph, of: DataFrame | None = None) -> DataFrame:
+    """One row for each edge and end, or for each edge at the nodes ``of``."""
     said = [F.col("evidence").alias("edge_evidence")] if "evidence" in graph.edges.columns else []
-    around = incident(graph.edges).join(of, "node").select("node", "other", "relation_type", "direction", F.col("confidence").alias("edge_confidence"), F.col("seq").alias("edge_seq"), *said)
+    around = incident(graph.edges) if of is None else incident_to(graph.edges, of)
+    around = around.select("node", "other", "relation_type", "direction", F.col("confidence").alias("edge_confidence"), F.col("seq").alias("edge_seq"), *said)
     other = graph.nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("node_type").alias("other_type"), F.col("source").alias("other_source"))
     return around.join(other, "other")
 
 
+def neighbors(graph: Graph, of: DataFrame) -> DataFrame:
+    """One row for each edge at the nodes ``of`` (column node): the other node, relation, direction, confidence, and evidence where
+    the graph has it. From the stored adjacency where the graph has one."""
+    return graph.adjacency.of(of) if graph.adjacency is not None else neighbor_rows(graph, of)
+
+
 def neighbors_by_type(graph: Graph, of: DataFrame, node_type: str) -> DataFrame:
     return neighbors(graph, of).where(F.lower("other_type") == node_type.lower())
 

@@ -6,21 +6,27 @@ import functools
 import itertools
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .navigation import incident
+from ..schema import Graph
+from .navigation import few, incident, incident_to, without
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder of spark.checkpoint.dir; in local mode without one, in a temporary folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; in local mode without one, a temporary folder."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -53,20 +59,52 @@ def levels(edges: DataFrame, start: DataFrame, most: int | None = None, target:
     return functools.reduce(DataFrame.unionByName, found if done is None else [done, *found]).select("node", "depth", "parent")
 
 
-def shortest_path(edges: DataFrame, a: int, b: int, most: int | None = None) -> list[int]:
-    """Nodes of a shortest undirected path, or none. Only the path comes to the driver."""
-    spark = edges.sparkSession
+def shortest_path(graph: Graph, a: int, b: int, most: int | None = None) -> list[int]:
+    """Nodes of a shortest undirected path of at most ``most`` edges, or none. Of several that one whose edges' seqs, read from ``a`` on,
+    are the least. Only the path comes to the driver.
+
+    The search goes from both ends, each round from the one whose front is smaller, until a front meets the other's. A row of a front
+    carries the nodes and seqs of the best way to its end, so a path is read where fronts meet and nothing is walked back. Edges come
+    from the stored adjacency; without one, from the edges at a small front, or from all by node, written once.
+    """
+    spark = graph.edges.sparkSession
     if a == b:
         return [a]
-    tree = levels(edges, spark.createDataFrame([(a,)], "node long"), most, b)
-    path, at = [b], b
-    while at != a:
-        row = tree.where(F.col("node") == at).first()
-        if row is None:
+    around: DataFrame | None = None
+
+    def edges_at(front: DataFrame, ids: list[int] | None) -> DataFrame:
+        nonlocal around
+        if graph.adjacency is not None:
+            return graph.adjacency.of(front, ids).select("node", "other", F.col("edge_seq").alias("seq"))
+        if around is None and ids is not None:
+            return incident_to(graph.edges, front, ids).select("node", "other", "seq")
+        if around is None:
+            around = checkpointed(incident(graph.edges).select("node", "other", "seq").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node"))
+        return around
+
+    fronts = [[(spark.createDataFrame([(end, [end], [])], "node long, nodes array<long>, seqs array<long>"), [end])] for end in (a, b)]
+    sizes = [1, 1]
+    for _ in itertools.count() if most is None else range(most):
+        side = int(sizes[1] < sizes[0])
+        front, ids = fronts[side][-1]
+        onward = (lambda old, new: F.concat(F.array(new), old)) if side else (lambda old, new: F.concat(old, F.array(new)))
+        reached = front.join(edges_at(front, ids), "node").select(F.col("other").alias("node"), onward(F.col("nodes"), F.col("other")).alias("nodes"), onward(F.col("seqs"), F.col("seq")).alias("seqs"))
+        reached = reached.groupBy("node").agg(F.min(F.struct("seqs", "nodes")).alias("x")).select("node", "x.nodes", "x.seqs")
+        for before, known in fronts[side][-2:]:
+            reached = without(reached, "node", before, known)
+        new = checkpointed(reached)
+        there = fronts[1 - side][-1][0].select("node", F.col("nodes").alias("n"), F.col("seqs").alias("s"))
+        (n1, s1), (n2, s2) = [("nodes", "seqs"), ("n", "s")][:: -1 if side else 1]
+        met = new.join(there, "node").select(F.concat(s1, s2).alias("seqs"), F.concat(n1, F.slice(n2, 2, 1 << 30)).alias("nodes"))
+        found = met.orderBy("seqs", "nodes").first()
+        if found:
+            return list(found["nodes"])
+        own = few(new)
+        sizes[side] = len(own) if own is not None else new.count()
+        fronts[side] = [(front, ids), (new, own)]
+        if not sizes[side]:
             return []
-        at = row["parent"]
-        path.append(at)
-    return path[::-1]
+    return []
 
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import transcript as tr
 from ..operators import discover, evaluate, impact, lifecycle, mutation, navigation, paths, ranking, reports, resolve
 from ..schema import Graph
 from ..session import table
+from ..sources import store
 from ..sources.project import GRAPH_CTE, NOW, flat_edges, flat_nodes, graph
 from ..streaming import monitor
 from . import resolution
@@ -165,7 +168,7 @@ def bfs_levels(spark, d, g):
 
 @query("shortest_path_len", _SYM + _levels(8) + " SELECT CAST(depth AS BIGINT) AS length FROM a8 WHERE node = 200000001")
 def shortest_path_len(spark, d, g):
-    found = paths.shortest_path(g.edges, 1_000_000, 200_000_001)
+    found = paths.shortest_path(g, 1_000_000, 200_000_001)
     return spark.createDataFrame([(len(found) - 1,)] if found else [], "length long")
 
 
@@ -230,6 +233,24 @@ def impact_two_hop(spark, d, g):
     return impact.impact(g, "NATION_7", 2)
 
 
+_SAVED: dict[tuple, Graph] = {}
+
+
+def saved(spark: SparkSession, d: str, g: Graph) -> Graph:
+    """The graph as a session's first use of it has stored it in the shared folder, with its adjacency."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SAVED:
+        folder = f"{paths.shared_folder(spark)}/graph-{hashlib.md5(d.encode()).hexdigest()}"
+        store.append(g, folder)
+        _SAVED[key] = store.load(spark, folder)
+    return _SAVED[key]
+
+
+@query("impact_stored", ORACLES["impact_two_hop"].removeprefix(GRAPH_CTE))
+def impact_stored(spark, d, g):
+    return impact.impact(saved(spark, d, g), "NATION_7", 2)
+
+
 @query("breaking_changes", " , p AS (SELECT lower(source_file || CASE WHEN contains(source_file, '1') THEN '/Serial' WHEN contains(source_file, '2') THEN '/python/x' ELSE '' END) AS f, source_file FROM e) SELECT source_file, w AS warning FROM (SELECT DISTINCT source_file, unnest([CASE WHEN contains(f, 'storage') OR contains(f, 'serial') THEN 'stored data may fail to deserialise' END, CASE WHEN contains(f, 'python') THEN 'Python callers may break' END]) AS w FROM p) WHERE w IS NOT NULL")
 def breaking_changes(spark, d, g):
     file = F.col("source.file")

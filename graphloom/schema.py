@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -32,10 +33,18 @@ FACT_TYPES = ["Decision", "TechnicalFact", "ErrorResolution"]
 
 @dataclass
 class Graph:
-    """Nodes and edges as DataFrames with the columns above; names need not be unique, ``seq`` is the order of insertion."""
+    """Nodes and edges as DataFrames with the columns above; names need not be unique, ``seq`` is the order of insertion.
+
+    ``adjacency`` is the stored adjacency of these nodes and edges, if there is one; it goes when either is replaced."""
 
     nodes: DataFrame
     edges: DataFrame
     documents: DataFrame | None = None
     node_types: DataFrame | None = None
     edge_types: DataFrame | None = None
+    adjacency: Any = None
+
+    def __setattr__(self, name: str, value: Any) -> None:
+        super().__setattr__(name, value)
+        if name in ("nodes", "edges"):
+            super().__setattr__("adjacency", None)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.api import KnowledgeGraph
 from graphloom.operators import discover, evaluate, impact, lifecycle, mutation, navigation, paths, ranking, reports, resolve
+from graphloom.sources import adjacency, store
 from graphloom.schema import EDGES, EVIDENCE, NODES, Graph
 
 NODE = "id long, seq long, name string, node_type string, definition string, aliases array<string>, confidence double, source struct<kind:string,file:string>, created_at long, tier string, superseded_by long"
@@ -44,8 +45,8 @@ def test_neighbours_paths_and_stats(spark, people):
     one = spark.createDataFrame([(2,)], "node long")
     assert sorted(r["other_name"] for r in navigation.neighbors(people, one).collect()) == ["Ada", "Budget Of Engines"]
     assert [r["other_name"] for r in navigation.follow(people, one, "HAS_BUDGET").collect()] == ["Budget Of Engines"]
-    assert paths.shortest_path(people.edges, 1, 3) == [1, 2, 3]
-    assert paths.shortest_path(people.edges, 1, 4) == [] and paths.shortest_path(people.edges, 1, 1) == [1]
+    assert paths.shortest_path(people, 1, 3) == [1, 2, 3]
+    assert paths.shortest_path(people, 1, 4) == [] and paths.shortest_path(people, 1, 1) == [1]
     row = navigation.stats(people).first()
     assert (row["node_count"], row["edge_count"]) == (4, 2)
     q = navigation.quality_metrics(people).first()
@@ -242,6 +243,93 @@ def test_search_has_no_depth_limit(spark):
     """A chain of 80 nodes with a side branch and a cycle: levels, parents and path."""
     pairs = [(k, k + 1) for k in range(1, 80)] + [(3, 200), (200, 201), (10, 8)]
     edges = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(pairs)], "src long, dst long, seq long")
-    assert paths.shortest_path(edges, 80, 1) == [*range(80, 10, -1), 10, 8, 7, 6, 5, 4, 3, 2, 1]
+    assert paths.shortest_path(Graph(None, edges), 80, 1) == [*range(80, 10, -1), 10, 8, 7, 6, 5, 4, 3, 2, 1]
     near = {r["node"]: r["depth"] for r in paths.levels(edges, spark.createDataFrame([(1,)], "node long"), 4).collect()}
     assert near == {1: 0, 2: 1, 3: 2, 4: 3, 200: 3, 5: 4, 201: 4}
+
+
+def test_stored_adjacency(spark, tmp_path):
+    """A saved graph's neighbours come from the buckets of the nodes asked for, also those of a hub; changed edges are not stored ones."""
+    links = [(1, k, "r") for k in range(2, 60)] + [(k, k + 1, "s") for k in range(60, 99)] + [(2, 60, "t"), (5, 5, "u"), (3, 4, "t"), (4, 3, "t")]
+    g = make(spark, [{"name": f"n{k}", "file": f"f{k}"} for k in range(1, 101)], links)
+    stored = Graph(g.nodes, g.edges, adjacency=adjacency.write(g, f"file://{tmp_path}/a", rows_per_bucket=20))
+    assert stored.adjacency.hubs is not None and {r["node"] for r in stored.adjacency.hubs.select("node").distinct().collect()} == {1}
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    for nodes in ([1], [2, 60, 5], [7777], list(range(1, 101))):
+        of = spark.createDataFrame([(k,) for k in nodes], "node long")
+        assert rows(navigation.neighbors(stored, of)) == rows(navigation.neighbors(g, of))
+    many = spark.range(1, 5000).withColumnRenamed("id", "node")
+    assert rows(navigation.neighbors(stored, many)) == rows(navigation.neighbors(g, many))
+    plan = stored.adjacency.of(spark.createDataFrame([(60,)], "node long"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "EqualTo(node,60)" in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    big = stored.adjacency.near.join(many, "node")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in big and big.count("Exchange hashpartitioning") == 1  # the front alone is shuffled
+    assert rows(impact.impact(stored, "n2", 2)) == rows(impact.impact(g, "n2", 2))
+    assert paths.shortest_path(stored, 99, 7) == paths.shortest_path(g, 99, 7) == [*range(99, 59, -1), 2, 1, 7]
+    assert adjacency.read(spark, f"file://{tmp_path}/none") is None and adjacency.read(spark, f"file://{tmp_path}/a").hubs is not None
+    asked = stored.adjacency.of(spark.createDataFrame([(60,)], "node long"))
+    bucket = spark.range(1).select(F.pmod(F.hash(F.lit(60).cast("long")), F.lit(16))).first()[0]
+    for file in (tmp_path / "a" / "near-16").glob("part-*"):
+        if f"_{bucket:05d}.c" not in file.name:
+            file.unlink()
+    assert sorted(r["other"] for r in asked.collect()) == [2, 61]  # no other bucket is read
+    stored.edges = g.edges.limit(0)
+    assert stored.adjacency is None and navigation.neighbors(stored, many).count() == 0
+
+
+def test_shortest_path_is_the_least_of_all(spark):
+    """Random graphs against every path, in few jobs: of equally short ones the least edge numbers count; a hub is no bar."""
+    r = random.Random(3)
+    pairs = [(r.randint(1, 25), r.randint(1, 25)) for _ in range(45)]
+    edges = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(pairs)], "src long, dst long, seq long").cache()
+    g, best = Graph(None, edges), {}
+    for start in (1, 7):
+        level = {start: ((), (start,))}
+        best[start] = dict(level)
+        while level:
+            step = {}
+            for k, (a, b) in enumerate(pairs):
+                for x, y in ((a, b), (b, a)):
+                    if x in level and y not in best[start]:
+                        step[y] = min(step.get(y, ((1 << 60,), ())), ((*level[x][0], k), (*level[x][1], y)))
+            best[start] |= step
+            level = step
+        for end in (2, 13, 25):
+            assert paths.shortest_path(g, start, end) == list(best[start].get(end, ((), ()))[1])
+    hub = Graph(None, spark.createDataFrame([(0, k, k) for k in range(1, 3000)] + [(3000, 1, 3000), (2999, 3001, 3001)], "src long, dst long, seq long"))
+    assert paths.shortest_path(hub, 3000, 3001) == [3000, 1, 0, 2999, 3001] and paths.shortest_path(hub, 3000, 3001, 3) == []
+
+
+def test_change_log(spark, tmp_path, monkeypatch):
+    """A change writes what it changes, a writer that stops before the head leaves what was there, and many changes become a version."""
+    path = f"file://{tmp_path}/g"
+    seed = make(spark, [{"name": f"n{k}", "text": "t" * 200} for k in range(400)], [(k, k + 1, "r") for k in range(1, 400)])
+    own = store.empty(spark)
+    g = Graph(own.nodes.unionByName(seed.nodes.drop("source"), allowMissingColumns=True), own.edges.unionByName(seed.edges.drop("source"), allowMissingColumns=True))
+    base = store.append(g, path)
+    assert (tmp_path / "g" / base / "adjacency").is_dir() and store.load(spark, path).adjacency is not None
+    size = lambda v: sum(f.stat().st_size for f in (tmp_path / "g" / v).rglob("*.parquet") if "adjacency" not in str(f))
+    now = store.load(spark, path)
+    now.nodes = now.nodes.where("id <> 7").withColumn("definition", F.when(F.col("id") == 9, "new").otherwise(F.col("definition")))
+    now.edges = now.edges.where("src <> 7 and dst <> 7").unionByName(now.edges.where("id = 1").withColumn("id", F.lit(1000).cast("long")))
+    heads = len(list((tmp_path / "g").glob("HEAD-*")))
+    monkeypatch.setattr(store, "_set_head", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        store.append(now, path)
+    monkeypatch.undo()
+    assert store.load(spark, path).nodes.count() == 400 and len(list((tmp_path / "g").glob("HEAD-*"))) == heads
+    change = store.append(now, path)
+    assert spark.read.parquet(f"{path}/{change}/nodes").count() == 2 and spark.read.parquet(f"{path}/{change}/edges").count() == 3
+    back = store.load(spark, path)
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert rows(back.nodes) == rows(now.nodes) and rows(back.edges) == rows(now.edges) and back.adjacency is None
+    assert size(change) < size(base) * 2  # a handful of rows; at this size footers are most of it
+    again = store.load(spark, path)
+    again.nodes = again.nodes.withColumn("definition", F.when(F.col("id") == 9, "newer").otherwise(F.col("definition"))).unionByName(seed.nodes.drop("source").where("id = 7"), allowMissingColumns=True)
+    store.append(again, path)
+    last = store.load(spark, path)
+    assert last.nodes.where("id = 9").first()["definition"] == "newer" and last.nodes.count() == 400
+    monkeypatch.setattr(store, "MOST_CHANGES", 2)
+    assert store.append(last, path) != change and store.load(spark, path).adjacency is not None and rows(store.load(spark, path).nodes) == rows(again.nodes)
