@@ -34,9 +34,7 @@ RANGE = 1 << 18
 #: Touched counters that a task holds before it sends them.
 HELD = 1 << 21
 #: Bytes of a text that are taken at a time.
-STRETCH = 1 << 20
-#: Rows of exact counts that a task holds before it sends them.
-ROWS = 1 << 18
+STRETCH = 1 << 18
 SPLIT = np.zeros(256, bool)
 SPLIT[[*b".,;:!?\n\x0b\x0c\r"]] = True
 GAP = SPLIT.copy()
@@ -233,16 +231,6 @@ def _broadcast(sketch: DataFrame):
     return sketch.sparkSession.sparkContext.broadcast(bits)
 
 
-def _summed(tables: list[pa.Table]) -> pa.Table:
-    return pa.concat_tables(tables).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
-
-
-def _rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    columns = {c: table.column(c) for c in ("lang", "words", "phrase", "n")}
-    columns["phrase"] = columns["phrase"].cast(pa.string())
-    yield from pa.table(columns).to_batches(max_chunksize=1 << 16)
-
-
 def frequent(docs: DataFrame, scratch: Scratch, *, threshold: int = 100) -> DataFrame:
     """lang, words, phrase, f: exact counts of all phrases of 1 to MOST_WORDS words with f >= threshold; and for each language a
     row of 0 words with the number of all its words."""
@@ -254,21 +242,13 @@ def frequent(docs: DataFrame, scratch: Scratch, *, threshold: int = 100) -> Data
     gates |= {words: longer for words in range(3, MOST_WORDS + 1)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held, size = _gates(gates), [], 0
+        own = _gates(gates)
         for batch in batches:
             for lang, t in _by_language(batch):
                 total = [pa.array([0], pa.int32()), pa.array([""], pa.large_string()), pa.array([t.limit], pa.int64())]
                 found = [total, *([pa.array(np.full(len(n), words, np.int32)), t.texts(at, words), pa.array(n)] for words, at, n, _ in counted(t, _seed(lang), own, MOST_WORDS))]
                 columns = [pa.concat_arrays(x) for x in zip(*found)]
-                held.append(pa.table([pa.array([lang] * len(columns[0]), pa.string()), *columns], ["lang", "words", "phrase", "n"]))
-                size += len(columns[0])
-                if size > ROWS:
-                    held = [_summed(held)]
-                    if (size := len(held[0])) > ROWS // 2:
-                        yield from _rows(held[0])
-                        held, size = [], 0
-        if held:
-            yield from _rows(_summed(held))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0]), pa.string()), columns[0], columns[1].cast(pa.string()), columns[2]], ["lang", "words", "phrase", "n"])
 
     exact = rows.mapInArrow(count, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"))
     return scratch.table(exact.where((F.col("words") == 0) | (F.col("f") >= threshold)), "frequent")
@@ -290,7 +270,7 @@ def collocations(docs: DataFrame, *, threshold: int = 100, most: int = 2000) ->
     suffices to look one word further, since a phrase between the two occurs as often as both. Order: score, a (both falling), phrase in the order of UTF-8 bytes.
 
     Null text is empty, null lang is ``und``, together with rows that say so. Rows that repeat count again. A text of any
-    length is counted whole, in stretches of 4 MB with the words that phrases reach beyond them. Languages without words or frequent
+    length is counted whole, in stretches of 256 KB with the words that phrases reach beyond them. Languages without words or frequent
     phrases, and empty tables, give no rows. Ids and other columns are not read. ``a`` is exact up to 10**15, other counts to 2**63.
     """
     scratch = Scratch(docs.sparkSession, "phrases")
