@@ -188,40 +188,8 @@ class KnowledgeGraph:
         return gone
 
     def reconcile(self, text: str, now: int, threshold: float = 0.05) -> dict:
-        """Add, supersede, promote, relate, then forget; each step sees those before it. The input is one session's facts."""
-        raw, spark = json.loads(text), self.spark
-        report = {"added": 0, "superseded": 0, "promoted": 0, "edges_added": 0, "edges_new": 0, "gc_removed": 0, "errors": []}
-        facts = [(k, f["name"], f.get("type") or f.get("fact_type") or "TechnicalFact", f.get("tier") or "Minor", f.get("definition") or "", f.get("reason")) for k, f in enumerate(raw.get("new_facts", [])) if f.get("name", "").strip()]
-        shape = "ord int, name string, type string, tier string, definition string, reason string"
-        ids: dict[str, int] = {}
-        if facts:
-            new = lifecycle.new_facts(self.graph.nodes, spark.createDataFrame(facts, shape)).orderBy("ord").collect()
-            rows = [(r["ord"], r["name"], r["type"], r["definition"], [], 0.9, ("Conversation", None, None, None), now, r["tier"]) for r in new]
-            kind = self.graph.nodes.schema["source"].dataType
-            made = spark.createDataFrame(rows, "ord int, name string, node_type string, definition string, aliases array<string>, confidence double, source struct<kind:string,name:string,page:int,file:string>, created_at long, tier string")
-            made = made.withColumn("tier", ranking.parse_tier(F.col("tier"))).withColumn("confidence", F.col("confidence").cast(self.graph.nodes.schema["confidence"].dataType))
-            made = made.withColumn("source", F.struct(*[F.col(f"source.{n}") for n in kind.names]))
-            self.graph.nodes = mutation.add_nodes(self.graph.nodes, made)
-            report["added"] = len(rows)
-            ids = {r["name"]: r["id"] for r in navigation.lookup_many(self.graph.nodes, spark.createDataFrame([(f[1],) for f in facts], "name string")).select(F.col("query").alias("name"), "id").collect()}
-        by = [(f["supersedes"], ids.get(f["name"])) for f in raw.get("new_facts", []) if f.get("supersedes")]
-        by += [(s["old"], None) for s in raw.get("superseded", []) if s["old"] not in {b[0] for b in by}]
-        if by:
-            old = spark.createDataFrame(by, "old string, by long")
-            report["superseded"] = navigation.lookup_many(self.graph.nodes, old, "old").count()
-            self.graph.nodes = lifecycle.supersede(self.graph.nodes, old)
-        if raw.get("promotions"):
-            up = spark.createDataFrame([(p["name"], p["new_tier"]) for p in raw["promotions"]], "name string, new_tier string").withColumn("new_tier", ranking.parse_tier(F.col("new_tier")))
-            raised = lifecycle.promote(self.graph.nodes, up)
-            report["promoted"] = raised.select("id", F.col("tier").alias("t")).join(self.graph.nodes.select("id", "tier"), "id").where("t <> tier").count()
-            self.graph.nodes = raised
-        if raw.get("relations"):
-            rel = spark.createDataFrame([(r["from"], r["to"], r["type"]) for r in raw["relations"]], "src_name string, dst_name string, type string")
-            found = lifecycle.relate(self.graph.nodes, rel)
-            report["edges_added"] = found.count()
-            fresh = found.join(self.graph.edges.select("src", "dst", F.lower("relation_type").alias("k")), ["src", "dst"], "left").where("k is null or k <> lower(relation_type)").select(found.columns).distinct()
-            fresh = fresh.withColumn("confidence", F.col("confidence").cast(self.graph.edges.schema["confidence"].dataType))
-            report["edges_new"] = self._add_edges(fresh)
+        """Fold one session's facts in (``lifecycle.reconcile``), then forget."""
+        self.graph, report = lifecycle.reconcile(self.graph, json.loads(text), now)
         report["gc_removed"] = self.garbage_collect(now, threshold)
         return report
 

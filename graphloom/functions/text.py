@@ -90,25 +90,27 @@ def truncated(text: Column, most: int, mark: str = "...") -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(byte_prefix(text, most), F.lit(mark)))
 
 
-# What states a fact, by kind. They are matched without regard to case.
+# What states a fact, by kind, in order.
 FACT_PATTERNS = [
-    ("Decision", r"(?:(?:we|let's|i'll|i)\s+)?(?:decided?|chose?|use|switch(?:ed|ing)? to|go(?:ing)? with)\s+.{5,80}"),
-    ("Decision", r"the approach is\s+.{5,80}"),
-    ("Error", r"(?:the )?bug (?:is|was) (?:caused by|in|due to)\s+.{5,80}"),
-    ("Error", r"doesn't work because\s+.{5,80}"),
-    ("Error", r"(?:the )?(?:fix|solution) (?:is|was)\s+.{5,80}"),
-    ("Supersession", r"instead of\s+(?:\S+\s+){1,4}(?:(?:we'll|let's)\s+)?use\s+.{3,40}"),
-    ("Supersession", r"replac(?:e|ing)\s+(?:\S+\s+){1,4}with\s+.{3,40}"),
-    ("Relation", r"\S+\s+(?:depends on|calls|imports|requires)\s+\S+"),
-    ("Relation", r"after changing\s+\S+?,?\s+\S+\s+broke"),
+    ("Decision", r"(?:we |let's |I'll |I )?(?:decided?|chose?|use|switch(?:ed|ing)? to|go(?:ing)? with)\s+(.{5,80})"),
+    ("Decision", r"the approach is\s+(.{5,80})"),
+    ("Error", r"(?:the )?bug (?:is|was) (?:caused by|in|due to)\s+(.{5,80})"),
+    ("Error", r"doesn't work because\s+(.{5,80})"),
+    ("Error", r"(?:the )?(?:fix|solution) (?:is|was)\s+(.{5,80})"),
+    ("Supersession", r"instead of\s+(\S+(?:\s+\S+){0,3})\s+(?:we'll |let's )?use\s+(.{3,40})"),
+    ("Supersession", r"replac(?:e|ing)\s+(\S+(?:\s+\S+){0,3})\s+with\s+(.{3,40})"),
+    ("Relation", r"(\S+(?:\.\S+)?)\s+(?:depends on|calls|imports|requires)\s+(\S+(?:\.\S+)?)"),
+    ("Relation", r"after changing\s+(\S+(?:\.\S+)?),?\s+(\S+(?:\.\S+)?)\s+broke"),
 ]
+#: Case is ignored, classes are those of Unicode, and only a line feed ends a line for a dot.
+FACT_FLAGS = "(?iUd)"
 
 
 def facts(texts: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, fact_type, fact): every match of every pattern, trimmed."""
+    """(id, fact_type, fact): every match of every pattern, without white space at its ends. Null texts state nothing."""
 
     def matches(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(F.col(text), F.lit("(?i)" + pattern), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("fact_type"), F.trim(m).alias("fact")))
+        return F.transform(F.regexp_extract_all(F.col(text), F.lit(FACT_FLAGS + pattern), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("fact_type"), F.btrim(m, F.lit(WHITE)).alias("fact")))
 
     found = F.concat(*[matches(*x) for x in FACT_PATTERNS])
     return texts.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.explode(found).alias("x")).select("id", "x.fact_type", "x.fact")

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import WHITE
 from ..schema import FACT_TYPES, Graph
 from .navigation import inbound_counts, lookup, neighbors, normal, without
 from .paths import checkpointed
@@ -24,7 +25,7 @@ def short_name(name: Column) -> Column:
 
 def matching(nodes: DataFrame, name: str) -> DataFrame:
     """(node) by the first rule that finds any: exact name (no file or import); a name that ends in .name (no import); look-up."""
-    key, own = name.strip().lower(), normal(F.col("name"))
+    key, own = name.strip(WHITE).lower(), normal(F.col("name"))
     step = F.when((own == key) & ~F.col("node_type").isin("File", "Import"), 1).when(own.endswith("." + key) & (F.col("node_type") != "Import"), 2)
     ranked = nodes.withColumn("step", step).where("step is not null").select("id", "step").unionByName(lookup(nodes, name).select("id", F.lit(3).alias("step")))
     best = ranked.agg(F.min("step").alias("best"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import Graph
-from .mutation import remove_nodes
-from .navigation import lookup_many, normal
-from .ranking import is_code, relevance, tier_weight
+from ..functions.text import WHITE
+from ..schema import EVIDENCE, Graph
+from .mutation import remove_nodes, upsert_edges
+from .navigation import lookup_many, means, normal
+from .ranking import is_code, parse_tier, relevance, tier_weight
 
 
 def with_reason(definition: Column, reason: Column) -> Column:
@@ -53,3 +54,82 @@ def forgotten(nodes: DataFrame, now: int, threshold: float = 0.05) -> DataFrame:
 
 def garbage_collect(graph: Graph, now: int, threshold: float = 0.05) -> Graph:
     return remove_nodes(graph, forgotten(graph.nodes, now, threshold))
+
+
+def reconcile(graph: Graph, batch: dict, now: int) -> tuple[Graph, dict]:
+    """Fold one session's facts into the graph, in its order: add, supersede, promote, relate; each step sees those before it.
+
+    A fact is added unless a look-up of its name finds a node or a fact added before it, with its evidence (document ``conversation``)
+    where it has any. A superseded name takes the id of what the first fact that names it means, else 0. Tiers are raised, never lowered.
+    Relations are edges of confidence 0.8 from a conversation, merged with those that are there. Unknown types and self loops are errors.
+    The batch is one session's, so it is folded on the driver, after one look-up of all its names; the graph is joined with it.
+    """
+    spark = graph.nodes.sparkSession
+    report: dict = {"added": 0, "superseded": 0, "promoted": 0, "edges_added": 0, "edges_new": 0, "errors": []}
+    nodes, edges = graph.nodes, graph.edges
+    types = {r["name"].lower() for r in graph.node_types.collect()} if graph.node_types is not None else set()
+    relation_types = {r["name"].lower() for r in graph.edge_types.collect()} if graph.edge_types is not None else set()
+    facts = [f for f in batch.get("new_facts", []) if f.get("name", "").strip(WHITE)]
+    over, raised, relations = batch.get("superseded", []), batch.get("promotions", []), batch.get("relations", [])
+    asked = {f["name"] for f in facts} | {f["supersedes"] for f in facts if f.get("supersedes")} | {s["old"] for s in over} | {p["name"] for p in raised} | {r[k] for r in relations for k in ("from", "to")}
+    known: dict[str, tuple[int, int]] = {}
+    if asked:  # all names of the batch at once; what the batch adds itself is looked up beside
+        found = lookup_many(nodes, spark.createDataFrame([(x,) for x in sorted(asked)], "name string"))
+        known = {r["query"]: (r["step"], r["id"]) for r in found.collect()}
+    top = nodes.agg(F.coalesce(F.max("id"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
+    added: list[list] = []
+
+    def find(name: str) -> int | None:
+        own = [(step, 1, k) for k, x in enumerate(added, 1) if (step := means(name, x[0]))]
+        there = [(known[name][0], 0, known[name][1])] if name in known else []
+        best = min(own + there, default=None)
+        return None if best is None else top[0] + best[2] if best[1] else best[2]
+
+    for f in facts:
+        if find(f["name"]) is not None:
+            continue
+        kind = f.get("type") or f.get("fact_type") or "TechnicalFact"
+        if types and kind.lower() not in types:
+            report["errors"].append(f"Add '{f['name']}': unknown node type: {kind}")
+            continue
+        definition, reason, said = f.get("definition") or "", f.get("reason") or "", f.get("evidence_text") or ""
+        if reason and reason not in definition:
+            definition = f"{definition} (reason: {reason})"
+        added.append([f["name"], kind, definition, f.get("tier") or "Minor", [("conversation", None, said, 0, 0)] if said else []])
+    report["added"] = len(added)
+    if added:
+        made = spark.createDataFrame([(top[0] + k, top[1] + k, name, kind, definition, [], 0.9, now, now, tier, said) for k, (name, kind, definition, tier, said) in enumerate(added, 1)],
+            f"id long, seq long, name string, node_type string, definition string, aliases array<string>, confidence double, created_at long, last_referenced long, tier string, evidence {EVIDENCE.simpleString()}")
+        source = F.struct(*[(F.lit("Conversation") if f.name == "kind" else F.lit(None).cast(f.dataType)).alias(f.name) for f in nodes.schema["source"].dataType])
+        made = made.withColumn("tier", parse_tier(F.col("tier"))).withColumn("confidence", F.col("confidence").cast(nodes.schema["confidence"].dataType)).withColumn("source", source)
+        nodes = nodes.unionByName(made.select(*[c for c in made.columns if c in nodes.columns]), allowMissingColumns=True)
+    old: dict[int, int] = {}
+    for name in [s["old"] for s in over] + [f["supersedes"] for f in facts if f.get("supersedes")]:
+        if (at := find(name)) is not None and at not in old:
+            new = next((f["name"] for f in facts if f.get("supersedes") == name), None)
+            old[at] = (find(new) if new else None) or 0
+    report["superseded"] = len(old)
+    if old:
+        change = spark.createDataFrame(list(old.items()), "id long, new_by long")
+        nodes = nodes.join(F.broadcast(change), "id", "left").withColumn("superseded_by", F.coalesce("new_by", "superseded_by")).drop("new_by")  # a batch's
+    up = [(at, p["new_tier"]) for p in raised if (at := find(p["name"])) is not None]
+    if up:
+        change = spark.createDataFrame(up, "id long, new_tier string").withColumn("new_tier", parse_tier(F.col("new_tier")))
+        change = change.groupBy("id").agg(F.max_by("new_tier", tier_weight(F.col("new_tier"))).alias("new_tier"))
+        higher = F.coalesce(tier_weight(F.col("new_tier")) > tier_weight(F.col("tier")), F.lit(False))
+        report["promoted"] = nodes.join(F.broadcast(change), "id").where(higher).count()
+        nodes = nodes.join(F.broadcast(change), "id", "left").withColumn("tier", F.when(higher, F.col("new_tier")).otherwise(F.col("tier"))).drop("new_tier")
+    pairs = []
+    for r in relations:
+        ends = find(r["from"]), find(r["to"])
+        if None in ends:
+            continue
+        wrong = "self-loop" if ends[0] == ends[1] else f"unknown edge type: {r['type']}" if relation_types and r["type"].lower() not in relation_types | {"mentions"} else None
+        if wrong:
+            report["errors"].append(f"Edge '{r['from']}'->'{r['to']}': {wrong}")
+        else:
+            pairs.append((*ends, r["type"], 0.8, {"kind": "Conversation"}, []))
+    if pairs:
+        edges, fresh = upsert_edges(edges, pairs)
+        report["edges_added"], report["edges_new"] = len(pairs), sum(fresh)
+    return Graph(nodes, edges, graph.documents, graph.node_types, graph.edge_types), report

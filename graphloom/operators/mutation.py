@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schema import Graph
+from ..schema import EVIDENCE, Graph
 
 
 def merge_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -19,19 +20,46 @@ def merge_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     if nodes is not None:
         for end in ("src", "dst"):
             real = real.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
-    key = ["src", "dst", F.lower("relation_type").alias("relation_key")]
     own = [c for c in edges.columns if c not in ("src", "dst", "confidence", "seq", "evidence")]
-    first = F.min_by(F.struct(*own), F.col("seq")).alias("x")
-    merged = real.groupBy(*key).agg(first, F.max("confidence").alias("confidence"), F.min("seq").alias("seq"), F.count(F.lit(1)).alias("merged"))
+    real = real.withColumn("relation_key", F.lower("relation_type"))
+    key = ["src", "dst", "relation_key"]
     columns = ["seq", "src", "dst", "confidence", "merged", *[f"x.{c}" for c in own]]
     if "evidence" not in edges.columns:
+        first = F.min_by(F.struct(*own), F.col("seq")).alias("x")
+        merged = real.groupBy(*key).agg(first, F.max("confidence").alias("confidence"), F.min("seq").alias("seq"), F.count(F.lit(1)).alias("merged"))
         return merged.select(*columns)
-    said = real.select(*key, F.col("seq").alias("q"), F.posexplode("evidence").alias("k", "said"))
-    once = said.groupBy("src", "dst", "relation_key", "said.text_snippet").agg(F.min_by("said", F.struct("q", "k")).alias("said"), F.min(F.struct("q", "k")).alias("at"))
-    all_ = F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("said")["text_snippet"].alias("t"), "said"))), lambda x: x["said"])
-    held = once.groupBy(F.col("src").alias("s"), F.col("dst").alias("d"), F.col("relation_key").alias("r")).agg(all_.alias("evidence"))
-    both = merged.join(held, (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")) & (F.col("relation_key") == F.col("r")), "left")
-    return both.select(*columns, F.coalesce("evidence", F.array().cast(edges.schema["evidence"].dataType)).alias("evidence"))
+    # A row for each edge and text, an edge without a text has one: summed by text, then by edge, with nothing joined back.
+    texts = real.select(*key, "seq", "confidence", F.struct(*own).alias("x"), F.posexplode_outer("evidence").alias("k", "said")).withColumn("edges", (F.coalesce("k", F.lit(0)) == 0).cast("long"))
+    at = F.struct("seq", "k")
+    by_text = texts.groupBy(*key, F.col("said").isNotNull().alias("there"), F.col("said.text_snippet").alias("text")).agg(
+        F.min_by("said", at).alias("said"), F.min(at).alias("at"), F.max("confidence").alias("confidence"), F.sum("edges").alias("edges"), F.min_by("x", "seq").alias("x"), F.min("seq").alias("seq")
+    )
+    all_ = F.transform(F.array_sort(F.collect_list(F.when(F.col("there"), F.struct("at", "text", "said")))), lambda x: x["said"]).alias("evidence")
+    merged = by_text.groupBy(*key).agg(F.min_by("x", "seq").alias("x"), F.max("confidence").alias("confidence"), F.min("seq").alias("seq"), F.sum("edges").alias("merged"), all_)
+    return merged.select(*columns, "evidence")
+
+
+def upsert_edges(edges: DataFrame, pairs: list[tuple]) -> tuple[DataFrame, list[bool]]:
+    """``edges`` with a batch's (src, dst, relation, confidence, source row, evidence rows) in its order: one that is there, case of the relation ignored,
+    takes the larger confidence and the texts that it has not; others go behind all. Also whether each made a new edge. Only edges at the batch's
+    ends and relations are merged."""
+    spark = edges.sparkSession
+    top = edges.agg(F.max("id"), F.max("seq")).first()
+    kind = edges.schema["source"].dataType
+    shape = T.StructType([T.StructField(n, t) for n, t in (("id", T.LongType()), ("seq", T.LongType()), ("src", T.LongType()), ("dst", T.LongType()), ("relation_type", T.StringType()), ("confidence", T.DoubleType()), ("source", kind), ("evidence", EVIDENCE))])
+    fresh = spark.createDataFrame([((top[0] or 0) + k, (top[1] or 0) + k, a, b, r, c, {n: s.get(n) for n in kind.names}, said) for k, (a, b, r, c, s, said) in enumerate(pairs, 1)], shape)
+    fresh = fresh.withColumn("confidence", F.col("confidence").cast(edges.schema["confidence"].dataType))
+    fresh = fresh if "evidence" in edges.columns else fresh.drop("evidence")
+    keys = fresh.select(F.col("src").alias("s"), F.col("dst").alias("d"), F.lower("relation_type").alias("k")).distinct()
+    same = (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")) & (F.lower("relation_type") == F.col("k"))
+    touched = edges.join(keys, same, "left_semi")
+    there = {(r["src"], r["dst"], r["k"]) for r in touched.select("src", "dst", F.lower("relation_type").alias("k")).distinct().collect()}  # of the batch's pairs
+    new = []
+    for a, b, r, *_ in pairs:
+        new.append((a, b, r.lower()) not in there)
+        there.add((a, b, r.lower()))
+    merged = merge_edges(touched.unionByName(fresh, allowMissingColumns=True)).select(edges.columns)
+    return edges.join(keys, same, "left_anti").unionByName(merged), new
 
 
 def remove_nodes(graph: Graph, gone: DataFrame) -> Graph:

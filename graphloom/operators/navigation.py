@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import WHITE
 from ..schema import Graph
 from .discover import contained
 
 
 def normal(name: Column) -> Column:
-    return F.lower(F.trim(name))
+    """Lower case, without white space of any kind at its ends."""
+    return F.lower(F.btrim(name, F.lit(WHITE)))
+
+
+def means(query: str, name: str) -> int | None:
+    """The rule of ``lookup`` by which ``query`` means a node of that name without aliases, or None."""
+    key, own = query.strip(WHITE).lower(), name.strip(WHITE).lower()
+    part = len(key.encode()) >= 6 and (key in own or (len(own.encode()) >= 6 and own in key))
+    return 1 if own == key else 2 if own == toggled(key) else 3 if part else None
 
 
 def all_names(nodes: DataFrame) -> DataFrame:
@@ -27,7 +36,7 @@ def toggled(key: str) -> str:
 def lookup(nodes: DataFrame, name: str) -> DataFrame:
     """The node that a name means, or no row: exact name or alias; else the name with its last s toggled; else, from six
     bytes on, a node whose name contains it or (from six bytes on) is contained in it. One scan and a top-1."""
-    key = name.strip().lower()
+    key = name.strip(WHITE).lower()
     own = normal(F.col("name"))
     names = F.concat(F.array(own), F.filter(F.transform("aliases", normal), lambda a: a != ""))
     part = F.lit(len(key.encode()) >= 6) & (own.contains(key) | ((F.octet_length(own) >= 6) & F.lit(key).contains(own)))
@@ -130,7 +139,7 @@ def inbound_counts(edges: DataFrame) -> DataFrame:
 
 def references_to(graph: Graph, name: str) -> DataFrame:
     """Edges from code into every node of that exact name (else the looked-up node): (source_file, source_line, target, ref_type)."""
-    exact = graph.nodes.where(normal(F.col("name")) == name.strip().lower()).select("id", "name")
+    exact = graph.nodes.where(normal(F.col("name")) == name.strip(WHITE).lower()).select("id", "name")
     other = lookup(graph.nodes, name).where("step > 1").select("id", "name")
     target = exact.unionByName(other).withColumnRenamed("id", "dst").withColumnRenamed("name", "target")
     kind = F.expr("case relation_type when 'reads' then 'ReadsField' when 'writes' then 'WritesField' when 'uses_type' then 'UsesType' else 'Calls' end")

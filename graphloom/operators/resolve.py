@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EVIDENCE, Graph
-from .mutation import merge_edges
+from .mutation import upsert_edges
 from .navigation import all_names, normal
 
 THRESHOLD = 0.85
@@ -184,22 +184,12 @@ def ingest(graph: Graph, batch: dict, now: int = 0, threshold: float = THRESHOLD
         elif relation_types and r["type"].lower() not in relation_types | {"mentions"}:
             report.errors.append(f"unknown edge type: {r['type']}")
         elif ends[0] != ends[1]:
-            pairs.append((*ends, r["type"], r["confidence"], r.get("document"), _said(r)))
+            document = r.get("document")
+            source = {"kind": "Memory"} if document in (None, "memory") else {"kind": "Document", "name": document}
+            pairs.append((*ends, r["type"], r["confidence"], source, _said(r)))
     edges = graph.edges
     if pairs:
-        top = edges.agg(F.max("id"), F.max("seq")).first()
-        fresh = spark.createDataFrame([((top[0] or 0) + k, (top[1] or 0) + k, *p) for k, p in enumerate(pairs, 1)], f"id long, seq long, src long, dst long, relation_type string, confidence double, document string, evidence {EVIDENCE.simpleString()}")
-        fresh = fresh.withColumn("confidence", F.col("confidence").cast(edges.schema["confidence"].dataType)).withColumn("source", _source(edges)).drop("document")
-        fresh = fresh if "evidence" in edges.columns else fresh.drop("evidence")
-        keys = fresh.select(F.col("src").alias("s"), F.col("dst").alias("d"), F.lower("relation_type").alias("k")).distinct()
-        same = (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")) & (F.lower("relation_type") == F.col("k"))
-        touched = edges.join(keys, same, "left_semi")
-        there = {(r["src"], r["dst"], r["k"]) for r in touched.select("src", "dst", F.lower("relation_type").alias("k")).distinct().collect()}  # of the batch's pairs
-        for a, b, kind, *_ in pairs:
-            new_edge = (a, b, kind.lower()) not in there
-            there.add((a, b, kind.lower()))
-            report.edges_added += new_edge
-            report.edges_deduped += not new_edge
-        merged = merge_edges(touched.unionByName(fresh, allowMissingColumns=True)).select(edges.columns)
-        edges = edges.join(keys, same, "left_anti").unionByName(merged)
+        edges, new = upsert_edges(edges, pairs)
+        report.edges_added += sum(new)
+        report.edges_deduped += len(new) - sum(new)
     return Graph(nodes, edges, graph.documents, graph.node_types, graph.edge_types), report

@@ -390,6 +390,27 @@ def reconcile_relate(spark, d, g):
     return lifecycle.relate(g.nodes, rel).select("src", "dst", "relation_type")
 
 
+@query("reconcile_full", """, k AS (SELECT r_name, min(r_regionkey) OVER () AS k0, r_regionkey AS k, row_number() OVER (ORDER BY r_regionkey) AS i FROM region), a AS (SELECT min_by(id, seq) AS id FROM n WHERE lower(name) = (SELECT lower(min_by(n_name, n_nationkey)) FROM nation)),
+b AS (SELECT n.id FROM nation JOIN region ON n_regionkey = r_regionkey JOIN n ON n.name = r_name AND node_type = 'Region' ORDER BY n_nationkey LIMIT 1), m AS (SELECT max(id) AS m FROM n), x AS (SELECT max(id) AS x FROM e)
+SELECT 'node' AS part, id, name AS label, CASE WHEN id = (SELECT id FROM b) THEN 'Critical' ELSE tier END AS tier, CASE WHEN id = (SELECT id FROM a) THEN (SELECT m + 1 FROM m) ELSE coalesce(superseded_by, -1) END AS x, CAST(0 AS BIGINT) AS y, round(confidence, 9) AS confidence FROM n
+UNION ALL SELECT 'node', (SELECT m FROM m) + i, 'view of r' || CAST(k AS VARCHAR), 'Significant', CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0.9 AS DOUBLE) FROM k
+UNION ALL SELECT 'edge', id, relation_type, '', src, dst, CASE WHEN src = (SELECT id FROM a) AND dst = (SELECT id FROM b) THEN greatest(round(confidence, 9), CAST(0.8 AS DOUBLE)) ELSE round(confidence, 9) END FROM e
+UNION ALL SELECT 'edge', (SELECT x FROM x) + 1, 'near', '', (SELECT id FROM a), (SELECT id FROM b), CAST(0.8 AS DOUBLE)
+UNION ALL SELECT 'edge', (SELECT x FROM x) + 3, 'about', '', (SELECT m FROM m) + 1, (SELECT id FROM a), CAST(0.8 AS DOUBLE)""")
+def reconcile_full(spark, d, g):
+    keys = [r[0] for r in table(spark, d, "region").select("r_regionkey").orderBy("r_regionkey").collect()]  # a session's facts: one for each region
+    first = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").select("n_name", "r_name").first()
+    facts = [{"name": f"view of r{k}", "type": "Decision", "tier": "Significant", "definition": "seen", "evidence_text": "said"} for k in keys] + [{"name": f" View of R{keys[0]}", "type": "Decision"}]
+    facts[0]["supersedes"] = first["n_name"]
+    pair = {"from": first["n_name"], "to": first["r_name"]}
+    relations = [pair | {"type": "near"}, pair | {"type": "IN_REGION"}, {"from": facts[0]["name"], "to": first["n_name"], "type": "about"}, pair | {"type": "Near"}]
+    batch = {"new_facts": facts, "superseded": [{"old": first["n_name"]}], "promotions": [{"name": first["r_name"], "new_tier": "Critical"}], "relations": relations}
+    done, _ = lifecycle.reconcile(g, batch, NOW)
+    zero = F.lit(0).cast("long").alias("y")
+    nodes = done.nodes.select(F.lit("node").alias("part"), "id", F.col("name").alias("label"), "tier", F.coalesce("superseded_by", F.lit(-1).cast("long")).alias("x"), zero, r9("confidence").alias("confidence"))
+    return nodes.unionByName(done.edges.select(F.lit("edge").alias("part"), "id", F.col("relation_type").alias("label"), F.lit("").alias("tier"), F.col("src").alias("x"), F.col("dst").alias("y"), r9("confidence").alias("confidence")))
+
+
 _CONTAINS = "SELECT a.id AS src, b.id AS dst, 'mentions' AS relation_type, CAST(0.5 AS DOUBLE) AS confidence FROM n a JOIN n b ON a.id <> b.id AND strlen(lower(b.name)) >= 4 AND contains(lower(a.definition), lower(b.name))"
 
 
@@ -419,11 +440,16 @@ def chunk_offsets(spark, d, g):
     return tx.chunk_table(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "index", "start_offset", "end_offset", F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-@query("snapshot_facts", "SELECT n_nationkey AS id, 'Relation' AS fact_type, 'parser calls ' || n_name AS fact FROM nation UNION ALL SELECT n_nationkey, 'Decision', 'we decided to keep ' || n_name || ' small' FROM nation", over_graph=False)
+# The tables hold no prose that states facts, so each turn's whole text goes on behind a phrase that depends on its number.
+_PHRASES = ["we decided to use ", "the bug is in\t", "instead of that use ", "replacing it with ", "x calls ", "After changing a, b broke "]
+_FACTS = " UNION ALL ".join(f"SELECT id, '{kind}' AS fact_type, unnest(regexp_extract_all(t, '(?i){pattern.replace(chr(39), chr(39) * 2)}', 0)) AS fact FROM s" for kind, pattern in tx.FACT_PATTERNS)
+
+
+@query("snapshot_facts", f"WITH s AS (SELECT conv_id AS id, ['{"', '".join(_PHRASES)}'][CAST(turn % 6 AS INTEGER) + 1] || coalesce(text, '') || ' ' || chr(9) AS t FROM conversations) SELECT id, fact_type, trim(fact, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(32)) AS fact FROM ({_FACTS})", over_graph=False)
 def snapshot_facts(spark, d, g):
-    nation = table(spark, d, "nation")
-    said = nation.select("n_nationkey", F.concat(F.lit("parser calls "), "n_name").alias("text")).union(nation.select("n_nationkey", F.concat(F.lit("we decided to keep "), "n_name", F.lit(" small"))))
-    return tx.facts(said, doc_id="n_nationkey")
+    said = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("turn") % 6).cast("int") + 1)
+    turns = table(spark, d, "conversations").select("conv_id", F.concat(said, F.coalesce("text", F.lit("")), F.lit(" \t")).alias("text"))
+    return tx.facts(turns, doc_id="conv_id")
 
 
 _MESSAGES = "WITH m AS (SELECT conv_id AS session_id, turn AS ord, role, text AS content FROM conversations WHERE role IN ('user', 'assistant') AND text <> '')"

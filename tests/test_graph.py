@@ -333,3 +333,18 @@ def test_change_log(spark, tmp_path, monkeypatch):
     assert last.nodes.where("id = 9").first()["definition"] == "newer" and last.nodes.count() == 400
     monkeypatch.setattr(store, "MOST_CHANGES", 2)
     assert store.append(last, path) != change and store.load(spark, path).adjacency is not None and rows(store.load(spark, path).nodes) == rows(again.nodes)
+
+
+def test_reconcile_merges_edges_and_keeps_evidence(spark, tmp_path):
+    """Two relations on one pair, evidence of a fact, white space of any kind around names, and facts that name one another."""
+    kg = KnowledgeGraph(spark, f"file://{tmp_path}/g")
+    kg.ingest_memory(json.dumps({"entities": [{"name": "Alpha"}, {"name": "Beta\t"}], "relations": [{"source": "Alpha", "target": "Beta", "type": "calls", "confidence": 0.3}, {"source": "Alpha", "target": "Beta", "type": "near", "confidence": 0.2}]}))
+    facts = [{"name": "Cell Division Process", "type": "Decision", "evidence_text": "we said so", "reason": "speed"}, {"name": "cell division", "type": "Decision"}, {"name": "\tbeta\u2003", "type": "Decision"}]
+    done = kg.reconcile(json.dumps({"new_facts": facts, "relations": [{"from": "alpha", "to": "BETA\t", "type": "NEAR"}, {"from": "Alpha", "to": "Alpha", "type": "x"}, {"from": "Alpha", "to": "unknown", "type": "x"}, {"from": "Beta", "to": "Alpha", "type": "near"}]}), 10)
+    assert (done["added"], done["edges_added"], done["edges_new"], len(done["errors"])) == (1, 2, 1, 1)
+    edges = {(r["src"], r["dst"], r["relation_type"]): r for r in kg.graph.edges.collect()}
+    assert len(edges) == 3 and abs(edges[1, 2, "near"]["confidence"] - 0.8) < 1e-6 and abs(edges[1, 2, "calls"]["confidence"] - 0.3) < 1e-6
+    assert edges[2, 1, "near"]["source"]["kind"] == "Conversation" and edges[1, 2, "near"]["source"]["kind"] == "Memory"
+    fact = kg.lookup("Cell Division Process").first()
+    assert [(e["document"], e["text_snippet"], e["offset_start"], e["offset_end"]) for e in fact["evidence"]] == [("conversation", "we said so", 0, 0)]
+    assert fact["definition"] == " (reason: speed)" and fact["last_referenced"] == 10 and fact["source"]["kind"] == "Conversation"

@@ -161,3 +161,10 @@ def test_ticks_batch_and_stream(spark, tmp_path):
     q = monitor.tick_stream(stream, 7).writeStream.format("memory").queryName("ticks").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["key"], r["order"]): (r["action"], r["counter"]) for r in spark.table("ticks").collect()} == want
+
+
+def test_facts_at_the_edges(spark):
+    """White space of any kind is trimmed, a carriage return does not end a fact, blanks between the words of a phrase are single ones."""
+    rows = [(1, "so we  use the new cache\t"), (2, "We use a cache\rand more\nnext"), (3, "instead of\u2003the old one we'll use it all"), (4, "a.b calls\tc.d\u00a0e"), (5, None), (6, ""), (7, "the approach is short"), (8, "the approach is shrt")]
+    got = {(r["id"], r["fact_type"], r["fact"]) for r in tx.facts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "Decision", "use the new cache"), (2, "Decision", "We use a cache\rand more"), (3, "Supersession", "instead of\u2003the old one we'll use it all"), (3, "Decision", "use it all"), (4, "Relation", "a.b calls\tc.d"), (7, "Decision", "the approach is short")}
