@@ -203,20 +203,25 @@ def _sketch(rows: DataFrame, gates, orders: range, threshold: int, depth: int =
         yield from _encoded(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        last, own = -1, np.zeros(RANGE, np.uint32)  # rows come by range: one at a time is held
+
+        def done() -> Iterator[pa.RecordBatch]:
+            bits = own >= threshold
+            if bits.any():
+                yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([packed(np.packbits(bits, bitorder="little"))], pa.binary())], ["part", "bits"])
+
         for batch in batches:
             for part, n, data in zip(*(batch.column(c).to_pylist() for c in ("part", "touched", "data"))):
+                if part != last:
+                    yield from done()
+                    last, own = part, np.zeros(RANGE, np.uint32)
                 both = unpacked(data, np.uint32, 2 * n)
-                own = sums.setdefault(part, np.zeros(RANGE, np.uint32))
                 at = np.cumsum(both[:n], dtype=np.int64)
                 own[at] = np.minimum(own[at] + both[n:], np.uint32(1 << 30))
-        for part, own in sums.items():
-            bits = own >= threshold
-            if bits.any():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed(np.packbits(bits, bitorder="little"))], pa.binary())], ["part", "bits"])
+        yield from done()
 
     touched = rows.mapInArrow(count, "part int, touched int, data binary")
-    return touched.repartition("part").mapInArrow(merge, "part int, bits binary")
+    return touched.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary")
 
 
 def _gates(gates) -> dict[int, Bits]:
