@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import Graph
 
+try:
+    import ahocorasick
+except ImportError:  # names are then joined by grams
+    ahocorasick = None
+
 GRAMS = (16, 8, 4)
+#: An automaton has at most so many names, and bytes of them; a worker holds some 40 bytes for each.
+MOST_NAMES, MOST_BYTES = 200_000, 4 << 20
 
 
 def _grams(text: str) -> Column:
@@ -15,26 +28,64 @@ def _grams(text: str) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - F.col("k") + 1), lambda j: F.substr(F.col(text), j, F.col("k"))))
 
 
-def contained(texts: DataFrame, names: DataFrame) -> DataFrame:
+@lru_cache(2)
+def _automaton(token: str, names: tuple[str, ...]):
+    found = ahocorasick.Automaton()
+    for name in names:
+        found.add_word(name, name)
+    found.make_automaton()
+    return found
+
+
+def contained(texts: DataFrame, names: DataFrame, most_names: int = MOST_NAMES, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(text_id, name_id) where the lower-case name (four bytes or more) is in the lower-case text.
 
-    A text that holds a name holds all its k-grams, so pairs come from an equi-join on a gram and are then verified. k is the
-    largest of ``GRAMS`` that a name has; names of four bytes or more but fewer than four characters have their own length as k.
-    Of its grams a name takes the one that the fewest names have, so names with a common beginning or end do not meet in one
-    key. Equal names are one until their texts are found.
+    Names within the two bounds go to the tasks as one automaton, which reads each text once: what is shuffled is what is found.
+    More names than that are joined with the texts by grams. Equal names are one until their texts are found. Null texts and names hold nothing.
     """
-    t = texts.select(F.col("id").alias("text_id"), F.lower("text").alias("t"))
+    t = texts.select(F.col("id").alias("text_id"), F.lower("text").alias("t")).where("t is not null")
     n = names.select(F.col("id").alias("name_id"), F.lower("name").alias("n")).where(F.octet_length("n") >= 4)
+    own = n.select("n").distinct()
+    few = tuple(r["n"] for r in own.limit(most_names + 1).collect()) if ahocorasick else None
+    if few is None or len(few) > most_names or sum(len(x.encode()) for x in few) > most_bytes:
+        found = _by_grams(t, own)
+    else:
+        found = _by_automaton(t, few)
+    return found.join(n, "n").select("text_id", "name_id")
+
+
+def _by_automaton(t: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    schema = T.StructType([T.StructField("text_id", t.schema["text_id"].dataType), T.StructField("n", T.StringType())])
+    if not names:
+        return t.sparkSession.createDataFrame([], schema)
+    sent, token = t.sparkSession.sparkContext.broadcast(names), uuid.uuid4().hex  # within the bounds
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _automaton(token, sent.value)
+        for batch in batches:
+            at, found = [], []
+            for k, text in enumerate(batch.column("t").to_pylist()):
+                hits = sorted({name for _, name in own.iter(text)})
+                at += [k] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([batch.column("text_id").take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["text_id", "n"])
+
+    return t.mapInArrow(find, schema)
+
+
+def _by_grams(t: DataFrame, names: DataFrame) -> DataFrame:
+    """A text that holds a name holds all its k-grams, so pairs come from an equi-join on a gram and are then verified. k is the
+    largest of ``GRAMS`` that a name has; names of four bytes or more but fewer than four characters have their own length as k.
+    Of its grams a name takes the one that the fewest names have, so names with a common beginning or end do not meet in one key."""
     k = F.length("n")
     for size in reversed(GRAMS):
         k = F.when(F.length("n") >= size, size).otherwise(k)
-    own = n.select("n").distinct().withColumn("k", k).select("n", F.explode(_grams("n")).alias("gram"))
+    own = names.withColumn("k", k).select("n", F.explode(_grams("n")).alias("gram"))
     among = own.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
     own = own.join(among, "gram").groupBy("n").agg(F.min_by("gram", F.struct("names", "gram")).alias("gram"))
     sizes = F.explode(F.array(*map(F.lit, (*GRAMS, 3, 2, 1))))
     grams = t.withColumn("k", sizes).where(F.length("t") >= F.col("k")).withColumn("gram", F.explode(_grams("t")))
-    found = grams.join(own, "gram").where(F.col("t").contains(F.col("n"))).select("text_id", "n")
-    return found.join(n, "n").select("text_id", "name_id")
+    return grams.join(own, "gram").where(F.col("t").contains(F.col("n"))).select("text_id", "n")
 
 
 def _pairs(graph: Graph, texts: DataFrame, names: DataFrame) -> DataFrame:

@@ -15,15 +15,48 @@ from .navigation import all_names, normal
 THRESHOLD = 0.85
 
 
+WORD = 62
+_FULL = (1 << WORD) - 1
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """2 LCS / (|a| + |b|) over characters; 1 if both are empty, 0 if one is. Rows of the table are arrays, JVM-side."""
+    """2 LCS / (|a| + |b|) over characters; 1 if both are empty, 0 if one is.
+
+    Bit-parallel: a word has a bit for each of 62 characters of ``a``, so that sums stay in 64 bits. A character of ``b`` changes all words by
+    (v + (v & m)) | (v - (v & m)), m being the bits where ``a`` has it, with a carry to the next word. The subsequence has as many
+    characters as bits become 0. JVM-side; the work is |b| steps for each 62 characters of ``a``.
+    """
     ca, cb = F.split(a, ""), F.split(b, "")
+    words = F.ceil(F.size(ca) / F.lit(WORD)).cast("int")
+    one, zero, full = F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(_FULL).cast("long")
+    size = lambda w: F.least(F.lit(WORD), F.size(ca) - w * WORD)
+    valid = lambda w: F.when(size(w) == WORD, full).otherwise(F.call_function("shiftleft", one, size(w)) - 1)
+
+    def mask(x: Column, w: Column) -> Column:
+        own = F.slice(ca, w * WORD + 1, F.lit(WORD))
+        bits = F.transform(own, lambda y, i: F.when(y == x, F.call_function("shiftleft", one, i)).otherwise(zero))
+        return F.aggregate(bits, zero, lambda s, y: s.bitwiseOR(y))
 
-    def row(prev: Column, x: Column) -> Column:
-        step = lambda cur, j: F.concat(cur, F.array(F.when(F.element_at(cb, j) == x, F.element_at(prev, j) + 1).otherwise(F.greatest(F.element_at(cur, -1), F.element_at(prev, j + 1)))))
-        return F.aggregate(F.sequence(F.lit(1), F.size(cb)), F.array(F.lit(0)), step)
+    every = F.sequence(F.lit(0), words - 1)
+    letters = F.array_distinct(F.filter(cb, lambda x: F.array_contains(ca, x)))
+    masks = F.map_from_arrays(letters, F.transform(letters, lambda x: F.transform(every, lambda w: mask(x, w))))
+    start = F.struct(F.transform(every, valid).alias("v"), masks.alias("m"))
 
-    lcs = F.element_at(F.aggregate(ca, F.array_repeat(F.lit(0), F.size(cb) + 1), row), -1)
+    def step(state: Column, x: Column) -> Column:
+        v, m = state["v"], F.try_element_at(state["m"], x)
+
+        def word(s: Column, w: Column) -> Column:
+            own = F.element_at(v, w + 1)
+            hit = own.bitwiseAND(F.element_at(m, w + 1))
+            total = own + hit + s["carry"]
+            new = total.bitwiseOR(own - hit).bitwiseAND(valid(w))
+            return F.struct(F.call_function("shiftright", total, F.lit(WORD)).alias("carry"), F.concat(s["out"], F.array(new)).alias("out"))
+
+        moved = F.aggregate(every, F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("out")), word)["out"]
+        return F.struct(F.when(m.isNull(), v).otherwise(moved).alias("v"), state["m"].alias("m"))
+
+    left = F.aggregate(cb, start, step)["v"]
+    lcs = F.size(ca) - F.aggregate(left, F.lit(0), lambda s, x: s + F.bit_count(x))
     both = (F.length(a) + F.length(b)).cast("double")
     return F.when((F.length(a) == 0) & (F.length(b) == 0), 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(lcs * 2.0 / both)
 
@@ -41,25 +74,66 @@ def lcs_similarity(a: str, b: str) -> float:
     return 2 * prev[-1] / (len(a) + len(b))
 
 
+def _kept(m: Column, n: Column, threshold: float) -> Column:
+    """What a common subsequence of names of these lengths has at least."""
+    return F.ceil((m + n) * (threshold / 2) - 1e-9).cast("int")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(q, key): pairs of names of the two sides (column s) that may have the similarity, and all that do.
+
+    A character that is left out costs a name at most two of its character pairs, one put in at most one. So of names of lengths m and n
+    that are similar enough all but ``lost`` pairs are kept, in their order, and no further apart than what is left out or put in. With the pairs of
+    both sides by their frequency among ``right``, then text and place, similar names share one of the first lost + 1 at nearly the same place: the
+    join is on that, the rarest first, so no key has a share of all. Names that may lose all their pairs (none at the usual threshold but single
+    characters, which only equal ones resemble) are joined by length.
+    """
+    ratio = threshold / (2 - threshold)
+    lengths = F.sequence(F.ceil(F.col("m") * ratio - 1e-9).cast("int"), F.floor(F.col("m") / ratio + 1e-9).cast("int"))
+
+    def lost(m: Column, n: Column) -> Column:
+        kept = _kept(m, n, threshold)
+        return F.when(kept <= F.least(m, n), (m - kept) * 2 + (n - kept)).otherwise(-1)
+
+    most = F.aggregate(lengths, F.lit(-1), lambda s, n: F.greatest(s, lost(F.col("m"), n)))
+    sized = lambda df: df.select("s").distinct().withColumn("m", F.length("s")).where("m > 0").withColumn("lost", most).where("lost >= 0")
+    a = sized(left)
+    wanted = a.select(F.explode(lengths).alias("m")).distinct()  # lengths
+    b = sized(right).join(F.broadcast(wanted), "m", "left_semi")
+    pairs = lambda df: df.where("m > 1").select("s", "m", "lost", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("m") - 1), lambda i: F.substr(F.col("s"), i, F.lit(2)))).alias("at", "gram"))
+    often = pairs(b).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+
+    def first(df: DataFrame, s: str, m: str, at: str) -> DataFrame:
+        ranked = pairs(df).join(often, "gram", "left").groupBy("s", "m", "lost").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram", "at"))).alias("x"))
+        return ranked.select(F.col("s").alias(s), F.col("m").alias(m), F.explode(F.slice("x", F.lit(1), F.col("lost") + 1)).alias("x")).select(s, m, F.col("x.gram").alias("gram"), F.col("x.at").alias(at))
+
+    m, n = F.col("m1"), F.col("m2")
+    kept = _kept(m, n, threshold)
+    near = (kept <= F.least(m, n)) & (F.abs(F.col("at1") - F.col("at2")) <= F.greatest(m, n) - kept)
+    found = first(a, "q", "m1", "at1").join(first(b, "key", "m2", "at2"), "gram").where(near).select("q", "key")
+    weak = F.col("lost") >= F.col("m") - 1
+    by_length = a.withColumn("n", F.explode(lengths)).select(F.col("s").alias("q"), "n", weak.alias("w1")).join(b.select(F.col("s").alias("key"), F.col("m").alias("n"), weak.alias("w2")), "n").where("w1 or w2")
+    return found.unionByName(by_length.select("q", "key")).distinct()
+
+
 def resolve(names: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(query, id, score) of the node that each name means: exact name or alias, else the most similar name or alias of at
     least the threshold, ties to the smallest seq. Blank names mean nothing.
 
-    Similar names have lengths in a ratio of t / (2 - t) at least, so pairs come from an equi-join on length; and no more
-    characters in common than their counts allow, which is tested before the subsequence is.
+    Similar names come from ``similar_pairs``; pairs with fewer characters in common than the threshold needs go before the subsequence is
+    computed.
     """
     asked = names.select(F.col(names.columns[0]).alias("query")).distinct().withColumn("q", normal(F.col("query"))).where("q <> ''")
     keys = all_names(nodes)
     exact = asked.join(keys, F.col("q") == F.col("key")).groupBy("query").agg(F.min(F.struct("seq", "id")).alias("x")).select("query", "x.id", F.lit(1.0).alias("score"))
-    ratio = threshold / (2 - threshold)
     rest = asked.join(exact.select("query"), "query", "left_anti")
-    lengths = F.sequence(F.ceil(F.length("q") * ratio).cast("int"), F.floor(F.length("q") / ratio).cast("int"))
-    pairs = rest.withColumn("n", F.explode(lengths)).join(keys.withColumn("n", F.length("key")), "n")
+    pairs = similar_pairs(rest.select(F.col("q").alias("s")), keys.select(F.col("key").alias("s")), threshold)
     letters = F.array_distinct(F.split("q", ""))
     count = lambda text, x: F.length(text) - F.length(F.replace(text, x, F.lit("")))
     common = F.aggregate(letters, F.lit(0), lambda s, x: s + F.least(count(F.col("q"), x), count(F.col("key"), x)))
     pairs = pairs.where(common * 2.0 >= (F.length("q") + F.length("key")) * (threshold - 1e-9))
     scored = pairs.withColumn("score", similarity(F.col("q"), F.col("key"))).where(F.col("score") >= threshold)
+    scored = rest.join(scored, "q").join(keys, "key")
     best = scored.groupBy("query").agg(F.max(F.struct("score", (-F.col("seq")).alias("s"), "id")).alias("x")).select("query", "x.id", "x.score")
     return exact.unionByName(best)
 

@@ -348,11 +348,18 @@ def document_keywords(spark, d, g):
     return ranking.keyword_scores(docs, "the idiot").select(F.col("id").alias("doc_id"), "score")
 
 
-@query("lcs_similarity", None, over_graph=False)
+def _lcs(pairs: str) -> str:
+    """Common tables that go on from ``pairs`` (a, b; lower case, not empty) to lcs (a, b, length): a row of the table for each character of a."""
+    return f"""{pairs}, lcs_rows AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b)), lambda x: 0) AS v FROM (SELECT DISTINCT a, b FROM pairs)
+    UNION ALL SELECT a, b, i + 1, list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(v[k], CASE WHEN b[k] = a[i + 1] THEN coalesce(v[k - 1], 0) + 1 ELSE 0 END)))) FROM lcs_rows WHERE i < length(a)),
+lcs AS (SELECT a, b, v[length(b)] AS length FROM lcs_rows WHERE i = length(a))"""
+
+
+@query("lcs_similarity", "WITH RECURSIVE pairs AS (SELECT lower(n_name) AS a, lower(s_name) AS b FROM nation JOIN supplier ON n_nationkey = s_nationkey UNION SELECT lower(n_name), lower(c_name) FROM nation JOIN customer ON n_nationkey = c_nationkey)" + _lcs("") + " SELECT a, b, round(CAST(2 * length AS DOUBLE) / (length(a) + length(b)), 9) AS score FROM lcs", over_graph=False)
 def lcs_similarity(spark, d, g):
-    nation, supplier = table(spark, d, "nation"), table(spark, d, "supplier")
-    pairs = nation.join(supplier, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("n_name").alias("a"), F.col("s_name").alias("b"))
-    return pairs.select("a", "b", r9(resolve.similarity(F.lower("a"), F.lower("b"))).alias("score"))
+    nation = table(spark, d, "nation")
+    pairs = [nation.join(table(spark, d, t), F.col("n_nationkey") == F.col(f"{t[0]}_nationkey")).select(F.lower("n_name").alias("a"), F.lower(f"{t[0]}_name").alias("b")) for t in ("supplier", "customer")]
+    return pairs[0].union(pairs[1]).distinct().select("a", "b", r9(resolve.similarity(F.col("a"), F.col("b"))).alias("score"))
 
 
 @query("entity_resolution", """, q AS (SELECT r_name || 'x' AS query FROM region UNION SELECT upper(n_name) FROM nation), c AS (SELECT query, id, seq, name FROM q JOIN n ON lower(n.name) = lower(query)) SELECT query, min_by(id, seq) AS id, CAST(1 AS DOUBLE) AS score FROM c GROUP BY query

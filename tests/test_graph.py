@@ -348,3 +348,51 @@ def test_reconcile_merges_edges_and_keeps_evidence(spark, tmp_path):
     fact = kg.lookup("Cell Division Process").first()
     assert [(e["document"], e["text_snippet"], e["offset_start"], e["offset_end"]) for e in fact["evidence"]] == [("conversation", "we said so", 0, 0)]
     assert fact["definition"] == " (reason: speed)" and fact["last_referenced"] == 10 and fact["source"]["kind"] == "Conversation"
+
+
+def test_names_are_contained_by_automaton_and_by_grams(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcé漢 ") for _ in range(r.randint(1, 9)))
+    names_ = [word() for _ in range(120)] + ["ab", None, "", "ABCA", "abca", "x" * 20]
+    texts = [" ".join(word() for _ in range(r.randint(0, 12))) for _ in range(80)] + [None, "", "ABCAbca", "x" * 45]
+    t = spark.createDataFrame([(str(k), x, "n") for k, x in enumerate(texts)], "id string, text string, n string").repartition(3)
+    n = spark.createDataFrame(list(enumerate(names_)), "id long, name string")
+    want = {(str(i), k) for i, x in enumerate(texts) for k, y in enumerate(names_) if x is not None and y is not None and len(y.encode()) >= 4 and y.lower() in x.lower()}
+    for bound in (200_000, 10):
+        assert {tuple(x) for x in discover.contained(t, n, bound).collect()} == want
+    assert len(want) > 100 and discover.contained(t, n.limit(0)).count() == 0 and discover.contained(t.limit(0), n).count() == 0
+    plan = discover.contained(t, n)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def plain_lcs(a, b):
+    return resolve.lcs_similarity(a, b)
+
+
+def test_similarity_is_the_plain_rule(spark):
+    r = random.Random(5)
+    make = lambda most, letters: "".join(r.choice(letters) for _ in range(r.randint(0, most)))
+    pairs = [(make(9, "ab"), make(9, "abc")) for _ in range(400)] + [(make(70, "abcdé"), make(70, "abcd漢")) for _ in range(200)] + [(make(200, "ab"), make(200, "ab")) for _ in range(20)]
+    pairs += [("a" * n, "a" * m) for n, m in ((62, 62), (63, 62), (124, 125), (61, 200))] + [("", ""), ("a", ""), ("", "b"), ("😀a", "a😀")]
+    got = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k long, a string, b string").select("k", resolve.similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    assert all(abs(x["s"] - plain_lcs(*pairs[x["k"]])) < 1e-12 for x in got) and len(got) == len(pairs)
+
+
+@pytest.mark.parametrize("threshold,n", [(0.85, 700), (0.6, 150)])
+def test_similar_pairs_are_all_there(spark, threshold, n):
+    """Against every pair; candidates are a small part of all, and no gram joins more than a set share of them."""
+    r = random.Random(int(threshold * 100))
+    stems = ["customer#0000", "supplier#00", "", "re", "connection "]
+    words = sorted({r.choice(stems) + "".join(r.choice("abcdeéfgh0123456789") for _ in range(r.randint(1, 9))) for _ in range(n)})
+    asked = sorted({w[: k - 1] + r.choice("xyz") + w[k + r.randint(0, 1) :] for w in words[:: max(1, n // 60)] for k in [r.randint(1, len(w))]} | {"a", "ab"})
+    df = lambda x: spark.createDataFrame([(w,) for w in x], "s string")
+    found = {tuple(p) for p in resolve.similar_pairs(df(asked), df(words), threshold).collect()}
+    want = {(q, w) for q in asked for w in words if q != w and resolve.lcs_similarity(q, w) >= threshold}
+    assert want <= found and len(want) > 20
+    if threshold > 0.8:
+        assert len(found) < 0.3 * len(asked) * len(words)
+    nodes = spark.createDataFrame([(i, i, w, []) for i, w in enumerate(words)], "id long, seq long, name string, aliases array<string>")
+    best = {x["query"]: (x["id"], round(x["score"], 9)) for x in resolve.resolve(df(asked), nodes, threshold).collect()}
+    for q in asked:
+        score, k = max((1.0 if q == w else resolve.lcs_similarity(q, w), -i) for i, w in enumerate(words))
+        assert best.get(q) == ((-k, round(score, 9)) if score >= threshold else None)
