@@ -11,8 +11,8 @@
    a text of its length. A logistic curve, fitted to
    the training labels, over the best and the total -ln E and score and the length gives the document's score.
 
-Bounds: at most ``most_labelled`` labelled rows (taken in the order of a hash) train the model, and it has at most
-``most_features`` features. Both hold at any size, so the model is small enough to go to every worker.
+Bounds: at most ``most_labelled`` labelled rows (taken in the order of a hash) train the model, at any size. Its features are all those that
+their texts make significant, 16 bytes each. Of a labelled row a few numbers come to the driver, however long its text is.
 """
 
 from __future__ import annotations
@@ -147,11 +147,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(yes), pa.array(all_ - yes)], ["key", "yes", "no"])
 
 
-def _measure(model: Model):
+def _best(model: Model):
+    """Of each labelled text its tokens and its best segment's score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, max((s for s, _, _ in got), default=0.0)) for n, _, got in model.segments(batch.column("t").cast(pa.binary()).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], ["toxic", "n", "best"])
+
+    return run
+
+
+def _evidence(model: Model):
+    """Of each labelled text what the curve is over: six numbers, however long it is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(n, hits, [s for s, _, _ in got]) for n, hits, got in model.segments(batch.column("t").cast(pa.binary()).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["toxic", "n", "hits", "scores"])
+            rows = [model.evidence(n, got) for n, _, got in model.segments(batch.column("t").cast(pa.binary()).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "evidence"])
 
     return run
 
@@ -205,7 +218,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 40_000, most_features: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 40_000) -> Model:
     """Learn from the labelled training documents: those whose crc32(id as text) modulo 3 is not 1.
 
     Rows with a null id or label teach nothing; an id labelled more than once is toxic if one row says so. Without
@@ -230,27 +243,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 40_000, most
         spread = F.sqrt(1 / (F.col("yes") + prior) + 1 / (F.col("no") + prior))
         rated = counts.where("yes >= 2").select("key", (delta - spread).alias("delta"), (delta / spread).alias("z")).where(F.col("z") >= Z_LEAST)
         # One standard error less than the log-odds: few sightings make a weak score.
-        top = rated.orderBy(F.desc("z"), "key").limit(most_features).collect()  # bounded by the parameter
-        keys = np.array([r["key"] for r in top], np.int64).view(U)
+        top = rated.select("key", "delta").toPandas()  # features of two or more toxic documents among the labelled ones
+        keys = top["key"].to_numpy(np.int64).view(U)
         by = np.argsort(keys)
-        model = Model(keys[by], np.minimum(np.array([r["delta"] for r in top]), MOST_SCORE)[by])
-    rows = texts.mapInArrow(_measure(model), "toxic int, n long, hits long, scores array<double>").toPandas()  # bounded: the labelled rows
+        model = Model(keys[by], np.minimum(top["delta"].to_numpy(float), MOST_SCORE)[by])
+    rows = texts.mapInArrow(_best(model), "toxic int, n long, best double").toPandas()  # three numbers for each labelled row
     hits = scratch.table(texts.where("toxic = 0").mapInArrow(_token_scores(model), "step long, n long").groupBy("step").agg(F.sum("n").alias("n")), "hits")
-    scratch.drop("train", "counts")
-    toxic, tokens = rows["toxic"].to_numpy(float), rows["n"].to_numpy(float)
+    scratch.drop("counts")
+    toxic = rows["toxic"].to_numpy(float)
     clean = rows[rows["toxic"] == 0]
     n_clean = max(float(clean["n"].sum()), 1.0)
     steps = hits.toPandas()  # a row for each step at most
     model.rate = _rate(steps["step"].to_numpy(float) * STEP, steps["n"].to_numpy(float) / n_clean)
-    best = np.array([max(row, default=0.0) for row in clean["scores"]], float)
+    best = clean["best"].to_numpy(float)
     chance = float((clean["n"].to_numpy(float) * np.exp(-model.rate * best)).sum())
     model.k = max(int((best > 0).sum()) / chance, 1e-4) if chance else 1e-3
     if len(rows) and 0 < toxic.sum() < len(rows):
-        found = [model.evidence(int(m), [(s, 0, 0) for s in row]) for m, row in zip(tokens, rows["scores"])]
-        model.curve = tuple(_logistic(np.array(found), toxic))
+        found = texts.mapInArrow(_evidence(model), "toxic int, evidence array<double>").toPandas()  # six numbers for each labelled row
+        model.curve = tuple(_logistic(np.stack(found["evidence"].to_numpy()), found["toxic"].to_numpy(float)))
     else:
         share = (toxic.sum() + 1) / (len(rows) + 2)
         model.curve = (math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0, 0.0)
+    scratch.drop("train")
     return model
 
 
