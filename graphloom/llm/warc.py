@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, bounded_batches
+from .scratch import BATCH_BYTES, Scratch, bounded_batches
 
 LEAST = 1000
 BLOCK = 1000
@@ -227,7 +227,7 @@ def look_up(spark: SparkSession, folder: str, url: str) -> list[tuple[dict, dict
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Every capture, through the index: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for
-    revisits). Digest and length of a response are those of the payload that is read, of a revisit those in its headers."""
+    revisits). Digest and length of a response are those of the payload that is read, of a revisit those in its headers. Rows go on by bytes: a task holds about 4 MB of payloads, or one that is longer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, top = _files(folder)
@@ -238,7 +238,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                 by_file: dict[str, list] = {}
                 for line in _lines(files, top, block):
                     by_file.setdefault(line[3], []).append(line)
-                rows = []
+                rows, held = [], 0
                 for name, own in by_file.items():
                     with files.open_input_file(f"{top}/{name}") as source:
                         for line in sorted(own, key=lambda x: x[4]):
@@ -249,9 +249,10 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                                 "page_id": number(warc.get("X-Page-Id")), "url": warc.get("WARC-Target-URI"), "record_type": warc["WARC-Type"], "refers_to": number(warc.get("X-Refers-To-Page-Id")),
                                 "payload_bytes": int(http["Content-Length"]) if again else len(payload), "payload_digest": warc["WARC-Payload-Digest"].removeprefix("sha1:") if again else hashlib.sha1(payload).hexdigest(), "payload": None if again else payload,
                             })
-                        if len(rows) >= 200:
-                            yield pa.RecordBatch.from_pylist(rows, schema)
-                            rows = []
+                            held += len(payload)
+                            if held > BATCH_BYTES or len(rows) >= 1000:
+                                yield pa.RecordBatch.from_pylist(rows, schema)
+                                rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
