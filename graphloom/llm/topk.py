@@ -3,6 +3,9 @@
 Vectors are dealt to shards of a bounded size; each shard is a ball tree (centre, radius, least id of every node). Queries
 come in blocks. The inner product of a query with anything in a ball is at most <query, centre> + |query| * radius.
 
+0. Cells. A sample of ``SAMPLE_CELLS`` rows is split as a ball tree is, into a cell for each ``SHARD_ROWS`` rows of the table, ``MOST_CELLS`` at most.
+   A row is of the cell whose centre is nearest; a cell's rows are dealt to shards by a hash, and its queries to blocks. So balls and blocks
+   are small where the data are in groups, and which cell a row is in changes no result.
 1. Blocks meet the roots of all shards, ``ROOTS`` in a row: pairs of a block and a shard remain whose bound reaches the kth score of a
    query, which starts at that over a fixed sample of the vectors. A pair is two numbers and a bound for each query.
 2. A block takes its shards in the order of their bounds, in rounds of ever more (``FIRST``, then ``GROWTH`` times as many). A round
@@ -27,6 +30,7 @@ from .scratch import Scratch
 
 LEAF = 64
 SHARD_ROWS, BLOCK_ROWS, SAMPLE_ROWS = 4096, 256, 1024
+SAMPLE_CELLS, MOST_CELLS = 16_384, 1024
 ROOTS, FIRST, GROWTH = 256, 4, 8
 LEAST = np.iinfo(np.int64).min
 EXACT = float(1 << 53)
@@ -87,6 +91,30 @@ def bounds(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.nd
     return np.floor(queries[:, :d] @ centres[:, :d].T + reach + 1e-6)
 
 
+def cells(vectors: np.ndarray, most: int) -> np.ndarray:
+    """Centres of ``most`` cells at most: the widest group is halved along the way to its farthest row until there are so many."""
+    groups = [vectors] if len(vectors) else []
+    wide = [float(np.abs(g - g.mean(axis=0)).sum()) for g in groups]
+    while groups and len(groups) < most and max(wide) > 0:
+        k = int(np.argmax(wide))
+        own = groups[k]
+        away = own - own.mean(axis=0)
+        along = away @ away[(away**2).sum(axis=1).argmax()]
+        side = along > np.median(along)
+        side = side if 0 < side.sum() < len(own) else along == along.max()
+        if not 0 < side.sum() < len(own):
+            wide[k] = 0.0
+            continue
+        groups[k : k + 1] = [own[side], own[~side]]
+        wide[k : k + 1] = [float(np.abs(g - g.mean(axis=0)).sum()) for g in groups[k : k + 2]]
+    return np.array([g.mean(axis=0) for g in groups]) if groups else np.zeros((1, vectors.shape[1]))
+
+
+def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    d = min(vectors.shape[1], centres.shape[1])
+    return ((centres**2).sum(axis=1)[None, :] - 2 * vectors[:, :d] @ centres[:, :d].T).argmin(axis=1)
+
+
 def _upwards(x: np.ndarray) -> np.ndarray:
     """As four-byte floats, none of them smaller."""
     out = x.astype(np.float32)
@@ -142,13 +170,14 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(F.forall(vector, finite), F.lit(False))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, scale: float = 1024.0) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, scale: float = 1024.0, stats: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` vectors with the largest inner product of floor(scale * component).
 
     Ties go to the smaller id. A row is no candidate for the query of its own id. Vectors that are null or hold null
     or non-finite components, and rows with a null id, take no part. Where dimensions differ, the shorter vector counts as
     filled with zeros. Repeated candidate rows are candidates each; of queries of one id the least vector counts. Fewer
-    candidates than k: all of them. Empty tables give no rows; other columns are not read.
+    candidates than k: all of them. Empty tables give no rows; other columns are not read. ``stats`` takes the number of pairs of a block
+    and a shard (``pairs``), and of those that are searched (``searched``).
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
@@ -210,30 +239,54 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", emb
                 found += blocks[block].over(pickle.loads(tree))
             yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
-    trees = scratch.table(dealt.groupBy("shard").applyInArrow(build, "shard int, tree binary, centre binary, radius double"), "trees")
-    asked = clean(queries).groupBy("id").agg(F.min("v").alias("v"))
-    n_blocks = max(1, -(-asked.count() // BLOCK_ROWS))
-    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
-    blocks = scratch.table(asked.withColumn("block", block_of("id")).groupBy("block").applyInArrow(gather, "block int, queries binary"), "blocks")
+    some = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLE_CELLS).toPandas()  # bounded
+    centres = spark.sparkContext.broadcast(cells(whole(list(some["v"]), scale), min(MOST_CELLS, shards)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = nearest(whole(batch.column("v").to_pylist(), scale), centres.value)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell.astype(np.int32))], ["id", "v", "cell"])
+
+    def dealt(df: DataFrame, most: int, name: str) -> DataFrame:
+        """(id, v, number): the rows of a cell in parts of about ``most``, by a hash; the parts of all cells numbered on."""
+        placed = scratch.table(df.mapInArrow(place, "id long, v array<double>, cell int"), f"{name}-placed")
+        sizes, before, numbers = dict(placed.groupBy("cell").count().collect()), 0, []  # MOST_CELLS rows
+        for cell in sorted(sizes):
+            parts = -(-sizes[cell] // most)
+            numbers.append((cell, before, parts))
+            before += parts
+        own = spark.createDataFrame(numbers, "cell int, before int, parts int")
+        return placed.join(F.broadcast(own), "cell").select("id", "v", (F.col("before") + F.pmod(F.xxhash64("id", "v"), F.col("parts"))).cast("int").alias(name))
+
+    trees = scratch.table(dealt(rows, SHARD_ROWS, "shard").groupBy("shard").applyInArrow(build, "shard int, tree binary, centre binary, radius double"), "trees")
+    shards = trees.agg(F.max("shard")).first()[0] + 1
+    asked = scratch.table(dealt(clean(queries).groupBy("id").agg(F.min("v").alias("v")), BLOCK_ROWS, "block"), "asked")
+    block_of = asked.select(F.col("id").alias("query_id"), "block")
+    blocks = scratch.table(asked.groupBy("block").applyInArrow(gather, "block int, queries binary"), "blocks")
+    scratch.drop("shard-placed", "block-placed")
     roots = trees.groupBy(F.floor(F.col("shard") / ROOTS).cast("int").alias("part")).agg(F.collect_list(F.struct("shard", "centre", "radius")).alias("roots"))  # ROOTS at most
     parts = F.explode(F.sequence(F.lit(0), F.lit((shards - 1) // ROOTS))).alias("part")
     pairs = blocks.select("block", "queries", parts).join(roots, "part").mapInArrow(reach, "block int, shard int, gain double, bounds binary")
     ranked = pairs.withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("gain"), "shard")))
     pairs = scratch.table(ranked.drop("gain"), "pairs")
     most = pairs.agg(F.max("k")).first()[0] or 0
+    if stats is not None:
+        stats["pairs"] = shards * blocks.count()
     best, known, low, n = None, None, 0, 0
     while low < most or best is None:
         high = low + FIRST * GROWTH**n
         state = blocks.join(known, "block", "left") if known is not None else blocks.withColumn("known", F.lit(None).cast("array<struct<id:bigint,kth:bigint>>"))
         live = pairs.where((F.col("k") > low) & (F.col("k") <= high)).join(state, "block").mapInArrow(alive, "block int, shard int")
+        if stats is not None:
+            live = scratch.table(live, f"live{n}")
+            stats["searched"] = stats.get("searched", 0) + live.count()
         found = live.join(state, "block").join(trees.select("shard", "tree"), "shard").select("block", "queries", "known", "tree").mapInArrow(search, "query_id long, vec_id long, score long")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         every = found if best is None else best.drop("rank").unionByName(found)
         best = scratch.table(every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), f"best{n}")
-        kth = best.where(F.col("rank") == k).select(block_of("query_id").alias("block"), F.struct(F.col("query_id").alias("id"), F.col("score").alias("kth")).alias("x"))
+        kth = best.where(F.col("rank") == k).join(block_of, "query_id").select("block", F.struct(F.col("query_id").alias("id"), F.col("score").alias("kth")).alias("x"))
         known, low, n = kth.groupBy("block").agg(F.collect_list("x").alias("known")), high, n + 1  # a block's queries are BLOCK_ROWS or so
-    scratch.drop("trees", "blocks", "pairs", *[f"best{i}" for i in range(n - 1)])
+    scratch.drop("trees", "blocks", "asked", "pairs", *[f"best{i}" for i in range(n - 1)])
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -291,6 +291,26 @@ def test_topk(spark, monkeypatch):
     assert topk.op8_topk(few).count() == 2
 
 
+def test_topk_prunes_shards_of_clustered_vectors(spark, monkeypatch):
+    """Of vectors in groups, under a third of the pairs of a block and a shard are searched, and the result is that of all."""
+    r = np.random.default_rng(11)
+    centres = r.normal(size=(24, 12)) * 10
+    base = np.concatenate([c + r.normal(size=(90, 12)) * 0.3 for c in centres] + [np.repeat(centres[:1], 700, axis=0)])  # and a third are one vector
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(r.permutation(len(base)), base)]
+    for name, value in (("SHARD_ROWS", 60), ("BLOCK_ROWS", 4), ("LEAF", 8), ("FIRST", 1), ("GROWTH", 2), ("ROOTS", 7)):
+        monkeypatch.setattr(topk, name, value)
+    df, stats = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), {}
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), stats=stats).collect()
+    assert stats["searched"] < stats["pairs"] / 3
+    ids, whole = np.array([i for i, _ in rows]), np.floor(1024 * np.array([v for _, v in rows])).astype(np.int64)
+    want = []
+    for i, q in zip(ids, whole):
+        if i % 100 == 0:
+            best = sorted((-int(s), int(j)) for s, j in zip(whole @ q, ids) if j != i)[:10]
+            want += [(int(i), k, j, -s) for k, (s, j) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 4)
     same, small = "<p>é" + "x" * 2000, "y" * 999
