@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from dataclasses import dataclass
 from typing import Any
@@ -41,30 +42,58 @@ class KnowledgeGraph:
         self.graph = store.load(self.spark, self.folder)
 
     # sources
-    def bootstrap(self, base: str, now: int = 0) -> tuple[int, int]:
-        """Index the code below a folder, with its package manifests. Nodes of other sources stay, with their ids and their edges to
+    def _bases(self) -> dict[str, str]:
+        """The bases that were indexed, and what is before the paths of each one's files."""
+        files = self.graph.nodes.where("node_type = 'File' and properties is not null")
+        rows = files.select(F.col("properties")["base"].alias("base"), F.col("properties")["prefix"].alias("prefix")).where("base is not null").distinct().collect()  # bases
+        return {r["base"]: r["prefix"] for r in rows}
+
+    @staticmethod
+    def _prefix(base: str, bases: dict[str, str]) -> str:
+        """Nothing for the first base; for a further one its folder's name, with a number if another has that."""
+        if base in bases or not bases:
+            return bases.get(base, "")
+        name = base.rstrip("/").rsplit("/", 1)[-1]
+        return next(x for x in (f"{name}-{k}/" if k > 1 else f"{name}/" for k in itertools.count(1)) if x not in bases.values())
+
+    def _index(self, base: str, prefix: str, files: DataFrame, packages: DataFrame | None, now: int) -> None:
+        """Fold files into the graph; file nodes keep the base that they are of."""
+        self.graph = resolution.reindex(self.graph, files, packages, now)
+        new = (F.col("node_type") == "File") & F.col("properties").isNull()
+        mark = F.create_map(F.lit("base"), F.lit(base), F.lit("prefix"), F.lit(prefix))
+        self.graph.nodes = self.graph.nodes.withColumn("properties", F.when(new, mark).otherwise(F.col("properties")))
+
+    def bootstrap(self, base: str, now: int = 0, patterns: list[str] | None = None) -> tuple[int, int]:
+        """Index the code below a folder (with ``patterns`` the files that match one), with its package manifests. Files that were below the same
+        base and are not there any more go; those of other bases stay, and so do nodes of other sources, with their ids and their edges to
         what is still there. Returns files and entities."""
-        files = code.code_files(self.spark, base)
-        packages = resolution.package_entries(code.package_manifests(self.spark, base), files.select("path"))
-        left = reports.source_files(self.graph.nodes).select(F.col("file").alias("path")).join(files.select("path"), "path", "left_anti")
-        self.graph = resolution.reindex(self.graph, files.unionByName(left.withColumn("text", F.lit(None).cast("string"))), packages, now)
-        own = self.graph.nodes.where(ranking.is_code())
-        return files.count(), own.where("node_type <> 'File'").count()
+        base, bases = base.rstrip("/"), self._bases()
+        prefix = self._prefix(base, bases)
+        under = lambda df: df.withColumn("path", F.concat(F.lit(prefix), "path"))
+        files = under(code.code_files(self.spark, base, patterns))
+        packages = resolution.package_entries(under(code.package_manifests(self.spark, base)), files.select("path"))
+        own = self.graph.nodes.where((F.col("node_type") == "File") & F.coalesce(F.col("properties")["base"] == base, F.lit(not bases)))
+        left = own.select(F.col("source.file").alias("path")).distinct().join(files.select("path"), "path", "left_anti")
+        self._index(base, prefix, files.unionByName(left.withColumn("text", F.lit(None).cast("string"))), packages, now)
+        self.graph.nodes, self.graph.edges = paths.checkpointed(self.graph.nodes), paths.checkpointed(self.graph.edges)
+        found = self.graph.nodes.where(ranking.is_code() & (F.col("node_type") != "File"))
+        return files.count(), found.join(files.select(F.col("path").alias("p")), F.col("source.file") == F.col("p"), "left_semi").count()
 
     def bootstrap_all(self, base: str, config: store.Config, transcripts: str | None = None, now: int = 0) -> BootstrapReport:
-        """All three channels: code is indexed; conversations (of the project's folder below ``transcripts``, if the configuration
-        wants them) and the configured documents give texts for extraction."""
-        files, entities = self.bootstrap(base, now)
+        """All three channels: code that the configuration's patterns name is indexed; conversations (of the project's folder below
+        ``transcripts``, if the configuration wants them) and the configured documents, paths below the base or URIs, give texts for extraction."""
+        files, entities = self.bootstrap(base, now, config.code)
         local = base.removeprefix("file://")
         folder = conversations.find_project(transcripts, local) if transcripts and config.conversations else None
         texts = conversations.conversations(conversations.read_messages(self.spark, f"file://{folder}")) if folder else self.spark.createDataFrame([], "session_id string, text string")
-        return BootstrapReport(files, entities, texts, conversations.documents(self.spark, [x if x.startswith("/") else f"{local}/{x}" for x in config.documents]))
+        return BootstrapReport(files, entities, texts, conversations.documents(self.spark, [x if x.startswith("/") or "://" in x else f"{base.rstrip('/')}/{x}" for x in config.documents]))
 
     def reindex(self, base: str, path: str, now: int = 0) -> None:
         """Read one file below ``base`` again, or drop it if it is gone; nothing else is parsed, nothing else goes."""
-        files = code.code_files(self.spark, base).where(F.col("path") == path)
-        gone = self.spark.createDataFrame([(path, None)], "path string, text string").join(files.select("path"), "path", "left_anti")
-        self.graph = resolution.reindex(self.graph, files.unionByName(gone), now=now)
+        base, prefix = base.rstrip("/"), self._prefix(base.rstrip("/"), self._bases())
+        files = code.code_files(self.spark, base).where(F.col("path") == path).withColumn("path", F.lit(prefix + path))
+        gone = self.spark.createDataFrame([(prefix + path, None)], "path string, text string").join(files.select("path"), "path", "left_anti")
+        self._index(base, prefix, files.unionByName(gone), None, now)
 
     def update_ontology(self, text: str) -> None:
         raw = json.loads(text)

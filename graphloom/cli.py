@@ -61,7 +61,7 @@ def parser() -> argparse.ArgumentParser:
     add("reconcile", (("input",), {"nargs": "?"}))
     add("snapshot", (("text",), {"nargs": "?"}))
     for name in ("monitor", "tick"):
-        add(name, (("log",), {}), (("--threshold",), {"type": int, "default": 85}), (("--window",), {"type": int, "default": 200_000}), (("--every",), {"type": int, "default": 20}), (("--counter",), {"default": ".tick"}))
+        add(name, (("log",), {}), (("--threshold",), {"type": int, "help": "else the configuration's"}), (("--window",), {"type": int, "default": 200_000}), (("--every",), {"type": int, "help": "else the configuration's"}), (("--counter",), {"default": ".tick"}))
     add("file-context", (("path",), {}), (("--budget",), {"type": int, "default": 300}))
     add("relevant", (("query",), {}), (("--budget",), {"type": int, "default": 500}))
     add("context", (("--budget",), {"type": int}))
@@ -72,6 +72,10 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark, now = session(), int(time.time())
+    config = store.load_config(a.config) if a.config else store.Config()
+    if a.command in ("monitor", "tick"):
+        a.threshold = config.threshold_pct if a.threshold is None else a.threshold
+        a.every = config.snapshot_every if a.every is None else a.every
     read = lambda x: x if x is not None else sys.stdin.read()
     if a.command == "monitor":
         found = _usage(spark, a.log, a.threshold, a.window)
@@ -88,7 +92,6 @@ def main(argv: list[str] | None = None) -> int:
         _rows(facts(spark.createDataFrame([(1, read(a.text))], "doc_id long, text string")).select("fact_type", "fact"))
         return 0
     kg = KnowledgeGraph(spark, a.graph)
-    config = store.load_config(a.config) if a.config else store.Config()
     if a.command in ("init", "bootstrap"):
         found = kg.bootstrap_all(a.base, config, a.transcripts, now)
         kg.save()

@@ -45,34 +45,51 @@ def impact(graph: Graph, name: str, depth: int = 1) -> DataFrame:
     return out.distinct()
 
 
-def impact_report(graph: Graph, name: str, depth: int = 1, most: int = 1000) -> str:
-    """What a change to an entity touches as text: references, at depth 2 indirect ones, and warnings. Of each neighbour and relation
-    the first edge counts. A section has ``most`` lines, and then the number of those left out."""
+def impact_lines(graph: Graph, name: str, depth: int = 1) -> DataFrame | None:
+    """What a change to an entity touches as lines (section, k1 to k4, line): references, at depth 2 indirect ones, and warnings; None if nothing
+    has that name. Of each neighbour and relation the first edge counts. All are there: the order is that of section and keys."""
     start = checkpointed(matching(graph.nodes, name))
-    if not start.limit(1).count():
-        return f"No entity found: {name}"
-    title = graph.nodes.join(start, F.col("id") == F.col("node")).orderBy("seq").select("name").first()["name"]
+    title = graph.nodes.join(start, F.col("id") == F.col("node")).orderBy("seq").select("name").first()
+    if title is None:
+        return None
     place = F.coalesce(F.when(F.col("other_source.kind") == "CodeAnalysis", F.col("other_source.file")), F.lit("semantic")).alias("place")
     arrow = F.when(F.col("direction") == "outgoing", "→").otherwise("←").alias("arrow")
     first = F.min(F.struct("edge_seq", "other", arrow, F.col("other_type").alias("kind"), place)).alias("x")
     direct = checkpointed(neighbors(graph, start).groupBy(F.col("other_name").alias("name"), "relation_type").agg(first).select("name", "relation_type", "x.*"))
-    n = direct.count()
+    spark, n = graph.nodes.sparkSession, direct.count()
+
+    def section(k: int, rows: DataFrame, keys: list[str], *line) -> DataFrame:
+        keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys] + [F.lit("")] * (4 - len(keys))
+        return rows.select(F.lit(k).alias("section"), *[c.alias(f"k{i}") for i, c in enumerate(keys, 1)], F.concat(*[F.lit(x) if x in _PLAIN else F.coalesce(F.col(x), F.lit("")) for x in line]).alias("line"))
+
+    def text(k: int, *lines: str) -> DataFrame:
+        return spark.createDataFrame([(k, f"{i:04d}", "", "", "", x) for i, x in enumerate(lines)], "section int, k1 string, k2 string, k3 string, k4 string, line string")
+
     if not n:
-        return f"## Impact: {title}\n\nNo references found.\n"
-    lines, rows = [f"## Impact: {title}", "", f"References ({n}):"], direct.orderBy("name", "relation_type").limit(most).collect()
-    lines += [f"- {r['arrow']} {r['name']} ({r['relation_type']}) [{r['kind']}] in {r['place']}" for r in rows]
-    lines += [f"- and {n - most} more"] if n > most else []
+        return text(0, f"## Impact: {title['name']}", "", "No references found.")
+    out = text(0, f"## Impact: {title['name']}", "", f"References ({n}):").unionByName(section(1, direct, ["name", "relation_type"], "- ", "arrow", " ", "name", " (", "relation_type", ") [", "kind", "] in ", "place"))
     if depth > 1:
         via = direct.select(F.col("other").alias("node"), F.col("name").alias("via")).distinct()
         second = without(neighbors(graph, via.select("node").distinct()), "other", start).join(via, "node")
-        second = second.select("via", F.col("other_name").alias("name"), "relation_type", place).distinct()
-        m = second.count()
-        shown = second.orderBy("via", "name", "relation_type", "place").limit(most).collect()
-        lines += ["", f"Indirect ({m}):", *[f"- {r['via']} → {r['name']} ({r['relation_type']}) in {r['place']}" for r in shown]] if m else []
-        lines += [f"- and {m - most} more"] if m > most else []
-    warned = breaking_changes(direct, "place").orderBy("place", "warning").limit(most).collect()
-    lines += ["", "Breaking changes:", *[f"- {r['place']}: {r['warning']}" for r in warned]] if warned else []
-    return "\n".join(lines) + "\n"
+        second = checkpointed(second.select("via", F.col("other_name").alias("name"), "relation_type", place).distinct())
+        if m := second.count():
+            out = out.unionByName(text(2, "", f"Indirect ({m}):")).unionByName(section(3, second, ["via", "name", "relation_type", "place"], "- ", "via", " → ", "name", " (", "relation_type", ") in ", "place"))
+    warned = breaking_changes(direct, "place")
+    if warned.limit(1).count():
+        out = out.unionByName(text(4, "", "Breaking changes:")).unionByName(section(5, warned, ["place", "warning"], "- ", "place", ": ", "warning"))
+    return out
+
+
+_PLAIN = {"- ", " ", " (", ") [", "] in ", " → ", ") in ", ": "}
+
+
+def impact_report(graph: Graph, name: str, depth: int = 1) -> str:
+    """``impact_lines`` as one text, all of them, fetched a partition at a time."""
+    lines = impact_lines(graph, name, depth)
+    if lines is None:
+        return f"No entity found: {name}"
+    ordered = lines.orderBy("section", "k1", "k2", "k3", "k4")
+    return "\n".join(r["line"] for r in ordered.toLocalIterator()) + "\n"
 
 
 def impact_of_text(graph: Graph, event: str, depth: int = 1) -> str:

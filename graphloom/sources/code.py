@@ -313,9 +313,16 @@ def _below(spark: SparkSession, base: str, names: str) -> DataFrame:
     return own.where(F.col("text").isNotNull() & ~F.arrays_overlap("parts", F.array(*[F.lit(x) for x in DEPENDENCY_DIRS]))).select(normal_path(F.col("path")).alias("path"), "text")
 
 
-def code_files(spark: SparkSession, base: str) -> DataFrame:
-    """(path, text) of the code files below ``base``."""
-    return _below(spark, base, "*.{" + ",".join(EXTENSIONS) + "}")
+def glob_pattern(glob: str) -> str:
+    """A regular expression of whole paths: ** and the slash behind it are any folders, * and ? stop at a slash."""
+    parts = {"**/": "(.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "^" + "".join(parts.get(x) or re.escape(x) for x in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", glob.removeprefix("./"))) + "$"
+
+
+def code_files(spark: SparkSession, base: str, patterns: list[str] | None = None) -> DataFrame:
+    """(path, text) of the code files below ``base``; with ``patterns`` of those whose path one of them names."""
+    files = _below(spark, base, "*.{" + ",".join(EXTENSIONS) + "}")
+    return files if patterns is None else files.where(F.col("path").rlike("|".join(map(glob_pattern, patterns)) if patterns else "^\\b\\B$"))
 
 
 def package_manifests(spark: SparkSession, base: str) -> DataFrame:

@@ -53,9 +53,15 @@ def session_text(messages: DataFrame, mode: str = "substantive", most: int = 50_
     return make(messages, most)
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any of Hadoop's file systems is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return len(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target) or []) > 0
+
+
 def documents(spark: SparkSession, paths: list[str], target: int = 4000, overlap: int = 500) -> DataFrame:
-    """Chunks (path, text, index, start_offset, end_offset) of whole text files; missing paths are left out."""
-    there = [p for p in paths if Path(p).exists()]
+    """Chunks (path, text, index, start_offset, end_offset) of whole text files, of local paths or any URI that Hadoop reads; missing paths are left out."""
+    there = [p for p in paths if _there(spark, p)]
     if not there:
         return spark.createDataFrame([], "path string, text string, index long, start_offset long, end_offset long")
     raw = spark.read.text(there, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -3,9 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import cli
 from graphloom.api import KnowledgeGraph
+from graphloom.schema import Graph
 from graphloom.sources import conversations, store
 
 
@@ -138,3 +140,51 @@ def test_sources(spark, tmp_path):
     bad.write_text("not = [toml")
     with pytest.warns(UserWarning):
         assert store.load_config(str(bad)).budget == 2000
+
+
+def test_two_bases_and_configured_sources(spark, tmp_path):
+    """A second base leaves the first one's code, also where paths are equal; patterns say which code; documents may be URIs."""
+    for name, text in (("one", "def first(): pass\n"), ("two", "def second(): pass\n")):
+        (tmp_path / name / "lib").mkdir(parents=True)
+        (tmp_path / name / "lib/main.py").write_text(text)
+        (tmp_path / name / "lib/tool.js").write_text(f"function {name}Tool() {{}}\n")
+    (tmp_path / "one/notes.txt").write_text("some notes")
+    kg = KnowledgeGraph(spark, f"file://{tmp_path}/graph")
+    one, two = f"file://{tmp_path}/one", f"file://{tmp_path}/two"
+    assert kg.bootstrap(one) == (2, 2) and kg.bootstrap(two) == (2, 2)
+    found = lambda: {(r["name"], r["source"]["file"]) for r in kg.graph.nodes.where("node_type <> 'File'").collect()}
+    assert found() == {("first", "lib/main.py"), ("oneTool", "lib/tool.js"), ("second", "two/lib/main.py"), ("twoTool", "two/lib/tool.js")}
+    (tmp_path / "two/lib/tool.js").unlink()
+    (tmp_path / "two/lib/main.py").write_text("def third(): pass\n")
+    kg.save()
+    kg.reindex(two, "lib/main.py")
+    kg.save_changes()
+    assert ("third", "two/lib/main.py") in found() and len(found()) == 4
+    kg.bootstrap(two)
+    assert found() == {("first", "lib/main.py"), ("oneTool", "lib/tool.js"), ("third", "two/lib/main.py")}
+    config = store.Config(code=["**/*.py"], documents=["notes.txt", f"file://{tmp_path}/one/notes.txt", "file:///no/such", "hdfs-like/none.txt"])
+    report = kg.bootstrap_all(one, config)
+    assert report.files == 1 and [r["text"] for r in report.documents.collect()] == ["some notes"] * report.documents.count() and report.documents.count() >= 1
+    assert ("oneTool", "lib/tool.js") not in found()
+
+
+def test_thresholds_come_from_the_configuration(spark, tmp_path, capsys):
+    usage = {"input_tokens": 100_000, "cache_creation_input_tokens": 0, "cache_read_input_tokens": 0, "output_tokens": 5}
+    (tmp_path / "log").write_text(json.dumps({"type": "assistant", "message": {"role": "assistant", "usage": usage}}) + "\n")
+    (tmp_path / "c.toml").write_text("[extraction]\nthreshold_pct = 40\nsnapshot_every = 1\n")
+    own = ["--config", str(tmp_path / "c.toml")]
+    assert call(capsys, *own, "monitor", str(tmp_path / "log"))[0] == 1 and call(capsys, "monitor", str(tmp_path / "log"))[0] == 0
+    assert json.loads(call(capsys, *own, "tick", str(tmp_path / "none"), "--counter", str(tmp_path / "n"))[1])["action"] == "Snapshot"
+    assert json.loads(call(capsys, "tick", str(tmp_path / "none"), "--counter", str(tmp_path / "m"))[1])["action"] == "None"
+
+
+def test_all_rows_are_printed(spark, tmp_path, capsys):
+    """1,500 neighbours are 1,500 lines, and as many in a report."""
+    kg = KnowledgeGraph(spark, f"file://{tmp_path}/graph")
+    nodes = spark.range(1, 1502).select("id", F.col("id").alias("seq"), F.concat(F.lit("node_"), "id").alias("name"), F.lit("Function").alias("node_type"), F.lit("x").alias("definition"))
+    edges = spark.range(2, 1502).select("id", F.col("id").alias("seq"), F.lit(1).cast("long").alias("src"), F.col("id").alias("dst"), F.lit("calls").alias("relation_type"))
+    kg.graph = Graph(kg.graph.nodes.unionByName(nodes, allowMissingColumns=True), kg.graph.edges.unionByName(edges, allowMissingColumns=True))
+    kg.save()
+    base = ["--graph", f"file://{tmp_path}/graph"]
+    assert len(call(capsys, *base, "impact", "node_1")[1].splitlines()) == 1500
+    assert call(capsys, *base, "impact", "node_1", "--report")[1].count("- → node_") == 1500
