@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions import text as tx
 from ..functions import transcript as tr
 from ..operators import discover, evaluate, impact, lifecycle, mutation, navigation, paths, ranking, reports, resolve
@@ -447,6 +448,13 @@ def chunk_offsets(spark, d, g):
     return tx.chunk_table(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "index", "start_offset", "end_offset", F.octet_length("text").cast("long").alias("n_bytes"))
 
 
+@query("chunk_lateral", None, over_graph=False)
+def chunk_lateral(spark, d, g):
+    """The chunks of chunk_offsets, by SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT d.doc_id, c.index, c.start_offset, c.end_offset, octet_length(c.text) AS n_bytes FROM {documents} d, LATERAL chunks(d.text, 4000, 500) c", documents=table(spark, d, "documents"))
+
+
 # The tables hold no prose that states facts, so each turn's whole text goes on behind a phrase that depends on its number.
 _PHRASES = ["we decided to use ", "the bug is in\t", "instead of that use ", "replacing it with ", "x calls ", "After changing a, b broke "]
 _FACTS = " UNION ALL ".join(f"SELECT id, '{kind}' AS fact_type, unnest(regexp_extract_all(t, '(?i){pattern.replace(chr(39), chr(39) * 2)}', 0)) AS fact FROM s" for kind, pattern in tx.FACT_PATTERNS)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_DEFAULT_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 
 USAGE = "type string, message struct<role:string, usage:struct<input_tokens:long,cache_creation_input_tokens:long,cache_read_input_tokens:long,output_tokens:long>>"
 
@@ -47,28 +51,37 @@ def tick_actions(ticks: DataFrame, key: str, order: list, every: int = 20) -> Da
 TICKS = T.StructType([T.StructField("key", T.StringType()), T.StructField("order", T.LongType()), T.StructField("action", T.StringType()), T.StructField("counter", T.LongType())])
 
 
-def tick_stream(ticks: DataFrame, every: int = 20) -> DataFrame:
-    """The same over a stream of (key string, order long, extract boolean): one counter of state for each key. Rows of a key in a
-    micro-batch are taken in order."""
-    import pandas as pd
+class TickProcessor(StatefulProcessor):
+    """One counter of state for each key, which expires when a key has had no tick for ``idle_ms`` (never if that is None)."""
+
+    def __init__(self, every: int, idle_ms: int | None):
+        self.every, self.idle_ms = every, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counter = handle.getValueState("counter", "n long", self.idle_ms)
 
-    def step(key, frames, state):
-        (counter,) = state.get if state.exists else (0,)
-        rows = []
-        for frame in sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r.order):
+    def handleInputRows(self, key, rows, timerValues):
+        counter = self.counter.get()[0] if self.counter.exists() else 0
+        for row in sorted(rows, key=lambda r: r["order"]):
             counter += 1
-            if frame.extract:
-                counter, action = 0, "Extract"
-            elif counter >= every:
-                counter, action = 0, "Snapshot"
-            else:
-                action = "None"
-            rows.append((key[0], frame.order, action, counter))
-        state.update((counter,))
-        yield pd.DataFrame(rows, columns=["key", "order", "action", "counter"])
-
-    state = T.StructType([T.StructField("counter", T.LongType())])
-    return ticks.groupBy("key").applyInPandasWithState(step, TICKS, state, "append", "NoTimeout")
+            action = "Extract" if row["extract"] else "Snapshot" if counter >= self.every else "None"
+            counter = counter if action == "None" else 0
+            yield Row(key=key[0], order=row["order"], action=action, counter=counter)
+        self.counter.update((counter,))
+
+    def close(self) -> None:
+        pass
+
+
+def tick_stream(ticks: DataFrame, every: int = 20, idle_ms: int | None = None) -> DataFrame:
+    """The same over a stream of (key string, order long, extract boolean), for outputMode append. Rows of a key in a micro-batch are
+    taken in order; a stream that starts again from its checkpoint goes on from its counters. State is kept by RocksDB, which this sets for
+    a session that has set no state store of its own."""
+    spark = ticks.sparkSession
+    if spark.conf.get(_STORE, _DEFAULT_STORE) == _DEFAULT_STORE:
+        spark.conf.set(_STORE, _DEFAULT_STORE.replace("HDFSBackedStateStoreProvider", "RocksDBStateStoreProvider"))
+    mode = "None" if idle_ms is None else "ProcessingTime"
+    return ticks.groupBy("key").transformWithState(TickProcessor(every, idle_ms), TICKS, "append", mode)
 
 
 def usage_stream(lines: DataFrame, key: str = "file", threshold: int = 85, window: int = 200_000) -> DataFrame:

@@ -1,10 +1,13 @@
 """Chunks, facts, transcripts, usage and ticks."""
 
 import json
+import os
 import random
+import time
 
 import pyspark.sql.functions as F
 
+from graphloom.functions import tables
 from graphloom.functions import text as tx
 from graphloom.functions import transcript as tr
 from graphloom.streaming import monitor
@@ -168,3 +171,40 @@ def test_facts_at_the_edges(spark):
     rows = [(1, "so we  use the new cache\t"), (2, "We use a cache\rand more\nnext"), (3, "instead of\u2003the old one we'll use it all"), (4, "a.b calls\tc.d\u00a0e"), (5, None), (6, ""), (7, "the approach is short"), (8, "the approach is shrt")]
     got = {(r["id"], r["fact_type"], r["fact"]) for r in tx.facts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, "Decision", "use the new cache"), (2, "Decision", "We use a cache\rand more"), (3, "Supersession", "instead of\u2003the old one we'll use it all"), (3, "Decision", "use it all"), (4, "Relation", "a.b calls\tc.d"), (7, "Decision", "the approach is short")}
+
+
+def test_table_functions_are_the_data_frame_ones(spark):
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choice(["word", "longer words", "end.", "so!\n\n", "é漢"]) for _ in range(r.randint(0, 900)))) for k in range(25)] + [(90, None), (91, ""), (92, "  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tables.register(spark)
+    for target, overlap in ((4000, 500), (300, 60)):
+        got = spark.sql(f"SELECT d.doc_id, c.* FROM {{df}} d, LATERAL chunks(d.text, {target}, {overlap}) c", df=df).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, tx.chunk_table(df, target=target, overlap=overlap).collect())) and len(got) > 25
+    told = {(x["doc_id"], x["start_offset"], x["end_offset"]) for x in spark.sql("SELECT d.doc_id, s.* FROM {df} d, LATERAL sentences(d.text) s", df=df).collect()}
+    assert told == {(k, a, b) for k, t in rows for a, b in tx.sentences((t or "").encode())}
+
+
+def test_tick_stream_goes_on_after_a_restart_and_forgets_idle_keys(spark, tmp_path):
+    folder = f"file://{tmp_path}/in"
+
+    def run(name, rows, idle=None):
+        spark.createDataFrame(rows, "key string, order long, extract boolean").coalesce(1).write.mode("append").parquet(f"{folder}-{name}")
+        stream = spark.readStream.schema("key string, order long, extract boolean").parquet(f"{folder}-{name}")
+        out = monitor.tick_stream(stream, 3, idle).writeStream.format("parquet").option("path", f"{folder}-{name}-out").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp-{name}")
+        read = lambda: {(r["key"], r["order"]): (r["action"], r["counter"]) for r in spark.read.schema(monitor.TICKS).parquet(f"{folder}-{name}-out").collect()}
+        if idle is None:
+            out.trigger(availableNow=True).start().awaitTermination(100)
+            return read()
+        q, end = out.trigger(processingTime="1 second").start(), time.time() + 60  # expiry keeps the clock running, so this one is stopped
+        while time.time() < end and not (os.path.isdir(f"{tmp_path}/in-{name}-out") and {x[:2] for x in rows} <= set(read())):
+            time.sleep(0.5)
+        q.stop()
+        return read()
+
+    run("a", [("k", 1, False), ("k", 2, False), ("m", 1, True)])
+    got = run("a", [("k", 3, False), ("m", 2, False)])
+    assert got == {("k", 1): ("None", 1), ("k", 2): ("None", 2), ("m", 1): ("Extract", 0), ("k", 3): ("Snapshot", 0), ("m", 2): ("None", 1)}
+    run("b", [("k", 1, False), ("k", 2, False)], idle=1000)
+    time.sleep(1.5)
+    assert run("b", [("k", 3, False)], idle=1000)["k", 3] == ("None", 1)
