@@ -96,12 +96,23 @@ class KnowledgeGraph:
         self._index(base, prefix, files.unionByName(gone), None, now)
 
     def update_ontology(self, text: str) -> None:
+        """Add suggested types, a node type's parent and a relation's from and to types with them; the first domain that is named stays."""
         raw = json.loads(text)
-        for key, part in (("suggested_entity_types", "node_types"), ("suggested_relation_types", "edge_types")):
-            rows = [(t["name"], t.get("description", ""), k) for k, t in enumerate(raw.get(key, []))]
-            new = self.spark.createDataFrame(rows, "name string, description string, seq int")
-            own = getattr(self.graph, part)
-            setattr(self.graph, part, mutation.merge_ontology(own, new) if own is not None else mutation.merge_ontology(new.limit(0), new))
+        texts = lambda x: [t for t in x if isinstance(t, str)] if isinstance(x, list) else []
+        shapes = {
+            "node_types": ("suggested_entity_types", "name string, description string, parent string, seq int", lambda t: (t.get("parent"),)),
+            "edge_types": ("suggested_relation_types", "name string, description string, from_types array<string>, to_types array<string>, seq int", lambda t: (texts(t.get("from_types")), texts(t.get("to_types")))),
+        }
+        for part, (key, shape, more) in shapes.items():
+            rows = [(t.get("name") or "", t.get("description") or "", *more(t), k) for k, t in enumerate(raw.get(key) or [])]
+            new, own = self.spark.createDataFrame(rows, shape), getattr(self.graph, part)
+            setattr(self.graph, part, mutation.merge_ontology(own if own is not None else new.limit(0), new))
+        if isinstance(raw.get("domain"), str) and raw["domain"] and not self.domain():
+            self.graph.domain = self.spark.createDataFrame([(raw["domain"],)], "name string")
+
+    def domain(self) -> str:
+        row = self.graph.domain.first() if self.graph.domain is not None else None
+        return row["name"] if row else ""
 
     def get_ontology(self) -> tuple[DataFrame | None, DataFrame | None]:
         return self.graph.node_types, self.graph.edge_types
@@ -227,9 +238,8 @@ class KnowledgeGraph:
     def chunk_text(text: str, target: int = 4000, overlap: int = 500) -> list[tuple[str, int, int, int]]:
         return chunks(text, target, overlap)
 
-    @staticmethod
-    def analyze_content(text: str) -> str:
-        return prompts.analyze_content(text)
+    def analyze_content(self, text: str) -> str:
+        return prompts.analyze_content(text, self.graph)
 
     def prepare_extraction(self, text: str, document: str) -> str:
         return prompts.prepare_extraction(self.graph, text, document)

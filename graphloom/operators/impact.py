@@ -128,9 +128,11 @@ def pattern_groups(references: DataFrame) -> DataFrame:
     name = F.col("target") if "target" in references.columns else F.col("target_name")
     keyed = references.select(F.concat(verb, F.lit(" "), name).alias("pattern"), base_name(F.col("source_file")).alias("base"))
     by_file = keyed.groupBy("pattern", "base").agg(F.count(F.lit(1)).alias("n"))
-    ranked = by_file.withColumn("k", F.row_number().over(Window.partitionBy("pattern").orderBy("base")))
-    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.struct("k", "base")))), lambda x: x["base"]), ", ")
-    return ranked.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("base").alias("total_files"), shown.alias("example_files"))
+    counts = by_file.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("base").alias("total_files"))
+    # Five of each pattern by rank, which Spark limits before it shuffles them.
+    ranked = by_file.withColumn("k", F.row_number().over(Window.partitionBy("pattern").orderBy("base"))).where("k <= 5 and base is not null")
+    shown = ranked.groupBy("pattern").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "base"))), lambda x: x["base"]), ", ").alias("example_files"))
+    return counts.join(shown, "pattern", "left").select("pattern", "n", "total_files", F.coalesce("example_files", F.lit("")).alias("example_files"))
 
 
 def format_patterns(patterns: DataFrame) -> str:

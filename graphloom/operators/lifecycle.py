@@ -132,4 +132,4 @@ def reconcile(graph: Graph, batch: dict, now: int) -> tuple[Graph, dict]:
     if pairs:
         edges, fresh = upsert_edges(edges, pairs)
         report["edges_added"], report["edges_new"] = len(pairs), sum(fresh)
-    return Graph(nodes, edges, graph.documents, graph.node_types, graph.edge_types), report
+    return Graph(nodes, edges, graph.documents, graph.node_types, graph.edge_types, graph.domain), report

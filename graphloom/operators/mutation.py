@@ -68,7 +68,7 @@ def remove_nodes(graph: Graph, gone: DataFrame) -> Graph:
     edges = graph.edges
     for end in ("src", "dst"):
         edges = edges.join(ids.withColumnRenamed("id", end), end, "left_anti")
-    return Graph(graph.nodes.join(ids, "id", "left_anti"), edges.select(graph.edges.columns), graph.documents, graph.node_types, graph.edge_types)
+    return Graph(graph.nodes.join(ids, "id", "left_anti"), edges.select(graph.edges.columns), graph.documents, graph.node_types, graph.edge_types, graph.domain)
 
 
 def allowed(labels: DataFrame, column: str, ontology: DataFrame | None, always: tuple[str, ...] = ()) -> DataFrame:
@@ -82,9 +82,10 @@ def allowed(labels: DataFrame, column: str, ontology: DataFrame | None, always:
 
 
 def merge_ontology(own: DataFrame, new: DataFrame) -> DataFrame:
-    """Types (name, description, seq) of both, the first of each name; case is ignored and what is there stays."""
-    both = own.withColumn("o", F.lit(0)).unionByName(new.withColumn("o", F.lit(1)))
-    return both.groupBy(F.lower("name").alias("k")).agg(F.min_by(F.struct("name", "description", "seq"), F.struct("o", "seq")).alias("x")).select("x.*")
+    """Types (name, description, seq, and what else either has) of both, the first of each name; case is ignored and what is there stays."""
+    both = own.withColumn("o", F.lit(0)).unionByName(new.withColumn("o", F.lit(1)), allowMissingColumns=True)
+    columns = [c for c in both.columns if c != "o"]
+    return both.groupBy(F.lower("name").alias("k")).agg(F.min_by(F.struct(*columns), F.struct("o", "seq")).alias("x")).select("x.*")
 
 
 def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:

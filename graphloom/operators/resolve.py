@@ -266,4 +266,4 @@ def ingest(graph: Graph, batch: dict, now: int = 0, threshold: float = THRESHOLD
         edges, new = upsert_edges(edges, pairs)
         report.edges_added += sum(new)
         report.edges_deduped += len(new) - sum(new)
-    return Graph(nodes, edges, graph.documents, graph.node_types, graph.edge_types), report
+    return Graph(nodes, edges, graph.documents, graph.node_types, graph.edge_types, graph.domain), report

@@ -22,9 +22,22 @@ def _known(graph: Graph, most: int = MOST_NAMES) -> tuple[str, str]:
     return ", ".join(types), ", ".join(names)
 
 
-def analyze_content(text: str) -> str:
-    """Asks for a domain and types for a text."""
-    return f"Name the domain of the text, and the types of entities and relations worth recording. Reply with JSON: domain, suggested_entity_types, suggested_relation_types (each with name and description).\n\n{cut(text, LIMITS['analyze'])}"
+def _ontology(graph: Graph | None) -> str:
+    """The types that a graph allows, with what joins what; an ontology is small."""
+    if graph is None or graph.node_types is None:
+        return ""
+    lines = [f"- {r['name']} ({r['description']})" for r in graph.node_types.orderBy("seq", "name").collect()]
+    if not lines:
+        return ""
+    for r in graph.edge_types.orderBy("seq", "name").collect() if graph.edge_types is not None else []:
+        own = r.asDict()
+        lines.append(f"- {r['name']} ({r['description']}) [{', '.join(own.get('from_types') or [])} -> {', '.join(own.get('to_types') or [])}]")
+    return "Types that are known; add to them where needed, and remove none:\n" + "\n".join(lines) + "\n\n"
+
+
+def analyze_content(text: str, graph: Graph | None = None) -> str:
+    """Asks for a domain and types for a text, with those that the graph knows. People are always a type."""
+    return f"Name the domain of the text, and the types of entities (Person always among them) and relations worth recording. Reply with JSON: domain, suggested_entity_types (name, description, parent), suggested_relation_types (name, description, from_types, to_types).\n\n{_ontology(graph)}{cut(text, LIMITS['analyze'])}"
 
 
 def prepare_extraction(graph: Graph, text: str, document: str) -> str:

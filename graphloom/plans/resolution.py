@@ -138,7 +138,10 @@ def _numbered(entities: DataFrame, files: DataFrame) -> DataFrame:
     every = parts.unionByName(file_rows)
     # A file's first number is the number of rows in files before it; files are few against entities.
     sizes = every.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    ranged = checkpointed(sizes.repartitionByRange("file").withColumn("part", F.spark_partition_id()))
+    parts_ = ranged.groupBy("part").agg(F.sum("n").alias("in_part")).withColumn("earlier", F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part"))  # a row for each partition
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("file")) - F.col("n")
+    starts = ranged.join(F.broadcast(parts_.select("part", "earlier")), "part").select("file", (F.col("earlier") + within).alias("before"))
     numbered = every.join(starts, "file").withColumn("id", F.col("before") + F.row_number().over(Window.partitionBy("file").orderBy("order", "definition")))
     return numbered.select("id", F.col("id").alias("seq"), "name", "entity_type", "definition", "file")
 
@@ -202,4 +205,4 @@ def reindex(graph: Graph, changed: DataFrame, packages: DataFrame | None = None,
     again = of_paths(graph.edges, "left_anti").join(old, "dst").join(named, ["file", "name", "entity_type"])
     again = again.join(gone.select(F.col("id").alias("src")), "src", "left_anti").withColumn("dst", F.col("x.id")).select(graph.edges.columns)
     edges = of_paths(kept.edges, "left_anti").unionByName(again).unionByName(fresh, allowMissingColumns=True)
-    return Graph(kept.nodes.unionByName(_nodes(numbered, now), allowMissingColumns=True), edges, graph.documents, graph.node_types, graph.edge_types)
+    return Graph(kept.nodes.unionByName(_nodes(numbered, now), allowMissingColumns=True), edges, graph.documents, graph.node_types, graph.edge_types, graph.domain)

@@ -42,6 +42,7 @@ class Graph:
     documents: DataFrame | None = None
     node_types: DataFrame | None = None
     edge_types: DataFrame | None = None
+    domain: DataFrame | None = None
     adjacency: Any = None
 
     def __setattr__(self, name: str, value: Any) -> None:

@@ -20,7 +20,7 @@ from . import adjacency
 
 FORMAT_VERSION = 1
 HEAD = "HEAD-"
-PARTS = ("nodes", "edges", "documents", "node_types", "edge_types")
+PARTS = ("nodes", "edges", "documents", "node_types", "edge_types", "domain")
 MOST_CHANGES, CHANGE_FILES = 16, 8
 
 

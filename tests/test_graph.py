@@ -396,3 +396,16 @@ def test_similar_pairs_are_all_there(spark, threshold, n):
     for q in asked:
         score, k = max((1.0 if q == w else resolve.lcs_similarity(q, w), -i) for i, w in enumerate(words))
         assert best.get(q) == ((-k, round(score, 9)) if score >= threshold else None)
+
+
+def test_domain_and_ends_of_relation_types(spark, tmp_path):
+    kg = KnowledgeGraph(spark, f"file://{tmp_path}/g")
+    kg.update_ontology(json.dumps({"domain": "ships", "suggested_entity_types": [{"name": "Ship", "description": "floats", "parent": "Thing"}], "suggested_relation_types": [{"name": "owns", "description": "has", "from_types": ["Person", 3], "to_types": ["Ship"]}]}))
+    kg.update_ontology(json.dumps({"domain": "other", "suggested_relation_types": [{"name": "OWNS", "from_types": ["x"]}, {"name": "sails"}]}))
+    kg.save()
+    again = KnowledgeGraph(spark, f"file://{tmp_path}/g")
+    assert again.domain() == "ships" and again.graph.node_types.first()["parent"] == "Thing"
+    kinds = {r["name"]: (r["from_types"], r["to_types"]) for r in again.get_ontology()[1].collect()}
+    assert kinds == {"owns": (["Person"], ["Ship"]), "sails": ([], [])}
+    asked = again.analyze_content("about ships")
+    assert "- Ship (floats)" in asked and "- owns (has) [Person -> Ship]" in asked and asked.endswith("about ships")
