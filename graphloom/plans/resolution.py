@@ -175,8 +175,9 @@ def code_graph(entities: DataFrame, references: DataFrame, files: DataFrame, pac
 
 
 def bootstrap_code(files: DataFrame, packages: DataFrame | None = None, now: int = 0) -> Graph:
-    """The graph of source files (path, text)."""
-    return code_graph(code.entities(files), code.references(files), files.select("path"), packages, now)
+    """The graph of source files (path, text); each is parsed once, and what it gives is written."""
+    found = checkpointed(code.extracted(files))
+    return code_graph(code.entities(found), code.references(found), files.select("path"), packages, now)
 
 
 def reindex(graph: Graph, changed: DataFrame, packages: DataFrame | None = None, now: int = 0) -> Graph:
@@ -192,14 +193,15 @@ def reindex(graph: Graph, changed: DataFrame, packages: DataFrame | None = None,
     kept = remove_nodes(graph, gone)
     there = changed.where("text is not null").select("path", "text")
     top = graph.nodes.agg(F.coalesce(F.max("id"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
-    numbered = _numbered(checkpointed(code.entities(there)), there.select("path"))
+    found = checkpointed(code.extracted(there))
+    numbered = _numbered(code.entities(found), there.select("path"))
     numbered = checkpointed(numbered.withColumn("id", F.col("id") + top[0]).withColumn("seq", F.col("seq") + top[1]))
     known = kept.nodes.where(is_code()).select("id", "seq", "name", F.col("node_type").alias("entity_type"), F.col("source.file").alias("file")).unionByName(numbered.drop("definition"))
     imported = imported_files(_imports(known), known.where("entity_type = 'File'").select(F.col("file").alias("path")), packages)
     here = there.select(F.col("path").alias("file"))
     # Wildcard imports of the other files are among their edges.
     imported = imported.join(here.withColumn("own", F.lit(True)), "file", "left").withColumn("whole", F.col("whole") & F.col("own").isNotNull()).drop("own")
-    fresh = _edges(known, checkpointed(code.references(there)), imported)
+    fresh = _edges(known, code.references(found), imported)
     named = numbered.groupBy("file", "name", "entity_type").agg(F.min(F.struct("seq", "id")).alias("x"))
     old = gone.select(F.col("id").alias("dst"), F.col("source.file").alias("file"), "name", F.col("node_type").alias("entity_type"))
     again = of_paths(graph.edges, "left_anti").join(old, "dst").join(named, ["file", "name", "entity_type"])

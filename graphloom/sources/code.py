@@ -1,8 +1,10 @@
 """Entities and references of source files, in the executors.
 
 Python goes through its own parser; other languages, and Python that does not parse, through a tokenizer and a stack of
-braces. Without a grammar the latter sees declarations, calls, member accesses and capitalised types, not every type position.
-Names of imports are the whole statement; fields are ``Parent.field``; lines count from 1.
+braces, with types by their positions (``positions``; in C# and JavaScript, whose grammars have none, capitalised names in a few
+places). Each file is parsed once, for entities and references together. Calls of members are references in Rust, Python and
+scripts only; a selector of Go that is not called is a read, assigned to or not. Names of imports are the whole statement; fields
+are ``Parent.field``; lines count from 1.
 """
 
 from __future__ import annotations
@@ -17,10 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ENTITIES, REFERENCES
+from .positions import TypeNames
 from .vocabulary import BUILTINS, DEPENDENCY_DIRS, EXTENSIONS, LANGUAGE, PRIMITIVES
 
-TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])'|'(?:\\.|[^'\\\n])*'|[A-Za-z_$][\w$]*!?|\d[\w.]*|::|->|=>|==|!=|<=|>=|[-+*/%&|^]=|\n|[^\s\w]", re.S)
+_REST = r"|[A-Za-z_$][\w$]*!?|\d[\w.]*|::|->|=>|==|!=|<=|>=|[-+*/%&|^]=|\n|[^\s\w]"
+_OPEN = r"//[^\n]*|/\*.*?\*/"
+_SHORT = r"|'(?:\\(?:x[0-9a-fA-F]{2}|u\{?[0-9a-fA-F]+\}?|.)|[^'\\\n])'"
+_DOUBLE = r"|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`"
+TOKEN = {
+    "rust": re.compile(_OPEN + r"|\bb?r(?P<hashes>#*)\".*?\"(?P=hashes)|\"(?:\\.|[^\"\\])*\"" + _SHORT + r"|'[A-Za-z_]\w*" + _REST, re.S),
+    "go": re.compile(_OPEN + r"|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`" + _SHORT + _REST, re.S),
+    "java": re.compile(_OPEN + r"|\"\"\".*?\"\"\"" + _DOUBLE + _SHORT + _REST, re.S),
+    "csharp": re.compile(_OPEN + _DOUBLE + _SHORT + r"|'(?:\\.|[^'\\\n])*'" + _REST, re.S),
+    "script": re.compile(_OPEN + _DOUBLE + r"|'(?:\\.|[^'\\\n])*'" + _REST, re.S),
+}
 NOT_CALLED = set("if for while switch catch return match fn func function new sizeof typeof await in of do else throw super this self class struct enum interface impl using lock foreach when yield async".split())
+GO_WORDS = set("type var const import case defer go range select chan map".split())
 TYPE_BEFORE = {":", "->", "<", "&", "extends", "implements", "new", "impl", "for", "throws", "dyn", "is", "as"}
 MODIFIERS = set("public private protected internal static final abstract sealed readonly virtual override async export default declare pub const unsafe extern partial volatile transient synchronized native get set".split())
 
@@ -119,9 +133,9 @@ class _Python(ast.NodeVisitor):
         self.visit(node.value)
 
 
-def _tokens(text: str) -> list[tuple[str, int]]:
+def _tokens(text: str, language: str) -> list[tuple[str, int]]:
     out, line = [], 1
-    for m in TOKEN.finditer(text):
+    for m in TOKEN[language].finditer(text):
         t = m[0]
         if t != "\n" and not t.startswith(("//", "/*")):
             out.append((t, line))
@@ -130,7 +144,7 @@ def _tokens(text: str) -> list[tuple[str, int]]:
 
 
 def _word(t: str) -> bool:
-    return t[:1].isalpha() or t[:1] in "_$"
+    return t[:1].isalpha() or t != "" and t[0] in "_$"
 
 
 @dataclass
@@ -143,7 +157,11 @@ class _Scope:
 
 def _braces(found: Found, text: str) -> None:
     """Declarations by keyword or by shape, in the scope that the open braces give; references by what is before and behind."""
-    tokens, language = _tokens(text), found.language
+    language = found.language
+    tokens = _tokens(text, language)
+    typed = language in ("rust", "go", "java") or found.path.endswith((".ts", ".tsx"))
+    positions = TypeNames(tokens, language) if typed else None
+    types, members = (positions.at, positions.members) if typed else ((), ())
     scopes: list[_Scope] = []
     depth, paren, i, n = 0, 0, 0, len(tokens)
     kinds = {"class": "Struct", "struct": "Struct", "record": "Struct", "interface": "Trait", "trait": "Trait", "enum": "Enum"}
@@ -263,19 +281,21 @@ def _braces(found: Found, text: str) -> None:
                         declare(i, "Method", top.name)
                     elif typed and (after in ("=", ";", ",") or after == "{" and language == "csharp"):
                         declare(i, "Field", top.name)
-            if i not in declared:
+            if i in types:
+                found.refer(t, "UsesType", line)
+            elif i not in declared and i not in members:
                 before, name = at(i - 1), t.rstrip("!")
-                if after == "(" and t not in NOT_CALLED:
+                if after == "(" and (t not in NOT_CALLED and (language != "go" or t not in GO_WORDS) or before in (".", "::")):
                     if before == ".":
                         found.refer(name, "MethodCall", line) if language in ("script", "rust") else None
                     elif before == "new":
                         found.refer(name, "UsesType", line)
                     elif language not in ("java",) or before == "::":
                         found.refer(name, "Calls", line)
-                elif before == "." and language in ("script", "rust", "go", "csharp", "java") and not t[:1].isdigit():
+                elif before == "." and at(i - 2) != "." and language in ("script", "rust", "go", "csharp", "java") and not t[:1].isdigit():
                     writes = after == "=" or len(after) == 2 and after[1] == "=" and after[0] in "+-*/%&|^"
-                    found.refer(name, "WritesField" if writes else "ReadsField", line) if language in ("script", "rust") else None
-                elif t[:1].isupper() and not (body and top.kind == "Enum") and (before in TYPE_BEFORE or language in ("java", "csharp", "go") and (_word(after) or after in ("<", "[")) or before == ","):
+                    found.refer(name, "WritesField" if writes and language != "go" else "ReadsField", line) if language in ("script", "rust", "go") else None
+                elif not typed and t[:1].isupper() and not (body and top.kind == "Enum") and (before in TYPE_BEFORE or language == "csharp" and (_word(after) or after in ("<", "[")) or before == ","):
                     found.refer(name, "UsesType", line)
         i += 1
 
@@ -330,21 +350,29 @@ def package_manifests(spark: SparkSession, base: str) -> DataFrame:
     return _below(spark, base, "package.json")
 
 
-def _extracted(files: DataFrame, which: str, schema: str) -> DataFrame:
-    names = [x.strip().split()[0] for x in schema.split(",")]
-    kinds = [pa.int64() if x.strip().split()[1] == "long" else pa.string() for x in schema.split(",")]
+def extracted(files: DataFrame) -> DataFrame:
+    """Entities and references of files (path, text) by one parse of each: the columns of both, those of the other null, and ``entity``."""
+    columns = [("entity", pa.bool_())] + [(x.split()[0], pa.int64() if x.split()[1] == "long" else pa.string()) for x in f"{ENTITIES}, {REFERENCES}".split(", ")]
+    width = len(ENTITIES.split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()) for r in getattr(parse_file(t or "", p or ""), which)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                found = parse_file(text or "", path or "")
+                rows = [(True, *e, *[None] * (len(columns) - 1 - width)) for e in found.entities] + [(False, *[None] * width, *r) for r in found.references]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(columns)], [name for name, _ in columns])
 
-    return files.select("path", "text").mapInArrow(run, schema)
+    return files.select("path", "text").mapInArrow(run, f"entity boolean, {ENTITIES}, {REFERENCES}")
 
 
-def entities(files: DataFrame) -> DataFrame:
-    return _extracted(files, "entities", ENTITIES)
+def entities(found: DataFrame) -> DataFrame:
+    """Entities of what ``extracted`` gives, or of files (path, text)."""
+    rows = found if "entity" in found.columns else extracted(found)
+    return rows.where("entity").select(*[x.split()[0] for x in ENTITIES.split(", ")])
 
 
-def references(files: DataFrame) -> DataFrame:
-    return _extracted(files, "references", REFERENCES)
+def references(found: DataFrame) -> DataFrame:
+    """References of what ``extracted`` gives, or of files (path, text)."""
+    rows = found if "entity" in found.columns else extracted(found)
+    return rows.where("not entity").select(*[x.split()[0] for x in REFERENCES.split(", ")])

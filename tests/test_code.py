@@ -107,3 +107,72 @@ def test_package_entries(spark):
     assert [(r["module"], r["entry"]) for r in entries.collect()] == [("@me/pkg", "pkg/lib/x.js")]
     imports = spark.createDataFrame([("use/a.ts", "import { y } from '@me/pkg';")], "file string, text string")
     assert [r["target"] for r in resolution.imported_files(imports, files, entries).collect()] == ["pkg/lib/x.js"]
+
+
+def types(text, path):
+    """(line, name) of all type references, repeated ones too."""
+    return sorted((r[1], r[2]) for r in code.parse_file(text, path).references if r[3] == "UsesType")
+
+
+def test_go_selectors_are_reads_and_types_stand_everywhere():
+    text = (
+        "package m\ntype Server struct {\n\tmu sync.Mutex\n\ta, b *Conn\n\tBase\n\tfn func(Ctx, *Req) (Resp, error)\n}\n"
+        "type Iface interface {\n\tDo(x Arg, y ...Rest) (Out, error)\n\tEmbedded\n}\ntype (\n\tPair map[Key]Val\n\tAll []Pair\n)\nvar x, y Kind = 1, 2\n"
+        "func (s *Server) Start(ctx context.Context, n int) (*Result, error) {\n\ts.count = s.total\n\tz := &Foo{Name: s.name}\n\tif s.x == y {\n\t\treturn nil, err\n\t}\n"
+        "\tswitch v := q.(type) {\n\tcase Alpha, *Beta:\n\t\tfmt.Println(v.w)\n\t}\n\tm := make(map[string]Made)\n\tu := q.(Cast)\n\treturn helper(m, s.do(u.f)), nil\n}\n"
+    )
+    assert types(text, "a.go") == [
+        (2, "Server"), (3, "Mutex"), (4, "Conn"), (5, "Base"), (6, "Ctx"), (6, "Req"), (6, "Resp"), (8, "Iface"), (9, "Arg"), (9, "Out"), (9, "Rest"), (10, "Embedded"), (13, "Key"), (13, "Pair"), (13, "Val"),
+        (14, "All"), (14, "Pair"), (16, "Kind"), (17, "Context"), (17, "Result"), (17, "Server"), (19, "Foo"), (24, "Alpha"), (24, "Beta"), (27, "Made"), (28, "Cast"),
+    ]
+    other = refs(text, "a.go")
+    assert {n for n, k in other if k == "ReadsField"} == {"count", "total", "name", "x", "w", "f"} and {n for n, k in other if k == "Calls"} == {"helper"}
+    assert not any(k in ("WritesField", "MethodCall") for _, k in other)
+
+
+def test_rust_types_in_every_position():
+    text = (
+        "impl<'a, T: Clone> Walk<'a> for Tree<T> where T: Send {\n  fn go(&'a self, n: &'a Node, m: HashMap<Key, Vec<Item>>) -> Result<Out, Err> {\n"
+        "    let x: Box<dyn Shape> = Box::new(Circle { r: 1, k: Other::make() });\n    let y = z as Num; let q = it.collect::<Bag>(); let s = r#\"a \" : Not\"#;\n    match e { _ => Foo { y: x } }\n  }\n}\n"
+        "enum E { A(B, C), D { f: G } }\nstruct P(Q, pub R);\ntype Al = Map<S, fn(U) -> V>;\n"
+    )
+    assert types(text, "a.rs") == sorted(
+        [(1, x) for x in ("T", "Clone", "Walk", "Tree", "T", "T", "Send")] + [(2, x) for x in ("Node", "Key", "Item", "Out", "Err")] + [(3, "Shape"), (3, "Circle"), (4, "Num"), (4, "Bag"), (5, "Foo")]
+        + [(8, x) for x in "EBCG"] + [(9, x) for x in "PQR"] + [(10, x) for x in ("Al", "Map", "S", "U", "V")]
+    )
+    assert {n for n, k in refs(text, "a.rs") if k == "Calls"} == {"new", "make"}
+
+
+def test_script_and_java_types_in_every_position():
+    ts = (
+        "export class Box<T extends Lim> extends Base<Arg> implements Shape, Other { size?: Num; private m: Map<Key, Val[]> = new Map<K2, V2>();\n"
+        "  go(x: In, y?: { z: Zed }): Promise<Out> { const q: Loc = a ? b : c; const o = { k: NotType, f: (e: Ev) => e as Casted }; switch (a) { case Foo: break; default: call<Gen>(1); } return o; } }\n"
+        "interface I extends J<K> { f(x: L): M | N; g: (a: O) => P }\ntype U = V | { w: W } | X[];\nexport function f(a: AA = d, ...r: BB[]): a is CC {}\n"
+    )
+    assert types(ts, "a.ts") == sorted(
+        [(1, x) for x in ("Box", "T", "Lim", "Arg", "Shape", "Other", "Num", "Key", "Val", "K2", "V2", "Map")] + [(2, x) for x in ("In", "Zed", "Out", "Loc", "Ev", "Casted", "Gen")]
+        + [(3, x) for x in "IJKLMNOP"] + [(4, x) for x in "UVWX"] + [(5, x) for x in ("AA", "BB", "CC")]
+    )
+    java = (
+        "import a.b.Skip;\n@Service(\"x\") public class Ctl<T extends Lim & Two> extends Base<Arg> implements A, B<C> {\n  private final Map<Key, List<Val>> m = new HashMap<>();\n  @Inject Repo repo; Foo[] arr;\n"
+        "  public <R> R go(Req r, int n, final Opt... o) throws Err, Bad { Loc l = (Cast) x; if (a < b && c > d) { return foo(e, f); } for (Item i : items) { i.run(); }\n"
+        "    try { } catch (E1 | E2 e) { } Object z = Thing.class; if (z instanceof Tst t) {} return null; } }\n"
+    )
+    assert types(java, "A.java") == sorted(
+        [(2, x) for x in ("T", "Lim", "Two", "Base", "Arg", "A", "B", "C")] + [(3, x) for x in ("Map", "Key", "List", "Val", "HashMap")] + [(4, "Repo"), (4, "Foo")]
+        + [(5, x) for x in ("R", "R", "Req", "Opt", "Err", "Bad", "Loc", "Cast", "Item")] + [(6, x) for x in ("E1", "E2", "Thing", "Tst")]
+    )
+
+
+def test_broken_code_ends_and_costs_only_its_place():
+    for path in ("a.go", "a.rs", "a.ts", "A.java", "a.cs", "a.js"):
+        for text in ("", "{", "}}}(((", "type", "func (", "impl <", "class A<", "x: Map<", "struct P(", "case", "a = [", "'", "fn f(a: &'a", "type X [", "interface {", "}\nfunc G(a Foo", "<" * 2000):
+            code.parse_file(text, path)
+    assert (2, "Good") in types("fn broken(a: Map<, {\nfn f(x: Good) {}\n", "a.rs")
+
+
+def test_one_parse_gives_both(spark):
+    files = spark.createDataFrame([*FILES, ("none.txt", "x"), ("null.py", None)], "path string, text string")
+    found = code.extracted(files).collect()
+    assert sum(r["entity"] for r in found) == code.entities(files).count() and sum(not r["entity"] for r in found) == code.references(files).count()
+    assert all((r["name"] is None) != r["entity"] for r in found)
