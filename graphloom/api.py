@@ -14,7 +14,7 @@ from .functions.text import chunks
 from .operators import discover, evaluate, impact, lifecycle, mutation, navigation, paths, ranking, reports, resolve
 from .plans import prompts, resolution
 from .schema import Graph
-from .sources import code, conversations, store
+from .sources import code, conversations, graph_file, store
 
 
 @dataclass
@@ -41,6 +41,10 @@ class KnowledgeGraph:
         store.append(self.graph, self.folder)
         self.graph = store.load(self.spark, self.folder)
 
+    def import_file(self, path: str, magic: str) -> None:
+        """Take the graph of a binary file, or of a folder of them, in place of this one; ``magic`` is what such files begin with."""
+        self.graph = graph_file.read_graph(self.spark, path, magic)
+
     # sources
     def _bases(self) -> dict[str, str]:
         """The bases that were indexed, and what is before the paths of each one's files."""
