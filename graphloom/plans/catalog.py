@@ -438,17 +438,52 @@ def connect_orphans(spark, d, g):
     return discover.connect_orphans(fewer).drop("source").withColumn("confidence", F.col("confidence").cast("double"))
 
 
-@query("chunk_counts", None, over_graph=False)
+#: The chunk rule as recursive SQL. Characters become as many ASCII letters as they have bytes (white ones the control character 31), so
+#: that positions are bytes; then come sentences, runs of them, and the runs' overlaps.
+_CHUNKS = r"""WITH RECURSIVE plain AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{85}\x{a0}]', chr(31) || chr(31), 'g'),
+    '[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', repeat(chr(31), 3), 'g'), '[\x{80}-\x{7ff}]', 'xx', 'g'), '[\x{800}-\x{ffff}]', 'xxx', 'g') AS t
+  FROM documents WHERE text <> ''
+), bytes AS (SELECT doc_id, regexp_replace(t, '[^\x{0}-\x{7f}]', 'xxxx', 'g') AS t FROM plain),
+long AS (SELECT * FROM bytes WHERE length(t) > 4000),
+steps(doc_id, a, b, rest, behind) AS (
+  SELECT doc_id, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), t, CAST(0 AS BIGINT) FROM long
+  UNION ALL
+  SELECT doc_id, behind, behind + stop, ltrim(substr(rest, stop + 1), ' ' || chr(10) || chr(13)), behind + stop + (length(rest) - stop) - length(ltrim(substr(rest, stop + 1), ' ' || chr(10) || chr(13)))
+  FROM (SELECT *, least(coalesce(nullif(length(regexp_extract(rest, '^[\s\S]{21,}?[.!?][ \n\r]')), 0) - 1, length(rest)), coalesce(nullif(length(regexp_extract(rest, '^[\s\S]*?\n\n')), 0) - 1, length(rest))) AS stop FROM steps WHERE rest <> '')
+), spans AS (
+  SELECT s.doc_id, a, b, b - a AS size, row_number() OVER (PARTITION BY s.doc_id ORDER BY a) AS k, sum(b - a) OVER (PARTITION BY s.doc_id ORDER BY a) AS total
+  FROM steps s JOIN long USING (doc_id) WHERE a >= 0 AND regexp_matches(substr(t, a + 1, b - a), '[^\x09-\x0d\x1f ]')
+), runs(doc_id, first, last, n) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(-1 AS BIGINT) FROM (SELECT DISTINCT doc_id FROM spans)
+  UNION ALL
+  SELECT r.doc_id, r.last + 1, max(s.k), r.n + 1 FROM runs r JOIN spans f ON f.doc_id = r.doc_id AND f.k = r.last + 1
+    JOIN spans s ON s.doc_id = r.doc_id AND s.k >= f.k AND (s.k = f.k OR s.total - f.total + f.size <= 4000) GROUP BY ALL
+), extended AS (
+  SELECT r.doc_id, r.n AS index, r.last, coalesce(min(e.k), r.first) AS first FROM runs r LEFT JOIN runs p ON p.doc_id = r.doc_id AND p.n = r.n - 1 AND p.n >= 0
+    LEFT JOIN spans f ON f.doc_id = r.doc_id AND f.k = r.first
+    LEFT JOIN spans e ON e.doc_id = r.doc_id AND e.k >= p.first AND e.k < r.first AND f.total - f.size - e.total + e.size <= 500
+  WHERE r.n >= 0 GROUP BY r.doc_id, r.n, r.last, r.first
+), offsets AS (
+  SELECT x.doc_id, x.index, f.a AS start_offset, l.b AS end_offset FROM extended x JOIN spans f ON f.doc_id = x.doc_id AND f.k = x.first JOIN spans l ON l.doc_id = x.doc_id AND l.k = x.last
+), chunked AS (
+  SELECT doc_id, CAST(index AS BIGINT) AS index, CAST(start_offset AS BIGINT) AS start_offset, CAST(end_offset AS BIGINT) AS end_offset, CAST(length(trim(substr(t, start_offset + 1, end_offset - start_offset), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(31) || ' ')) AS BIGINT) AS n_bytes FROM offsets JOIN bytes USING (doc_id)
+UNION ALL
+SELECT doc_id, 0, 0, length(t), length(t) FROM bytes WHERE doc_id NOT IN (SELECT doc_id FROM spans)
+)"""
+
+
+@query("chunk_counts", f"{_CHUNKS} SELECT doc_id, count(*) AS chunks FROM chunked GROUP BY doc_id", over_graph=False)
 def chunk_counts(spark, d, g):
     return tx.chunk_table(table(spark, d, "documents")).groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query("chunk_offsets", None, over_graph=False)
+@query("chunk_offsets", f"{_CHUNKS} SELECT doc_id, index, start_offset, end_offset, n_bytes FROM chunked", over_graph=False)
 def chunk_offsets(spark, d, g):
     return tx.chunk_table(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "index", "start_offset", "end_offset", F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-@query("chunk_lateral", None, over_graph=False)
+@query("chunk_lateral", f"{_CHUNKS} SELECT doc_id, index, start_offset, end_offset, CAST(n_bytes AS INTEGER) AS n_bytes FROM chunked", over_graph=False)
 def chunk_lateral(spark, d, g):
     """The chunks of chunk_offsets, by SQL."""
     tables.register(spark)
@@ -490,11 +525,34 @@ def user_text(spark, d, g):
     return tr.user_text(messages(spark, d), 10_000_000)
 
 
-@query("substantive_text", None, over_graph=False)
+def _substantive(most: int) -> str:
+    """The rule of ``substantive_text`` as SQL; a cut keeps whole characters."""
+    cut = "CASE WHEN strlen({0}) <= {1} THEN {0} ELSE left({0}, list_max(list_filter(range(0, {1} + 1), lambda i: strlen(left({0}, i)) <= {1}))){2} END"
+    return f"""{_MESSAGES}, b AS (
+      SELECT session_id, ord, CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END AS who, CASE WHEN role = 'user' THEN content ELSE {cut.format("content", 300, " || '...'")} END AS body FROM m WHERE strlen(content) >= 15
+    ), r AS (
+      SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord) - 1 AS k, count(*) OVER (PARTITION BY session_id) AS n, sum(strlen(who) + strlen(body) + 10) OVER (PARTITION BY session_id) <= {most} AS fits FROM b
+    ), p AS (
+      SELECT *, CASE WHEN fits OR k < n // 5 THEN 0 WHEN k >= 2 * n // 5 AND k < 3 * n // 5 THEN 1 WHEN k >= 4 * n // 5 THEN 2 END AS section FROM r
+    ), q AS (
+      SELECT *, CASE WHEN NOT fits AND section > 0 AND row_number() OVER (PARTITION BY session_id, section ORDER BY ord) = 1
+        THEN repeat(chr(10) || '[...]' || chr(10) || chr(10), CASE WHEN section = 2 AND n = 3 THEN 2 WHEN 2 * section * n // 5 > 0 THEN 1 ELSE 0 END) ELSE '' END || '[' || who || ']: ' || body || chr(10) || chr(10) AS piece FROM p WHERE section IS NOT NULL
+    ), w AS (SELECT *, sum(strlen(piece)) OVER (PARTITION BY session_id, section ORDER BY ord) - strlen(piece) AS before FROM q),
+    t AS (SELECT session_id, string_agg(piece, '' ORDER BY ord) AS text FROM w WHERE before < CASE WHEN fits THEN {most} WHEN section = 0 THEN {int(most * 0.2)} ELSE {int(most * 0.4)} END GROUP BY session_id)
+    SELECT session_id, {cut.format("text", most, "")} AS text FROM t"""
+
+
+@query("substantive_text", _substantive(50_000), over_graph=False)
 def substantive_text(spark, d, g):
     return tr.substantive_text(messages(spark, d))
 
 
+@query("substantive_sections", _substantive(1_000), over_graph=False)
+def substantive_sections(spark, d, g):
+    """With a budget that most conversations are over, so that sections, marks and cuts show."""
+    return tr.substantive_text(messages(spark, d), 1_000)
+
+
 @query("usage_last", "WITH k AS (SELECT user_id, event_id, CAST(event_id % 200000 AS BIGINT) AS used FROM events WHERE event_type <> 'click') SELECT user_id, max_by(used, event_id) AS used_tokens, max_by(used, event_id) * 100 // 200000 AS used_pct, CAST(200000 AS BIGINT) AS window_size, max_by(used, event_id) * 100 // 200000 >= 85 AS should_extract FROM k GROUP BY user_id", over_graph=False)
 def usage_last(spark, d, g):
     log = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") != "click", F.col("event_id") % 200_000).alias("used_tokens"))
