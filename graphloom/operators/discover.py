@@ -41,17 +41,17 @@ def contained(texts: DataFrame, names: DataFrame, most_names: int = MOST_NAMES,
     """(text_id, name_id) where the lower-case name (four bytes or more) is in the lower-case text.
 
     Names within the two bounds go to the tasks as one automaton, which reads each text once: what is shuffled is what is found.
-    More names than that are joined with the texts by grams. Equal names are one until their texts are found. Null texts and names hold nothing.
+    More names than that are joined with the distinct texts by grams. Equal names are one until their texts are found. Null texts and names
+    hold nothing.
     """
     t = texts.select(F.col("id").alias("text_id"), F.lower("text").alias("t")).where("t is not null")
     n = names.select(F.col("id").alias("name_id"), F.lower("name").alias("n")).where(F.octet_length("n") >= 4)
     own = n.select("n").distinct()
     few = tuple(r["n"] for r in own.limit(most_names + 1).collect()) if ahocorasick else None
     if few is None or len(few) > most_names or sum(len(x.encode()) for x in few) > most_bytes:
-        found = _by_grams(t, own)
-    else:
-        found = _by_automaton(t, few)
-    return found.join(n, "n").select("text_id", "name_id")
+        # Names first: one that most texts hold then meets each distinct text once.
+        return _by_grams(t, own).join(n, "n").select("t", "name_id").join(t, "t").select("text_id", "name_id")
+    return _by_automaton(t, few).join(n, "n").select("text_id", "name_id")
 
 
 def _by_automaton(t: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -76,16 +76,26 @@ def _by_automaton(t: DataFrame, names: tuple[str, ...]) -> DataFrame:
 def _by_grams(t: DataFrame, names: DataFrame) -> DataFrame:
     """A text that holds a name holds all its k-grams, so pairs come from an equi-join on a gram and are then verified. k is the
     largest of ``GRAMS`` that a name has; names of four bytes or more but fewer than four characters have their own length as k.
-    Of its grams a name takes the one that the fewest names have, so names with a common beginning or end do not meet in one key."""
+    Of its grams a name takes the one that the fewest names have, so names with a common beginning or end do not meet in one key.
+
+    Equal texts are one here, only lengths that names have are cut, and what is dealt out by gram are two hashes; the text itself is
+    joined with what its hash finds. ``t`` has a text once for each row of its own, ``names`` each name once."""
+    parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     k = F.length("n")
     for size in reversed(GRAMS):
         k = F.when(F.length("n") >= size, size).otherwise(k)
-    own = names.withColumn("k", k).select("n", F.explode(_grams("n")).alias("gram"))
+    own = names.withColumn("k", k).select("n", "k", F.explode(_grams("n")).alias("gram"))
     among = own.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
-    own = own.join(among, "gram").groupBy("n").agg(F.min_by("gram", F.struct("names", "gram")).alias("gram"))
-    sizes = F.explode(F.array(*map(F.lit, (*GRAMS, 3, 2, 1))))
-    grams = t.withColumn("k", sizes).where(F.length("t") >= F.col("k")).withColumn("gram", F.explode(_grams("t")))
-    return grams.join(own, "gram").where(F.col("t").contains(F.col("n"))).select("text_id", "n")
+    own = own.join(among, "gram").groupBy("n").agg(F.min_by(F.struct("k", "gram"), F.struct("names", "gram")).alias("x")).select("n", "x.*")
+    sizes = sorted(r["k"] for r in own.select("k").distinct().collect())  # six at most
+    if not sizes:
+        return t.select("t", F.lit("").alias("n")).limit(0)
+    texts = t.select("t").distinct().withColumn("h", F.xxhash64("t"))
+    # A text makes many rows, so tasks are by number here, not by the bytes of what they read.
+    grams = texts.repartition(parts, "h").select("h", "t", F.explode(F.array(*map(F.lit, sizes))).alias("k")).where(F.length("t") >= F.col("k"))
+    grams = grams.select("h", F.explode(F.transform(_grams("t"), lambda g: F.xxhash64(g))).alias("g"))
+    met = grams.join(own.select("n", F.xxhash64("gram").alias("g")), "g").select("h", "n")
+    return met.join(texts, "h").where(F.col("t").contains(F.col("n"))).select("t", "n").distinct()
 
 
 def _pairs(graph: Graph, texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -108,8 +118,10 @@ def discover_connections(graph: Graph) -> DataFrame:
 def connect_orphans(graph: Graph) -> DataFrame:
     """New mentions edges of nodes without any edge: to the nodes that their definition names; else from those that name them.
     Each edge once."""
+    from .paths import checkpointed
+
     ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    orphans = graph.nodes.join(ends, "id", "left_anti").select("id", "name", "definition")
+    orphans = checkpointed(graph.nodes.join(ends, "id", "left_anti").select("id", "name", "definition"))  # read four times
     text = lambda df: df.select("id", F.col("definition").alias("text")).where("text is not null")
     out = _pairs(graph, text(orphans), graph.nodes)
     into = _pairs(graph, text(graph.nodes), orphans)

@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -409,3 +410,16 @@ def test_domain_and_ends_of_relation_types(spark, tmp_path):
     assert kinds == {"owns": (["Person"], ["Ship"]), "sails": ([], [])}
     asked = again.analyze_content("about ships")
     assert "- Ship (floats)" in asked and "- owns (has) [Person -> Ship]" in asked and asked.endswith("about ships")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_texts_are_cut_into_grams_once(spark):
+    t = spark.createDataFrame([(k, f"seen in NATION_{k % 3}") for k in range(300)] + [(300, None), (301, "x")], "id long, text string")
+    n = spark.createDataFrame([(k, f"Nation_{k % 5}") for k in range(10)] + [(10, "seen"), (11, "abc")], "id long, name string")
+    got = discover.contained(t, n, 0)
+    assert re.search(r"HashAggregate\(keys=\[t#", plan_of(got))
+    want = [(k, j) for k in range(300) for j in (*[i for i in range(10) if i % 5 == k % 3], 10)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
