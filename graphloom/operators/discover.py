@@ -110,9 +110,10 @@ def _as_edges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def discover_connections(graph: Graph) -> DataFrame:
     """New mentions edges: definitions of ten bytes or more that contain a name, if no edge joins the two in either direction."""
     texts = graph.nodes.select("id", F.col("definition").alias("text")).where(F.octet_length("text") >= 10)
-    ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    joined = graph.edges.select(F.explode(ends).alias("x")).select("x.src", "x.dst").distinct()
-    return _as_edges(_pairs(graph, texts, graph.nodes).join(joined, ["src", "dst"], "left_anti"), graph.nodes)
+    # Both directions have one key, and an anti-join needs no distinct edges: most differ, so making them so would only sort them twice.
+    ends = [F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")]
+    found = _pairs(graph, texts, graph.nodes).select("src", "dst", *ends).join(graph.edges.select(*ends), ["low", "high"], "left_anti")
+    return _as_edges(found.select("src", "dst"), graph.nodes)
 
 
 def connect_orphans(graph: Graph) -> DataFrame:

@@ -423,3 +423,11 @@ def test_equal_texts_are_cut_into_grams_once(spark):
     assert re.search(r"HashAggregate\(keys=\[t#", plan_of(got))
     want = [(k, j) for k in range(300) for j in (*[i for i in range(10) if i % 5 == k % 3], 10)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_edges_of_either_direction_are_left_out_without_a_distinct(spark):
+    nodes = spark.createDataFrame([(1, "alpha", "alpha is not beta"), (2, "beta", "beta and gamma"), (3, "gamma", "gamma, then alpha")], "id long, name string, definition string").withColumn("source", F.lit("x"))
+    edges = spark.createDataFrame([(2, 1), (2, 1), (2, 3), (1, 1)], "src long, dst long")
+    got = discover.discover_connections(Graph(nodes, edges))
+    assert not re.search(r"keys=\[src#\d+L, dst#\d+L\]", plan_of(got))
+    assert [(r["src"], r["dst"]) for r in got.collect()] == [(3, 1)]
