@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from .text import chunks, sentences
+from .text import bounded_batches, chunks, sentences
 
 
 class Sentences:
@@ -26,5 +26,6 @@ SHAPE = "text string, index long, start_offset long, end_offset long"
 def register(spark: SparkSession) -> None:
     """Register ``sentences(text)`` and ``chunks(text, target, overlap)`` with a session: one row for each, offsets in bytes. Null and empty
     texts have none. ``SELECT d.doc_id, c.* FROM documents d, LATERAL chunks(d.text, 4000, 500) c``"""
+    bounded_batches(spark)
     spark.udtf.register("sentences", udtf(Sentences, returnType=SHAPE, useArrow=True))
     spark.udtf.register("chunks", udtf(Chunks, returnType=SHAPE, useArrow=True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _GAP = b" \n\r"
@@ -63,18 +63,41 @@ def chunks(text: str, target: int = 4000, overlap: int = 500) -> list[tuple[str,
     return out
 
 
+#: Bytes of an Arrow batch that goes to a worker, and characters of texts whose chunks make one that comes back: one text at least.
+BATCH_BYTES, OUT_CHARS = 4 << 20, 1 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts may be long, so a batch is bounded by bytes too, not by rows alone; a session that has set its own bound keeps it."""
+    if not spark.conf.get(_BATCH, None):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 CHUNKS = "id long, text string, index long, start_offset long, end_offset long"
 
 
 def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", target: int = 4000, overlap: int = 500) -> DataFrame:
     """(id, text, index, start_offset, end_offset) of each whole text; null and empty texts have no chunk."""
 
+    names, kinds = ["id", "text", "index", "start_offset", "end_offset"], (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *c) for i, t in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist()) if t for c in chunks(t, target, overlap)]
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["id", "text", "index", "start_offset", "end_offset"])
-
+            rows, size = [], 0
+            for i, t in zip(batch.column("id"), batch.column("t")):
+                if t := t.as_py():
+                    rows += [(i.as_py(), *c) for c in chunks(t, target, overlap)]
+                    size += len(t)
+                    if size >= OUT_CHARS:
+                        yield packed(rows)
+                        rows, size = [], 0
+            yield packed(rows)
+
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, CHUNKS)
 
 

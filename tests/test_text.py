@@ -5,6 +5,7 @@ import os
 import random
 import time
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 
 from graphloom.functions import tables
@@ -208,3 +209,22 @@ def test_tick_stream_goes_on_after_a_restart_and_forgets_idle_keys(spark, tmp_pa
     run("b", [("k", 1, False), ("k", 2, False)], idle=1000)
     time.sleep(1.5)
     assert run("b", [("k", 3, False)], idle=1000)["k", 3] == ("None", 1)
+
+
+def test_chunks_come_back_in_bounded_batches(spark):
+    class Docs:
+        sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = tx.chunk_table(Docs())
+    texts = [None, "", *[f"Sentence number {k} is here and ends. " * 3000 for k in range(60)], "short"]
+    got = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "t"])])))
+    assert len(got) > 5 and max(b.nbytes for b in got) < 3 * tx.OUT_CHARS
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    assert rows == [(i, *c) for i, t in enumerate(texts) if t for c in tx.chunks(t)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")[:-1] != "67108864"
