@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..schema import Graph
 from .navigation import few, incident, incident_to, without
 
+_ADAPTIVE = "spark.sql.adaptive.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; in local mode without one, a temporary folder."""
@@ -30,6 +32,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def checkpointed_by(df: DataFrame, key: str) -> DataFrame:
+    """Cut lineage in the shared folder, by ``key`` and sorted by it, so that joins on it move and sort the other side alone. An adaptive
+    plan does not tell a checkpoint how its rows lie, so this one plan is not adaptive."""
+    spark = df.sparkSession
+    laid = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
+    before = spark.conf.get(_ADAPTIVE, None)
+    spark.conf.set(_ADAPTIVE, "false")
+    try:
+        return checkpointed(laid)
+    finally:
+        spark.conf.unset(_ADAPTIVE) if before is None else spark.conf.set(_ADAPTIVE, before)
+
+
 def levels(edges: DataFrame, start: DataFrame, most: int | None = None, target: int | None = None) -> DataFrame:
     """(node, depth, parent): breadth-first over edges in both directions from ``start`` (column node).
 
@@ -109,21 +124,31 @@ def shortest_path(graph: Graph, a: int, b: int, most: int | None = None) -> list
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
     """(node, rank) of the ends of edges: (1-d)/N + d * sum of rank / out-degree over the edges as they repeat. What sinks hold is
-    lost. Parallel edges are counted first, so a round moves a row for each distinct pair."""
-    spark = edges.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lost. Parallel edges are counted first, so a round moves a row for each distinct pair.
+
+    No rank depends on what a sink held in a round before, so sinks and the edges into them take part in the last round only."""
     pairs = checkpointed(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
-    out = pairs.groupBy("src").agg(F.sum("n").alias("deg"))
-    # By src in a form that Spark knows, so that a round shuffles ranks and flows, not edges.
-    shares = checkpointed(pairs.join(out, "src").select("src", "dst", (F.col("n").cast("double") / F.col("deg")).alias("share")).repartition(parts, "src"))
-    nodes = checkpointed(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().repartition(parts, "node"))
+    ends = pairs.select(F.col("src").alias("node"), "n").unionByName(pairs.select(F.col("dst").alias("node"), F.lit(None).cast("long").alias("n")))
+    nodes = checkpointed_by(ends.groupBy("node").agg(F.sum("n").alias("deg")), "node")
     n = nodes.count()
     if not n:
-        return nodes.withColumn("rank", F.lit(0.0))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for k in range(rounds):
-        flow = shares.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        ranks = nodes.join(flow, F.col("node") == F.col("dst"), "left").select("node", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("flow", F.lit(0.0))).alias("rank"))
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    sources = nodes.where("deg is not null")
+
+    def shares(of: DataFrame) -> DataFrame:
+        return of.join(sources, F.col("src") == F.col("node")).select("src", "dst", (F.col("n").cast("double") / F.col("deg")).alias("share"))
+
+    def onward(to: DataFrame, over: DataFrame, ranks: DataFrame) -> DataFrame:
+        flow = over.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+        return to.join(flow, F.col("node") == F.col("dst"), "left").select("node", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("flow", F.lit(0.0))).alias("rank"))
+
+    if rounds < 1:
+        return nodes.select("node", F.lit(1.0 / n).alias("rank"))
+    # By src in a form that Spark knows, so that a round shuffles flows, not edges.
+    inner = checkpointed_by(shares(pairs.join(sources.select(F.col("node").alias("dst")), "dst", "left_semi")), "src")
+    ranks = sources.select("node", F.lit(1.0 / n).alias("rank"))
+    for k in range(rounds - 1):
+        ranks = onward(sources, inner, ranks)
         if k % every == every - 1:
-            ranks = checkpointed(ranks)
-    return ranks
+            ranks = checkpointed_by(ranks, "node")
+    return onward(nodes, shares(pairs), ranks)

@@ -24,6 +24,20 @@ def make(spark, nodes, edges):
     return Graph(spark.createDataFrame(rows, NODE), spark.createDataFrame(links, EDGE))
 
 
+def shuffled(spark, run):
+    """What ``run`` returns, and the number of rows that its stages shuffle."""
+    context, none = spark.sparkContext._jsc.sc(), spark._jvm.java.util.ArrayList()
+
+    def total():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return {(x := stages.apply(k)).stageId(): x.shuffleWriteRecords() for k in range(stages.size())}
+
+    before = total()
+    got = run()
+    return got, sum(n for k, n in total().items() if k not in before)
+
+
 @pytest.fixture
 def people(spark):
     return make(spark, [{"name": "Ada", "type": "Person"}, {"name": "Engines", "type": "Project"}, {"name": "Budget Of Engines", "type": "Metric"}, {"name": "Alone"}], [(1, 2, "works_on"), (2, 3, "has_budget")])
@@ -178,6 +192,27 @@ def test_lifecycle(spark):
     assert over.where("id = 1").first()["superseded_by"] == 0
 
 
+def test_pagerank_moves_edges_into_sinks_once(spark):
+    """Sinks have no part in the rounds before the last: rows that are shuffled do not grow with rounds times edges. Ranks are those of all rounds over all edges."""
+    r = random.Random(5)
+    pairs = [(r.randint(1, 20), k) for k in range(100, 3100)] + [(r.randint(1, 20), r.randint(1, 20)) for _ in range(60)] + [(7, 7), (3, 100), (3, 100)]
+    edges = spark.createDataFrame(pairs, "src long, dst long").cache()
+    edges.count()
+    out, nodes = {}, {x for p in pairs for x in p}
+    for a, _ in pairs:
+        out[a] = out.get(a, 0) + 1
+    for rounds in (0, 1, 8):
+        rank = dict.fromkeys(nodes, 1 / len(nodes))
+        for _ in range(rounds):
+            flow = dict.fromkeys(nodes, 0.0)
+            for a, b in pairs:
+                flow[b] += rank[a] / out[a]
+            rank = {x: 0.15 / len(nodes) + 0.85 * f for x, f in flow.items()}
+        got, rows = shuffled(spark, lambda rounds=rounds: {x["node"]: x["rank"] for x in paths.pagerank(edges, rounds, every=2).collect()})
+        assert got.keys() == rank.keys() and all(abs(got[x] - rank[x]) < 1e-12 for x in rank)
+        assert rows < 6 * len(pairs)
+
+
 def test_pagerank(spark):
     edges = spark.createDataFrame([(k, k, a, b) for k, (a, b) in enumerate([(1, 2), (3, 2), (4, 2), (2, 1), (2, 5)])], "id long, seq long, src long, dst long")
     rank = {r["node"]: r["rank"] for r in paths.pagerank(edges).collect()}
