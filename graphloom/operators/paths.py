@@ -52,9 +52,7 @@ def levels(edges: DataFrame, start: DataFrame, most: int | None = None, target:
     where nothing new is found, at the target, or after ``most`` rounds if that is given. Edges are written once, by node, so a
     round moves its front only; a level is appended, and compared with the two before it, as no edge leads further back.
     """
-    spark = edges.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    around = checkpointed(incident(edges).select("node", "other", "seq").repartition(n, "node"))
+    around = checkpointed_by(incident(edges).select("node", "other", "seq"), "node")
     first = start.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("rank")).distinct()
     found, done = [checkpointed(first)], None
     for depth in itertools.count(1) if most is None else range(1, most + 1):
@@ -94,7 +92,7 @@ def shortest_path(graph: Graph, a: int, b: int, most: int | None = None) -> list
         if around is None and ids is not None:
             return incident_to(graph.edges, front, ids).select("node", "other", "seq")
         if around is None:
-            around = checkpointed(incident(graph.edges).select("node", "other", "seq").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node"))
+            around = checkpointed_by(incident(graph.edges).select("node", "other", "seq"), "node")
         return around
 
     fronts = [[(spark.createDataFrame([(end, [end], [])], "node long, nodes array<long>, seqs array<long>"), [end])] for end in (a, b)]

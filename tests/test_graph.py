@@ -284,6 +284,19 @@ def test_search_has_no_depth_limit(spark):
     assert near == {1: 0, 2: 1, 3: 2, 4: 3, 200: 3, 5: 4, 201: 4}
 
 
+def test_search_moves_edges_once(spark):
+    """The edges beside a chain are shuffled when they are laid by node, and not again in each of its rounds."""
+    pairs = [(k, k + 1) for k in range(12)] + [(k % 7 + 100, k + 1000) for k in range(2000)] + [(3, 100)]
+    edges = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(pairs)], "src long, dst long, seq long").cache()
+    edges.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    near, rows = shuffled(spark, lambda: {x["node"]: x["depth"] for x in paths.levels(edges, spark.createDataFrame([(0,)], "node long")).collect()})
+    path, more = shuffled(spark, lambda: paths.shortest_path(Graph(None, edges), 0, 12))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert near == {k: k for k in range(13)} | {100: 4} | {k + 1000: 5 for k in range(0, 2000, 7)} and path == list(range(13))
+    assert rows < 4 * len(pairs) and more < 4 * len(pairs)
+
+
 def test_stored_adjacency(spark, tmp_path):
     """A saved graph's neighbours come from the buckets of the nodes asked for, also those of a hub; changed edges are not stored ones."""
     links = [(1, k, "r") for k in range(2, 60)] + [(k, k + 1, "s") for k in range(60, 99)] + [(2, 60, "t"), (5, 5, "u"), (3, 4, "t"), (4, 3, "t")]
