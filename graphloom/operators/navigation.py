@@ -96,19 +96,27 @@ def incident_to(edges: DataFrame, of: DataFrame, ids: list[int] | None = None) -
     return ends[0].unionByName(ends[1])
 
 
-def neighbor_rows(graph: Graph, of: DataFrame | None = None) -> DataFrame:
-    """One row for each edge and end, or for each edge at the nodes ``of``."""
+def end_rows(graph: Graph, of: DataFrame | None = None) -> DataFrame:
+    """One row for each edge and end, or for each edge at the nodes ``of``: node, other, and what is shown of the edge."""
     said = [F.col("evidence").alias("edge_evidence")] if "evidence" in graph.edges.columns else []
     around = incident(graph.edges) if of is None else incident_to(graph.edges, of)
-    around = around.select("node", "other", "relation_type", "direction", F.col("confidence").alias("edge_confidence"), F.col("seq").alias("edge_seq"), *said)
-    other = graph.nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("node_type").alias("other_type"), F.col("source").alias("other_source"))
-    return around.join(other, "other")
+    return around.select("node", "other", "relation_type", "direction", F.col("confidence").alias("edge_confidence"), F.col("seq").alias("edge_seq"), *said)
+
+
+def shown_of(nodes: DataFrame) -> DataFrame:
+    """What is shown of a node as the other end of an edge."""
+    return nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("node_type").alias("other_type"), F.col("source").alias("other_source"))
+
+
+def neighbor_rows(graph: Graph, of: DataFrame | None = None) -> DataFrame:
+    """``end_rows`` with what is shown of the other node, which must be there."""
+    return end_rows(graph, of).join(shown_of(graph.nodes), "other")
 
 
 def neighbors(graph: Graph, of: DataFrame) -> DataFrame:
     """One row for each edge at the nodes ``of`` (column node): the other node, relation, direction, confidence, and evidence where
     the graph has it. From the stored adjacency where the graph has one."""
-    return graph.adjacency.of(of) if graph.adjacency is not None else neighbor_rows(graph, of)
+    return graph.adjacency.neighbors(of) if graph.adjacency is not None else neighbor_rows(graph, of)
 
 
 def neighbors_by_type(graph: Graph, of: DataFrame, node_type: str) -> DataFrame:
