@@ -6,19 +6,20 @@ stripes with run-length encoding. Row indexes and a Bloom filter on ``doc_id`` l
 row groups; stripes are read in parallel. What precedes a part is the sum of the parts before it, so no pass
 over all documents in order is needed.
 
-A worker encodes each distinct run of non-space characters once and copies its ids from then on. The tokenizer drops
+A worker encodes each distinct run of non-space characters once and copies its ids from then on; Arrow splits texts and numbers their runs. The tokenizer drops
 white space and no rule of it looks across, so the ids of a text are those of its runs one after another.
 """
 
 from __future__ import annotations
 
+import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,9 @@ from .scratch import Scratch, bounded_batches
 
 #: Of each generation of a worker's runs, to bound its memory.
 MAX_RUNS = 600_000
-#: A run of which the part up to its last letter, and the rest, are encoded apart: no token goes across.
-_TAIL = re.compile(rb"(.*[a-z])([^A-Za-z0-9\x80-\xff]+)", re.S)
+#: A run of which the part up to its last letter a to z, and a rest of these bytes, are encoded apart: no token goes across.
+_TAIL = bytes(x for x in range(128) if not chr(x).isalnum())
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
 class _Runs:
@@ -59,7 +61,7 @@ class _Runs:
         apart = []
         for i in range(0, len(words), 500):
             some = words[i : i + 500]
-            got = self.tokenizer.encode(" ".join([w.decode() for w in some]), add_special_tokens=False)
+            got = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
             piece, raw = np.array(got.word_ids, np.int64), np.array(got.ids, "<i4").tobytes()
             cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
             if len(cuts) - 1 != len(some):
@@ -77,9 +79,11 @@ class _Runs:
         for r in runs:
             if r in old:
                 known[r] = old[r]
-            elif (m := _TAIL.fullmatch(r)) and (plain or not any(x in r for x in self.special)):
-                cut.append((r, m[1], m[2]))
-                whole.update(m.groups())
+            elif (head := r.rstrip(_TAIL)) != r and head and head[-1] in _LETTERS and (plain or not any(x in r for x in self.special)):
+                tail = r[len(head) :]
+                cut.append((r, head, tail))
+                whole.add(head)
+                whole.add(tail)
             else:
                 whole.add(r)
         words, other = [], []
@@ -87,24 +91,38 @@ class _Runs:
             if r in old:
                 known[r] = old[r]
             elif r not in known:
-                (words if r.decode().isalpha() else other).append(r)
+                (words if r.isalpha() or r.decode().isalpha() else other).append(r)
         self._words(words)
         self._runs(other)
         for r, head, tail in cut:
             known[r] = known[head] + known[tail]
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each with the end id, and the number of ids of each text."""
+    def encode(self, texts: pa.StringArray | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each with the end id, and the number of ids of each text. Runs are split and numbered by Arrow, so each
+        distinct one of the texts is looked up once, and its ids are copied by number."""
         if len(self.newer) > MAX_RUNS:
             self.older, self.newer = self.newer, {}
-        plain = [not any(x[:2] in t for x in self.special) for t in texts]
-        split = [(t.lower() if p and self.folds else t).split() for t, p in zip(texts, plain)]
-        unknown = set().union(*split).difference(self.newer)
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()).cast(pa.string())
+        special = [pc.match_substring(texts, x[:2]) for x in self.special]
+        plain = pc.invert(functools.reduce(pc.or_, special)) if special else pa.array([True] * len(texts))
+        split = pc.ascii_split_whitespace(pc.if_else(plain, pc.ascii_lower(texts), texts) if self.folds else texts)
+        numbered = split.flatten().dictionary_encode()  # white space at an end leaves an empty run, which has no ids
+        runs = numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self.newer[b""] = b""
+        unknown = set(runs).difference(self.newer)
         if unknown:
-            self.learn(unknown, all(plain))
-        get, end = self.newer.__getitem__, self.end
-        got = [b"".join(map(get, s)) + end for s in split]
-        return np.frombuffer(b"".join(got), "<i4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+            self.learn(unknown, pc.all(plain).as_py() is not False)
+        own = [*map(self.newer.__getitem__, runs), self.end]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(own), "<i4")))
+        # The end id stands as one more run behind those of each text.
+        ends = np.cumsum(np.asarray(split.value_lengths()) + 1)
+        order = np.full(len(numbered) + len(texts), len(runs), np.int32)
+        inside = np.ones(len(order), bool)
+        inside[ends - 1] = False
+        order[inside] = numbered.indices.to_numpy()
+        upto = np.cumsum(sizes[order])[ends - 1]
+        return ids.take(pa.array(order)).flatten().to_numpy(), np.diff(upto, prepend=0)
 
 
 def _coder(path: str, end_id: int) -> _Runs:
@@ -112,11 +130,11 @@ def _coder(path: str, end_id: int) -> _Runs:
     return held(("runs", path, end_id), lambda: _Runs(path, end_id))
 
 
-def _slices(texts: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.StringArray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes."""
     first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n
         if size >= most:
             yield first, i + 1
             first, size = i + 1, 0
@@ -137,7 +155,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, text: str = "tex
         part, before = TaskContext.get().partitionId(), 0
         coder = _coder(tokenizer, end_id)
         for batch in batches:
-            texts = batch.column("t").cast(pa.binary()).to_pylist()
+            texts = batch.column("t")
             for a, b in _slices(texts):
                 ids, sizes = coder.encode(texts[a:b])
                 offsets = np.concatenate([[0], np.cumsum(sizes)])

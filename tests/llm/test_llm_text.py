@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -84,6 +85,26 @@ def test_token_files(spark, monkeypatch):
         assert ids.tolist() == [i for t in texts[k : k + 20] for i in enc[t]]
 
 
+def test_tokens_of_arrow_texts():
+    """Texts as Arrow has them, cut from a longer array: white space at ends, none but white space, special tokens, capitals, marks behind words; each distinct
+    run of a call is looked up once."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    special = [t.content for t in lib.get_added_tokens_decoder().values()][:2]
+    texts = [t or "" for t in ODD + random_texts(60, 9)] + ["", " \t\n", "  Lead, and trail!  ", "Word Word word, word,, WORD" * 3, *special, *[f"A {t}b {t}" for t in special], "\u00a0é É漢.字,", "a\x0bb\x0cc\rd"]
+    own, array = token_files._Runs(path, 1), pa.array(["x", *texts, "y"])[1:-1]
+    asked = []
+    learn = own.learn
+    own.learn = lambda runs, plain: (asked.extend(runs), learn(runs, plain))
+    for _ in range(2):
+        ids, sizes = own.encode(array)
+        want = [lib.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+    assert len(asked) == len(set(asked))
+    ids, sizes = own.encode(array[:0])
+    assert len(ids) == len(sizes) == 0
+
+
 def test_chat(spark):
     r = random.Random(3)
     bits = ["\\", "#", "### ", "</turn>", "<+>", ":", "a", "\n", "### user: ", "é", "<", "+>", "/turn>", ""]
